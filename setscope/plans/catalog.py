@@ -16,6 +16,17 @@ from setscope.options import Options
 from setscope.sources import bindings as B
 from setscope.sources.memberships import itemsets, registry, run_stats, sample_rows
 from setscope.operators import mining
+from setscope.operators.clusters import itemset_entries, silhouette, wcss
+from setscope.operators.describe import segment_rows, tag
+from setscope.operators.diameter import itemset_diameter, vector_diameter
+from setscope.operators.features import feature_vectors, loadings_report, one_hot
+from setscope.operators.profiles import (
+    code_frequencies, itemset_counts, itemset_occurrences, trend_itemsets)
+from setscope.operators.reshape import relabel, union_tagged
+from setscope.session import ensure_checkpoint_dir
+from setscope.sources.memberships import code_domain
+from setscope.sources.results import read_result, upsert_by_key, write_result
+from setscope.sources.tables import test_table
 
 OPTS = Options()
 # Thresholds of the registered rule queries: the reference defaults on B2.
@@ -66,6 +77,111 @@ def q_predict_missing(spark: SparkSession, sf: str) -> DataFrame:
     return _rules(spark, sf)["predictions"]
 
 
+def q_code_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    m, _ = B.order_nation(spark, sf)
+    assign = B.order_rule_clusters(spark, sf, "B1")
+    return tag(code_frequencies(m, assign), analysis_type="raw", model_type="rule")
+
+
+def _occurrences(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    m, reg = B.order_nation(spark, sf)
+    counts = itemset_counts(itemsets(m), B.order_rule_clusters(spark, sf, "B1"))
+    return itemset_occurrences(counts, OPTS.top_itemsets), reg
+
+
+def q_itemset_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    occ, _ = _occurrences(spark, sf)
+    return tag(occ.withColumn("archives", array_text("archives")),
+               analysis_type="raw", model_type="rule")
+
+
+def q_trend_itemsets(spark: SparkSession, sf: str) -> DataFrame:
+    occ, reg = _occurrences(spark, sf)
+    return tag(trend_itemsets(occ, reg).withColumn("archives", array_text("archives")),
+               analysis_type="raw", model_type="rule")
+
+
+def q_one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    m, _ = B.order_parttype(spark, sf)
+    return one_hot(itemsets(m), code_domain(m))
+
+
+def q_melt_top_n(spark: SparkSession, sf: str) -> DataFrame:
+    """Code x brand matrix (mean part size minus 25.5) melted, top 3 per brand by |value|."""
+    part = test_table(spark, sf, "part").filter(F.col("p_type").isNotNull() & F.col("p_brand").isNotNull())
+    brands = [r[0] for r in part.select("p_brand").distinct().orderBy("p_brand").collect()]
+    wide = (part.groupBy(F.col("p_type").alias("archive")).pivot("p_brand", brands)
+            .agg(F.avg("p_size") - F.lit(25.5)))
+    return loadings_report(wide, brands, B.part_type_registry(spark, sf), 3)
+
+
+def q_relabel(spark: SparkSession, sf: str) -> DataFrame:
+    assign = B.order_rule_clusters(spark, sf, "B1", n=6).withColumnRenamed("cluster", "prediction")
+    mapping = (assign.select("prediction").distinct()
+               .withColumn("hier_prediction", (F.col("prediction") % 2 + 1).cast("int")))
+    return relabel(assign, mapping)
+
+
+def _b2_assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
+    m, _ = B.order_parttype(spark, sf)
+    assigned = itemsets(m).join(B.order_rule_clusters(spark, sf, "B2"), "id")
+    return assigned, code_domain(m)
+
+
+def q_wcss(spark: SparkSession, sf: str) -> DataFrame:
+    assigned, _ = _b2_assigned(spark, sf)
+    out = wcss(assigned.select("id", "cluster"), itemset_entries(assigned))
+    return out.withColumn("wcss", F.round("wcss", 6))
+
+
+def q_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    assigned, codes = _b2_assigned(spark, sf)
+    score = silhouette(feature_vectors(assigned, codes), prediction_col="cluster")
+    return spark.createDataFrame([(round(score, 6),)], "score double")
+
+
+def q_cluster_diameter(spark: SparkSession, sf: str) -> DataFrame:
+    m, _ = B.order_nation(spark, sf)
+    assigned = itemsets(m).join(B.order_rule_clusters(spark, sf, "B1"), "id")
+    return itemset_diameter(assigned, ["cluster"]).withColumn("value", F.round("value", 6))
+
+
+def q_cluster_diameter_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    pts = B.embedding_points(spark, sf)
+    return vector_diameter(pts, ["cluster"]).withColumn("value", F.round("value", 6))
+
+
+def q_segment_text(spark: SparkSession, sf: str) -> DataFrame:
+    return segment_rows(B.document_texts(spark, sf), "doc_id", "text", OPTS.segment_length)
+
+
+def q_upsert_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    nation = test_table(spark, sf, "nation")
+    region = test_table(spark, sf, "region")
+    old = nation.select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))
+    new = (nation.filter(F.col("n_regionkey") == 1)
+           .select(F.col("n_nationkey").cast("string").alias("key"), F.lower("n_name").alias("value"))
+           .unionByName(region.select(F.concat(F.lit("region_"), F.col("r_regionkey").cast("string")).alias("key"),
+                                      F.col("r_name").alias("value"))))
+    return upsert_by_key(old, new, ["key"])
+
+
+def q_orc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}/archives_frequencies"
+    write_result(q_code_frequencies(spark, sf), path, partition_by=("model_type", "analysis_type"))
+    return read_result(spark, path)
+
+
+def q_union_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    m, _ = B.order_nation(spark, sf)
+    parts = [({"analysis_type": "raw", "model_type": "rule"},
+              code_frequencies(m, B.order_rule_clusters(spark, sf, "B1", n=3))),
+             ({"analysis_type": "pca", "model_type": "rule"},
+              code_frequencies(m, B.order_rule_clusters(spark, sf, "B1", n=5)))]
+    return union_tagged(parts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "memberships": q_memberships,
     "registry_first_description": q_registry_first_description,
@@ -75,4 +191,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frequent_itemsets": q_frequent_itemsets,
     "association_rules": q_association_rules,
     "predict_missing": q_predict_missing,
+    "code_frequencies": q_code_frequencies,
+    "itemset_occurrences": q_itemset_occurrences,
+    "trend_itemsets": q_trend_itemsets,
+    "one_hot": q_one_hot,
+    "melt_top_n": q_melt_top_n,
+    "relabel": q_relabel,
+    "wcss": q_wcss,
+    "silhouette": q_silhouette,
+    "cluster_diameter": q_cluster_diameter,
+    "cluster_diameter_vectors": q_cluster_diameter_vectors,
+    "segment_text": q_segment_text,
+    "upsert_by_key": q_upsert_by_key,
+    "orc_round_trip": q_orc_round_trip,
+    "union_tagged": q_union_tagged,
 }

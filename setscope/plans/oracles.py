@@ -83,6 +83,36 @@ def _fi(support: float = 0.05, confidence: float = 0.5) -> str:
     return FI_B2.format(support=support, confidence=confidence)
 
 
+B1_ASSIGN = """
+  SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS id,
+         CAST(o_orderkey % {n} AS INTEGER) AS cluster FROM orders"""
+B2_ASSIGN = """
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey % 3 AS INTEGER) AS cluster FROM orders"""
+
+T1_B1 = """
+  SELECT a.cluster, m.archive, CAST(count(*) AS INTEGER) AS archive_occurrences{tags}
+  FROM ({raw}) m JOIN ({assign}) a USING (id) GROUP BY a.cluster, m.archive"""
+
+
+def t1(n: int = 3, tags: str = ", 'raw' AS analysis_type, 'rule' AS model_type") -> str:
+    return T1_B1.format(raw=B1_RAW, assign=B1_ASSIGN.format(n=n), tags=tags)
+
+
+OCC_B1 = f"""
+WITH m AS ({B1_RAW}), a AS ({B1_ASSIGN.format(n=3)}), reg AS ({B1_REG}), {DM},
+it AS (SELECT id, list_sort(list(DISTINCT archive)) AS archives FROM m GROUP BY id),
+c AS (SELECT a.cluster, it.archives, CAST(count(*) AS INTEGER) AS occ
+      FROM it LEFT JOIN a USING (id) GROUP BY a.cluster, it.archives),
+r AS (SELECT *, sum(occ) OVER (PARTITION BY cluster) AS tot,
+             row_number() OVER (PARTITION BY cluster ORDER BY occ DESC, archives ASC) AS rk FROM c),
+top AS (SELECT cluster, archives, occ, round(occ / tot, 5) AS rf FROM r WHERE rk <= 15),
+best AS (SELECT *, max(occ) OVER (PARTITION BY cluster) AS mx, sum(occ) OVER (PARTITION BY cluster) AS tt FROM top)
+"""
+
+B2_SETS = f"""
+m AS (SELECT DISTINCT id, archive FROM ({B2_RAW})), a AS ({B2_ASSIGN}),
+ma AS (SELECT m.id, m.archive, a.cluster FROM m JOIN a USING (id))"""
+
 ORACLES: dict[str, str] = {
     "memberships": B1_RAW,
     "registry_first_description": B2_REG,
@@ -108,4 +138,67 @@ ORACLES: dict[str, str] = {
       SELECT {txt('archives')} AS archives, {txt('prediction')} AS prediction,
              {desc('archives')} AS archives_description, {desc('prediction')} AS prediction_description
       FROM pr, dm""",
+    "code_frequencies": t1(),
+    "itemset_occurrences": OCC_B1 + f"""
+      SELECT cluster, {txt('archives')} AS archives, occ AS archives_occurrences, rf AS relative_frequency,
+             'raw' AS analysis_type, 'rule' AS model_type FROM top""",
+    "trend_itemsets": OCC_B1 + f"""
+      SELECT cluster, {txt('archives')} AS archives, occ AS archives_occurrences,
+             round(occ / tt, 5) AS relative_frequency, {desc('archives')} AS archives_description,
+             'raw' AS analysis_type, 'rule' AS model_type FROM best, dm WHERE occ = mx""",
+    "one_hot": f"""
+      PIVOT (SELECT DISTINCT id, archive FROM ({B2_RAW})) ON archive USING CAST(count(*) AS INTEGER) GROUP BY id""",
+    "melt_top_n": f"""
+      WITH reg AS ({B2_REG}),
+      w AS (SELECT p_type AS archive, p_brand AS pc, avg(p_size) - 25.5 AS loading FROM part
+            WHERE p_type IS NOT NULL AND p_brand IS NOT NULL GROUP BY p_type, p_brand),
+      r AS (SELECT *, row_number() OVER (PARTITION BY pc ORDER BY abs(loading) DESC, archive) AS rk FROM w)
+      SELECT r.archive, r.pc, round(r.loading, 5) AS loading, reg.description AS archive_description
+      FROM r LEFT JOIN reg USING (archive) WHERE rk <= 3""",
+    "relabel": f"""
+      SELECT id, CAST(cluster % 2 + 1 AS INTEGER) AS prediction FROM ({B1_ASSIGN.format(n=6)})""",
+    "wcss": f"""
+      WITH {B2_SETS},
+      sz AS (SELECT cluster, count(DISTINCT id) AS size FROM ma GROUP BY cluster),
+      y AS (SELECT cluster, archive, count(*) AS s1 FROM ma GROUP BY cluster, archive)
+      SELECT cluster, CAST(size AS INTEGER) AS size, round(sum(s1 - s1 * s1 / size), 6) AS wcss
+      FROM sz JOIN y USING (cluster) GROUP BY cluster, size""",
+    "silhouette": f"""
+      WITH {B2_SETS},
+      p AS (SELECT id, cluster AS c, count(*) AS q FROM ma GROUP BY id, cluster),
+      n AS (SELECT c, count(*) AS n, sum(q) AS psi FROM p GROUP BY c),
+      y AS (SELECT cluster AS c, archive, count(*) AS y FROM ma GROUP BY cluster, archive),
+      dot AS (SELECT ma.id, y.c, sum(y.y) AS dot FROM ma JOIN y ON ma.archive = y.archive GROUP BY ma.id, y.c),
+      s AS (SELECT p.id, p.c AS own, n.c, n.n, p.q * n.n + n.psi - 2 * coalesce(dot.dot, 0) AS s
+            FROM p CROSS JOIN n LEFT JOIN dot ON dot.id = p.id AND dot.c = n.c),
+      ab AS (SELECT id, max(CASE WHEN c = own THEN s / nullif(n - 1, 0) END) AS a,
+                    min(CASE WHEN c <> own THEN s / n END) AS b,
+                    max(CASE WHEN c = own THEN n END) AS nown FROM s GROUP BY id)
+      SELECT round(avg(CASE WHEN nown <= 1 THEN 0 WHEN a < b THEN 1 - a / b
+                            WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS score FROM ab""",
+    "cluster_diameter": f"""
+      WITH m AS (SELECT DISTINCT id, archive FROM ({B1_RAW})), a AS ({B1_ASSIGN.format(n=3)}),
+      it AS (SELECT id, list_sort(list(archive)) AS s FROM m GROUP BY id),
+      d AS (SELECT DISTINCT a.cluster, it.s FROM it JOIN a USING (id))
+      SELECT x.cluster, round(sqrt(max(len(x.s) + len(y.s) - 2 * len(list_intersect(x.s, y.s)))), 6) AS value
+      FROM d x JOIN d y ON x.cluster = y.cluster AND x.s <= y.s GROUP BY x.cluster""",
+    "cluster_diameter_vectors": """
+      WITH e AS (SELECT DISTINCT label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+      SELECT x.cluster, round(max(list_distance(x.v, y.v)), 6) AS value
+      FROM e x JOIN e y ON x.cluster = y.cluster AND x.v <= y.v GROUP BY x.cluster""",
+    "segment_text": """
+      SELECT doc_id, CAST(i AS INTEGER) AS index, substr(text, 1 + i * 8000, 8000) AS content
+      FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 8000.0) AS BIGINT))) AS i
+            FROM documents WHERE length(text) > 0)""",
+    "upsert_by_key": """
+      WITH old AS (SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value, 1 AS src FROM nation),
+      new AS (SELECT CAST(n_nationkey AS VARCHAR) AS key, lower(n_name) AS value, 0 AS src
+              FROM nation WHERE n_regionkey = 1
+              UNION ALL SELECT 'region_' || CAST(r_regionkey AS VARCHAR), r_name, 0 FROM region),
+      u AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY src) AS rk
+            FROM (SELECT * FROM old UNION ALL SELECT * FROM new))
+      SELECT key, value FROM u WHERE rk = 1""",
+    "orc_round_trip": t1(),
+    "union_tagged": t1(3, ", 'raw' AS analysis_type, 'rule' AS model_type") + " UNION ALL " +
+                    t1(5, ", 'pca' AS analysis_type, 'rule' AS model_type"),
 }
