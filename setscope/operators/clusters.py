@@ -73,3 +73,79 @@ def silhouette(predictions: DataFrame, features_col: str = "features",
     ev = ClusteringEvaluator(featuresCol=features_col, predictionCol=prediction_col,
                              metricName="silhouette", distanceMeasure="squaredEuclidean")
     return float(ev.evaluate(predictions))
+
+
+def kmeans_weighted(points: DataFrame, k: int, col: str = "features", seed: int = 1,
+                    weight_col: str = "weight") -> KMeansModel:
+    """K-means on distinct points with a multiplicity weight (same objective as
+    fitting every subject: the weighted SSE equals the SSE of the repeated points)."""
+    return (KMeans().setK(k).setFeaturesCol(col).setPredictionCol("prediction").setSeed(seed)
+            .setWeightCol(weight_col).fit(points))
+
+
+def weighted_wcss(points: DataFrame, entries: DataFrame, by: Sequence[str] = (),
+                  cluster_col: str = "cluster", weight_col: str = "weight") -> DataFrame:
+    """(by..., cluster, size, wcss) for weighted points (pid, cluster, weight) and
+    their non-zero entries (pid, dim, value)."""
+    keys = [*by, cluster_col]
+    p = points.select(*by, "pid", cluster_col, F.col(weight_col).alias("_w"))
+    sizes = p.groupBy(*keys).agg(F.sum("_w").alias("size"))
+    per_dim = (entries.join(p, [*by, "pid"])
+               .groupBy(*keys, "dim")
+               .agg(F.sum(F.col("_w") * F.col("value")).alias("_s1"),
+                    F.sum(F.col("_w") * F.col("value") * F.col("value")).alias("_s2")))
+    spread = (per_dim.join(sizes, keys).groupBy(*keys)
+              .agg(F.sum(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("size")).alias("wcss")))
+    return (sizes.join(spread, keys, "left")
+            .select(*keys, F.col("size").cast("long").alias("size"), F.coalesce("wcss", F.lit(0.0)).alias("wcss")))
+
+
+def weighted_silhouette(points: DataFrame, entries: DataFrame, by: Sequence[str] = (),
+                        cluster_col: str = "cluster", weight_col: str = "weight") -> DataFrame:
+    """(by..., score): mean silhouette (squared Euclidean) of weighted points.
+
+    ``points`` (by..., pid, cluster, weight, q = |x|^2), ``entries`` (by...,
+    pid, dim, value). A point of weight w stands for w equal subjects and the
+    result equals the unweighted silhouette over all subjects. Closed form
+    through cluster sums, as MLlib's evaluator: for cluster c,
+    S(i, c) = q_i n_c + psi_c - 2 x_i . Y_c with n_c the subjects, psi_c the
+    sum of q and Y_c the coordinate sums of c; a = S(i, own) / (n_own - 1),
+    b = min over other c of S(i, c) / n_c. Work is O(points x touched
+    clusters); only per-cluster sums (bounded by k per group) are attached to
+    every point.
+    """
+    keys = list(by)
+    p = points.select(*keys, "pid", F.col(cluster_col).alias("_c"), F.col(weight_col).cast("double").alias("_w"),
+                      F.col("q").cast("double").alias("q"))
+    stats = (p.groupBy(*keys, "_c").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("q")).alias("psi")))
+    ent = entries.join(p.select(*keys, "pid", "_c", "_w"), [*keys, "pid"])
+    y = ent.groupBy(*keys, "_c", "dim").agg(F.sum(F.col("_w") * F.col("value")).alias("y"))
+    dots = (ent.select(*keys, "pid", "dim", "value")
+            .join(y.withColumnRenamed("_c", "_oc"), [*keys, "dim"])
+            .groupBy(*keys, "pid", "_oc").agg(F.sum(F.col("value") * F.col("y")).alias("dot")))
+    dot_map = dots.groupBy(*keys, "pid").agg(
+        F.map_from_entries(F.collect_list(F.struct("_oc", "dot"))).alias("_dm"))
+    stat_list = stats.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_c").alias("c"), "n", "psi")).alias("_st"))
+    joined = p.join(dot_map, [*keys, "pid"], "left")
+    if keys:
+        # one row per group holding at most k cluster sums
+        joined = joined.join(F.broadcast(stat_list), keys)
+    else:
+        # a single clustering: its k cluster sums become a literal
+        st = stats.collect()
+        lit = F.array(*[F.struct(F.lit(r["_c"]).alias("c"), F.lit(float(r["n"])).alias("n"),
+                                 F.lit(float(r["psi"])).alias("psi")) for r in st])
+        joined = joined.withColumn("_st", lit)
+
+    def s_of(st):
+        dot = F.coalesce(F.try_element_at(F.col("_dm"), st["c"]), F.lit(0.0))
+        return F.col("q") * st["n"] + st["psi"] - 2 * dot
+
+    own = F.filter("_st", lambda st: st["c"] == F.col("_c"))[0]
+    others = F.filter("_st", lambda st: st["c"] != F.col("_c"))
+    a = s_of(own) / (own["n"] - 1)
+    b = F.array_min(F.transform(others, lambda st: s_of(st) / st["n"]))
+    sil = (F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0))
+           .when(a < b, 1 - a / b).when(a > b, b / a - 1).otherwise(F.lit(0.0)))
+    per_point = joined.select(*keys, "_w", sil.alias("_s"))
+    return per_point.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_s")) / F.sum("_w")).alias("score"))

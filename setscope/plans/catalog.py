@@ -182,6 +182,121 @@ def q_union_tagged(spark: SparkSession, sf: str) -> DataFrame:
     return union_tagged(parts)
 
 
+# Model-based queries (rows-only check): small sweeps as in the build plan.
+SWEEP_KS = [3, 4, 5, 6]
+TWO_STAGE_K = 20
+TWO_STAGE_TS = [5, 6, 7, 8]
+VARIANT_K = {"raw": 4, "pca": 5}
+VARIANT_T = {"raw": OPTS.opt_t_raw, "pca": OPTS.opt_t_pca}
+
+
+def _analysis(spark: SparkSession, sf: str):
+    from setscope.plans.analysis import build_analysis
+    m, reg = B.order_nation(spark, sf)
+    return build_analysis(m, OPTS), reg
+
+
+def q_top_pcs(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.plans.explore import top_pcs
+    an, reg = _analysis(spark, sf)
+    return top_pcs(spark, an, reg, OPTS.n_loadings)
+
+
+def q_pc_explained_variance(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.plans.explore import pc_explained_variance
+    an, _ = _analysis(spark, sf)
+    return pc_explained_variance(spark, an)
+
+
+def _sweep(spark: SparkSession, sf: str):
+    from setscope.plans.explore import predictions, sweep_models
+    an, _ = _analysis(spark, sf)
+    models = {t: sweep_models(an, SWEEP_KS, t, OPTS.seed) for t in ("raw", "pca")}
+    preds = predictions(an, models["raw"], "raw").unionByName(predictions(an, models["pca"], "pca"))
+    return an, models, preds
+
+
+def q_elbow(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.plans.explore import elbow_report
+    _, models, _ = _sweep(spark, sf)
+    return elbow_report(spark, models)
+
+
+def q_silhouette_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.plans.explore import silhouette_report
+    _, _, preds = _sweep(spark, sf)
+    return silhouette_report(preds)
+
+
+def q_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.plans.explore import diameter_report
+    _, _, preds = _sweep(spark, sf)
+    return diameter_report(preds, "kmeans")
+
+
+def _two_stage(spark: SparkSession, sf: str, analysis_type: str = "raw"):
+    from setscope.plans.explore import FEATURE_COL, linkage_of
+    from setscope.operators.clusters import kmeans_weighted
+    an, reg = _analysis(spark, sf)
+    model = kmeans_weighted(an.base, TWO_STAGE_K, FEATURE_COL[analysis_type], OPTS.seed)
+    merges, n = linkage_of(spark, model)
+    return an, model, merges, n, reg
+
+
+def q_linkage(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, merges, _, _ = _two_stage(spark, sf)
+    return merges
+
+
+def q_leaf_order(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.plans.explore import dendrogram_report
+    _, _, merges, n, _ = _two_stage(spark, sf)
+    return dendrogram_report(merges, n, "raw")[1]
+
+
+def q_two_stage(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.plans.explore import hierarchical_predictions
+    an, model, merges, n, _ = _two_stage(spark, sf)
+    pred = hierarchical_predictions(an, model, merges, n, [OPTS.opt_t_raw], "raw")
+    return pred.select("t", array_text("archives").alias("archives"), "weight", "prediction")
+
+
+def q_hier_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.plans.explore import diameter_report, hierarchical_predictions
+    an, model, merges, n, _ = _two_stage(spark, sf)
+    preds = hierarchical_predictions(an, model, merges, n, TWO_STAGE_TS, "raw")
+    return diameter_report(preds, "hierarchical", key="t")
+
+
+def _variants(spark: SparkSession, sf: str):
+    from setscope.operators.clusters import kmeans_weighted
+    from setscope.operators.linkage import cut_tree
+    from setscope.plans.explore import FEATURE_COL, linkage_of
+    from setscope.plans.results import cluster_variants, profiles, variant
+    an, reg = _analysis(spark, sf)
+    parts = []
+    for at in ("raw", "pca"):
+        col = FEATURE_COL[at]
+        parts.append(variant(an, kmeans_weighted(an.base, VARIANT_K[at], col, OPTS.seed), "opt_k_kmeans", at))
+        big = kmeans_weighted(an.base, TWO_STAGE_K, col, OPTS.seed)
+        parts.append(variant(an, big, "K_kmeans", at))
+        merges, n = linkage_of(spark, big)
+        parts.append(variant(an, big, "hierarchical", at, cut_tree(merges, n, VARIANT_T[at])))
+    return profiles(an, cluster_variants(parts), reg, OPTS.top_itemsets)
+
+
+def q_variants_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    return _variants(spark, sf)["archives_frequencies"]
+
+
+def q_variants_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    return _variants(spark, sf)["archives_occurrences"]
+
+
+def q_variants_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return _variants(spark, sf)["trend_vector"]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "memberships": q_memberships,
     "registry_first_description": q_registry_first_description,
@@ -205,4 +320,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_by_key": q_upsert_by_key,
     "orc_round_trip": q_orc_round_trip,
     "union_tagged": q_union_tagged,
+    "top_pcs": q_top_pcs,
+    "pc_explained_variance": q_pc_explained_variance,
+    "elbow": q_elbow,
+    "silhouette_sweep": q_silhouette_sweep,
+    "diameter_sweep": q_diameter_sweep,
+    "linkage": q_linkage,
+    "leaf_order": q_leaf_order,
+    "two_stage": q_two_stage,
+    "hier_diameter_sweep": q_hier_diameter_sweep,
+    "variants_frequencies": q_variants_frequencies,
+    "variants_occurrences": q_variants_occurrences,
+    "variants_trend": q_variants_trend,
 }

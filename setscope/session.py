@@ -52,3 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="setscope-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df, tag: str = "state"):
+    """Write ``df`` as parquet under the checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but computes the plan once (a
+    checkpoint of an un-cached frame runs it twice). The folder is the
+    shared ``spark.checkpoint.dir``; each call uses a fresh sub-folder.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/setscope-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
