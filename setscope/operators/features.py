@@ -89,7 +89,8 @@ def top_loadings(spark: SparkSession, model: PCAModel, codes: Sequence, registry
     pcs = [str(j) for j in range(k)]
     wide = spark.createDataFrame([(c, *[float(x) for x in row]) for c, row in zip(codes, pc.tolist())],
                                  ["archive", *pcs])
-    return loadings_report(wide, pcs, registry, n)
+    out = loadings_report(wide, pcs, registry, n)
+    return out.select("archive", F.col("pc").cast("int").alias("pc"), "loading", "archive_description")
 
 
 def loadings_report(wide: DataFrame, pcs: Sequence[str], registry: DataFrame, n: int) -> DataFrame:

@@ -1,0 +1,9 @@
+"""Incremental use of the batch operators on Structured Streaming sources.
+
+The reference job is batch only; nothing here adds an operator. It lets the
+code-frequency profile (T1) be kept up to date while membership rows arrive.
+"""
+
+from setscope.streaming.profiles import code_frequencies_stream, start_code_frequencies
+
+__all__ = ["code_frequencies_stream", "start_code_frequencies"]

@@ -1,0 +1,38 @@
+"""Code frequencies per cluster over a membership stream (T1, incremental)."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from setscope.options import EXCLUDED_CODES
+from setscope.sources.memberships import memberships
+
+
+def code_frequencies_stream(raw_stream: DataFrame, assignments: DataFrame, id_cols: Sequence[str],
+                            code_col: str, flag_col: str | None = None, flag_value: str = "I",
+                            excluded: Sequence = EXCLUDED_CODES) -> DataFrame:
+    """Streaming (cluster, archive, archive_occurrences).
+
+    The raw rows go through the same normalisation as the batch path, join
+    the static assignments on id (stream-static join) and are counted in a
+    stateful aggregation keyed by (cluster, archive): state is bounded by
+    clusters x codes, not by rows.
+    """
+    m = memberships(raw_stream, id_cols, code_col, flag_col, flag_value, excluded)
+    return (m.join(assignments.select("id", "cluster"), "id")
+            .groupBy("cluster", "archive")
+            .agg(F.count(F.lit(1)).cast("int").alias("archive_occurrences")))
+
+
+def start_code_frequencies(counts: DataFrame, checkpoint: str, sink: str = "memory",
+                           name: str = "archives_frequencies", path: str | None = None) -> StreamingQuery:
+    """Start the query in update mode; ``checkpoint`` must be shared storage."""
+    writer = (counts.writeStream.outputMode("complete" if sink == "memory" else "update")
+              .option("checkpointLocation", checkpoint).queryName(name))
+    if sink == "memory":
+        return writer.format("memory").start()
+    return writer.foreachBatch(lambda df, _id: df.write.mode("overwrite").orc(path)).start()

@@ -1,0 +1,27 @@
+import uuid
+
+from conftest import SF_SMALL
+from setscope.operators.profiles import code_frequencies
+from setscope.session import ensure_checkpoint_dir
+from setscope.sources import bindings as B
+from setscope.sources.memberships import memberships
+from setscope.streaming import code_frequencies_stream, start_code_frequencies
+
+
+def test_stream_equals_batch(spark):
+    root = ensure_checkpoint_dir(spark)
+    src = f"{root}/stream-src-{uuid.uuid4().hex}"
+    raw = B.order_nation_raw(spark, SF_SMALL)
+    raw.write.parquet(src)
+    assign = B.order_rule_clusters(spark, SF_SMALL, "B1")
+    stream = spark.readStream.schema(raw.schema).parquet(src)
+    counts = code_frequencies_stream(stream, assign, ["cfccc16", "progr6"], "archge", "flag_movimento", "O")
+    q = start_code_frequencies(counts, f"{root}/stream-ck-{uuid.uuid4().hex}", name="t1_stream_test")
+    try:
+        q.processAllAvailable()
+        got = sorted(tuple(r) for r in spark.table("t1_stream_test").collect())
+    finally:
+        q.stop()
+    m = memberships(raw, ["cfccc16", "progr6"], "archge", "flag_movimento", "O")
+    ref = sorted(tuple(r) for r in code_frequencies(m, assign).select("cluster", "archive", "archive_occurrences").collect())
+    assert got == ref and len(got) > 0
