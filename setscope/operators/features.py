@@ -58,14 +58,14 @@ def choose_components(cumulative: Sequence[float], low: float, high: float) -> i
 
 
 def pca_select(features: DataFrame, low: float, high: float, col: str = "features",
-               out_col: str = "pca_features") -> PCAModel:
+               out_col: str = "pca_features", size: int | None = None) -> PCAModel:
     """PCA whose component count explains a variance share in [low, high] (M5, M6).
 
     One full-rank fit gives every component's explained variance; the
     bisection is replayed on its prefix sums, then one fit at the chosen k
     (its components equal the first k of the full fit).
     """
-    n = len(features.select(col).first()[0])
+    n = size if size is not None else len(features.select(col).first()[0])
     full = PCA(k=n, inputCol=col, outputCol=out_col).fit(features)
     ev = full.explainedVariance.toArray()
     cum, run = [], 0.0

@@ -62,10 +62,12 @@ def complete_linkage(points: DataFrame, n: int | None = None) -> DataFrame:
                     F.lit(1).alias("sa"), F.lit(1).alias("sb")))
     dist = materialize(dist, "pairs")
     # a cluster is named by its representative (smallest member leaf); the
-    # pair rows carry both clusters' sizes
+    # pair rows carry both clusters' sizes. Each round writes one table
+    # holding the remaining pairs (kind 0) and the round's merges (kind 1).
     steps = []
     rnd = 0
-    while True:
+    pairs_left = n * (n - 1) // 2
+    while pairs_left > 0:
         both = dist.unionByName(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "d",
                                             F.col("sb").alias("sa"), F.col("sa").alias("sb")))
         nn = both.groupBy("a").agg(
@@ -75,28 +77,38 @@ def complete_linkage(points: DataFrame, n: int | None = None) -> DataFrame:
                .filter(F.col("x.a") < F.col("x.nb"))
                .select(F.col("x.a").alias("a"), F.col("x.nb").alias("b")))
         step = (dist.join(rec, ["a", "b"])
-                .select(F.lit(rnd).alias("round"), F.col("a").alias("ra"), F.col("b").alias("rb"),
+                .select(F.col("a").alias("ra"), F.col("b").alias("rb"),
                         F.col("d").alias("height"), (F.col("sa") + F.col("sb")).alias("size")))
-        step = materialize(step, "merge")
-        steps.append(step)
         remap = (step.select(F.col("ra").alias("_from"), F.col("ra").alias("_to"), F.col("size").alias("_s"))
                  .unionByName(step.select(F.col("rb").alias("_from"), F.col("ra").alias("_to"),
                                           F.col("size").alias("_s"))))
         ra_ = remap.select(F.col("_from").alias("a"), F.col("_to").alias("_ta"), F.col("_s").alias("_sa"))
         rb_ = remap.select(F.col("_from").alias("b"), F.col("_to").alias("_tb"), F.col("_s").alias("_sb"))
+        # the remap has two rows per merge of this round: at most n rows
         moved = (dist.join(F.broadcast(ra_), "a", "left").join(F.broadcast(rb_), "b", "left")
                  .select(F.coalesce("_ta", "a").alias("a1"), F.coalesce("_tb", "b").alias("b1"), "d",
                          F.coalesce("_sa", "sa").alias("sa1"), F.coalesce("_sb", "sb").alias("sb1"))
                  .filter(F.col("a1") != F.col("b1")))
         lower = F.col("a1") < F.col("b1")
-        dist = (moved.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b"), "d",
-                             F.when(lower, F.col("sa1")).otherwise(F.col("sb1")).alias("sa"),
-                             F.when(lower, F.col("sb1")).otherwise(F.col("sa1")).alias("sb"))
-                .groupBy("a", "b").agg(F.max("d").alias("d"), F.max("sa").alias("sa"), F.max("sb").alias("sb")))
-        dist = materialize(dist, "pairs")
+        new_dist = (moved.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b"), "d",
+                                 F.when(lower, F.col("sa1")).otherwise(F.col("sb1")).alias("sa"),
+                                 F.when(lower, F.col("sb1")).otherwise(F.col("sa1")).alias("sb"))
+                    .groupBy("a", "b").agg(F.max("d").alias("d"), F.max("sa").alias("sa"),
+                                           F.max("sb").alias("sb")))
+        state = materialize(
+            new_dist.select(F.lit(0).alias("kind"), "a", "b", "d", "sa", "sb")
+            .unionByName(step.select(F.lit(1).alias("kind"), F.col("ra").alias("a"), F.col("rb").alias("b"),
+                                     F.col("height").alias("d"), F.col("size").alias("sa"),
+                                     F.lit(0).alias("sb"))), "linkage")
+        steps.append(state.filter("kind = 1").select(F.lit(rnd).alias("round"), F.col("a").alias("ra"),
+                                                       F.col("b").alias("rb"), F.col("d").alias("height"),
+                                                       F.col("sa").alias("size")))
+        dist = state.filter("kind = 0").drop("kind")
+        counts = {r["kind"]: r["count"] for r in state.groupBy("kind").count().collect()}
+        if counts.get(1, 0) == 0:
+            raise RuntimeError("complete_linkage: a round merged nothing")
+        pairs_left = counts.get(0, 0)
         rnd += 1
-        if dist.isEmpty():
-            break
     merges = steps[0]
     for st in steps[1:]:
         merges = merges.unionByName(st)

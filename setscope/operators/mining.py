@@ -63,9 +63,13 @@ def predict_missing(items: DataFrame, rules: DataFrame, items_col: str = "archiv
 
 
 def rules_report(items: DataFrame, registry: DataFrame, min_support: float = 0.05,
-                 min_confidence: float = 0.5) -> dict[str, DataFrame]:
-    """The three rule datasets with descriptions (T5): frequencies, confidences, predictions."""
-    model = fit_fpgrowth(items, min_support, min_confidence)
+                 min_confidence: float = 0.5, model: FPGrowthModel | None = None) -> dict[str, DataFrame]:
+    """The three rule datasets with descriptions (T5): frequencies, confidences, predictions.
+
+    Pass a fitted ``model`` to reuse one fit for all three reports.
+    """
+    if model is None:
+        model = fit_fpgrowth(items, min_support, min_confidence)
     freq = frequent_itemsets(model)
     frequencies = describe_array(freq, ["item"], registry).select(
         array_text("item").alias("item"), "freq", "item_description")

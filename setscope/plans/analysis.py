@@ -34,7 +34,17 @@ class Analysis:
         self.base.unpersist()
 
 
+ROWS_PER_PARTITION = 100_000
+
+
 def build_analysis(members: DataFrame, opts: Options = Options(), partitions: int | None = None) -> Analysis:
+    """Subjects, distinct-itemset base with features and PCA projection, code counts.
+
+    The base is hash-partitioned by itemset into a count sized by its rows
+    (``ROWS_PER_PARTITION``) unless ``partitions`` is given, and sorted
+    within partitions: a fixed layout keeps k-means initialisation
+    reproducible and tasks sized to the data.
+    """
     spark = members.sparkSession
     codes = code_domain(members)
     subj = subjects(members).persist(StorageLevel.MEMORY_AND_DISK)
@@ -43,13 +53,15 @@ def build_analysis(members: DataFrame, opts: Options = Options(), partitions: in
                    .groupBy("archives", F.col("_e.archives").alias("archive"))
                    .agg(F.sum("_e.occurrences").alias("n")))
     subj_features = feature_vectors(subj.select("archives"), codes)
-    pca = pca_select(subj_features, opts.variance_low, opts.variance_high)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a fixed hash layout sorted by itemset keeps k-means initialisation reproducible
+    pca = pca_select(subj_features, opts.variance_low, opts.variance_high, size=len(codes))
+    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
+    distinct_sets = weights.count()
+    parts = partitions or max(1, -(-distinct_sets // ROWS_PER_PARTITION))
     base = pca.transform(feature_vectors(weights, codes))
     base = (base.repartition(parts, "archives").sortWithinPartitions("archives")
             .persist(StorageLevel.MEMORY_AND_DISK))
     base.count()
+    weights.unpersist()
     return Analysis(codes, base, code_counts, pca, subj)
 
 

@@ -16,7 +16,7 @@ from setscope.options import Options
 from setscope.sources import bindings as B
 from setscope.sources.memberships import itemsets, registry, run_stats, sample_rows
 from setscope.operators import mining
-from setscope.operators.clusters import itemset_entries, silhouette, wcss
+from setscope.operators.clusters import itemset_entries, wcss, weighted_silhouette
 from setscope.operators.describe import segment_rows, tag
 from setscope.operators.diameter import itemset_diameter, vector_diameter
 from setscope.operators.features import feature_vectors, loadings_report, one_hot
@@ -29,6 +29,19 @@ from setscope.sources.results import read_result, upsert_by_key, write_result
 from setscope.sources.tables import test_table
 
 OPTS = Options()
+
+# Fitted models and analysis frames are kept per Spark application and input,
+# so tasks that share a model (elbow, silhouette and diameter of one sweep;
+# the three rule reports) fit it once, as the reference job does per process.
+# Keys are explicit (application, input folder, parameters), never frames.
+_MEMO: dict = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build):
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
 # Thresholds of the registered rule queries: the reference defaults on B2.
 RULES_SUPPORT = OPTS.min_support
 RULES_CONFIDENCE = OPTS.min_confidence
@@ -62,7 +75,10 @@ def q_run_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rules(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     m, reg = B.order_parttype(spark, sf)
-    return mining.rules_report(itemsets(m), reg, RULES_SUPPORT, RULES_CONFIDENCE)
+    items = itemsets(m)
+    model = _memo(spark, ("fpgrowth", sf, RULES_SUPPORT, RULES_CONFIDENCE),
+                  lambda: mining.fit_fpgrowth(items, RULES_SUPPORT, RULES_CONFIDENCE))
+    return mining.rules_report(items, reg, model=model)
 
 
 def q_frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,9 +151,13 @@ def q_wcss(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    assigned, codes = _b2_assigned(spark, sf)
-    score = silhouette(feature_vectors(assigned, codes), prediction_col="cluster")
-    return spark.createDataFrame([(round(score, 6),)], "score double")
+    """Silhouette of the given clusters, computed on distinct (itemset, cluster) points
+    weighted by their subjects (equal to the subject-level value)."""
+    assigned, _ = _b2_assigned(spark, sf)
+    pts = (assigned.groupBy("archives", "cluster").agg(F.count(F.lit(1)).alias("weight"))
+           .withColumn("pid", F.struct("archives", "cluster")).withColumn("q", F.size("archives")))
+    out = weighted_silhouette(pts, itemset_entries(pts, keep=("pid",)))
+    return out.select(F.round("score", 6).alias("score"))
 
 
 def q_cluster_diameter(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +213,19 @@ VARIANT_T = {"raw": OPTS.opt_t_raw, "pca": OPTS.opt_t_pca}
 def _analysis(spark: SparkSession, sf: str):
     from setscope.plans.analysis import build_analysis
     m, reg = B.order_nation(spark, sf)
-    return build_analysis(m, OPTS), reg
+    return _memo(spark, ("analysis", sf), lambda: build_analysis(m, OPTS)), reg
+
+
+def _kmeans(spark: SparkSession, sf: str, an, k: int, analysis_type: str):
+    from setscope.operators.clusters import kmeans_weighted
+    from setscope.plans.explore import FEATURE_COL
+    return _memo(spark, ("kmeans", sf, analysis_type, k, OPTS.seed),
+                 lambda: kmeans_weighted(an.base, k, FEATURE_COL[analysis_type], OPTS.seed))
+
+
+def _linkage(spark: SparkSession, sf: str, model, k: int, analysis_type: str):
+    from setscope.plans.explore import linkage_of
+    return _memo(spark, ("linkage", sf, analysis_type, k, OPTS.seed), lambda: linkage_of(spark, model))
 
 
 def q_top_pcs(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,9 +241,9 @@ def q_pc_explained_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, sf: str):
-    from setscope.plans.explore import predictions, sweep_models
+    from setscope.plans.explore import predictions
     an, _ = _analysis(spark, sf)
-    models = {t: sweep_models(an, SWEEP_KS, t, OPTS.seed) for t in ("raw", "pca")}
+    models = {t: {k: _kmeans(spark, sf, an, k, t) for k in SWEEP_KS} for t in ("raw", "pca")}
     preds = predictions(an, models["raw"], "raw").unionByName(predictions(an, models["pca"], "pca"))
     return an, models, preds
 
@@ -235,11 +267,9 @@ def q_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _two_stage(spark: SparkSession, sf: str, analysis_type: str = "raw"):
-    from setscope.plans.explore import FEATURE_COL, linkage_of
-    from setscope.operators.clusters import kmeans_weighted
     an, reg = _analysis(spark, sf)
-    model = kmeans_weighted(an.base, TWO_STAGE_K, FEATURE_COL[analysis_type], OPTS.seed)
-    merges, n = linkage_of(spark, model)
+    model = _kmeans(spark, sf, an, TWO_STAGE_K, analysis_type)
+    merges, n = _linkage(spark, sf, model, TWO_STAGE_K, analysis_type)
     return an, model, merges, n, reg
 
 
@@ -269,18 +299,15 @@ def q_hier_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _variants(spark: SparkSession, sf: str):
-    from setscope.operators.clusters import kmeans_weighted
     from setscope.operators.linkage import cut_tree
-    from setscope.plans.explore import FEATURE_COL, linkage_of
     from setscope.plans.results import cluster_variants, profiles, variant
     an, reg = _analysis(spark, sf)
     parts = []
     for at in ("raw", "pca"):
-        col = FEATURE_COL[at]
-        parts.append(variant(an, kmeans_weighted(an.base, VARIANT_K[at], col, OPTS.seed), "opt_k_kmeans", at))
-        big = kmeans_weighted(an.base, TWO_STAGE_K, col, OPTS.seed)
+        parts.append(variant(an, _kmeans(spark, sf, an, VARIANT_K[at], at), "opt_k_kmeans", at))
+        big = _kmeans(spark, sf, an, TWO_STAGE_K, at)
         parts.append(variant(an, big, "K_kmeans", at))
-        merges, n = linkage_of(spark, big)
+        merges, n = _linkage(spark, sf, big, TWO_STAGE_K, at)
         parts.append(variant(an, big, "hierarchical", at, cut_tree(merges, n, VARIANT_T[at])))
     return profiles(an, cluster_variants(parts), reg, OPTS.top_itemsets)
 
