@@ -72,11 +72,12 @@ def complete_linkage(points: DataFrame, n: int | None = None) -> DataFrame:
                                             F.col("sb").alias("sa"), F.col("sa").alias("sb")))
         nn = both.groupBy("a").agg(
             F.min_by("b", F.struct("d", F.least("a", "b"), F.greatest("a", "b"))).alias("nb"))
-        x, y = nn.alias("x"), nn.alias("y")
-        rec = (x.join(y, (F.col("x.nb") == F.col("y.a")) & (F.col("y.nb") == F.col("x.a")))
-               .filter(F.col("x.a") < F.col("x.nb"))
-               .select(F.col("x.a").alias("a"), F.col("x.nb").alias("b")))
-        step = (dist.join(rec, ["a", "b"])
+        # one nearest neighbour per cluster: at most n rows, so broadcast; a pair
+        # merges when each side is the other's nearest neighbour
+        nn_a = F.broadcast(nn.select("a", F.col("nb").alias("_na")))
+        nn_b = F.broadcast(nn.select(F.col("a").alias("b"), F.col("nb").alias("_nb")))
+        step = (dist.join(nn_a, "a").join(nn_b, "b")
+                .filter((F.col("_na") == F.col("b")) & (F.col("_nb") == F.col("a")))
                 .select(F.col("a").alias("ra"), F.col("b").alias("rb"),
                         F.col("d").alias("height"), (F.col("sa") + F.col("sb")).alias("size")))
         remap = (step.select(F.col("ra").alias("_from"), F.col("ra").alias("_to"), F.col("size").alias("_s"))
@@ -157,7 +158,8 @@ def _jump(state: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     while not state.filter(F.col("anc").isNotNull()).isEmpty():
         up = state.select(*keys, F.col("node").alias("anc"), F.col("anc").alias("_anc2"),
                           F.col("acc").alias("_acc2"), F.col("top").alias("_top2"))
-        state = (state.join(up, [*keys, "anc"], "left")
+        # the state has at most 2n rows per key (tree nodes), so the lookup is broadcast
+        state = (state.join(F.broadcast(up), [*keys, "anc"], "left")
                  .select(*keys, "node",
                          F.col("_anc2").alias("anc"),
                          (F.col("acc") + F.coalesce("_acc2", F.lit(0))).alias("acc"),
