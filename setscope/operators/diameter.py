@@ -24,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setscope.session import materialize
+
 EPS = 1e-9
 
 
@@ -36,8 +38,11 @@ def _vec_d2(a: Column, b: Column) -> Column:
 
 
 def _farthest(pts: DataFrame, keys: list[str], pivots: DataFrame, d2) -> DataFrame:
-    """For each cluster: the point farthest from its pivot and that distance."""
-    j = pts.join(pivots, keys).withColumn("_d2", d2(F.col("_p"), F.col("_pv")))
+    """For each cluster: the point farthest from its pivot and that distance.
+
+    ``pivots`` holds one row per cluster, so it is broadcast.
+    """
+    j = pts.join(F.broadcast(pivots), keys).withColumn("_d2", d2(F.col("_p"), F.col("_pv")))
     return j.groupBy(*keys).agg(F.max_by("_p", F.struct("_d2", "_p")).alias("_pv"),
                                 F.max("_d2").alias("_r2"))
 
@@ -45,8 +50,9 @@ def _farthest(pts: DataFrame, keys: list[str], pivots: DataFrame, d2) -> DataFra
 def itemset_diameter(df: DataFrame, keys: Sequence[str], items_col: str = "archives") -> DataFrame:
     """(keys..., value): diameter of the 0/1 vectors of each cluster's itemsets."""
     keys = list(keys)
-    pts = (df.select(*keys, F.col(items_col).alias("_p")).distinct()
-           .withColumn("_s", F.size("_p")))
+    # distinct points are read by every pass: computed once and written
+    pts = materialize(df.select(*keys, F.col(items_col).alias("_p")).distinct()
+                      .withColumn("_s", F.size("_p")), "diameter-points")
     p0 = pts.groupBy(*keys).agg(F.max_by("_p", F.struct("_s", "_p")).alias("_pv"),
                                 F.max("_s").alias("_smax"))
     p1 = _farthest(pts, keys, p0.select(*keys, "_pv"), _set_d2)
@@ -75,7 +81,7 @@ def vector_diameter(df: DataFrame, keys: Sequence[str], col: str = "features",
     """(keys..., value): diameter of dense vectors (vector or array column) per cluster."""
     keys = list(keys)
     arr = vector_to_array(col) if dict(df.dtypes)[col] == "vector" else F.col(col).cast("array<double>")
-    pts = df.select(*keys, arr.alias("_p")).distinct()
+    pts = materialize(df.select(*keys, arr.alias("_p")).distinct(), "diameter-points")
     norm2 = F.aggregate("_p", F.lit(0.0), lambda s, v: s + v * v)
     pv = (pts.groupBy(*keys).agg(F.max_by("_p", F.struct(norm2.alias("_n"), F.col("_p"))).alias("_pv")))
     pivots, radii = [], []
