@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from setscope.functions.arrays import array_text
 from setscope.options import Options
 from setscope.sources import bindings as B
-from setscope.sources.memberships import itemsets, registry, run_stats, sample_rows
+from setscope.sources.memberships import itemsets, registry, run_stats, sample_rows, subjects
 from setscope.operators import mining
 from setscope.operators.clusters import itemset_entries, wcss, weighted_silhouette
-from setscope.operators.describe import segment_rows, tag
+from setscope.operators.describe import describe_code, segment_rows, tag
 from setscope.operators.diameter import itemset_diameter, vector_diameter
 from setscope.operators.features import feature_vectors, loadings_report, one_hot
 from setscope.operators.profiles import (
@@ -63,6 +63,19 @@ def q_itemsets(spark: SparkSession, sf: str) -> DataFrame:
                      F.size("archives").cast("int").alias("n_codes"))
 
 
+def q_subjects(spark: SparkSession, sf: str) -> DataFrame:
+    """Per subject: sorted codes and how many membership rows each code has."""
+    m, _ = B.order_nation(spark, sf)
+    return subjects(m).select("id", array_text("archives").alias("archives"),
+                              array_text("occurrences").alias("occurrences"))
+
+
+def q_describe_code(spark: SparkSession, sf: str) -> DataFrame:
+    """Scalar code lookup: every membership row with its nation name (left join)."""
+    m, reg = B.order_nation(spark, sf)
+    return describe_code(m, reg)
+
+
 def q_sample_hash(spark: SparkSession, sf: str) -> DataFrame:
     m, _ = B.order_parttype(spark, sf)
     return sample_rows(m, OPTS.sample_fraction, seed=7, keys=["id", "archive"])
@@ -328,6 +341,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "memberships": q_memberships,
     "registry_first_description": q_registry_first_description,
     "itemsets": q_itemsets,
+    "subjects": q_subjects,
+    "describe_code": q_describe_code,
     "sample_hash": q_sample_hash,
     "run_stats": q_run_stats,
     "frequent_itemsets": q_frequent_itemsets,

@@ -120,6 +120,14 @@ ORACLES: dict[str, str] = {
       SELECT id, {txt('list_sort(list(DISTINCT archive))')} AS archives,
              CAST(count(DISTINCT archive) AS INTEGER) AS n_codes
       FROM ({B1_RAW}) GROUP BY id""",
+    "subjects": f"""
+      SELECT id, {txt('list_transform(list_sort(list(struct_pack(a := archive, n := n))), lambda x: x.a)')} AS archives,
+             {txt('list_transform(list_sort(list(struct_pack(a := archive, n := n))), lambda x: x.n)')} AS occurrences
+      FROM (SELECT id, archive, CAST(count(*) AS INTEGER) AS n FROM ({B1_RAW}) GROUP BY id, archive)
+      GROUP BY id""",
+    "describe_code": f"""
+      SELECT m.id, m.archive, r.description AS archive_description
+      FROM ({B1_RAW}) m LEFT JOIN ({B1_REG}) r ON m.archive = r.archive""",
     "sample_hash": f"""
       SELECT id, archive FROM ({B2_RAW})
       WHERE CAST(('0x' || substr(md5(concat_ws('|', id, archive, '7')), 1, 8)) AS BIGINT)
