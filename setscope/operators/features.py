@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,26 +60,49 @@ def choose_components(cumulative: Sequence[float], low: float, high: float) -> i
     return tried
 
 
+@dataclass
+class PcaSelection:
+    """A full-rank PCA fit and the number ``k`` of leading components kept.
+
+    MLlib's PCA eigendecomposes the whole covariance whatever its k and a
+    k-component model holds the first k columns of it, so the full fit
+    serves every k: one pass over the data instead of one per k tried.
+    """
+    full: PCAModel
+    k: int
+
+    @property
+    def pc(self) -> np.ndarray:
+        """Loadings, codes x k."""
+        return self.full.pc.toArray()[:, : self.k]
+
+    @property
+    def explained(self) -> np.ndarray:
+        return self.full.explainedVariance.toArray()[: self.k]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add the k-component projection (not centred, as MLlib projects)."""
+        out = self.full.getOutputCol()
+        projected = self.full.transform(df)
+        if self.k == self.full.pc.numCols:
+            return projected
+        return projected.withColumn(out, array_to_vector(F.slice(vector_to_array(out), 1, self.k)))
+
+
 def pca_select(features: DataFrame, low: float, high: float, col: str = "features",
-               out_col: str = "pca_features", size: int | None = None) -> PCAModel:
+               out_col: str = "pca_features", size: int | None = None) -> PcaSelection:
     """PCA whose component count explains a variance share in [low, high] (M5, M6).
 
     One full-rank fit gives every component's explained variance; the
-    bisection is replayed on its prefix sums, then one fit at the chosen k
-    (its components equal the first k of the full fit).
+    reference's bisection on k is replayed on its prefix sums.
     """
     n = size if size is not None else len(features.select(col).first()[0])
     full = PCA(k=n, inputCol=col, outputCol=out_col).fit(features)
-    ev = full.explainedVariance.toArray()
-    cum, run = [], 0.0
-    for v in ev:
-        run += float(v)
-        cum.append(run)
-    k = choose_components(cum, low, high)
-    return full if k == n else PCA(k=k, inputCol=col, outputCol=out_col).fit(features)
+    cum = np.cumsum(full.explainedVariance.toArray()).tolist()
+    return PcaSelection(full, choose_components(cum, low, high))
 
 
-def top_loadings(spark: SparkSession, model: PCAModel, codes: Sequence, registry: DataFrame,
+def top_loadings(spark: SparkSession, model: PcaSelection, codes: Sequence, registry: DataFrame,
                  n: int) -> DataFrame:
     """(archive, pc, loading, archive_description): top ``n`` codes per component (M7).
 
@@ -84,7 +110,7 @@ def top_loadings(spark: SparkSession, model: PCAModel, codes: Sequence, registry
     melted, ranked by absolute loading (code breaks ties), rounded to 5
     digits and described.
     """
-    pc = model.pc.toArray()
+    pc = model.pc
     k = pc.shape[1]
     pcs = [str(j) for j in range(k)]
     wide = spark.createDataFrame([(c, *[float(x) for x in row]) for c, row in zip(codes, pc.tolist())],
@@ -100,7 +126,7 @@ def loadings_report(wide: DataFrame, pcs: Sequence[str], registry: DataFrame, n:
     return describe_code(top.withColumn("loading", F.round("loading", 5)), registry)
 
 
-def explained_variance(spark: SparkSession, model: PCAModel) -> DataFrame:
-    """(pc, explained_variance) per component, 3 digits (M8)."""
-    rows = [(i, round(float(v), 3)) for i, v in enumerate(model.explainedVariance.toArray())]
+def explained_variance(spark: SparkSession, model: PcaSelection) -> DataFrame:
+    """(pc, explained_variance) per kept component, 3 digits (M8)."""
+    rows = [(i, round(float(v), 3)) for i, v in enumerate(model.explained)]
     return spark.createDataFrame(rows, "pc int, explained_variance double")

@@ -12,12 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from setscope.operators.features import feature_vectors, pca_select
+from setscope.operators.features import PcaSelection, feature_vectors, pca_select
 from setscope.options import Options
 from setscope.sources.memberships import code_domain, subjects
 
@@ -27,7 +26,7 @@ class Analysis:
     codes: list
     base: DataFrame          # archives, weight, features, pca_features (persisted)
     code_counts: DataFrame   # archives, archive, n: code occurrences over the itemset's subjects
-    pca: PCAModel
+    pca: PcaSelection
     subjects: DataFrame
 
     def release(self) -> None:

@@ -31,14 +31,21 @@ def test_pca_matches_numpy_and_loadings(spark):
     model = pca_select(feats, 0.8, 0.85)
     X = np.array([r.features.toArray() for r in feats.collect()])
     w = np.linalg.eigvalsh(np.cov(X, rowvar=False))[::-1]
-    ev = model.explainedVariance.toArray()
+    ev = model.explained
     assert np.allclose(ev, (w / w.sum())[:len(ev)], atol=1e-9)
     k = len(ev)
     assert choose_components(list(np.cumsum(w / w.sum())), 0.8, 0.85) == k
+    # the sliced projection equals a k-component fit
+    from pyspark.ml.feature import PCA
+    ref = PCA(k=k, inputCol="features", outputCol="pca_features").fit(feats).transform(feats)
+    mine = model.transform(feats)
+    a = sorted(tuple(round(x, 9) for x in r.pca_features.toArray()) for r in mine.collect())
+    b = sorted(tuple(round(x, 9) for x in r.pca_features.toArray()) for r in ref.collect())
+    assert a == b
     ex = explained_variance(spark, model).orderBy("pc").collect()
     assert [r.pc for r in ex] == list(range(k))
     top = top_loadings(spark, model, codes, reg, 3).collect()
-    pc = model.pc.toArray()
+    pc = model.pc
     for j in range(k):
         order = sorted(range(len(codes)), key=lambda i: (-abs(pc[i, j]), codes[i]))[:3]
         mine = [r.archive for r in sorted((r for r in top if r.pc == j), key=lambda r: (-abs(r.loading), r.archive))]
