@@ -72,23 +72,25 @@ def complete_linkage(points: DataFrame, n: int | None = None) -> DataFrame:
                                             F.col("sb").alias("sa"), F.col("sa").alias("sb")))
         nn = both.groupBy("a").agg(
             F.min_by("b", F.struct("d", F.least("a", "b"), F.greatest("a", "b"))).alias("nb"))
-        # one nearest neighbour per cluster: at most n rows, so broadcast; a pair
-        # merges when each side is the other's nearest neighbour
-        nn_a = F.broadcast(nn.select("a", F.col("nb").alias("_na")))
-        nn_b = F.broadcast(nn.select(F.col("a").alias("b"), F.col("nb").alias("_nb")))
-        step = (dist.join(nn_a, "a").join(nn_b, "b")
-                .filter((F.col("_na") == F.col("b")) & (F.col("_nb") == F.col("a")))
-                .select(F.col("a").alias("ra"), F.col("b").alias("rb"),
-                        F.col("d").alias("height"), (F.col("sa") + F.col("sb")).alias("size")))
-        remap = (step.select(F.col("ra").alias("_from"), F.col("ra").alias("_to"), F.col("size").alias("_s"))
-                 .unionByName(step.select(F.col("rb").alias("_from"), F.col("ra").alias("_to"),
-                                          F.col("size").alias("_s"))))
-        ra_ = remap.select(F.col("_from").alias("a"), F.col("_to").alias("_ta"), F.col("_s").alias("_sa"))
-        rb_ = remap.select(F.col("_from").alias("b"), F.col("_to").alias("_tb"), F.col("_s").alias("_sb"))
-        # the remap has two rows per merge of this round: at most n rows
-        moved = (dist.join(F.broadcast(ra_), "a", "left").join(F.broadcast(rb_), "b", "left")
-                 .select(F.coalesce("_ta", "a").alias("a1"), F.coalesce("_tb", "b").alias("b1"), "d",
-                         F.coalesce("_sa", "sa").alias("sa1"), F.coalesce("_sb", "sb").alias("sb1"))
+        # one nearest neighbour per cluster: at most n rows, so broadcast (once,
+        # joined on both ends); a pair merges when each side is the other's nearest
+        nnb = F.broadcast(nn)
+        step = (dist.alias("p")
+                .join(nnb.alias("x"), F.col("p.a") == F.col("x.a"))
+                .join(nnb.alias("y"), F.col("p.b") == F.col("y.a"))
+                .filter((F.col("x.nb") == F.col("p.b")) & (F.col("y.nb") == F.col("p.a")))
+                .select(F.col("p.a").alias("ra"), F.col("p.b").alias("rb"), F.col("p.d").alias("height"),
+                        (F.col("p.sa") + F.col("p.sb")).alias("size")))
+        # both members of a merge map to its representative: two rows per merge
+        remap = F.broadcast(step.select(F.explode(F.array("ra", "rb")).alias("_from"), F.col("ra").alias("_to"),
+                                        F.col("size").alias("_s")))
+        moved = (dist.alias("p")
+                 .join(remap.alias("u"), F.col("p.a") == F.col("u._from"), "left")
+                 .join(remap.alias("v"), F.col("p.b") == F.col("v._from"), "left")
+                 .select(F.coalesce(F.col("u._to"), F.col("p.a")).alias("a1"),
+                         F.coalesce(F.col("v._to"), F.col("p.b")).alias("b1"), F.col("p.d").alias("d"),
+                         F.coalesce(F.col("u._s"), F.col("p.sa")).alias("sa1"),
+                         F.coalesce(F.col("v._s"), F.col("p.sb")).alias("sb1"))
                  .filter(F.col("a1") != F.col("b1")))
         lower = F.col("a1") < F.col("b1")
         new_dist = (moved.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b"), "d",
@@ -100,16 +102,17 @@ def complete_linkage(points: DataFrame, n: int | None = None) -> DataFrame:
             new_dist.select(F.lit(0).alias("kind"), "a", "b", "d", "sa", "sb")
             .unionByName(step.select(F.lit(1).alias("kind"), F.col("ra").alias("a"), F.col("rb").alias("b"),
                                      F.col("height").alias("d"), F.col("size").alias("sa"),
-                                     F.lit(0).alias("sb"))), "linkage")
+                                     F.lit(0).alias("sb"))), "linkage", partition_by="kind")
         steps.append(state.filter("kind = 1").select(F.lit(rnd).alias("round"), F.col("a").alias("ra"),
                                                        F.col("b").alias("rb"), F.col("d").alias("height"),
                                                        F.col("sa").alias("size")))
         dist = state.filter("kind = 0").drop("kind")
-        counts = {r["kind"]: r["count"] for r in state.groupBy("kind").count().collect()}
-        if counts.get(1, 0) == 0:
-            raise RuntimeError("complete_linkage: a round merged nothing")
-        pairs_left = counts.get(0, 0)
+        # partition-pruned count: reads file footers only. The globally closest
+        # pair is always reciprocal, so every round merges at least once.
+        pairs_left = dist.count()
         rnd += 1
+        if rnd > n:
+            raise RuntimeError("complete_linkage: no progress")
     merges = steps[0]
     for st in steps[1:]:
         merges = merges.unionByName(st)

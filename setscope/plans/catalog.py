@@ -254,9 +254,11 @@ def q_pc_explained_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, sf: str):
-    from setscope.plans.explore import predictions
+    from setscope.plans.explore import predictions, run_concurrently
     an, _ = _analysis(spark, sf)
-    models = {t: {k: _kmeans(spark, sf, an, k, t) for k in SWEEP_KS} for t in ("raw", "pca")}
+    fits = run_concurrently({(t, k): (lambda t=t, k=k: _kmeans(spark, sf, an, k, t))
+                             for t in ("raw", "pca") for k in SWEEP_KS})
+    models = {t: {k: fits[(t, k)] for k in SWEEP_KS} for t in ("raw", "pca")}
     preds = predictions(an, models["raw"], "raw").unionByName(predictions(an, models["pca"], "pca"))
     return an, models, preds
 
@@ -313,14 +315,19 @@ def q_hier_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 def _variants(spark: SparkSession, sf: str):
     from setscope.operators.linkage import cut_tree
+    from setscope.plans.explore import run_concurrently
     from setscope.plans.results import cluster_variants, profiles, variant
     an, reg = _analysis(spark, sf)
+    fits = run_concurrently({(at, k): (lambda at=at, k=k: _kmeans(spark, sf, an, k, at))
+                             for at in ("raw", "pca") for k in (VARIANT_K[at], TWO_STAGE_K)})
+    links = run_concurrently({at: (lambda at=at: _linkage(spark, sf, fits[(at, TWO_STAGE_K)], TWO_STAGE_K, at))
+                              for at in ("raw", "pca")})
     parts = []
     for at in ("raw", "pca"):
-        parts.append(variant(an, _kmeans(spark, sf, an, VARIANT_K[at], at), "opt_k_kmeans", at))
-        big = _kmeans(spark, sf, an, TWO_STAGE_K, at)
+        parts.append(variant(an, fits[(at, VARIANT_K[at])], "opt_k_kmeans", at))
+        big = fits[(at, TWO_STAGE_K)]
         parts.append(variant(an, big, "K_kmeans", at))
-        merges, n = _linkage(spark, sf, big, TWO_STAGE_K, at)
+        merges, n = links[at]
         parts.append(variant(an, big, "hierarchical", at, cut_tree(merges, n, VARIANT_T[at])))
     return profiles(an, cluster_variants(parts), reg, OPTS.top_itemsets)
 

@@ -16,6 +16,22 @@ from setscope.operators.reshape import union_tagged
 from setscope.plans.analysis import Analysis, entries_of
 
 FEATURE_COL = {"raw": "features", "pca": "pca_features"}
+MAX_CONCURRENT_FITS = 4
+
+
+def run_concurrently(tasks: dict, max_workers: int = MAX_CONCURRENT_FITS) -> dict:
+    """Run independent driver-side calls (model fits, linkages) from a thread pool.
+
+    Each call submits its own Spark jobs; the scheduler runs them side by
+    side, which keeps executors busy when one fit alone cannot.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    if len(tasks) <= 1 or max_workers <= 1:
+        return {k: f() for k, f in tasks.items()}
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(tasks))) as pool:
+        futures = {k: pool.submit(f) for k, f in tasks.items()}
+        return {k: fut.result() for k, fut in futures.items()}
 
 
 def top_pcs(spark: SparkSession, an: Analysis, registry: DataFrame, n: int) -> DataFrame:
@@ -28,7 +44,7 @@ def pc_explained_variance(spark: SparkSession, an: Analysis) -> DataFrame:
 
 def sweep_models(an: Analysis, ks: Sequence[int], analysis_type: str, seed: int = 1) -> dict[int, KMeansModel]:
     col = FEATURE_COL[analysis_type]
-    return {k: kmeans_weighted(an.base, k, col, seed) for k in ks}
+    return run_concurrently({k: (lambda k=k: kmeans_weighted(an.base, k, col, seed)) for k in ks})
 
 
 def predictions(an: Analysis, models: dict[int, KMeansModel], analysis_type: str,

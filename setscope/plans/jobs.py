@@ -55,7 +55,12 @@ class Job:
 
     def linkage(self, analysis_type: str):
         if analysis_type not in self._links:
-            self._links[analysis_type] = X.linkage_of(self.spark, self.model(self.opts.big_k, analysis_type))
+            # both linkages are independent: build them side by side
+            todo = [t for t in ("raw", "pca") if t not in self._links]
+            _ = self.an  # built once, before any thread uses it
+            models = X.run_concurrently({t: (lambda t=t: self.model(self.opts.big_k, t)) for t in todo})
+            self._links.update(X.run_concurrently(
+                {t: (lambda t=t: X.linkage_of(self.spark, models[t])) for t in todo}))
         return self._links[analysis_type]
 
     def save(self, df: DataFrame, name: str, partition_by: Sequence[str] | None = None) -> None:
@@ -73,7 +78,9 @@ class Job:
 
     def _sweep(self):
         ks = self.opts.k_values
-        models = {t: {k: self.model(k, t) for k in ks} for t in ("raw", "pca")}
+        _ = self.an  # built once, before any thread uses it
+        fits = X.run_concurrently({(t, k): (lambda t=t, k=k: self.model(k, t)) for t in ("raw", "pca") for k in ks})
+        models = {t: {k: fits[(t, k)] for k in ks} for t in ("raw", "pca")}
         preds = X.predictions(self.an, models["raw"], "raw").unionByName(X.predictions(self.an, models["pca"], "pca"))
         return models, preds
 

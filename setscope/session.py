@@ -54,7 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, tag: str = "state"):
+def materialize(df, tag: str = "state", partition_by: str | None = None):
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but computes the plan once (a
@@ -65,5 +65,8 @@ def materialize(df, tag: str = "state"):
 
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/setscope-{tag}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.parquet(path)
