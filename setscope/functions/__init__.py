@@ -1,6 +1,6 @@
 """Column expressions shared by the operators (all JVM-side, no Python UDFs)."""
 
-from setscope.functions.arrays import array_text, code_bitmap, bitmap_popcount_xor
+from setscope.functions.arrays import array_text
 from setscope.functions.text import segment_text
 
-__all__ = ["array_text", "code_bitmap", "bitmap_popcount_xor", "segment_text"]
+__all__ = ["array_text", "segment_text"]

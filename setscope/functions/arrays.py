@@ -10,28 +10,3 @@ def array_text(col: str | Column) -> Column:
     """Array as text ``[a, b]`` (F4), the form stored in every result."""
     c = F.col(col) if isinstance(col, str) else col
     return c.cast("string")
-
-
-def code_bitmap(indices: str | Column, words: int) -> Column:
-    """Pack 0-based code indices into ``words`` 64-bit words (array<bigint>).
-
-    Word w holds bit (i - 64 w) for every index i in [64 w, 64 w + 63].
-    """
-    idx = F.col(indices) if isinstance(indices, str) else indices
-
-    def word(w: int) -> Column:
-        in_word = F.filter(idx, lambda i: (i >= 64 * w) & (i < 64 * (w + 1)))
-        return F.aggregate(in_word, F.lit(0).cast("bigint"),
-                           lambda acc, i: acc.bitwiseOR(F.shiftleft(F.lit(1).cast("bigint"), i - 64 * w)))
-
-    return F.array(*[word(w) for w in range(words)])
-
-
-def bitmap_popcount_xor(a: str | Column, b: str | Column, words: int) -> Column:
-    """Hamming distance of two bitmaps: sum of bit_count(a[w] xor b[w])."""
-    ca = F.col(a) if isinstance(a, str) else a
-    cb = F.col(b) if isinstance(b, str) else b
-    total = F.lit(0)
-    for w in range(words):
-        total = total + F.bit_count(ca[w].bitwiseXOR(cb[w]))
-    return total

@@ -120,8 +120,10 @@ def weighted_silhouette(points: DataFrame, entries: DataFrame, by: Sequence[str]
     stats = (p.groupBy(*keys, "_c").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("q")).alias("psi")))
     ent = entries.join(p.select(*keys, "pid", "_c", "_w"), [*keys, "pid"])
     y = ent.groupBy(*keys, "_c", "dim").agg(F.sum(F.col("_w") * F.col("value")).alias("y"))
+    # y holds one row per (group, cluster, code): bounded by the clusterings' k
+    # times the code domain, so it is broadcast and a hot code never skews a shuffle
     dots = (ent.select(*keys, "pid", "dim", "value")
-            .join(y.withColumnRenamed("_c", "_oc"), [*keys, "dim"])
+            .join(F.broadcast(y.withColumnRenamed("_c", "_oc")), [*keys, "dim"])
             .groupBy(*keys, "pid", "_oc").agg(F.sum(F.col("value") * F.col("y")).alias("dot")))
     dot_map = dots.groupBy(*keys, "pid").agg(
         F.map_from_entries(F.collect_list(F.struct("_oc", "dot"))).alias("_dm"))

@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 from setscope.functions.arrays import array_text
 from setscope.options import Options
 from setscope.sources import bindings as B
-from setscope.sources.memberships import itemsets, registry, run_stats, sample_rows, subjects
+from setscope.sources.memberships import code_domain, itemsets, run_stats, sample_rows, subjects
 from setscope.operators import mining
 from setscope.operators.clusters import itemset_entries, wcss, weighted_silhouette
 from setscope.operators.describe import describe_code, segment_rows, tag
 from setscope.operators.diameter import itemset_diameter, vector_diameter
-from setscope.operators.features import feature_vectors, loadings_report, one_hot
+from setscope.operators.features import loadings_report, one_hot
 from setscope.operators.profiles import (
     code_frequencies, itemset_counts, itemset_occurrences, trend_itemsets)
 from setscope.operators.reshape import relabel, union_tagged
 from setscope.session import ensure_checkpoint_dir
-from setscope.sources.memberships import code_domain
 from setscope.sources.results import read_result, upsert_by_key, write_result
 from setscope.sources.tables import test_table
 
