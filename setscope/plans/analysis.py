@@ -36,6 +36,16 @@ class Analysis:
 ROWS_PER_PARTITION = 100_000
 
 
+def itemset_base(subj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(archives, weight) per distinct itemset and (archives, archive, n): the code
+    occurrences summed over the itemset's subjects. Both are map-side combined."""
+    weights = subj.groupBy("archives").agg(F.count(F.lit(1)).alias("weight"))
+    code_counts = (subj.select("archives", F.explode(F.arrays_zip("archives", "occurrences")).alias("_e"))
+                   .groupBy("archives", F.col("_e.archives").alias("archive"))
+                   .agg(F.sum("_e.occurrences").alias("n")))
+    return weights, code_counts
+
+
 def build_analysis(members: DataFrame, opts: Options = Options(), partitions: int | None = None) -> Analysis:
     """Subjects, distinct-itemset base with features and PCA projection, code counts.
 
@@ -47,10 +57,7 @@ def build_analysis(members: DataFrame, opts: Options = Options(), partitions: in
     spark = members.sparkSession
     codes = code_domain(members)
     subj = subjects(members).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = subj.groupBy("archives").agg(F.count(F.lit(1)).alias("weight"))
-    code_counts = (subj.select("archives", F.explode(F.arrays_zip("archives", "occurrences")).alias("_e"))
-                   .groupBy("archives", F.col("_e.archives").alias("archive"))
-                   .agg(F.sum("_e.occurrences").alias("n")))
+    weights, code_counts = itemset_base(subj)
     subj_features = feature_vectors(subj.select("archives"), codes)
     pca = pca_select(subj_features, opts.variance_low, opts.variance_high, size=len(codes))
     weights = weights.persist(StorageLevel.MEMORY_AND_DISK)

@@ -328,7 +328,7 @@ def _variants(spark: SparkSession, sf: str):
         parts.append(variant(an, big, "K_kmeans", at))
         merges, n = links[at]
         parts.append(variant(an, big, "hierarchical", at, cut_tree(merges, n, VARIANT_T[at])))
-    return profiles(an, cluster_variants(parts), reg, OPTS.top_itemsets)
+    return profiles(an.code_counts, cluster_variants(parts), reg, OPTS.top_itemsets)
 
 
 def q_variants_frequencies(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,6 +343,33 @@ def q_variants_trend(spark: SparkSession, sf: str) -> DataFrame:
     return _variants(spark, sf)["trend_vector"]
 
 
+def _rule_variants(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The six-variant profile path (T4 -> T1-T3 in one pass) on two clusterings
+    that are rules on the itemset, so SQL can repeat them: by itemset size mod 3
+    and by smallest code mod 4."""
+    from setscope.plans.analysis import itemset_base
+    from setscope.plans.results import cluster_variants, profiles
+    m, reg = B.order_nation(spark, sf)
+    weights, code_counts = itemset_base(subjects(m))
+    parts = [({"model_type": "rule_size", "analysis_type": "raw"},
+              weights.withColumn("cluster", (F.size("archives") % 3).cast("int"))),
+             ({"model_type": "rule_first", "analysis_type": "raw"},
+              weights.withColumn("cluster", (F.col("archives")[0] % 4).cast("int")))]
+    return profiles(code_counts, cluster_variants(parts), reg, OPTS.top_itemsets)
+
+
+def q_rule_variants_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    return _rule_variants(spark, sf)["archives_frequencies"]
+
+
+def q_rule_variants_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    return _rule_variants(spark, sf)["archives_occurrences"]
+
+
+def q_rule_variants_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return _rule_variants(spark, sf)["trend_vector"]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "memberships": q_memberships,
     "registry_first_description": q_registry_first_description,
@@ -368,6 +395,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_by_key": q_upsert_by_key,
     "orc_round_trip": q_orc_round_trip,
     "union_tagged": q_union_tagged,
+    "rule_variants_frequencies": q_rule_variants_frequencies,
+    "rule_variants_occurrences": q_rule_variants_occurrences,
+    "rule_variants_trend": q_rule_variants_trend,
     "top_pcs": q_top_pcs,
     "pc_explained_variance": q_pc_explained_variance,
     "elbow": q_elbow,

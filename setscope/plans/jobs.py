@@ -130,11 +130,11 @@ class Job:
         return cluster_variants(parts)
 
     def archives_frequencies(self) -> None:
-        prof = profiles(self.an, self._variants(), self.registry, self.opts.top_itemsets)
+        prof = profiles(self.an.code_counts, self._variants(), self.registry, self.opts.top_itemsets)
         self.save(prof["archives_frequencies"], "archives_frequencies", partition_by=TAGS)
 
     def trend_vector(self) -> None:
-        prof = profiles(self.an, self._variants(), self.registry, self.opts.top_itemsets)
+        prof = profiles(self.an.code_counts, self._variants(), self.registry, self.opts.top_itemsets)
         self.save(prof["archives_occurrences"], "archives_occurrences", partition_by=TAGS)
         self.save(prof["trend_vector"], "trend_vector", partition_by=TAGS)
 

@@ -113,6 +113,26 @@ B2_SETS = f"""
 m AS (SELECT DISTINCT id, archive FROM ({B2_RAW})), a AS ({B2_ASSIGN}),
 ma AS (SELECT m.id, m.archive, a.cluster FROM m JOIN a USING (id))"""
 
+RULE_VARIANTS = f"""
+WITH m AS ({B1_RAW}), reg AS ({B1_REG}), {DM},
+it AS (SELECT id, list_sort(list(DISTINCT archive)) AS archives FROM m GROUP BY id),
+v AS (SELECT id, archives, 'rule_size' AS model_type, 'raw' AS analysis_type,
+             CAST(len(archives) % 3 AS INTEGER) AS cluster FROM it
+      UNION ALL
+      SELECT id, archives, 'rule_first', 'raw', CAST(archives[1] % 4 AS INTEGER) FROM it),
+freq AS (SELECT v.model_type, v.analysis_type, v.cluster, m.archive,
+                CAST(count(*) AS INTEGER) AS archive_occurrences
+         FROM m JOIN v USING (id) GROUP BY v.model_type, v.analysis_type, v.cluster, m.archive),
+c AS (SELECT model_type, analysis_type, cluster, archives, CAST(count(*) AS INTEGER) AS occ
+      FROM v GROUP BY model_type, analysis_type, cluster, archives),
+r AS (SELECT *, sum(occ) OVER (PARTITION BY model_type, analysis_type, cluster) AS tot,
+             row_number() OVER (PARTITION BY model_type, analysis_type, cluster
+                                ORDER BY occ DESC, archives ASC) AS rk FROM c),
+top AS (SELECT model_type, analysis_type, cluster, archives, occ, round(occ / tot, 5) AS rf FROM r WHERE rk <= 15),
+best AS (SELECT *, max(occ) OVER (PARTITION BY model_type, analysis_type, cluster) AS mx,
+                sum(occ) OVER (PARTITION BY model_type, analysis_type, cluster) AS tt FROM top)
+"""
+
 ORACLES: dict[str, str] = {
     "memberships": B1_RAW,
     "registry_first_description": B2_REG,
@@ -207,6 +227,15 @@ ORACLES: dict[str, str] = {
             FROM (SELECT * FROM old UNION ALL SELECT * FROM new))
       SELECT key, value FROM u WHERE rk = 1""",
     "orc_round_trip": t1(),
+    "rule_variants_frequencies": RULE_VARIANTS + """
+      SELECT cluster, archive, archive_occurrences, analysis_type, model_type FROM freq""",
+    "rule_variants_occurrences": RULE_VARIANTS + f"""
+      SELECT cluster, {txt('archives')} AS archives, occ AS archives_occurrences, rf AS relative_frequency,
+             analysis_type, model_type FROM top""",
+    "rule_variants_trend": RULE_VARIANTS + f"""
+      SELECT cluster, {txt('archives')} AS archives, occ AS archives_occurrences,
+             round(occ / tt, 5) AS relative_frequency, {desc('archives')} AS archives_description,
+             analysis_type, model_type FROM best, dm WHERE occ = mx""",
     "union_tagged": t1(3, ", 'raw' AS analysis_type, 'rule' AS model_type") + " UNION ALL " +
                     t1(5, ", 'pca' AS analysis_type, 'rule' AS model_type"),
 }

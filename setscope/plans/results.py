@@ -30,9 +30,14 @@ def cluster_variants(parts: list[tuple[dict, DataFrame]]) -> DataFrame:
     return union_tagged(parts)
 
 
-def profiles(an: Analysis, variants: DataFrame, registry: DataFrame, n: int) -> dict[str, DataFrame]:
-    """archives_frequencies, archives_occurrences and trend_vector for all variants at once."""
-    freq = (an.code_counts.join(variants.select(*TAGS, "archives", "cluster"), "archives")
+def profiles(code_counts: DataFrame, variants: DataFrame, registry: DataFrame, n: int) -> dict[str, DataFrame]:
+    """archives_frequencies, archives_occurrences and trend_vector for all variants at once.
+
+    ``variants`` (model_type, analysis_type, archives, weight, cluster) gives each
+    distinct itemset's cluster per variant; ``code_counts`` (archives, archive, n)
+    the code occurrences behind each itemset (``Analysis.code_counts``).
+    """
+    freq = (code_counts.join(variants.select(*TAGS, "archives", "cluster"), "archives")
             .groupBy(*TAGS, "cluster", "archive")
             .agg(F.sum("n").cast("int").alias("archive_occurrences")))
     counts = (variants.groupBy(*TAGS, "cluster", "archives")
