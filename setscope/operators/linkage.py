@@ -6,7 +6,8 @@ each other's nearest neighbour can merge in the same round and the tree is
 the one of one-at-a-time merging. Ties are broken by the total order
 (distance, smaller id, larger id), so each round merges at least one pair.
 State is a table of cluster-pair distances; each round is a few joins and
-grouped aggregates, checkpointed to cut lineage.
+grouped aggregates, written under ``spark.checkpoint.dir`` to cut lineage
+(a lost executor costs at most one round).
 
 Merges are numbered like a standard linkage matrix: leaves are 0..n-1, the
 merge at step s creates node n + s, steps are sorted by height, and the left
@@ -120,7 +121,10 @@ def complete_linkage(points: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def _number_merges(merges: DataFrame, n: int) -> DataFrame:
-    """Sort merges by height (children first on ties) and give node ids n + step."""
+    """Sort merges by height (children first on ties) and give node ids n + step.
+
+    The ordering window spans all n - 1 merges of one tree (n centroids).
+    """
     order = Window.orderBy("height", "round", "ra")
     m = merges.withColumn("step", (F.row_number().over(order) - 1).cast("int"))
     # a representative's node before a merge = the latest earlier merge it led, else the leaf
