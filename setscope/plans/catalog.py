@@ -23,7 +23,7 @@ from setscope.operators.features import loadings_report, one_hot
 from setscope.operators.profiles import (
     code_frequencies, itemset_counts, itemset_occurrences, trend_itemsets)
 from setscope.operators.reshape import relabel, union_tagged
-from setscope.session import ensure_checkpoint_dir
+from setscope.session import ensure_checkpoint_dir, materialize
 from setscope.sources.results import read_result, upsert_by_key, write_result
 from setscope.sources.tables import test_table
 
@@ -258,7 +258,9 @@ def _sweep(spark: SparkSession, sf: str):
     fits = run_concurrently({(t, k): (lambda t=t, k=k: _kmeans(spark, sf, an, k, t))
                              for t in ("raw", "pca") for k in SWEEP_KS})
     models = {t: {k: fits[(t, k)] for k in SWEEP_KS} for t in ("raw", "pca")}
-    preds = predictions(an, models["raw"], "raw").unionByName(predictions(an, models["pca"], "pca"))
+    # every model's assignments in one table, written once and shared by the metrics
+    preds = _memo(spark, ("sweep-predictions", sf, tuple(SWEEP_KS)), lambda: materialize(
+        predictions(an, models["raw"], "raw").unionByName(predictions(an, models["pca"], "pca")), "sweep"))
     return an, models, preds
 
 

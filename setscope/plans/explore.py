@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from setscope.operators.clusters import elbow, kmeans_weighted, weighted_silhouette
 from setscope.operators.diameter import itemset_diameter
 from setscope.operators.features import explained_variance, top_loadings
-from setscope.operators.linkage import centroid_frame, complete_linkage, cut_tree, leaf_order
+from setscope.operators.linkage import centroid_frame, complete_linkage, cut_trees, leaf_order
 from setscope.operators.reshape import union_tagged
 from setscope.plans.analysis import Analysis, entries_of
 
@@ -86,7 +86,7 @@ def linkage_of(spark: SparkSession, model: KMeansModel) -> tuple[DataFrame, int]
 def hierarchical_predictions(an: Analysis, model: KMeansModel, merges: DataFrame, n: int,
                              ts: Sequence[int], analysis_type: str) -> DataFrame:
     """(t, archives, weight, prediction = flat cluster) for every cut t of one linkage."""
-    cuts = union_tagged([({"t": int(t)}, cut_tree(merges, n, t)) for t in ts])
+    cuts = cut_trees(merges, n, ts)
     mapping = cuts.select("t", F.col("node").alias("_km"), F.col("cluster").alias("prediction"))
     pred = model.transform(an.base).select("archives", "weight", F.col("prediction").cast("int").alias("_km"))
     # the mapping has at most k rows per cut

@@ -20,6 +20,7 @@ from setscope.plans.analysis import Analysis, build_analysis
 from setscope.plans.info import leaf_order_rows, parameter_rows, stats_rows
 from setscope.plans.results import cluster_variants, profiles, variant
 from setscope.sources.memberships import itemsets
+from setscope.session import materialize
 from setscope.sources.results import save_upsert, write_result
 
 EXPLORE_TASKS = ("rules", "top_pcs", "elbow", "silhouette", "distance_matrix",
@@ -37,6 +38,7 @@ class Job:
         self._an: Analysis | None = None
         self._models: dict = {}
         self._links: dict = {}
+        self._preds: DataFrame | None = None
         self.info: list[DataFrame] = []
 
     @property
@@ -81,8 +83,11 @@ class Job:
         _ = self.an  # built once, before any thread uses it
         fits = X.run_concurrently({(t, k): (lambda t=t, k=k: self.model(k, t)) for t in ("raw", "pca") for k in ks})
         models = {t: {k: fits[(t, k)] for k in ks} for t in ("raw", "pca")}
-        preds = X.predictions(self.an, models["raw"], "raw").unionByName(X.predictions(self.an, models["pca"], "pca"))
-        return models, preds
+        if self._preds is None:
+            # one table of every model's assignments, written once for the metric tasks
+            self._preds = materialize(X.predictions(self.an, models["raw"], "raw")
+                                      .unionByName(X.predictions(self.an, models["pca"], "pca")), "sweep")
+        return models, self._preds
 
     def elbow(self) -> None:
         models, _ = self._sweep()
