@@ -6,14 +6,16 @@ Exact, without pairing every point with every other:
    diameter 0.0);
 2. farthest-point passes give a lower bound L per cluster (each pass is one
    join with one pivot row per cluster and one grouped max);
-3. upper bounds rule out every pair that cannot beat L, and only the
-   remaining pairs are joined and measured; the answer is the larger of L
-   and the best surviving pair.
-
-For 0/1 itemsets d^2 = |A| + |B| - 2|A & B| <= |A| + |B|, so only pairs with
-|A| + |B| > L^2 survive; the pair join is an equi join on (cluster, partner
-size), enumerating nothing else. For dense vectors the bound is the triangle
-inequality through the pivots: d(A, B) <= d(A, p) + d(B, p).
+3. the bound L is the distance of a pair (u, v); two points inside the ball
+   of radius L/2 around the midpoint of u and v are at most L apart, so a
+   longer pair has an endpoint outside that ball. Only those outside points
+   get partners, and only partners that upper bounds do not rule out; the
+   answer is the larger of L and the best of these pairs.
+
+For 0/1 itemsets d^2 = |A| + |B| - 2|A & B| <= |A| + |B|, so a partner must
+have |A| + |B| > L^2: the pair join is an equi join on (cluster, partner
+size). For dense vectors the bound is the triangle inequality through the
+pivots: d(A, B) <= d(A, p) + d(B, p).
 """
 
 from __future__ import annotations
@@ -57,21 +59,25 @@ def itemset_diameter(df: DataFrame, keys: Sequence[str], items_col: str = "archi
                                 F.max("_s").alias("_smax"))
     p1 = _farthest(pts, keys, p0.select(*keys, "_pv"), _set_d2)
     p2 = _farthest(pts, keys, p1.select(*keys, "_pv"), _set_d2)
+    # L^2 = d^2(u, v) with u the second pivot and v its farthest point (>= the first radius)
     bound = (p0.select(*keys, "_smax")
-             .join(p1.select(*keys, F.col("_r2").alias("_r1")), keys)
-             .join(p2.select(*keys, F.col("_r2").alias("_r2b")), keys)
-             .select(*keys, "_smax", F.greatest("_r1", "_r2b").alias("_lb")))
+             .join(p1.select(*keys, F.col("_pv").alias("_u")), keys)
+             .join(p2.select(*keys, F.col("_pv").alias("_v"), F.col("_r2").alias("_lb")), keys))
     # only points that can reach beyond the bound with the largest partner
-    cand = (pts.join(bound, keys)
+    cand = (pts.join(F.broadcast(bound), keys)
             .filter(F.col("_s") + F.col("_smax") > F.col("_lb")))
-    left = cand.select(*keys, F.col("_p").alias("_a"), F.col("_s").alias("_sa"),
-                       F.explode(F.sequence(F.greatest(F.col("_lb") + 1 - F.col("_s"), F.col("_s")),
-                                            F.greatest(F.col("_smax"), F.col("_s")))).alias("_sb"))
+    # outside the ball around the midpoint m of u, v: 4|x - m|^2 > L^2 (exact integers)
+    x, u, v = F.col("_p"), F.col("_u"), F.col("_v")
+    four_r2 = (4 * F.col("_s") - 4 * F.size(F.array_intersect(x, u)) - 4 * F.size(F.array_intersect(x, v))
+               + F.size(u) + F.size(v) + 2 * F.size(F.array_intersect(u, v)))
+    outside = cand.filter(four_r2 > F.col("_lb"))
+    left = outside.select(*keys, F.col("_p").alias("_a"),
+                          F.explode(F.sequence(F.greatest(F.col("_lb") + 1 - F.col("_s"), F.lit(1)),
+                                               F.col("_smax"))).alias("_sb"))
     right = cand.select(*keys, F.col("_p").alias("_b"), F.col("_s").alias("_sb"))
     pairs = (left.join(right, [*keys, "_sb"])
-             .filter((F.col("_sb") > F.col("_sa")) | (F.col("_a") < F.col("_b")))
              .groupBy(*keys).agg(F.max(_set_d2(F.col("_a"), F.col("_b"))).alias("_pair")))
-    return (bound.join(pairs, keys, "left")
+    return (bound.select(*keys, "_lb").join(pairs, keys, "left")
             .select(*keys, F.sqrt(F.greatest(F.col("_lb"), F.coalesce("_pair", F.lit(0))).cast("double"))
                     .alias("value")))
 
@@ -90,21 +96,28 @@ def vector_diameter(df: DataFrame, keys: Sequence[str], col: str = "features",
         pivots.append(pv.withColumnRenamed("_pv", f"_q{len(pivots)}"))
         radii.append(nxt.select(*keys, F.sqrt("_r2").alias(f"_R{len(radii)}")))
         pv = nxt.select(*keys, "_pv")
+    # radii never decrease along the passes: L = d(last pivot, its farthest point)
     ctx = pivots[0]
-    for extra in pivots[1:] + radii:
+    for extra in pivots[1:] + radii + [pv.withColumnRenamed("_pv", "_v")]:
         ctx = ctx.join(extra, keys)
-    ctx = ctx.withColumn("_lb", F.greatest(*[F.col(f"_R{i}") for i in range(passes)]))
+    last = f"_q{passes - 1}"
+    ctx = ctx.withColumn("_lb", F.col(f"_R{passes - 1}")).withColumn(
+        "_m", F.zip_with(last, "_v", lambda a, b: (a + b) / 2))
     dist = [F.sqrt(_vec_d2(F.col("_p"), F.col(f"_q{i}"))) for i in range(passes)]
     slack = F.lit(EPS) * (F.col("_lb") + F.lit(1.0))
-    with_d = pts.join(ctx, keys).select(*keys, "_p", "_lb", *[d.alias(f"_d{i}") for i, d in enumerate(dist)],
-                                        *[F.col(f"_R{i}") for i in range(passes)])
+    with_d = pts.join(F.broadcast(ctx), keys).select(
+        *keys, "_p", "_lb", *[d.alias(f"_d{i}") for i, d in enumerate(dist)],
+        *[F.col(f"_R{i}") for i in range(passes)],
+        F.sqrt(_vec_d2(F.col("_p"), F.col("_m"))).alias("_dm"))
     survive = F.lit(True)
     for i in range(passes):
         survive = survive & (F.col(f"_d{i}") + F.col(f"_R{i}") > F.col("_lb") - slack)
     cand = with_d.filter(survive)
-    a = cand.select(*keys, F.col("_p").alias("_a"), "_lb", *[F.col(f"_d{i}").alias(f"_a{i}") for i in range(passes)])
+    outside = cand.filter(F.col("_dm") > F.col("_lb") / 2 - slack)
+    a = outside.select(*keys, F.col("_p").alias("_a"), "_lb",
+                       *[F.col(f"_d{i}").alias(f"_a{i}") for i in range(passes)])
     b = cand.select(*keys, F.col("_p").alias("_b"), *[F.col(f"_d{i}").alias(f"_b{i}") for i in range(passes)])
-    pair_ok = F.col("_a") < F.col("_b")
+    pair_ok = F.lit(True)
     for i in range(passes):
         pair_ok = pair_ok & (F.col(f"_a{i}") + F.col(f"_b{i}") > F.col("_lb") - F.lit(EPS) * (F.col("_lb") + 1))
     pairs = (a.join(b, keys).filter(pair_ok)
