@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def segment_text(col: str | Column, length: int) -> Column:
     """Whole text cut into consecutive pieces of ``length`` characters.
 
-    Returns array<string>; the last piece may be shorter, an empty text gives
-    no piece. Every character of the text is kept.
+    Returns array<string>; the last piece may be shorter, an empty or NULL
+    text gives no piece. Every character of the text is kept.
     """
     c = F.col(col) if isinstance(col, str) else col
     starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), F.lit(length))

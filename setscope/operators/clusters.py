@@ -110,9 +110,10 @@ def weighted_silhouette(points: DataFrame, entries: DataFrame, by: Sequence[str]
     through cluster sums, as MLlib's evaluator: for cluster c,
     S(i, c) = q_i n_c + psi_c - 2 x_i . Y_c with n_c the subjects, psi_c the
     sum of q and Y_c the coordinate sums of c; a = S(i, own) / (n_own - 1),
-    b = min over other c of S(i, c) / n_c. Work is O(points x touched
-    clusters); only per-cluster sums (bounded by k per group) are attached to
-    every point.
+    b = min over other c of S(i, c) / n_c. Dot products are joined only for
+    clusters sharing a coordinate with the point; the per-cluster sums (k per
+    group) are attached to every point, so the arithmetic is O(points x k),
+    as in MLlib's evaluator, without pairing points with points.
     """
     keys = list(by)
     p = points.select(*keys, "pid", F.col(cluster_col).alias("_c"), F.col(weight_col).cast("double").alias("_w"),

@@ -6,6 +6,7 @@ and runs the library's operators; the SQL twins live in ``oracles.py``.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +35,21 @@ OPTS = Options()
 # the three rule reports) fit it once, as the reference job does per process.
 # Keys are explicit (application, input folder, parameters), never frames.
 _MEMO: dict = {}
+_LOCKS: dict = {}
+_GUARD = threading.Lock()
 
 
 def _memo(spark: SparkSession, key: tuple, build):
+    """The value for ``key``, built once even when several threads ask for it."""
     k = (spark.sparkContext.applicationId, *key)
-    if k not in _MEMO:
-        _MEMO[k] = build()
+    with _GUARD:
+        lock = _LOCKS.setdefault(k, threading.Lock())
+    with lock:
+        if k not in _MEMO:
+            _MEMO[k] = build()
     return _MEMO[k]
+
+
 # Thresholds of the registered rule queries: the reference defaults on B2.
 RULES_SUPPORT = OPTS.min_support
 RULES_CONFIDENCE = OPTS.min_confidence
