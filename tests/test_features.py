@@ -49,3 +49,13 @@ def test_pca_matches_numpy_and_loadings(spark):
         order = sorted(range(len(codes)), key=lambda i: (-abs(pc[i, j]), codes[i]))[:3]
         mine = [r.archive for r in sorted((r for r in top if r.pc == j), key=lambda r: (-abs(r.loading), r.archive))]
         assert set(mine) == {codes[i] for i in order}
+
+
+def test_single_code_domain_gives_one_component(spark):
+    from setscope.plans.analysis import build_analysis
+    m = spark.createDataFrame([("a", 7), ("b", 7), ("b", 7), ("c", 7)], "id string, archive int")
+    an = build_analysis(m)
+    assert an.codes == [7] and an.pca.k == 1
+    rows = {tuple(r.archives): r.weight for r in an.base.collect()}
+    assert rows == {(7,): 3}
+    an.release()
