@@ -108,8 +108,7 @@ class Job:
             parts.append(X.hierarchical_predictions(self.an, self.model(self.opts.big_k, at), merges, n,
                                                     self.opts.t_values, at))
         preds = parts[0].unionByName(parts[1])
-        self.save(X.diameter_report(preds, "hierarchical", key="t"), "distance_matrix_hierarchical",
-                  partition_by=TAGS)
+        self.save(X.diameter_report(preds, "hierarchical", key="t"), "distance_matrix", partition_by=TAGS)
 
     def dendrogram(self) -> None:
         merges_all, orders = [], []

@@ -14,11 +14,14 @@ def write_result(df: DataFrame, path: str, partition_by: Sequence[str] | str | N
     """Overwrite ``path`` with ``df`` (S3).
 
     ``partition_by`` gives the one-directory-per-tag layout (S4), e.g.
-    ``("model_type", "analysis_type")`` for the six profile variants.
+    ``("model_type", "analysis_type")`` for the six profile variants. A
+    partitioned write replaces only the partitions present in ``df``, so
+    several tasks can fill one dataset (k-means and hierarchical diameters).
     """
     writer = df.write.mode("overwrite").option("compression", compression)
     if partition_by:
-        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+        writer = (writer.option("partitionOverwriteMode", "dynamic")
+                  .partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by)))
     writer.format(fmt).save(path)
 
 

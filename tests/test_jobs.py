@@ -19,8 +19,11 @@ def test_whole_job_writes_every_dataset(spark):
     info = {r.key: r.value for r in job.save_info("b1", "nation").collect()}
     job.release()
     for name in ("frequencies", "confidences", "predictions", "top_pcs", "pc_explained_variance", "elbow",
-                 "silhouette", "distance_matrix", "distance_matrix_hierarchical", "dendrogram_merges",
+                 "silhouette", "distance_matrix", "dendrogram_merges",
                  "dendrogram_leaf_order", "archives_frequencies", "archives_occurrences", "trend_vector"):
         assert read_result(spark, f"{out}/{name}").count() > 0, name
     assert {"K", "sample_count", "raw", "pca"} <= set(info)
     assert len(read_result(spark, f"{out}/trend_vector").select("model_type", "analysis_type").distinct().collect()) == 6
+    tags = {tuple(r) for r in read_result(spark, f"{out}/distance_matrix").select("model_type", "analysis_type")
+            .distinct().collect()}
+    assert tags == {(m, a) for m in ("kmeans", "hierarchical") for a in ("raw", "pca")}
