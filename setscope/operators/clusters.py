@@ -100,55 +100,69 @@ def weighted_wcss(points: DataFrame, entries: DataFrame, by: Sequence[str] = (),
             .select(*keys, F.col("size").cast("long").alias("size"), F.coalesce("wcss", F.lit(0.0)).alias("wcss")))
 
 
-def weighted_silhouette(points: DataFrame, entries: DataFrame, by: Sequence[str] = (),
-                        cluster_col: str = "cluster", weight_col: str = "weight") -> DataFrame:
+def weighted_silhouette(points: DataFrame, by: Sequence[str] = (), cluster_col: str = "cluster",
+                        weight_col: str = "weight", entries_col: str = "entries") -> DataFrame:
     """(by..., score): mean silhouette (squared Euclidean) of weighted points.
 
-    ``points`` (by..., pid, cluster, weight, q = |x|^2), ``entries`` (by...,
-    pid, dim, value). A point of weight w stands for w equal subjects and the
-    result equals the unweighted silhouette over all subjects. Closed form
-    through cluster sums, as MLlib's evaluator: for cluster c,
-    S(i, c) = q_i n_c + psi_c - 2 x_i . Y_c with n_c the subjects, psi_c the
-    sum of q and Y_c the coordinate sums of c; a = S(i, own) / (n_own - 1),
-    b = min over other c of S(i, c) / n_c. Dot products are joined only for
-    clusters sharing a coordinate with the point; the per-cluster sums (k per
-    group) are attached to every point, so the arithmetic is O(points x k),
-    as in MLlib's evaluator, without pairing points with points.
+    ``points`` (by..., cluster, weight, entries) where ``entries`` is the
+    point's non-zero coordinates as array<struct<dim, value>>. A point of
+    weight w stands for w equal subjects and the result equals the
+    unweighted silhouette over all subjects. Closed form through cluster
+    sums, as MLlib's evaluator: for cluster c, S(i, c) = q_i n_c + psi_c -
+    2 x_i . Y_c with n_c the subjects, psi_c the sum of q = |x|^2 and Y_c
+    the coordinate sums of c; a = S(i, own) / (n_own - 1), b = min over
+    other c of S(i, c) / n_c.
+
+    The per-cluster sums of a clustering (k rows, each with at most one
+    entry per dimension) are attached to every point of that clustering by
+    a broadcast join on ``by`` and every S(i, c) is computed in the row:
+    O(points x k x non-zeros) arithmetic, no pairing of points and no
+    point x cluster rows.
     """
     keys = list(by)
-    p = points.select(*keys, "pid", F.col(cluster_col).alias("_c"), F.col(weight_col).cast("double").alias("_w"),
-                      F.col("q").cast("double").alias("q"))
-    stats = (p.groupBy(*keys, "_c").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("q")).alias("psi")))
-    ent = entries.join(p.select(*keys, "pid", "_c", "_w"), [*keys, "pid"])
-    y = ent.groupBy(*keys, "_c", "dim").agg(F.sum(F.col("_w") * F.col("value")).alias("y"))
-    # y holds one row per (group, cluster, code): bounded by the clusterings' k
-    # times the code domain, so it is broadcast and a hot code never skews a shuffle
-    dots = (ent.select(*keys, "pid", "dim", "value")
-            .join(F.broadcast(y.withColumnRenamed("_c", "_oc")), [*keys, "dim"])
-            .groupBy(*keys, "pid", "_oc").agg(F.sum(F.col("value") * F.col("y")).alias("dot")))
-    dot_map = dots.groupBy(*keys, "pid").agg(
-        F.map_from_entries(F.collect_list(F.struct("_oc", "dot"))).alias("_dm"))
-    stat_list = stats.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_c").alias("c"), "n", "psi")).alias("_st"))
-    joined = p.join(dot_map, [*keys, "pid"], "left")
+    q = F.aggregate(entries_col, F.lit(0.0), lambda acc, e: acc + e["value"] * e["value"])
+    p = points.select(*keys, F.col(cluster_col).alias("_c"), F.col(weight_col).cast("double").alias("_w"),
+                      F.col(entries_col).alias("_e"), q.alias("q"))
+    totals = p.groupBy(*keys, "_c").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("q")).alias("psi"))
+    sums = (p.select(*keys, "_c", "_w", F.explode("_e").alias("_x"))
+            .groupBy(*keys, "_c", F.col("_x.dim").alias("dim"))
+            .agg(F.sum(F.col("_w") * F.col("_x.value")).alias("y"))
+            .groupBy(*keys, "_c").agg(F.map_from_entries(F.collect_list(F.struct("dim", "y"))).alias("ym")))
+    per_cluster = totals.join(sums, [*keys, "_c"], "left")
+    # the point's own cluster sums as columns (k rows per clustering, broadcast)
+    own = per_cluster.select(*keys, "_c", F.col("n").alias("_on"), F.col("psi").alias("_opsi"),
+                             F.col("ym").alias("_oym"))
+    p = p.join(F.broadcast(own), [*keys, "_c"])
     if keys:
-        # one row per group holding at most k cluster sums
-        joined = joined.join(F.broadcast(stat_list), keys)
+        stat_list = per_cluster.groupBy(*keys).agg(
+            F.collect_list(F.struct(F.col("_c").alias("c"), "n", "psi", "ym")).alias("_st"))
+        # one row per clustering holding at most k cluster sums
+        joined = p.join(F.broadcast(stat_list), keys)
     else:
         # a single clustering: its k cluster sums become a literal
-        st = stats.collect()
         lit = F.array(*[F.struct(F.lit(r["_c"]).alias("c"), F.lit(float(r["n"])).alias("n"),
-                                 F.lit(float(r["psi"])).alias("psi")) for r in st])
-        joined = joined.withColumn("_st", lit)
-
-    def s_of(st):
-        dot = F.coalesce(F.try_element_at(F.col("_dm"), st["c"]), F.lit(0.0))
-        return F.col("q") * st["n"] + st["psi"] - 2 * dot
-
-    own = F.filter("_st", lambda st: st["c"] == F.col("_c"))[0]
-    others = F.filter("_st", lambda st: st["c"] != F.col("_c"))
-    a = s_of(own) / (own["n"] - 1)
-    b = F.array_min(F.transform(others, lambda st: s_of(st) / st["n"]))
-    sil = (F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0))
+                                 F.lit(float(r["psi"])).alias("psi"),
+                                 (F.create_map(*[F.lit(x) for kv in (r["ym"] or {}).items() for x in kv])
+                                  if r["ym"] else F.create_map()).alias("ym"))
+                        for r in per_cluster.collect()])
+        joined = p.withColumn("_st", lit)
+
+    def s_of(n, psi, ym):
+        dot = F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(
+            F.try_element_at(ym, e["dim"]), F.lit(0.0)))
+        return F.col("q") * n + psi - 2 * dot
+
+    a = s_of(F.col("_on"), F.col("_opsi"), F.col("_oym")) / (F.col("_on") - 1)
+    # one pass over the other clusters keeping the smallest mean distance
+    b = F.aggregate("_st", F.lit(None).cast("double"),
+                    lambda acc, st: F.when(st["c"] == F.col("_c"), acc)
+                    .otherwise(F.least(acc, s_of(st["n"], st["psi"], st["ym"]) / st["n"])))
+    sil = (F.when((F.col("_on") <= 1) | b.isNull(), F.lit(0.0))
            .when(a < b, 1 - a / b).when(a > b, b / a - 1).otherwise(F.lit(0.0)))
     per_point = joined.select(*keys, "_w", sil.alias("_s"))
     return per_point.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_s")) / F.sum("_w")).alias("score"))
+
+
+def set_entries(items_col: str = "archives"):
+    """Entries of a 0/1 itemset vector: one (dim = code, value 1.0) per code."""
+    return F.transform(items_col, lambda c: F.struct(c.alias("dim"), F.lit(1.0).alias("value")))

@@ -69,8 +69,3 @@ def build_analysis(members: DataFrame, opts: Options = Options(), partitions: in
     base.count()
     weights.unpersist()
     return Analysis(codes, base, code_counts, pca, subj)
-
-
-def entries_of(points: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """(keep..., dim, value) of 0/1 itemset vectors: one entry per code."""
-    return points.select(*keep, F.explode("archives").alias("dim"), F.lit(1.0).alias("value"))

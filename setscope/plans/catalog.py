@@ -17,7 +17,7 @@ from setscope.options import Options
 from setscope.sources import bindings as B
 from setscope.sources.memberships import code_domain, itemsets, run_stats, sample_rows, subjects
 from setscope.operators import mining
-from setscope.operators.clusters import itemset_entries, wcss, weighted_silhouette
+from setscope.operators.clusters import itemset_entries, set_entries, wcss, weighted_silhouette
 from setscope.operators.describe import describe_code, segment_rows, tag
 from setscope.operators.diameter import itemset_diameter, vector_diameter
 from setscope.operators.features import loadings_report, one_hot
@@ -176,8 +176,8 @@ def q_silhouette(spark: SparkSession, sf: str) -> DataFrame:
     weighted by their subjects (equal to the subject-level value)."""
     assigned, _ = _b2_assigned(spark, sf)
     pts = (assigned.groupBy("archives", "cluster").agg(F.count(F.lit(1)).alias("weight"))
-           .withColumn("pid", F.struct("archives", "cluster")).withColumn("q", F.size("archives")))
-    out = weighted_silhouette(pts, itemset_entries(pts, keep=("pid",)))
+           .withColumn("entries", set_entries("archives")))
+    out = weighted_silhouette(pts)
     return out.select(F.round("score", 6).alias("score"))
 
 

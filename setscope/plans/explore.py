@@ -8,12 +8,12 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setscope.operators.clusters import elbow, kmeans_weighted, weighted_silhouette
+from setscope.operators.clusters import elbow, kmeans_weighted, set_entries, weighted_silhouette
 from setscope.operators.diameter import itemset_diameter
 from setscope.operators.features import explained_variance, top_loadings
 from setscope.operators.linkage import centroid_frame, complete_linkage, cut_trees, leaf_order
 from setscope.operators.reshape import union_tagged
-from setscope.plans.analysis import Analysis, entries_of
+from setscope.plans.analysis import Analysis
 
 FEATURE_COL = {"raw": "features", "pca": "pca_features"}
 MAX_CONCURRENT_FITS = 4
@@ -64,10 +64,9 @@ def elbow_report(spark: SparkSession, models_by_type: dict[str, dict[int, KMeans
 
 def silhouette_report(preds: DataFrame, key: str = "k") -> DataFrame:
     """(cluster = key, score, analysis_type): silhouette on the raw 0/1 vectors for every fit."""
-    pts = (preds.withColumn("pid", F.col("archives")).withColumn("q", F.size("archives"))
-           .select(key, "analysis_type", "pid", "archives", "weight", "q", F.col("prediction").alias("cluster")))
-    ent = entries_of(pts, (key, "analysis_type", "pid"))
-    out = weighted_silhouette(pts.drop("archives"), ent, by=(key, "analysis_type"))
+    pts = preds.select(key, "analysis_type", "weight", F.col("prediction").alias("cluster"),
+                       set_entries("archives").alias("entries"))
+    out = weighted_silhouette(pts, by=(key, "analysis_type"))
     return out.select(F.col(key).alias("cluster"), "score", "analysis_type")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from setscope.operators.clusters import (
-    itemset_entries, kmeans_weighted, silhouette, wcss, weighted_silhouette, weighted_wcss)
+    itemset_entries, kmeans_weighted, set_entries, silhouette, wcss, weighted_silhouette, weighted_wcss)
 from setscope.operators.diameter import itemset_diameter, vector_diameter
 from setscope.operators.features import feature_vectors
 from setscope.sources import bindings as B
@@ -16,7 +16,7 @@ from setscope.sources.memberships import code_domain, itemsets
 def _weighted(items_with_cluster):
     pts = (items_with_cluster.groupBy("archives", "cluster").agg(F.count("*").alias("weight"))
            .withColumn("pid", F.concat_ws(",", F.col("archives").cast("string"), F.col("cluster").cast("string")))
-           .withColumn("q", F.size("archives")))
+           .withColumn("entries", set_entries("archives")))
     ent = pts.select("pid", F.explode("archives").alias("dim"), F.lit(1.0).alias("value"))
     return pts, ent
 
@@ -26,7 +26,9 @@ def test_weighted_silhouette_equals_subject_level_evaluator(spark):
     it = itemsets(m).join(B.order_rule_clusters(spark, SF_SMALL, "B2"), "id")
     ref = silhouette(feature_vectors(it, code_domain(m)), prediction_col="cluster")
     pts, ent = _weighted(it)
-    got = weighted_silhouette(pts, ent).first().score
+    got = weighted_silhouette(pts).first().score
+    keyed = weighted_silhouette(pts.withColumn("g", F.lit(1)), by=["g"]).first().score
+    assert abs(keyed - got) < 1e-12
     assert abs(got - ref) < 1e-12
 
 
@@ -34,7 +36,7 @@ def test_silhouette_singleton_cluster_is_zero(spark):
     it = spark.createDataFrame([([1], 0), ([1, 2], 0), ([3], 1)], "archives array<int>, cluster int")
     pts, ent = _weighted(it)
     # point [3] is alone: silhouette 0; the other two compare to it
-    score = weighted_silhouette(pts, ent).first().score
+    score = weighted_silhouette(pts).first().score
     x = {"a": np.array([1, 0, 0]), "b": np.array([1, 1, 0]), "c": np.array([0, 0, 1])}
     d = lambda u, v: float(((x[u] - x[v]) ** 2).sum())
     s_a = (d("a", "c") - d("a", "b")) / max(d("a", "c"), d("a", "b"))
