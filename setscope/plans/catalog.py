@@ -343,15 +343,15 @@ def _variants(spark: SparkSession, sf: str):
 
 
 def q_variants_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    return _variants(spark, sf)["archives_frequencies"]
+    return _memo(spark, ("variants", sf), lambda: _variants(spark, sf))["archives_frequencies"]
 
 
 def q_variants_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    return _variants(spark, sf)["archives_occurrences"]
+    return _memo(spark, ("variants", sf), lambda: _variants(spark, sf))["archives_occurrences"]
 
 
 def q_variants_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return _variants(spark, sf)["trend_vector"]
+    return _memo(spark, ("variants", sf), lambda: _variants(spark, sf))["trend_vector"]
 
 
 def _rule_variants(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

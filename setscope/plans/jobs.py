@@ -39,6 +39,7 @@ class Job:
         self._models: dict = {}
         self._links: dict = {}
         self._preds: DataFrame | None = None
+        self._variant_frame: DataFrame | None = None
         self.info: list[DataFrame] = []
 
     @property
@@ -124,6 +125,12 @@ class Job:
 
     # --- results -------------------------------------------------------
     def _variants(self) -> DataFrame:
+        if self._variant_frame is None:
+            # six variants' assignments, written once for both result tasks
+            self._variant_frame = materialize(self._build_variants(), "variants")
+        return self._variant_frame
+
+    def _build_variants(self) -> DataFrame:
         o = self.opts
         parts = []
         for at, k_opt, t_opt in (("raw", o.opt_k_raw, o.opt_t_raw), ("pca", o.opt_k_pca, o.opt_t_pca)):
