@@ -5,7 +5,7 @@ from conftest import SF_SMALL
 import __spark_entry__ as E
 from tools.check_oracles import TABLES, rows_of
 
-FAST_MODEL_FREE = [k for k in E.oracle_sql()]
+SQL_CHECKED = [k for k in E.oracle_sql()]
 
 
 def test_entry_runs_with_stable_schema(spark):
@@ -26,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", FAST_MODEL_FREE)
+@pytest.mark.parametrize("name", SQL_CHECKED)
 def test_query_matches_sql_twin(spark, duck, name):
     sdf = E.queries()[name](spark, SF_SMALL)
     res = duck.execute(E.oracle_sql()[name])
