@@ -185,16 +185,21 @@ def cut_trees(merges: DataFrame, n: int, ts) -> DataFrame:
     """
     spark = merges.sparkSession
     ts = sorted({int(t) for t in ts})
-    # merges are numbered by height: the first n - t steps reach t groups
-    need = {t: n - t for t in ts if t < n}
-    heights = {}
-    if need:
-        rows = merges.filter(F.col("step").isin([v - 1 for v in need.values()])).select("step", "height").collect()
-        by_step = {r["step"]: r["height"] for r in rows}
-        heights = {t: by_step[v - 1] for t, v in need.items()}
-    th = spark.createDataFrame([(t, heights.get(t)) for t in ts], "t int, _h double")
-    applied = (merges.join(F.broadcast(th), F.col("height") <= F.col("_h")).drop("_h")
-               if heights else merges.limit(0).withColumn("t", F.lit(0)))
+    # merges are numbered by height: cut t applies every merge with a height
+    # no larger than that of step n - t - 1 (the first n - t steps reach t
+    # groups; equal heights come along). The n - 1 heights of one tree are
+    # read once and each cut becomes the last step it applies.
+    heights = [r["height"] for r in merges.orderBy("step").select("height").collect()]
+    last_step = {}
+    for t in ts:
+        if t < n:
+            h = heights[n - t - 1]
+            last_step[t] = max(i for i, x in enumerate(heights) if x <= h)
+    cuts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in last_step.items()]) \
+        if last_step else F.array().cast("array<struct<t:int,s:int>>")
+    # each merge lists the cuts that apply it: a generator, no join
+    applied = (merges.select("*", F.explode(F.filter(cuts, lambda c: c["s"] >= F.col("step"))).alias("_cut"))
+               .select("step", "left", "right", "height", "size", F.col("_cut.t").cast("int").alias("t")))
     edges = _edges(applied, n, keys=("t",))
     leaves = spark.range(n).select(F.explode(F.array(*[F.lit(t) for t in ts])).alias("t"),
                                    F.col("id").cast("int").alias("node"))

@@ -33,3 +33,14 @@ def test_top_n_is_limited_before_the_shuffle(spark):
     occ = itemset_occurrences(itemset_counts(itemsets(m), B.order_rule_clusters(spark, SF_SMALL, "B1")), 15)
     occ.collect()
     assert "WindowGroupLimit" in _plan(occ)
+
+
+def test_no_cartesian_or_nested_loop_join_in_any_registered_query(spark):
+    import __spark_entry__ as E
+
+    for name, fn in E.queries().items():
+        df = fn(spark, SF_SMALL)
+        df.collect()
+        plan = _plan(df)
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
