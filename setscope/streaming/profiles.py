@@ -30,8 +30,12 @@ def code_frequencies_stream(raw_stream: DataFrame, assignments: DataFrame, id_co
 
 def start_code_frequencies(counts: DataFrame, checkpoint: str, sink: str = "memory",
                            name: str = "archives_frequencies", path: str | None = None) -> StreamingQuery:
-    """Start the query in update mode; ``checkpoint`` must be shared storage."""
-    writer = (counts.writeStream.outputMode("complete" if sink == "memory" else "update")
+    """Start the query; ``checkpoint`` must be shared storage.
+
+    Complete mode: every micro-batch emits the whole (bounded) table of
+    counts, so the ORC sink can replace its output each batch.
+    """
+    writer = (counts.writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint).queryName(name))
     if sink == "memory":
         return writer.format("memory").start()

@@ -30,3 +30,11 @@ def test_orc_round_trip_partitioned(spark):
     back = read_result(spark, path)
     assert sorted(tuple(r[c] for c in df.columns) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
     assert read_result(spark, path + "-missing", missing_ok=True) is None
+
+
+def test_upsert_with_composite_key(spark):
+    schema = "k1 string, k2 int, value string"
+    old = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], schema)
+    new = spark.createDataFrame([("a", 2, "z"), ("b", 1, "w")], schema)
+    got = sorted(tuple(r) for r in upsert_by_key(old, new, ["k1", "k2"]).collect())
+    assert got == [("a", 1, "x"), ("a", 2, "z"), ("b", 1, "w")]

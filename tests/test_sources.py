@@ -48,3 +48,19 @@ def test_hash_sample_is_stable_under_repartitioning(spark):
     assert a == b and 350 < len(a) < 650
     subj = sample_rows(df, 0.5, seed=1, keys=["id"])
     assert subj.count() < 5000
+
+
+def test_read_table_by_path_and_by_catalog_name(spark):
+    from setscope.sources.tables import read_table
+
+    path = "/root/testdata/sf0.001/nation.parquet"
+    by_path = read_table(spark, path)
+    by_path.createOrReplaceTempView("nation_view_for_test")
+    assert read_table(spark, "nation_view_for_test").count() == by_path.count() == 25
+
+
+def test_seeded_bernoulli_sample_is_reproducible(spark):
+    df = spark.range(20000)
+    a = sorted(r.id for r in sample_rows(df, 0.05, seed=7).collect())
+    b = sorted(r.id for r in sample_rows(df, 0.05, seed=7).collect())
+    assert a == b and 700 < len(a) < 1300

@@ -25,3 +25,24 @@ def test_stream_equals_batch(spark):
     m = memberships(raw, ["cfccc16", "progr6"], "archge", "flag_movimento", "O")
     ref = sorted(tuple(r) for r in code_frequencies(m, assign).select("cluster", "archive", "archive_occurrences").collect())
     assert got == ref and len(got) > 0
+
+
+def test_stream_to_orc_with_foreach_batch(spark):
+    from setscope.sources.results import read_result
+
+    root = ensure_checkpoint_dir(spark)
+    src = f"{root}/stream-src-{uuid.uuid4().hex}"
+    out = f"{root}/stream-out-{uuid.uuid4().hex}"
+    raw = B.order_nation_raw(spark, SF_SMALL)
+    raw.write.parquet(src)
+    assign = B.order_rule_clusters(spark, SF_SMALL, "B1")
+    stream = spark.readStream.schema(raw.schema).parquet(src)
+    counts = code_frequencies_stream(stream, assign, ["cfccc16", "progr6"], "archge", "flag_movimento", "O")
+    q = start_code_frequencies(counts, f"{root}/stream-ck-{uuid.uuid4().hex}", sink="orc", name="t1_orc", path=out)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    total = sum(r.archive_occurrences for r in read_result(spark, out).collect())
+    m = memberships(raw, ["cfccc16", "progr6"], "archge", "flag_movimento", "O")
+    assert total == m.join(assign, "id").count()
