@@ -8,7 +8,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setscope.operators.clusters import elbow, kmeans_weighted, set_entries, weighted_silhouette
+from setscope.operators.clusters import elbow, set_entries, weighted_silhouette
 from setscope.operators.diameter import itemset_diameter
 from setscope.operators.features import explained_variance, top_loadings
 from setscope.operators.linkage import centroid_frame, complete_linkage, cut_trees, leaf_order
@@ -42,11 +42,6 @@ def pc_explained_variance(spark: SparkSession, an: Analysis) -> DataFrame:
     return explained_variance(spark, an.pca)
 
 
-def sweep_models(an: Analysis, ks: Sequence[int], analysis_type: str, seed: int = 1) -> dict[int, KMeansModel]:
-    col = FEATURE_COL[analysis_type]
-    return run_concurrently({k: (lambda k=k: kmeans_weighted(an.base, k, col, seed)) for k in ks})
-
-
 def predictions(an: Analysis, models: dict[int, KMeansModel], analysis_type: str,
                 key: str = "k") -> DataFrame:
     """(key, archives, weight, prediction) for every model, one plan."""

@@ -98,3 +98,27 @@ def test_vector_diameter_equals_brute_force(spark):
         X = np.array([p[1] for p in pts if p[0] == c])
         ref = max((np.linalg.norm(a - b) for a, b in itertools.combinations(X, 2)), default=0.0)
         assert abs(got[c] - ref) < 1e-9
+
+
+def test_kmeans_sweep_assign_and_elbow(spark):
+    from setscope.operators.clusters import assign, elbow, kmeans_sweep
+
+    m, _ = B.order_nation(spark, SF_SMALL)
+    feats = feature_vectors(itemsets(m), code_domain(m)).persist()
+    models = kmeans_sweep(feats, [2, 3])
+    rows = {r.cluster: r.cost for r in elbow(spark, models).collect()}
+    assert set(rows) == {2, 3} and rows[3] <= rows[2] + 1e-9
+    pred = assign(models[3], feats)
+    assert pred.select("prediction").distinct().count() <= 3 and pred.count() == feats.count()
+    feats.unpersist()
+
+
+def test_wcss_on_dense_vectors_matches_numpy(spark):
+    from setscope.operators.clusters import vector_entries
+
+    pts = B.embedding_points(spark, SF_SMALL)
+    got = {r.cluster: r.wcss for r in wcss(pts.select("id", "cluster"), vector_entries(pts)).collect()}
+    rows = pts.collect()
+    for c, value in got.items():
+        X = np.array([r.features.toArray() for r in rows if r.cluster == c])
+        assert abs(value - ((X - X.mean(0)) ** 2).sum()) < 1e-6 * max(1.0, value)
