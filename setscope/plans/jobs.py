@@ -103,21 +103,20 @@ class Job:
         self.save(X.diameter_report(preds, "kmeans"), "distance_matrix", partition_by=TAGS)
 
     def hierarchical_distance_matrix(self) -> None:
-        parts = []
-        for at in ("raw", "pca"):
-            merges, n = self.linkage(at)
-            parts.append(X.hierarchical_predictions(self.an, self.model(self.opts.big_k, at), merges, n,
-                                                    self.opts.t_values, at))
-        preds = parts[0].unionByName(parts[1])
+        links = {at: self.linkage(at) for at in ("raw", "pca")}
+        # the cuts of the two trees are independent: run side by side
+        parts = X.run_concurrently({at: (lambda at=at: X.hierarchical_predictions(
+            self.an, self.model(self.opts.big_k, at), links[at][0], links[at][1], self.opts.t_values, at))
+            for at in ("raw", "pca")})
+        preds = parts["raw"].unionByName(parts["pca"])
         self.save(X.diameter_report(preds, "hierarchical", key="t"), "distance_matrix", partition_by=TAGS)
 
     def dendrogram(self) -> None:
-        merges_all, orders = [], []
-        for at in ("raw", "pca"):
-            merges, n = self.linkage(at)
-            m, o = X.dendrogram_report(merges, n, at)
-            merges_all.append(m)
-            orders.append(o)
+        links = {at: self.linkage(at) for at in ("raw", "pca")}
+        reports = X.run_concurrently({at: (lambda at=at: X.dendrogram_report(links[at][0], links[at][1], at))
+                                      for at in ("raw", "pca")})
+        merges_all = [reports[at][0] for at in ("raw", "pca")]
+        orders = [reports[at][1] for at in ("raw", "pca")]
         self.save(merges_all[0].unionByName(merges_all[1]), "dendrogram_merges")
         order = orders[0].unionByName(orders[1])
         self.save(order, "dendrogram_leaf_order")
