@@ -25,25 +25,29 @@ def describe_code(df: DataFrame, registry: DataFrame, code_col: str = "archive",
 def describe_array(df: DataFrame, columns: Sequence[str], registry: DataFrame) -> DataFrame:
     """Add ``<col>_description`` = ``[code: text, code: text]`` for array columns.
 
-    Work is done once per distinct array: explode with positions, join the
-    registry (a code without description shows the bare code), re-assemble
-    in array order and join back on the array value. No driver-side map and
-    no Python UDF; every step is a distributed join or aggregate.
+    Work is done once per distinct array over all the given columns: explode
+    with positions, join the registry (a code without description shows the
+    bare code), re-assemble in array order, then join back on each column's
+    array value. No driver-side map and no Python UDF; every step is a
+    distributed join or aggregate.
     """
     if not columns:
         raise ValueError("columns must have at least one value.")
     reg = registry.select(F.col("archive").alias("_code"), F.col("description").alias("_text"))
+    keys = None
+    for col in columns:
+        part = df.select(F.col(col).alias("_arr")).where(F.col("_arr").isNotNull())
+        keys = part if keys is None else keys.unionByName(part)
+    parts = (keys.distinct().select("_arr", F.posexplode("_arr").alias("_pos", "_code"))
+             .join(reg, "_code", "left")
+             .select("_arr", "_pos", F.when(F.col("_text").isNull(), F.col("_code").cast("string"))
+                     .otherwise(F.concat(F.col("_code").cast("string"), F.lit(": "), F.col("_text")))
+                     .alias("_entry")))
+    text = (parts.groupBy("_arr")
+            .agg(F.sort_array(F.collect_list(F.struct("_pos", "_entry"))).alias("_e"))
+            .select("_arr", F.concat(F.lit("["), F.array_join(F.transform("_e", lambda e: e["_entry"]), ", "),
+                                     F.lit("]")).alias("_desc")))
     for col in columns:
-        keys = df.select(F.col(col).alias("_arr")).where(F.col("_arr").isNotNull()).distinct()
-        parts = (keys.select("_arr", F.posexplode("_arr").alias("_pos", "_code"))
-                 .join(reg, "_code", "left")
-                 .select("_arr", "_pos", F.when(F.col("_text").isNull(), F.col("_code").cast("string"))
-                         .otherwise(F.concat(F.col("_code").cast("string"), F.lit(": "), F.col("_text")))
-                         .alias("_entry")))
-        text = (parts.groupBy("_arr")
-                .agg(F.sort_array(F.collect_list(F.struct("_pos", "_entry"))).alias("_e"))
-                .select("_arr", F.concat(F.lit("["), F.array_join(F.transform("_e", lambda e: e["_entry"]), ", "),
-                                         F.lit("]")).alias("_desc")))
         out = f"{col}_description"
         df = (df.join(text, df[col] == text["_arr"], "left")
               .withColumn(out, F.when(F.col(col).isNull(), F.lit(None).cast("string"))
