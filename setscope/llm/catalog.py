@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setscope.llm import mixing, oracles
+from setscope.llm import mixing, oracles, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES = {
