@@ -82,3 +82,14 @@ class WordTable:
             self.rows.update(zip(new, range(first, first + len(new)), strict=True))
             self.table = tuple(np.concatenate(x) for x in zip(self.table, made, strict=True)) if self.table else made
         return rows[encoded.indices.to_numpy()], self.table
+
+
+_TABLES: dict[str, WordTable] = {}
+
+
+def worker_table(key: str, make: Callable[[], WordTable]) -> WordTable:
+    """The table of model ``key`` in this worker, made once; tables of earlier models go."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
