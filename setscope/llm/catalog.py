@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setscope.llm import mixing, oracles, simhash
+from setscope.llm import language_id, licenses, line_dedup, mixing, oracles, packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,56 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept text of every document, and the code-point spans of the lines that went."""
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return kept.select(F.col("doc")["doc_id"].alias("doc_id"), "text", "n_units", "n_removed",
+                       spans.alias("removed_spans"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    found = language_id.identify(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc")["doc_id"].alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and detected licenses of every document."""
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda p: p["start"].cast("long"))
+    base = F.array_distinct(F.transform("base", lambda p: p["label"]))
+    method = F.transform("found", lambda p: p["label"])
+    return found.select(
+        F.col("doc")["doc_id"].alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, method)), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda p: p["confidence"])), F.lit(0.0)).alias("score"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every vec_id divisible by 50 against all embeddings."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op4_simhash": op4_simhash,
+    "op5_language_id": op5_language_id,
+    "op6_packing": op6_packing,
+    "op8_licenses": op8_licenses,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLES = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
     "op2_mixing": oracles.MIXING,
+    "op10_top_k": oracles.TOP_K,
 }

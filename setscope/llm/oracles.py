@@ -28,3 +28,39 @@ SELECT doc_id, size, source_size, target,
        ((floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM rated
 """
+
+LINE_DEDUP = r"""
+WITH u AS (
+  SELECT doc_id, unnest(lines) AS unit, generate_subscripts(lines, 1) - 1 AS place
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)),
+n AS (
+  SELECT *, lower(trim(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm,
+         coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
+  FROM u),
+m AS (
+  SELECT *, norm <> '' AND length(norm) - length(replace(norm, ' ', '')) + 1 >= 10
+            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS gone
+  FROM n),
+g AS (
+  SELECT doc_id, count(*)::INT AS n_units, (count(*) FILTER (gone))::INT AS n_removed,
+         coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
+         coalesce(string_agg(start_at || '-' || (start_at + length(unit)), ',' ORDER BY place) FILTER (gone), '') AS removed_spans
+  FROM m GROUP BY doc_id)
+SELECT d.doc_id, g.text, coalesce(n_units, 0)::INT AS n_units, coalesce(n_removed, 0)::INT AS n_removed,
+       coalesce(removed_spans, '') AS removed_spans
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
