@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setscope.llm import language_id, licenses, line_dedup, mixing, oracles, packing, simhash, topk
+from setscope.llm import (html_extract, language_id, licenses, line_dedup, mixing, oracles, packing, quality, simhash,
+                          topk, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -44,6 +50,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and detected licenses of every document."""
     found = licenses.scan(_table(spark, sf_dir, "documents"))
@@ -58,6 +70,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("found", lambda p: p["confidence"])), F.lit(0.0)).alias("score"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every vec_id divisible by 50 against all embeddings."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -66,10 +84,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_html": op3_html,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
+    "op9_toxicity": op9_toxicity,
     "op10_top_k": op10_top_k,
 }
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -128,8 +128,13 @@ def _link_sorted(most: int):
     return run
 
 
-def near_duplicates(rows: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
-    """``rows`` (doc_id, text, more) with ``text`` replaced by fp, component_id and group_fp.
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row: with the doc_id it tells rows apart that don't repeat each other."""
+    return F.xxhash64(*[docs[c] for c in docs.columns])
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
+    """(doc_id, row_key, fp, component_id, group_fp) for every row of ``docs`` (doc_id, text, more).
 
     Lower-cases A-Z, fingerprints the word shingles and links fingerprints at
     ``most`` or fewer bits; component_id is the smallest doc_id of the
@@ -139,6 +144,7 @@ def near_duplicates(rows: DataFrame, width: int = WIDTH, most: int = MOST) -> Da
     stay, an empty table gives an empty result. Copies share a fingerprint and
     are one code in the index.
     """
+    rows = docs.select("doc_id", row_key(docs).alias("row_key"), "text")
     marked = materialize(fingerprints(rows, width), "fingerprints")
     codes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "codes")
     groups = connected_components(near_links(codes, most))
@@ -147,3 +153,20 @@ def near_duplicates(rows: DataFrame, width: int = WIDTH, most: int = MOST) -> Da
     firsts = named.groupBy("group_fp").agg(F.min("first_id").alias("component_id"))
     labels = named.select("fp", "group_fp").join(firsts, "group_fp")
     return marked.join(labels, "fp").select(*marked.columns, "component_id", "group_fp")
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, its columns unchanged.
+
+    The row with the smallest doc_id stays (null last); among rows of that id
+    the one with the smallest hash, and one of rows that repeat each other.
+    """
+    found = near_duplicates(docs, width, most)
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    firsts = found.groupBy("group_fp").agg(rank.alias("first")).select(
+        F.col("first")["doc_id"].alias("first_id"), F.col("first")["row_key"].alias("first_key"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), row_key(docs).alias("key"))
+    kept = rows.join(firsts, rows["doc"]["doc_id"].eqNullSafe(firsts["first_id"]) & (rows["key"] == firsts["first_key"]),
+                     "left_semi")
+    once = kept.groupBy(F.col("doc")["doc_id"].alias("id"), "key").agg(F.first("doc").alias("doc"))
+    return once.select("doc.*")

@@ -37,7 +37,8 @@ def check(spark, rows):
     """Operator against brute force on (doc_id, text) rows."""
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = simhash.near_duplicates(df)
-    assert got.columns == ["doc_id", "fp", "component_id", "group_fp"]
+    assert got.columns == ["doc_id", "row_key", "fp", "component_id", "group_fp"]
+    got = got.select("doc_id", "fp", "component_id")
     fps = [fingerprint(t) for _, t in rows]
     root = components(sorted(set(fps)), lambda a, b: (a ^ b).bit_count() <= 4)
     first = {}
@@ -121,3 +122,14 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)}
+
+
+def test_keep_first_leaves_one_row_of_each_group(spark):
+    schema = "doc_id long, text string, fp string, key int, row_key int"
+    rows = [(3, "a b c d", "x", 1, 1), (2, "A b c d", "y", 1, 1), (2, "a b c d", "x", 1, 1), (2, "a b c d", "x", 1, 1),
+            (None, "a b c d", "n", 1, 1), (None, "lonely", "n", 1, 1), (None, "lonely", "n", 1, 1), (5, None, "e", 1, 1),
+            (6, "", "e", 1, 1), (9, "other words here", "z", 1, 1)]
+    out = simhash.keep_first(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", "fp", "key", "row_key"]
+    got = sorted((r.doc_id or -1, (r.text or "").lower()) for r in out.collect())
+    assert got == [(-1, "lonely"), (2, "a b c d"), (5, ""), (9, "other words here")]
