@@ -33,6 +33,8 @@ EMBEDDED, EMBEDDING = 1 << 13, 4
 SHRINK = 4.0
 INPUTS = 3 + 2 * EMBEDDING
 ROUNDS, BATCH = 300, 256
+STRONG = 0.999
+DECAY = 0.01
 #: Clean windows of a document to learn from: those with the highest statistics, and some at hashed places.
 HARD, EASY = 2, 2
 BLOCK = 2048
@@ -144,7 +146,12 @@ def _pick_windows(rows: DataFrame, model: dict) -> list[tuple[int, list[str]]]:
 
 
 def _train(windows: list[tuple[int, list[str]]], model: dict) -> dict:
-    """Fit embeddings and network on batches that are half toxic."""
+    """Fit embeddings and network on batches that are half toxic.
+
+    Half of a batch's toxic windows are made: strong words of a toxic window,
+    at any places of a clean one, so that few labels show many contexts.
+    Strong are words above nearly all words of clean windows.
+    """
     rnd = np.random.default_rng(7)
     places = {label: {} for label in (0, 1)}
     for label, words in windows:
@@ -165,21 +172,35 @@ def _train(windows: list[tuple[int, list[str]]], model: dict) -> dict:
     params = gru.initial(INPUTS) | {"words": model["words"], "grams": model["grams"]}
     adam = gru.Adam(params)
     by_label = [np.flatnonzero(y == v) for v in (0, 1)]
+    strength = stats[:, :2].sum(axis=1)
+    clean = index[:, by_label[0]]
+    limit = np.quantile(strength[clean[mask[:, by_label[0]]]], STRONG)
+    strong = {w: np.unique(own) for w in by_label[1] for own in [index[mask[:, w], w]]
+              for own in [own[strength[own] > limit]] if len(own)}
+    shown = np.array(list(strong) or by_label[1])
     for _ in range(ROUNDS):
-        some = np.concatenate([rnd.choice(k, BATCH // 2) for k in by_label])
-        live = mask[:, some]
+        some = np.concatenate((rnd.choice(by_label[0], BATCH // 2), rnd.choice(shown, BATCH // 2)))
+        places_, live = index[:, some], mask[:, some]
+        for j in range(BATCH // 2, BATCH * 3 // 4 if strong else 0):
+            host = rnd.choice(by_label[0])
+            places_[:, j], live[:, j] = index[:, host], mask[:, host]
+            words_ = rnd.permutation(strong[some[j]])[:rnd.integers(1, 4)]
+            n = int(live[:, j].sum())
+            places_[rnd.permutation(n)[:len(words_)], j] = words_[:n]
         vectors = np.hstack((stats, params["words"][word], _gram_means(params["grams"], of, gram, len(stats))))
-        x = vectors[index[:, some]]
+        x = vectors[places_]
         logits, kept = gru.forward(params, x @ params["w"] + params["c"], live, keep=True)
         grads, d_projected = gru.backward(params, kept, live, (logistic.sigmoid(logits) - y[some]) / len(some))
         grads["w"] = np.einsum("twi,twp->ip", x, d_projected)
         grads["c"] = d_projected.sum(axis=(0, 1))
         d_vector = np.zeros_like(vectors)
-        np.add.at(d_vector, index[:, some].reshape(-1), (d_projected @ params["w"].T).reshape(-1, INPUTS))
+        np.add.at(d_vector, places_.reshape(-1), (d_projected @ params["w"].T).reshape(-1, INPUTS))
         grads["words"], grads["grams"] = np.zeros_like(params["words"]), np.zeros_like(params["grams"])
         np.add.at(grads["words"], word, d_vector[:, 3:3 + EMBEDDING])
         np.add.at(grads["grams"], gram, (d_vector[:, 3 + EMBEDDING:] / number[:, None])[of])
         adam.step(grads)
+        for table in ("words", "grams"):
+            params[table] *= 1 - DECAY
     return model | params
 
 
