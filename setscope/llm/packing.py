@@ -31,21 +31,22 @@ PARTS = 256
 class TokenTable(WordTable):
     """Ids of every distinct word. White space ends a token of this tokenizer, so a text's ids are its words' ids."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids = np.zeros(0, dtype="<u4")
-        super().__init__(self._encode, limit)
+        super().__init__(self._encode)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, ...]:
         found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), "<u4", int(length.sum()))
-        kept = self.ids if self.table else self.ids[:0]
-        self.ids = np.concatenate((kept, flat))
-        return length, len(kept) + np.cumsum(length) - length
+        # ids behind those of the kept words belong to an earlier batch
+        kept = int(self.table[0].sum()) if self.table else 0
+        self.ids = np.concatenate((self.ids[:kept], flat))
+        return length, kept + np.cumsum(length) - length
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of all texts, each closed by ``end_id``."""

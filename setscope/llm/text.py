@@ -55,33 +55,35 @@ class WordTable:
     """What ``compute`` gives for each distinct word, kept between batches of one worker.
 
     ``compute`` maps a list of words to a tuple of arrays with one row per
-    word. At most ``limit`` words are kept; beyond that the table starts anew,
-    which changes the time but no result.
+    word. The first ``limit`` words stay, which are the frequent ones; what
+    comes later is computed for its batch alone. That changes the time but
+    no result.
     """
 
-    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, ...]], limit: int = 300_000):
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, ...]], limit: int = 500_000):
         self.compute, self.limit = compute, limit
         self.rows: dict[str, int] = {}
-        self.parts: list[tuple[np.ndarray, ...]] = []
         self.table: tuple[np.ndarray, ...] = ()
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """Row number of every word, and the arrays these numbers point into."""
         encoded = words.dictionary_encode()
         distinct = encoded.dictionary.to_pylist()
-        if self.rows and len(self.rows) + len(distinct) > self.limit:
-            self.rows, self.table = {}, ()
         get = self.rows.get
         rows = np.fromiter((get(w, -1) for w in distinct), np.int64, len(distinct))
         missing = np.flatnonzero(rows < 0)
+        table = self.table
         if len(missing):
             new = [distinct[i] for i in missing]
             made = self.compute(new)
             first = len(self.rows)
             rows[missing] = np.arange(first, first + len(new))
-            self.rows.update(zip(new, range(first, first + len(new)), strict=True))
-            self.table = tuple(np.concatenate(x) for x in zip(self.table, made, strict=True)) if self.table else made
-        return rows[encoded.indices.to_numpy()], self.table
+            table = tuple(np.concatenate(x) for x in zip(table, made, strict=True)) if table else made
+            room = self.limit - first
+            if room > 0:
+                self.rows.update(zip(new[:room], range(first, first + len(new))))
+                self.table = tuple(x[:len(self.rows)].copy() for x in table) if room < len(new) else table
+        return rows[encoded.indices.to_numpy()], table
 
 
 _TABLES: dict[str, WordTable] = {}
