@@ -1,37 +1,37 @@
-"""Complete-linkage tree over a small point set (k-means centroids), cut, leaf order.
-
-(M15-M19) The tree is built in rounds of reciprocal nearest neighbours
-(RNN): complete linkage is reducible, so every pair of clusters that are
-each other's nearest neighbour can merge in the same round and the tree is
-the one of one-at-a-time merging. Ties are broken by the total order
-(distance, smaller id, larger id), so each round merges at least one pair.
-State is a table of cluster-pair distances; each round is a few joins and
-grouped aggregates, written under ``spark.checkpoint.dir`` to cut lineage
-(a lost executor costs at most one round).
+"""Complete-linkage trees over model centroids, their cuts and leaf orders.
+
+Several trees are built in one run, told apart by key columns (for example
+``analysis_type``). A tree grows in rounds of reciprocal nearest neighbours:
+complete linkage is reducible, so all pairs of clusters that are each other's
+nearest neighbour can merge in one round, and the tree is the one of
+one-at-a-time merging. Ties are broken by the total order (distance, smaller
+id, larger id), so each round merges at least one pair of every unfinished
+tree. The state of a round is one small table of the pairs left and the merges
+made, written once under ``spark.checkpoint.dir``; the number of pairs left is
+observed while it is written.
 
 Merges are numbered like a standard linkage matrix: leaves are 0..n-1, the
 merge at step s creates node n + s, steps are sorted by height, and the left
 child is the smaller node id.
 
-The pair table holds n(n-1)/2 rows for n points, so the input is a model's
-centroids (bounded by its k), never data rows.
+The pair table holds n(n-1)/2 rows per tree. It is distributed and has no
+bound of its own; the jobs feed a model's centroids (n = k).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from setscope.session import ensure_checkpoint_dir, materialize
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import functions as F
 
-MAX_POINTS = 20000
-MERGES_SCHEMA = "step int, left int, right int, height double, size int"
+from setscope.session import materialize, scratch_folder
 
 
-def centroid_frame(spark: SparkSession, centers) -> DataFrame:
-    """(node, vector array<double>) of a model's cluster centres."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(rows, "node int, vector array<double>")
+def centroid_frame(spark: SparkSession, centers, **tags) -> DataFrame:
+    """(tags..., node, vector array<double>) of a model's cluster centres."""
+    rows = [(*tags.values(), i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    return spark.createDataFrame(rows, ", ".join([*(f"{t} string" for t in tags), "node int, vector array<double>"]))
 
 
 def _euclid(a, b):
@@ -39,201 +39,171 @@ def _euclid(a, b):
                               lambda s, v: s + v))
 
 
-def complete_linkage(points: DataFrame, n: int | None = None) -> DataFrame:
-    """Merges (step, left, right, height, size) of complete linkage on ``points``.
+def _written(df: DataFrame, path: str, by: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """Write ``df`` once and read it back, with its number of open rows (kind 0, or all)."""
+    seen = Observation()
+    open_rows = F.count(F.when(F.col("kind") == 0, 1)) if "kind" in df.columns else F.count(F.lit(1))
+    df.observe(seen, open_rows.alias("n")).write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def complete_linkage(points: DataFrame, n: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., step, left, right, height, size): merges of complete linkage on every tree's points.
 
-    ``points`` is (node int 0..n-1, vector array<double>), e.g. from
-    ``centroid_frame``.
+    ``points`` is (keys..., node int 0..n-1, vector array<double>), the same
+    n for all trees; a tree of one point has no merges.
     """
     spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
     if n is None:
-        n = points.count()
-    if n > MAX_POINTS:
-        raise ValueError(f"complete_linkage builds n^2/2 pairs: {n} points is beyond {MAX_POINTS}")
-    if n <= 1:
-        return spark.createDataFrame([], MERGES_SCHEMA)
-    pts = points.select(F.col("node").cast("int").alias("node"), "vector")
+        n = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    by = ["tree"]
+    pts = points.select(F.struct(*keys, F.lit(0).alias("_")).alias("tree"), F.col("node").cast("int").alias("node"), "vector")
     # every unordered pair once: each node lists the larger ids, then fetches their vectors
-    dist = (pts.filter(F.col("node") < n - 1)
-            .select(F.col("node").alias("a"), F.col("vector").alias("va"),
-                    F.explode(F.sequence(F.col("node") + 1, F.lit(n - 1))).alias("b"))
-            .join(pts.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
-            .select("a", "b", _euclid(F.col("va"), F.col("vb")).alias("d"),
-                    F.lit(1).alias("sa"), F.lit(1).alias("sb")))
-    dist = materialize(dist, "pairs")
-    # a cluster is named by its representative (smallest member leaf); the
-    # pair rows carry both clusters' sizes. Each round writes one table
-    # holding the remaining pairs (kind 0) and the round's merges (kind 1).
-    steps = []
-    rnd = 0
-    pairs_left = n * (n - 1) // 2
-    while pairs_left > 0:
-        both = dist.unionByName(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "d",
-                                            F.col("sb").alias("sa"), F.col("sa").alias("sb")))
-        nn = both.groupBy("a").agg(
-            F.min_by("b", F.struct("d", F.least("a", "b"), F.greatest("a", "b"))).alias("nb"))
-        # one nearest neighbour per cluster: at most n rows, so broadcast (once,
-        # joined on both ends); a pair merges when each side is the other's nearest
-        nnb = F.broadcast(nn)
-        step = (dist.alias("p")
-                .join(nnb.alias("x"), F.col("p.a") == F.col("x.a"))
-                .join(nnb.alias("y"), F.col("p.b") == F.col("y.a"))
-                .filter((F.col("x.nb") == F.col("p.b")) & (F.col("y.nb") == F.col("p.a")))
-                .select(F.col("p.a").alias("ra"), F.col("p.b").alias("rb"), F.col("p.d").alias("height"),
-                        (F.col("p.sa") + F.col("p.sb")).alias("size")))
-        # both members of a merge map to its representative: two rows per merge
-        remap = F.broadcast(step.select(F.explode(F.array("ra", "rb")).alias("_from"), F.col("ra").alias("_to"),
-                                        F.col("size").alias("_s")))
-        moved = (dist.alias("p")
-                 .join(remap.alias("u"), F.col("p.a") == F.col("u._from"), "left")
-                 .join(remap.alias("v"), F.col("p.b") == F.col("v._from"), "left")
-                 .select(F.coalesce(F.col("u._to"), F.col("p.a")).alias("a1"),
-                         F.coalesce(F.col("v._to"), F.col("p.b")).alias("b1"), F.col("p.d").alias("d"),
-                         F.coalesce(F.col("u._s"), F.col("p.sa")).alias("sa1"),
-                         F.coalesce(F.col("v._s"), F.col("p.sb")).alias("sb1"))
-                 .filter(F.col("a1") != F.col("b1")))
-        lower = F.col("a1") < F.col("b1")
-        new_dist = (moved.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b"), "d",
-                                 F.when(lower, F.col("sa1")).otherwise(F.col("sb1")).alias("sa"),
-                                 F.when(lower, F.col("sb1")).otherwise(F.col("sa1")).alias("sb"))
-                    .groupBy("a", "b").agg(F.max("d").alias("d"), F.max("sa").alias("sa"),
-                                           F.max("sb").alias("sb")))
-        state = materialize(
-            new_dist.select(F.lit(0).alias("kind"), "a", "b", "d", "sa", "sb")
-            .unionByName(step.select(F.lit(1).alias("kind"), F.col("ra").alias("a"), F.col("rb").alias("b"),
-                                     F.col("height").alias("d"), F.col("size").alias("sa"),
-                                     F.lit(0).alias("sb"))), "linkage", partition_by="kind")
-        steps.append(state.filter("kind = 1").select(F.lit(rnd).alias("round"), F.col("a").alias("ra"),
-                                                       F.col("b").alias("rb"), F.col("d").alias("height"),
-                                                       F.col("sa").alias("size")))
-        dist = state.filter("kind = 0").drop("kind")
-        # partition-pruned count: reads file footers only. The globally closest
-        # pair is always reciprocal, so every round merges at least once.
-        pairs_left = dist.count()
-        rnd += 1
-        if rnd > n:
-            raise RuntimeError("complete_linkage: no progress")
-    merges = steps[0]
-    for st in steps[1:]:
-        merges = merges.unionByName(st)
-    return _number_merges(materialize(merges, "merges"), n)
+    pairs = (pts.filter(F.col("node") < n - 1)
+             .select("tree", F.col("node").alias("a"), F.col("vector").alias("va"),
+                     F.explode(F.sequence(F.col("node") + 1, F.lit(n - 1))).alias("b"))
+             .join(pts.select("tree", F.col("node").alias("b"), F.col("vector").alias("vb")), ["tree", "b"])
+             .select(F.lit(0).alias("kind"), "tree", "a", "b", _euclid(F.col("va"), F.col("vb")).alias("d"),
+                     F.lit(1).alias("sa"), F.lit(1).alias("sb")))
+    base = f"{scratch_folder(spark, 'linkage')}"
+    state, left = _written(pairs, f"{base}/round=0")
+    rounds = 0
+    while left:
+        rounds += 1
+        open_pairs = state.filter("kind = 0").drop("kind")
+        state, left = _written(_round(open_pairs, by), f"{base}/round={rounds}")
+    merges = spark.read.option("basePath", base).parquet(base).filter("kind = 1").select(
+        "tree", "round", F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("d").alias("height"),
+        F.col("sa").alias("size"))
+    return _number_merges(merges, n).select(*[F.col("tree")[k].alias(k) for k in keys],
+                                            "step", "left", "right", "height", "size")
+
+
+def _round(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pairs left (kind 0) and merges (kind 1) after all reciprocal nearest neighbours of ``pairs`` merge.
+
+    A cluster is named by its smallest leaf; pair rows carry both sizes.
+    """
+    sides = pairs.select("tree", "d", F.explode(F.array(
+        F.struct(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("sa") + F.col("sb")).alias("size")),
+        F.struct(F.col("b").alias("u"), F.col("a").alias("v"), (F.col("sa") + F.col("sb")).alias("size")))).alias("s"))
+    near = sides.groupBy("tree", F.col("s.u").alias("u")).agg(F.min(F.struct(
+        "d", F.least("s.u", "s.v").alias("lo"), F.greatest("s.u", "s.v").alias("hi"), F.col("s.size").alias("size"))).alias("m"))
+    # both ends of a merging pair name it as their nearest one
+    steps = (near.groupBy("tree", F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"))
+             .agg(F.count(F.lit(1)).alias("ends"), F.first("m").alias("m")).filter("ends = 2")
+             .select("tree", "lo", "hi", "m.d", "m.size"))
+    moves = steps.select("tree", F.explode(F.array("lo", "hi")).alias("from"), F.col("lo").alias("to"), "size")
+    ma, mb = moves.select("tree", F.col("from").alias("a"), F.col("to").alias("ta"), F.col("size").alias("za")), \
+        moves.select("tree", F.col("from").alias("b"), F.col("to").alias("tb"), F.col("size").alias("zb"))
+    moved = (pairs.join(ma, [*by, "a"], "left").join(mb, [*by, "b"], "left")
+             .select("tree", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "d",
+                     F.coalesce("za", "sa").alias("sa"), F.coalesce("zb", "sb").alias("sb"))
+             .filter("a <> b"))
+    ordered = F.col("a") < F.col("b")
+    kept = (moved.select("tree", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d",
+                         F.when(ordered, F.col("sa")).otherwise(F.col("sb")).alias("sa"),
+                         F.when(ordered, F.col("sb")).otherwise(F.col("sa")).alias("sb"))
+            .groupBy("tree", "a", "b").agg(F.max("d").alias("d"), F.max("sa").alias("sa"), F.max("sb").alias("sb")))
+    return kept.select(F.lit(0).alias("kind"), "tree", "a", "b", "d", "sa", "sb").unionByName(
+        steps.select(F.lit(1).alias("kind"), "tree", F.col("lo").alias("a"), F.col("hi").alias("b"), "d",
+                     F.col("size").alias("sa"), F.lit(0).alias("sb")))
 
 
 def _number_merges(merges: DataFrame, n: int) -> DataFrame:
-    """Sort merges by height (children first on ties) and give node ids n + step.
-
-    The ordering window spans all n - 1 merges of one tree (n centroids).
+    """Sort each tree's merges by height (children first on ties) and give node ids n + step."""
+    tree = Window.partitionBy("tree")
+    steps = merges.withColumn("step", (F.row_number().over(tree.orderBy("height", "round", "ra")) - 1).cast("int"))
+    # the node of a representative: the last merge it led before this one, else its leaf
+    led = Window.partitionBy("tree", "ra").orderBy("step")
+    last = steps.groupBy("tree", F.col("ra").alias("rb")).agg(F.max("step").alias("last_b"))
+    return (steps.withColumn("last_a", F.lag("step").over(led)).join(last, ["tree", "rb"], "left")
+            .withColumn("ca", F.coalesce(F.col("last_a") + n, F.col("ra")))
+            .withColumn("cb", F.coalesce(F.col("last_b") + n, F.col("rb")))
+            .select("tree", "step", F.least("ca", "cb").cast("int").alias("left"),
+                    F.greatest("ca", "cb").cast("int").alias("right"), F.col("height").cast("double").alias("height"),
+                    F.col("size").cast("int").alias("size")))
+
+
+def tree_members(merges: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., node, step, is_right): every leaf with the merges above it, and the side it lies on.
+
+    The ancestor relation is closed by joining it with itself, which doubles
+    the height it covers, so a tree of height h takes about log2(h) rounds.
     """
-    order = Window.orderBy("height", "round", "ra")
-    m = merges.withColumn("step", (F.row_number().over(order) - 1).cast("int"))
-    # a representative's node before a merge = the latest earlier merge it led, else the leaf
-    led = m.select(F.col("ra").alias("rep"), F.col("step").alias("prev"))
-    child_a = (m.join(led, (led.rep == m.ra) & (led.prev < m.step), "left")
-               .groupBy("step").agg(F.max("prev").alias("pa")))
-    child_b = (m.join(led, led.rep == m.rb, "left").groupBy("step").agg(F.max("prev").alias("pb")))
-    out = (m.join(child_a, "step").join(child_b, "step")
-           .select("step",
-                   F.coalesce(F.col("pa") + n, F.col("ra")).alias("ca"),
-                   F.coalesce(F.col("pb") + n, F.col("rb")).alias("cb"),
-                   "height", "size"))
-    return out.select(F.col("step").cast("int"), F.least("ca", "cb").cast("int").alias("left"),
-                      F.greatest("ca", "cb").cast("int").alias("right"),
-                      F.col("height").cast("double"), F.col("size").cast("int"))
-
-
-def _edges(merges: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys..., child, parent, is_right, left_size) for every merged node."""
-    node = merges.select(*keys, (F.col("step") + n).alias("parent"), "left", "right")
-    sizes = merges.select(*keys, (F.col("step") + n).alias("left"), F.col("size").alias("_ls"))
-    left_size = (node.join(sizes, [*keys, "left"], "left")
-                 .select(*keys, "parent", "left", "right", F.coalesce("_ls", F.lit(1)).alias("left_size")))
-    return (left_size.select(*keys, F.col("left").alias("child"), "parent", F.lit(False).alias("is_right"),
-                             "left_size")
-            .unionByName(left_size.select(*keys, F.col("right").alias("child"), "parent",
-                                          F.lit(True).alias("is_right"), "left_size")))
-
-
-def _jump(state: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pointer jumping on (keys..., node, anc, acc, top) until no ancestor is left.
-
-    ``acc`` sums offsets from a node up to (excluding) ``anc``; ``top`` is the
-    farthest ancestor known. Each round doubles the distance covered, so a
-    tree of depth d takes about log2(d) rounds; each round's state is written
-    to the checkpoint folder.
-    """
-    while not state.filter(F.col("anc").isNotNull()).isEmpty():
-        up = state.select(*keys, F.col("node").alias("anc"), F.col("anc").alias("_anc2"),
-                          F.col("acc").alias("_acc2"), F.col("top").alias("_top2"))
-        # the state has at most 2n rows per key (tree nodes), so the lookup is broadcast
-        state = (state.join(F.broadcast(up), [*keys, "anc"], "left")
-                 .select(*keys, "node",
-                         F.col("_anc2").alias("anc"),
-                         (F.col("acc") + F.coalesce("_acc2", F.lit(0))).alias("acc"),
-                         F.coalesce("_top2", "top").alias("top")))
-        state = materialize(state, "jump")
-    return state
-
-
-def cut_trees(merges: DataFrame, n: int, ts) -> DataFrame:
-    """(t, node, cluster): flat clusters 1..c of leaves 0..n-1, at most ``t`` groups, for every t.
-
-    The threshold is the smallest merge height leaving at most t groups;
-    every merge at or below it is applied, so equal heights may leave fewer
-    than t. With t >= n each leaf is its own group. Groups are numbered by
-    their smallest leaf. All cuts share one pointer-jumping run keyed by t.
+    keys = list(keys)
+    edges = materialize(merges.select(*keys, F.explode(F.array(
+        F.struct(F.col("left").alias("child"), F.lit(False).alias("is_right")),
+        F.struct(F.col("right").alias("child"), F.lit(True).alias("is_right")))).alias("e"),
+        "step", (F.col("step") + n).alias("parent")).select(*keys, "e.child", "e.is_right", "step", "parent"), "edges")
+    spark = merges.sparkSession
+    base = scratch_folder(spark, "ancestors")
+    above, count = _written(edges.select(*keys, F.col("child").alias("x"), F.col("parent").alias("y")), f"{base}/0")
+    before, rounds = -1, 0
+    while count != before:
+        before, rounds = count, rounds + 1
+        further = above.join(above.select(*keys, F.col("x").alias("y"), F.col("y").alias("z")), [*keys, "y"])
+        above, count = _written(above.unionByName(further.select(*keys, "x", F.col("z").alias("y"))).distinct(),
+                                f"{base}/{rounds}")
+    # a leaf lies under a merge on the side of the child it is, or is below
+    own = edges.select(*keys, F.col("child").alias("x"), F.col("child").alias("y"))
+    return (above.unionByName(own).filter(F.col("x") < n)
+            .join(edges.select(*keys, F.col("child").alias("y"), "step", "is_right"), [*keys, "y"])
+            .select(*keys, F.col("x").cast("int").alias("node"), "step", "is_right"))
+
+
+def cut_trees(merges: DataFrame, n: int, ts: Sequence[int], keys: Sequence[str] = (),
+              members: DataFrame | None = None) -> DataFrame:
+    """(keys..., t, node, cluster): flat clusters 1..c of the leaves, at most ``t`` groups, for every t.
+
+    The threshold of a cut is the smallest merge height that leaves at most t
+    groups; every merge at or below it is applied, so equal heights may leave
+    fewer than t. With t >= n each leaf is its own group. Groups are numbered
+    by their smallest leaf. A leaf's group is named by the last applied merge
+    above it, so all cuts come from the step order in one aggregate.
+    ``members`` are the ``tree_members``, if the caller has them.
     """
+    keys = list(keys)
     spark = merges.sparkSession
     ts = sorted({int(t) for t in ts})
-    # merges are numbered by height: cut t applies every merge with a height
-    # no larger than that of step n - t - 1 (the first n - t steps reach t
-    # groups; equal heights come along). The n - 1 heights of one tree are
-    # read once and each cut becomes the last step it applies.
-    heights = [r["height"] for r in merges.orderBy("step").select("height").collect()]
-    last_step = {}
-    for t in ts:
-        if t < n:
-            h = heights[n - t - 1]
-            last_step[t] = max(i for i, x in enumerate(heights) if x <= h)
-    cuts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in last_step.items()]) \
-        if last_step else F.array().cast("array<struct<t:int,s:int>>")
-    # each merge lists the cuts that apply it: a generator, no join
-    applied = (merges.select("*", F.explode(F.filter(cuts, lambda c: c["s"] >= F.col("step"))).alias("_cut"))
-               .select("step", "left", "right", "height", "size", F.col("_cut.t").cast("int").alias("t")))
-    edges = _edges(applied, n, keys=("t",))
-    leaves = spark.range(n).select(F.explode(F.array(*[F.lit(t) for t in ts])).alias("t"),
-                                   F.col("id").cast("int").alias("node"))
-    nodes = leaves.unionByName(applied.select("t", (F.col("step") + n).cast("int").alias("node")))
-    state = (nodes.join(edges.select("t", F.col("child").alias("node"), F.col("parent").alias("anc")),
-                        ["t", "node"], "left")
-             .select("t", "node", "anc", F.lit(0).cast("long").alias("acc"), F.coalesce("anc", "node").alias("top")))
-    leaf_root = _jump(state, ("t",)).filter(F.col("node") < n).select("t", "node", F.col("top").alias("root"))
-    first = leaf_root.groupBy("t", "root").agg(F.min("node").alias("_first"))
-    numbered = first.withColumn("cluster", F.dense_rank().over(Window.partitionBy("t").orderBy("_first")).cast("int"))
-    return leaf_root.join(numbered, ["t", "root"]).select("t", "node", "cluster")
+    members = tree_members(merges, n, keys) if members is None else members
+    # without keys the one tree is keyed by a value that is 0 for every step, so the join stays an equi join
+    one = keys or ["_tree"]
+    heights = merges.select(*keys, "step", "height", *([] if keys else [F.pmod(F.xxhash64("step"), F.lit(1)).alias("_tree")]))
+    cuts = heights.select(*one, "height", F.explode(F.filter(
+        F.array(*map(F.lit, ts)), lambda t: F.lit(n - 1) - t == F.col("step"))).alias("t")).groupBy(*one).agg(
+        F.collect_list(F.struct("t", F.col("height").alias("most"))).alias("cuts"))
+    placed = members.join(heights, [*keys, "step"]).join(cuts, one)
+    applied = placed.select(*keys, "node", "step", F.explode(F.filter(
+        "cuts", lambda c: c["most"] >= F.col("height"))["t"]).alias("t"))
+    last = applied.groupBy(*keys, "t", "node").agg(F.max("step").alias("last"))
+    trees = merges.select(*keys).distinct() if keys else spark.range(1)
+    leaves = trees.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("node")).select(
+        *keys, "node", F.explode(F.array(*map(F.lit, ts))).alias("t"))
+    rooted = leaves.join(last, [*keys, "t", "node"], "left").withColumn(
+        "root", F.coalesce(F.col("last") + n, F.col("node")))
+    first = rooted.groupBy(*keys, "t", "root").agg(F.min("node").alias("first"))
+    numbered = first.withColumn("cluster", F.row_number().over(Window.partitionBy(*keys, "t").orderBy("first")).cast("int"))
+    return rooted.join(numbered, [*keys, "t", "root"]).select(*keys, "t", "node", "cluster")
 
 
 def cut_tree(merges: DataFrame, n: int, t: int) -> DataFrame:
-    """(node, cluster) for one cut; see ``cut_trees``."""
+    """(node, cluster) for one cut of one tree; see ``cut_trees``."""
     return cut_trees(merges, n, [t]).drop("t")
 
 
-def leaf_order(merges: DataFrame, n: int) -> DataFrame:
-    """(position, node): leaves in dendrogram order, left (smaller id) subtree first.
+def leaf_order(merges: DataFrame, n: int, keys: Sequence[str] = (), members: DataFrame | None = None) -> DataFrame:
+    """(keys..., position, node): leaves in dendrogram order, left (smaller id) subtree first.
 
-    A leaf's position is the sum, over its ancestors where it lies in the
-    right subtree, of the size of the left subtree: pointer jumping sums it.
+    A leaf's position is the sum, over the merges it lies in on the right, of
+    the leaves on the left.
     """
+    keys = list(keys)
     spark = merges.sparkSession
     if n == 1:
         return spark.createDataFrame([(0, 0)], "position int, node int")
-    edges = _edges(merges, n)
-    nodes = spark.range(2 * n - 1).select(F.col("id").cast("int").alias("node"))
-    state = (nodes.join(edges.select(F.col("child").alias("node"), F.col("parent").alias("anc"),
-                                     F.when(F.col("is_right"), F.col("left_size")).otherwise(0).alias("acc")),
-                        "node", "left")
-             .select("node", "anc", F.coalesce("acc", F.lit(0)).cast("long").alias("acc"),
-                     F.coalesce("anc", "node").alias("top")))
-    done = _jump(state)
-    return (done.filter(F.col("node") < n)
-            .select(F.col("acc").cast("int").alias("position"), "node"))
+    members = tree_members(merges, n, keys) if members is None else members
+    left = members.groupBy(*keys, "step").agg(F.count(F.when(~F.col("is_right"), 1)).alias("before"))
+    return (members.join(left, [*keys, "step"]).groupBy(*keys, "node")
+            .agg(F.sum(F.when(F.col("is_right"), F.col("before")).otherwise(0)).cast("int").alias("position"))
+            .select(*keys, "position", "node"))

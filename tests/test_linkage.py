@@ -1,6 +1,8 @@
 import numpy as np
 
-from setscope.operators.linkage import centroid_frame, complete_linkage, cut_trees, leaf_order
+import pytest
+
+from setscope.operators.linkage import centroid_frame, complete_linkage, cut_tree, cut_trees, leaf_order, tree_members
 
 
 def naive_complete(X):
@@ -34,29 +36,94 @@ def dfs_order(Z, n):
     return walk(2 * n - 2)
 
 
-def test_linkage_cut_and_leaf_order_match_reference_loops(spark):
-    X = np.random.default_rng(7).normal(size=(12, 3))
-    merges = complete_linkage(centroid_frame(spark, X))
+def flat(Z, n, t):
+    """Partition after every merge whose height is at most that of the first one leaving t groups."""
+    root = list(range(2 * n - 1))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    limit = Z[n - t - 1][2] if t < n else -1
+    for s, (a, b, h, _) in enumerate(Z):
+        if h <= limit:
+            root[find(a)] = root[find(b)] = n + s
+    groups = {}
+    for leaf in range(n):
+        groups.setdefault(find(leaf), []).append(leaf)
+    return sorted(groups.values())
+
+
+def grid(n):
+    """Points on a lattice: many equal distances."""
+    return np.array([[i % 4, i // 4] for i in range(n)], dtype=float)
+
+
+CASES = {"random60": np.random.default_rng(7).normal(size=(60, 3)), "small": np.random.default_rng(1).normal(size=(12, 3)),
+         "line": np.array([[float(2**i)] for i in range(12)])}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_tree_cuts_and_order_match_plain_loops(spark, name):
+    X = CASES[name]
+    n = len(X)
+    merges = complete_linkage(centroid_frame(spark, X)).cache()
     got = [(r.left, r.right, r.height, r.size) for r in merges.orderBy("step").collect()]
     ref = naive_complete(X)
     assert [(a, b, s) for a, b, _, s in got] == [(a, b, s) for a, b, _, s in ref]
     assert np.allclose([g[2] for g in got], [r[2] for r in ref])
-    order = [r.node for r in leaf_order(merges, 12).orderBy("position").collect()]
-    assert order == dfs_order(ref, 12)
-    cuts = cut_trees(merges, 12, [1, 3, 5, 12, 20]).collect()
-    groups = {}
-    for r in cuts:
-        groups.setdefault(r.t, set()).add(r.cluster)
-    assert {t: len(g) for t, g in groups.items()} == {1: 1, 3: 3, 5: 5, 12: 12, 20: 12}
-
-
-def test_tied_heights_give_at_most_t_groups(spark):
-    square = np.array([[0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 1.0]])
-    merges = complete_linkage(centroid_frame(spark, square))
-    cuts = cut_trees(merges, 4, [1, 2, 3]).collect()
-    per_t = {}
-    for r in cuts:
-        per_t.setdefault(r.t, set()).add(r.cluster)
-    assert len(per_t[1]) == 1 and len(per_t[2]) <= 2 and len(per_t[3]) <= 3
-    # numbering starts at 1 with the group of leaf 0
-    assert {r.cluster for r in cuts if r.node == 0} == {1}
+    members = tree_members(merges, n).cache()
+    order = [r.node for r in leaf_order(merges, n, members=members).orderBy("position").collect()]
+    assert order == dfs_order(ref, n)
+    ts = [1, 2, 3, 5, 11, n - 1, n, n + 9]
+    cuts = {}
+    for r in cut_trees(merges, n, ts, members=members).collect():
+        cuts.setdefault(r.t, {}).setdefault(r.cluster, []).append(r.node)
+    for t in ts:
+        groups = [sorted(cuts[t][c]) for c in sorted(cuts[t])]
+        assert groups == sorted(groups) == flat(ref, n, t)
+
+
+def test_equal_distances_merge_the_closest_clusters_and_cut_to_at_most_t(spark):
+    """Among ties the order of merging may differ from a plain loop, but every merge must be a closest pair."""
+    X = grid(20)
+    n = len(X)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    merges = complete_linkage(centroid_frame(spark, X)).cache()
+    clusters, Z = {i: [i] for i in range(n)}, []
+    for r in merges.orderBy("step").collect():
+        a, b = clusters.pop(r.left), clusters.pop(r.right)
+        assert np.isclose(r.height, D[np.ix_(a, b)].max()) and r.size == len(a) + len(b)
+        others = [D[np.ix_(x, y)].max() for i, x in clusters.items() for j, y in clusters.items() if i < j]
+        others += [D[np.ix_(x, y)].max() for x in (a, b) for y in clusters.values()]
+        assert r.height <= min(others, default=np.inf) + 1e-9
+        clusters[n + len(Z)] = a + b
+        Z.append((r.left, r.right, r.height, r.size))
+    got = {}
+    for r in cut_trees(merges, n, [1, 2, 4, 7, 19]).collect():
+        got.setdefault(r.t, {}).setdefault(r.cluster, []).append(r.node)
+    for t, groups in got.items():
+        assert sorted(map(sorted, groups.values())) == flat(Z, n, t) and len(groups) <= t
+        assert 0 in groups[1]
+
+
+def test_two_trees_in_one_run_equal_two_runs(spark):
+    rng = np.random.default_rng(2)
+    X = {"raw": rng.normal(size=(15, 4)), "pca": rng.normal(size=(15, 2))}
+    points = centroid_frame(spark, X["raw"], kind_of="raw").unionByName(centroid_frame(spark, X["pca"], kind_of="pca"))
+    merges = complete_linkage(points, keys=["kind_of"]).cache()
+    cuts = cut_trees(merges, 15, [4, 20], ["kind_of"]).cache()
+    order = leaf_order(merges, 15, ["kind_of"]).cache()
+    for kind, x in X.items():
+        one = complete_linkage(centroid_frame(spark, x))
+        pick = lambda df: sorted(tuple(r) for r in df.filter(f"kind_of = '{kind}'").drop("kind_of").collect())
+        assert pick(merges) == sorted(tuple(r) for r in one.collect())
+        assert pick(order) == sorted(tuple(r) for r in leaf_order(one, 15).collect())
+        assert sorted(r[1:] for r in pick(cuts) if r[0] == 4) == sorted(tuple(r) for r in cut_tree(one, 15, 4).collect())
+
+
+def test_single_point_has_no_merges(spark):
+    merges = complete_linkage(centroid_frame(spark, [[1.0]]))
+    assert merges.count() == 0
+    assert [tuple(r) for r in leaf_order(merges, 1).collect()] == [(0, 0)]
