@@ -1,31 +1,15 @@
-"""K-means fits and sweeps, elbow cost, wcss and silhouette."""
+"""K-means fits, elbow cost, wcss and silhouette."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def kmeans(features: DataFrame, k: int, col: str = "features", seed: int = 1) -> KMeansModel:
-    """MLlib k-means|| with Spark defaults and a fixed seed (M9)."""
-    return (KMeans().setK(k).setFeaturesCol(col).setPredictionCol("prediction").setSeed(seed)
-            .fit(features))
-
-
-def kmeans_sweep(features: DataFrame, ks: Sequence[int], col: str = "features",
-                 seed: int = 1) -> dict[int, KMeansModel]:
-    """One model per k on one persisted frame (M10). The caller persists ``features``."""
-    return {k: kmeans(features, k, col, seed) for k in ks}
-
-
-def assign(model: KMeansModel, features: DataFrame) -> DataFrame:
-    """Rows of ``features`` with their ``prediction`` (M11): a map-only step."""
-    return model.transform(features)
+from setscope.session import materialize
 
 
 def elbow(spark: SparkSession, models: dict[int, KMeansModel]) -> DataFrame:
@@ -34,45 +18,36 @@ def elbow(spark: SparkSession, models: dict[int, KMeansModel]) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, cost double")
 
 
-def vector_entries(df: DataFrame, col: str = "features", keep: Sequence[str] = ("id",)) -> DataFrame:
-    """Long form (keep..., dim, value) of the non-zero entries of a vector column."""
-    return (df.select(*keep, F.posexplode(vector_to_array(col)).alias("dim", "value"))
-            .filter(F.col("value") != 0))
+def set_entries(items_col: str = "archives"):
+    """Entries of a 0/1 itemset vector: one (dim = code, value 1.0) per code."""
+    return F.transform(items_col, lambda c: F.struct(c.alias("dim"), F.lit(1.0).alias("value")))
 
 
-def itemset_entries(items: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
-    """Long form of 0/1 itemset vectors: one (dim = code, value 1.0) per code."""
-    return items.select(*keep, F.explode("archives").alias("dim"), F.lit(1.0).alias("value"))
+def vector_entries(col: str = "features"):
+    """Entries of a dense or sparse vector: one (dim, value) per non-zero coordinate."""
+    numbered = F.transform(vector_to_array(col), lambda v, i: F.struct(i.alias("dim"), v.alias("value")))
+    return F.filter(numbered, lambda e: e["value"] != 0)
 
 
-def wcss(points: DataFrame, entries: DataFrame, cluster_col: str = "cluster",
-         by: Sequence[str] = ()) -> DataFrame:
-    """(cluster, size, wcss): within-cluster sum of squared distances to the mean.
+def wcss(points: DataFrame, by: Sequence[str] = (), cluster_col: str = "cluster") -> DataFrame:
+    """(by..., cluster, size, wcss): within-cluster sum of squared distances to the mean.
 
-    ``points`` has one row per point (id, cluster); ``entries`` its non-zero
-    coordinates (id, dim, value). Per cluster and dimension
-    sum(v^2) - sum(v)^2 / n: plain aggregates, no pairwise work.
+    ``points`` (by..., cluster, weight, entries) holds weighted points with
+    their non-zero coordinates as array<struct<dim, value>>. Per cluster and
+    dimension sum(w v^2) - sum(w v)^2 / n; an entry without dimension counts
+    the weights, so one pass and two aggregates do it, without a join.
     """
     keys = [*by, cluster_col]
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    per_dim = (entries.join(points.select("id", *keys), "id")
-               .groupBy(*keys, "dim")
-               .agg(F.sum("value").alias("_s1"), F.sum(F.col("value") * F.col("value")).alias("_s2")))
-    spread = (per_dim.join(sizes, keys)
-              .groupBy(*keys)
-              .agg(F.sum(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("size")).alias("wcss"),
-                   F.first("size").alias("size")))
-    return (sizes.join(spread.drop("size"), keys, "left")
-            .select(*[F.col(k) for k in keys], F.col("size").cast("int").alias("size"),
-                    F.coalesce("wcss", F.lit(0.0)).alias("wcss")))
-
-
-def silhouette(predictions: DataFrame, features_col: str = "features",
-               prediction_col: str = "prediction") -> float:
-    """Mean silhouette with squared Euclidean distance (M13), MLlib's O(N k) form."""
-    ev = ClusteringEvaluator(featuresCol=features_col, predictionCol=prediction_col,
-                             metricName="silhouette", distanceMeasure="squaredEuclidean")
-    return float(ev.evaluate(predictions))
+    size = F.array(F.struct(F.lit(None).alias("dim"), F.lit(1.0).alias("value")))
+    w, v = F.col("weight").cast("double"), F.col("e.value")
+    per_dim = (points.select(*keys, "weight", F.explode(F.concat(size, F.col("entries"))).alias("e"))
+               .groupBy(*keys, F.col("e.dim").alias("dim")).agg(F.sum(w * v).alias("s1"), F.sum(w * v * v).alias("s2")))
+    marker = F.col("dim").isNull()
+    totals = per_dim.groupBy(*keys).agg(
+        F.max(F.when(marker, F.col("s1"))).alias("n"), F.sum(F.when(~marker, F.col("s2"))).alias("squares"),
+        F.sum(F.when(~marker, F.col("s1") * F.col("s1"))).alias("sums"))
+    return totals.select(*keys, F.col("n").cast("long").alias("size"),
+                         F.coalesce(F.col("squares") - F.col("sums") / F.col("n"), F.lit(0.0)).alias("wcss"))
 
 
 def kmeans_weighted(points: DataFrame, k: int, col: str = "features", seed: int = 1,
@@ -83,23 +58,6 @@ def kmeans_weighted(points: DataFrame, k: int, col: str = "features", seed: int
             .setWeightCol(weight_col).fit(points))
 
 
-def weighted_wcss(points: DataFrame, entries: DataFrame, by: Sequence[str] = (),
-                  cluster_col: str = "cluster", weight_col: str = "weight") -> DataFrame:
-    """(by..., cluster, size, wcss) for weighted points (pid, cluster, weight) and
-    their non-zero entries (pid, dim, value)."""
-    keys = [*by, cluster_col]
-    p = points.select(*by, "pid", cluster_col, F.col(weight_col).alias("_w"))
-    sizes = p.groupBy(*keys).agg(F.sum("_w").alias("size"))
-    per_dim = (entries.join(p, [*by, "pid"])
-               .groupBy(*keys, "dim")
-               .agg(F.sum(F.col("_w") * F.col("value")).alias("_s1"),
-                    F.sum(F.col("_w") * F.col("value") * F.col("value")).alias("_s2")))
-    spread = (per_dim.join(sizes, keys).groupBy(*keys)
-              .agg(F.sum(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("size")).alias("wcss")))
-    return (sizes.join(spread, keys, "left")
-            .select(*keys, F.col("size").cast("long").alias("size"), F.coalesce("wcss", F.lit(0.0)).alias("wcss")))
-
-
 def weighted_silhouette(points: DataFrame, by: Sequence[str] = (), cluster_col: str = "cluster",
                         weight_col: str = "weight", entries_col: str = "entries") -> DataFrame:
     """(by..., score): mean silhouette (squared Euclidean) of weighted points.
@@ -114,12 +72,14 @@ def weighted_silhouette(points: DataFrame, by: Sequence[str] = (), cluster_col:
     other c of S(i, c) / n_c.
 
     The per-cluster sums of a clustering (k rows, each with at most one
-    entry per dimension) are attached to every point of that clustering by
-    a broadcast join on ``by`` and every S(i, c) is computed in the row:
-    O(points x k x non-zeros) arithmetic, no pairing of points and no
-    point x cluster rows.
+    entry per dimension) are written once and joined to every point of that
+    clustering, by the planner's choice of join, and every S(i, c) is computed
+    in the row: O(points x k x non-zeros) arithmetic, no pairing of points and
+    no point x cluster rows.
     """
-    keys = list(by)
+    keys = [*by] or ["_all"]
+    # one clustering is keyed by a value that is 0 for every cluster, so the join stays an equi join
+    points = points if by else points.withColumn("_all", F.pmod(F.xxhash64(cluster_col), F.lit(1)))
     q = F.aggregate(entries_col, F.lit(0.0), lambda acc, e: acc + e["value"] * e["value"])
     p = points.select(*keys, F.col(cluster_col).alias("_c"), F.col(weight_col).cast("double").alias("_w"),
                       F.col(entries_col).alias("_e"), q.alias("q"))
@@ -128,41 +88,22 @@ def weighted_silhouette(points: DataFrame, by: Sequence[str] = (), cluster_col:
             .groupBy(*keys, "_c", F.col("_x.dim").alias("dim"))
             .agg(F.sum(F.col("_w") * F.col("_x.value")).alias("y"))
             .groupBy(*keys, "_c").agg(F.map_from_entries(F.collect_list(F.struct("dim", "y"))).alias("ym")))
-    per_cluster = totals.join(sums, [*keys, "_c"], "left")
-    # the point's own cluster sums as columns (k rows per clustering, broadcast)
-    own = per_cluster.select(*keys, "_c", F.col("n").alias("_on"), F.col("psi").alias("_opsi"),
-                             F.col("ym").alias("_oym"))
-    p = p.join(F.broadcast(own), [*keys, "_c"])
-    if keys:
-        stat_list = per_cluster.groupBy(*keys).agg(
-            F.collect_list(F.struct(F.col("_c").alias("c"), "n", "psi", "ym")).alias("_st"))
-        # one row per clustering holding at most k cluster sums
-        joined = p.join(F.broadcast(stat_list), keys)
-    else:
-        # a single clustering: its k cluster sums become a literal
-        lit = F.array(*[F.struct(F.lit(r["_c"]).alias("c"), F.lit(float(r["n"])).alias("n"),
-                                 F.lit(float(r["psi"])).alias("psi"),
-                                 (F.create_map(*[F.lit(x) for kv in (r["ym"] or {}).items() for x in kv])
-                                  if r["ym"] else F.create_map()).alias("ym"))
-                        for r in per_cluster.collect()])
-        joined = p.withColumn("_st", lit)
+    per_cluster = materialize(totals.join(sums, [*keys, "_c"], "left"), "cluster-sums")
+    stats = per_cluster.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_c").alias("c"), "n", "psi", "ym")).alias("_st"))
+    joined = p.join(stats, keys).withColumn("_own", F.filter("_st", lambda st: st["c"] == F.col("_c"))[0])
 
     def s_of(n, psi, ym):
         dot = F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(
             F.try_element_at(ym, e["dim"]), F.lit(0.0)))
         return F.col("q") * n + psi - 2 * dot
 
-    a = s_of(F.col("_on"), F.col("_opsi"), F.col("_oym")) / (F.col("_on") - 1)
+    own = F.col("_own")
+    a = s_of(own["n"], own["psi"], own["ym"]) / (own["n"] - 1)
     # one pass over the other clusters keeping the smallest mean distance
     b = F.aggregate("_st", F.lit(None).cast("double"),
                     lambda acc, st: F.when(st["c"] == F.col("_c"), acc)
                     .otherwise(F.least(acc, s_of(st["n"], st["psi"], st["ym"]) / st["n"])))
-    sil = (F.when((F.col("_on") <= 1) | b.isNull(), F.lit(0.0))
+    sil = (F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0))
            .when(a < b, 1 - a / b).when(a > b, b / a - 1).otherwise(F.lit(0.0)))
     per_point = joined.select(*keys, "_w", sil.alias("_s"))
-    return per_point.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_s")) / F.sum("_w")).alias("score"))
-
-
-def set_entries(items_col: str = "archives"):
-    """Entries of a 0/1 itemset vector: one (dim = code, value 1.0) per code."""
-    return F.transform(items_col, lambda c: F.struct(c.alias("dim"), F.lit(1.0).alias("value")))
+    return per_point.groupBy(*by).agg((F.sum(F.col("_w") * F.col("_s")) / F.sum("_w")).alias("score"))

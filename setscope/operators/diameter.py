@@ -4,23 +4,27 @@ Exact, without pairing every point with every other:
 
 1. points are deduplicated per cluster (a cluster of one distinct point has
    diameter 0.0);
-2. farthest-point passes give a lower bound L per cluster (each pass is one
-   join with one pivot row per cluster and one grouped max);
-3. the bound L is the distance of a pair (u, v); two points inside the ball
-   of radius L/2 around the midpoint of u and v are at most L apart, so a
-   longer pair has an endpoint outside that ball. Only those outside points
-   get partners, and only partners that upper bounds do not rule out; the
-   answer is the larger of L and the best of these pairs.
+2. farthest-point passes give a lower bound L per cluster; each pass reads the
+   points once and writes one pivot row per cluster;
+3. L is the distance of a pair (u, v); two points inside the ball of radius
+   L/2 around the midpoint of u and v are at most L apart, so a longer pair
+   has an endpoint outside that ball. Only those outside points get partners,
+   and only partners that upper bounds do not rule out; the answer is the
+   larger of L and the best of these pairs.
 
 For 0/1 itemsets d^2 = |A| + |B| - 2|A & B| <= |A| + |B|, so a partner must
 have |A| + |B| > L^2: the pair join is an equi join on (cluster, partner
-size). For dense vectors the bound is the triangle inequality through the
-pivots: d(A, B) <= d(A, p) + d(B, p).
+size), salted so that one size of one cluster is spread over tasks. Itemsets
+are packed into longs, one bit per code, so a distance is a bit count. For
+dense vectors the bound is the triangle inequality through the pivots; points
+are dealt into blocks, and a pair of blocks is a join key of its own, so a hot
+cluster is spread over B (B + 1) / 2 keys and every unordered pair is met once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -29,10 +33,27 @@ from pyspark.sql import functions as F
 from setscope.session import materialize
 
 EPS = 1e-9
+#: Keys that the partners of one size, and blocks that the points of one cluster, are dealt over.
+SALTS = 8
+BLOCKS = 8
 
 
-def _set_d2(a: Column, b: Column) -> Column:
-    return F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))
+def pack_items(col: str, codes: Sequence) -> Column:
+    """An itemset as longs with one bit per code of ``codes``, 64 codes to a long."""
+    place = F.transform(col, lambda c: F.array_position(F.lit(list(codes)), c) - 1)
+    words = F.sequence(F.lit(0), F.lit(max(0, len(codes) - 1) // 64))
+    bit = F.array(*[F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(64)])
+    return F.transform(words, lambda w: F.aggregate(
+        F.filter(place, lambda p: F.floor(p / 64) == w), F.lit(0).cast("long"),
+        lambda a, p: a.bitwiseOR(F.get(bit, (p % 64).cast("int")))))
+
+
+def _bits(words: Column, n: int) -> Column:
+    return reduce(lambda a, b: a + b, [F.bit_count(words[i]) for i in range(n)])
+
+
+def _set_d2(a: Column, b: Column, n: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(n)])
 
 
 def _vec_d2(a: Column, b: Column) -> Column:
@@ -40,43 +61,47 @@ def _vec_d2(a: Column, b: Column) -> Column:
 
 
 def _farthest(pts: DataFrame, keys: list[str], pivots: DataFrame, d2) -> DataFrame:
-    """For each cluster: the point farthest from its pivot and that distance.
+    """For each cluster the point farthest from its pivot ``_pv`` and the distance; written, one row per cluster."""
+    j = pts.join(pivots.select(*keys, "_pv"), keys).withColumn("_d2", d2(F.col("_p"), F.col("_pv")))
+    best = F.max(F.struct("_d2", "_p"))
+    return materialize(j.groupBy(*keys).agg(best.alias("_m")).select(
+        *keys, F.col("_m._p").alias("_pv"), F.col("_m._d2").alias("_r2")), "pivots")
 
-    ``pivots`` holds one row per cluster, so it is broadcast.
-    """
-    j = pts.join(F.broadcast(pivots), keys).withColumn("_d2", d2(F.col("_p"), F.col("_pv")))
-    return j.groupBy(*keys).agg(F.max_by("_p", F.struct("_d2", "_p")).alias("_pv"),
-                                F.max("_d2").alias("_r2"))
 
+def itemset_diameter(df: DataFrame, keys: Sequence[str], items_col: str = "archives",
+                     codes: Sequence | None = None) -> DataFrame:
+    """(keys..., value): diameter of the 0/1 vectors of each cluster's itemsets.
 
-def itemset_diameter(df: DataFrame, keys: Sequence[str], items_col: str = "archives") -> DataFrame:
-    """(keys..., value): diameter of the 0/1 vectors of each cluster's itemsets."""
+    ``codes`` is the code domain; without it the distinct codes are read first.
+    """
     keys = list(keys)
+    if codes is None:
+        codes = [r[0] for r in df.select(F.explode(items_col).alias("c")).distinct().orderBy("c").collect()]
+    n = max(1, -(-len(codes) // 64))
     # distinct points are read by every pass: computed once and written
-    pts = materialize(df.select(*keys, F.col(items_col).alias("_p")).distinct()
-                      .withColumn("_s", F.size("_p")), "diameter-points")
-    p0 = pts.groupBy(*keys).agg(F.max_by("_p", F.struct("_s", "_p")).alias("_pv"),
-                                F.max("_s").alias("_smax"))
-    p1 = _farthest(pts, keys, p0.select(*keys, "_pv"), _set_d2)
-    p2 = _farthest(pts, keys, p1.select(*keys, "_pv"), _set_d2)
+    packed = df.select(*keys, pack_items(items_col, codes).alias("_p")).distinct()
+    pts = materialize(packed.withColumn("_s", _bits(F.col("_p"), n)), "diameter-points")
+    d2 = lambda a, b: _set_d2(a, b, n)
+    p0 = materialize(pts.groupBy(*keys).agg(F.max(F.struct("_s", "_p")).alias("_m")).select(
+        *keys, F.col("_m._p").alias("_pv"), F.col("_m._s").alias("_smax")), "pivots")
+    p1 = _farthest(pts, keys, p0, d2)
+    p2 = _farthest(pts, keys, p1, d2)
     # L^2 = d^2(u, v) with u the second pivot and v its farthest point (>= the first radius)
-    bound = (p0.select(*keys, "_smax")
-             .join(p1.select(*keys, F.col("_pv").alias("_u")), keys)
+    bound = (p0.select(*keys, "_smax").join(p1.select(*keys, F.col("_pv").alias("_u")), keys)
              .join(p2.select(*keys, F.col("_pv").alias("_v"), F.col("_r2").alias("_lb")), keys))
     # only points that can reach beyond the bound with the largest partner
-    cand = (pts.join(F.broadcast(bound), keys)
-            .filter(F.col("_s") + F.col("_smax") > F.col("_lb")))
-    # outside the ball around the midpoint m of u, v: 4|x - m|^2 > L^2 (exact integers)
+    cand = pts.join(bound, keys).filter(F.col("_s") + F.col("_smax") > F.col("_lb"))
+    # outside the ball around the midpoint m of u, v: 4|x - m|^2 = 2 d^2(x, u) + 2 d^2(x, v) - d^2(u, v) > L^2
     x, u, v = F.col("_p"), F.col("_u"), F.col("_v")
-    four_r2 = (4 * F.col("_s") - 4 * F.size(F.array_intersect(x, u)) - 4 * F.size(F.array_intersect(x, v))
-               + F.size(u) + F.size(v) + 2 * F.size(F.array_intersect(u, v)))
-    outside = cand.filter(four_r2 > F.col("_lb"))
-    left = outside.select(*keys, F.col("_p").alias("_a"),
-                          F.explode(F.sequence(F.greatest(F.col("_lb") + 1 - F.col("_s"), F.lit(1)),
-                                               F.col("_smax"))).alias("_sb"))
-    right = cand.select(*keys, F.col("_p").alias("_b"), F.col("_s").alias("_sb"))
-    pairs = (left.join(right, [*keys, "_sb"])
-             .groupBy(*keys).agg(F.max(_set_d2(F.col("_a"), F.col("_b"))).alias("_pair")))
+    cand = materialize(cand.select(*keys, "_p", "_s", "_smax", "_lb", (
+        2 * d2(x, u) + 2 * d2(x, v) - F.col("_lb") > F.col("_lb")).alias("_out")), "diameter-candidates")
+    left = cand.filter("_out").select(*keys, F.col("_p").alias("_a"), F.explode(F.sequence(
+        F.greatest(F.col("_lb") + 1 - F.col("_s"), F.lit(1)), F.col("_smax"))).alias("_sb")).select(
+        "*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+    right = cand.select(*keys, F.col("_p").alias("_b"), F.col("_s").alias("_sb"),
+                        F.pmod(F.xxhash64("_p"), F.lit(SALTS)).cast("int").alias("_salt"))
+    pairs = (left.join(right, [*keys, "_sb", "_salt"])
+             .groupBy(*keys).agg(F.max(d2(F.col("_a"), F.col("_b"))).alias("_pair")))
     return (bound.select(*keys, "_lb").join(pairs, keys, "left")
             .select(*keys, F.sqrt(F.greatest(F.col("_lb"), F.coalesce("_pair", F.lit(0))).cast("double"))
                     .alias("value")))
@@ -89,38 +114,35 @@ def vector_diameter(df: DataFrame, keys: Sequence[str], col: str = "features",
     arr = vector_to_array(col) if dict(df.dtypes)[col] == "vector" else F.col(col).cast("array<double>")
     pts = materialize(df.select(*keys, arr.alias("_p")).distinct(), "diameter-points")
     norm2 = F.aggregate("_p", F.lit(0.0), lambda s, v: s + v * v)
-    pv = (pts.groupBy(*keys).agg(F.max_by("_p", F.struct(norm2.alias("_n"), F.col("_p"))).alias("_pv")))
-    pivots, radii = [], []
-    for _ in range(passes):
+    pv = materialize(pts.groupBy(*keys).agg(F.max(F.struct(norm2.alias("_n"), F.col("_p"))).alias("_m")).select(
+        *keys, F.col("_m._p").alias("_pv")), "pivots")
+    # one small written row per cluster: every pivot, its radius, and the last farthest point
+    ctx = None
+    for i in range(passes):
         nxt = _farthest(pts, keys, pv, _vec_d2)
-        pivots.append(pv.withColumnRenamed("_pv", f"_q{len(pivots)}"))
-        radii.append(nxt.select(*keys, F.sqrt("_r2").alias(f"_R{len(radii)}")))
-        pv = nxt.select(*keys, "_pv")
+        own = pv.select(*keys, F.col("_pv").alias(f"_q{i}")).join(
+            nxt.select(*keys, F.sqrt("_r2").alias(f"_R{i}")), keys)
+        ctx = own if ctx is None else ctx.join(own, keys)
+        pv = nxt
     # radii never decrease along the passes: L = d(last pivot, its farthest point)
-    ctx = pivots[0]
-    for extra in pivots[1:] + radii + [pv.withColumnRenamed("_pv", "_v")]:
-        ctx = ctx.join(extra, keys)
-    last = f"_q{passes - 1}"
-    ctx = ctx.withColumn("_lb", F.col(f"_R{passes - 1}")).withColumn(
-        "_m", F.zip_with(last, "_v", lambda a, b: (a + b) / 2))
-    dist = [F.sqrt(_vec_d2(F.col("_p"), F.col(f"_q{i}"))) for i in range(passes)]
+    ctx = materialize(ctx.join(pv.select(*keys, F.col("_pv").alias("_v")), keys).withColumn(
+        "_lb", F.col(f"_R{passes - 1}")).withColumn(
+        "_m", F.zip_with(f"_q{passes - 1}", "_v", lambda a, b: (a + b) / 2)), "pivots")
     slack = F.lit(EPS) * (F.col("_lb") + F.lit(1.0))
-    with_d = pts.join(F.broadcast(ctx), keys).select(
-        *keys, "_p", "_lb", *[d.alias(f"_d{i}") for i, d in enumerate(dist)],
-        *[F.col(f"_R{i}") for i in range(passes)],
-        F.sqrt(_vec_d2(F.col("_p"), F.col("_m"))).alias("_dm"))
-    survive = F.lit(True)
-    for i in range(passes):
-        survive = survive & (F.col(f"_d{i}") + F.col(f"_R{i}") > F.col("_lb") - slack)
-    cand = with_d.filter(survive)
-    outside = cand.filter(F.col("_dm") > F.col("_lb") / 2 - slack)
-    a = outside.select(*keys, F.col("_p").alias("_a"), "_lb",
-                       *[F.col(f"_d{i}").alias(f"_a{i}") for i in range(passes)])
-    b = cand.select(*keys, F.col("_p").alias("_b"), *[F.col(f"_d{i}").alias(f"_b{i}") for i in range(passes)])
-    pair_ok = F.lit(True)
-    for i in range(passes):
-        pair_ok = pair_ok & (F.col(f"_a{i}") + F.col(f"_b{i}") > F.col("_lb") - F.lit(EPS) * (F.col("_lb") + 1))
-    pairs = (a.join(b, keys).filter(pair_ok)
-             .groupBy(*keys).agg(F.max(_vec_d2(F.col("_a"), F.col("_b"))).alias("_pair2")))
+    dist = F.array(*[F.sqrt(_vec_d2(F.col("_p"), F.col(f"_q{i}"))) for i in range(passes)])
+    radii = F.array(*[F.col(f"_R{i}") for i in range(passes)])
+    with_d = pts.join(ctx, keys).select(*keys, "_p", "_lb", dist.alias("_d"), radii.alias("_R"), (
+        F.sqrt(_vec_d2(F.col("_p"), F.col("_m"))) > F.col("_lb") / 2 - slack).alias("_out"),
+        F.pmod(F.xxhash64("_p"), F.lit(BLOCKS)).cast("int").alias("_block"))
+    reach = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: x + y), lambda s: s > F.col("_lb") - slack)
+    cand = materialize(with_d.filter(reach(F.col("_d"), F.col("_R"))).drop("_R"), "diameter-candidates")
+    one = cand.select(*keys, "_lb", F.col("_block").alias("_x"), F.explode(F.sequence(F.col("_block"), F.lit(BLOCKS - 1))).alias("_y"),
+                      F.col("_p").alias("_a"), F.col("_d").alias("_da"), F.col("_out").alias("_oa"))
+    two = cand.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_x"), F.col("_block").alias("_y"),
+                      F.col("_p").alias("_b"), F.col("_d").alias("_db"), F.col("_out").alias("_ob"))
+    met = one.join(two, [*keys, "_x", "_y"]).filter(
+        (F.col("_oa") | F.col("_ob")) & ((F.col("_x") < F.col("_y")) | (F.col("_a") < F.col("_b")))
+        & reach(F.col("_da"), F.col("_db")))
+    pairs = met.groupBy(*keys).agg(F.max(_vec_d2(F.col("_a"), F.col("_b"))).alias("_pair2"))
     return (ctx.select(*keys, "_lb").join(pairs, keys, "left")
             .select(*keys, F.greatest(F.col("_lb"), F.sqrt(F.coalesce("_pair2", F.lit(0.0)))).alias("value")))

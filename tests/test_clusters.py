@@ -6,26 +6,26 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from setscope.operators.clusters import (
-    itemset_entries, kmeans_weighted, set_entries, silhouette, wcss, weighted_silhouette, weighted_wcss)
+    elbow, kmeans_weighted, set_entries, vector_entries, wcss, weighted_silhouette)
 from setscope.operators.diameter import itemset_diameter, vector_diameter
 from setscope.operators.features import feature_vectors
+from setscope.plans.analysis import build_analysis
 from setscope.sources import bindings as B
 from setscope.sources.memberships import code_domain, itemsets
 
 
 def _weighted(items_with_cluster):
-    pts = (items_with_cluster.groupBy("archives", "cluster").agg(F.count("*").alias("weight"))
-           .withColumn("pid", F.concat_ws(",", F.col("archives").cast("string"), F.col("cluster").cast("string")))
-           .withColumn("entries", set_entries("archives")))
-    ent = pts.select("pid", F.explode("archives").alias("dim"), F.lit(1.0).alias("value"))
-    return pts, ent
+    return (items_with_cluster.groupBy("archives", "cluster").agg(F.count("*").alias("weight"))
+            .withColumn("entries", set_entries("archives")))
 
 
 def test_weighted_silhouette_equals_subject_level_evaluator(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
     m, _ = B.order_parttype(spark, SF_SMALL)
     it = itemsets(m).join(B.order_rule_clusters(spark, SF_SMALL, "B2"), "id")
-    ref = silhouette(feature_vectors(it, code_domain(m)), prediction_col="cluster")
-    pts, ent = _weighted(it)
+    ref = ClusteringEvaluator(predictionCol="cluster").evaluate(feature_vectors(it, code_domain(m)))
+    pts = _weighted(it)
     got = weighted_silhouette(pts).first().score
     keyed = weighted_silhouette(pts.withColumn("g", F.lit(1)), by=["g"]).first().score
     assert abs(keyed - got) < 1e-12
@@ -34,7 +34,7 @@ def test_weighted_silhouette_equals_subject_level_evaluator(spark):
 
 def test_silhouette_singleton_cluster_is_zero(spark):
     it = spark.createDataFrame([([1], 0), ([1, 2], 0), ([3], 1)], "archives array<int>, cluster int")
-    pts, ent = _weighted(it)
+    pts = _weighted(it)
     # point [3] is alone: silhouette 0; the other two compare to it
     score = weighted_silhouette(pts).first().score
     x = {"a": np.array([1, 0, 0]), "b": np.array([1, 1, 0]), "c": np.array([0, 0, 1])}
@@ -48,17 +48,17 @@ def test_wcss_matches_numpy_and_training_cost(spark):
     m, _ = B.order_parttype(spark, SF_SMALL)
     it = itemsets(m).join(B.order_rule_clusters(spark, SF_SMALL, "B2"), "id")
     codes = code_domain(m)
-    got = {r.cluster: r.wcss for r in wcss(it.select("id", "cluster"), itemset_entries(it)).collect()}
+    got = {r.cluster: r for r in wcss(_weighted(it)).collect()}
     rows = it.select("cluster", "archives").collect()
     for c in got:
         X = np.array([[1.0 if k in r.archives else 0.0 for k in codes] for r in rows if r.cluster == c])
-        assert abs(got[c] - ((X - X.mean(0)) ** 2).sum()) < 1e-6
+        assert abs(got[c].wcss - ((X - X.mean(0)) ** 2).sum()) < 1e-6 and got[c].size == len(X)
     base = feature_vectors(it.groupBy("archives").agg(F.count("*").alias("weight")), codes)
     model = kmeans_weighted(base, 3, seed=1)
-    pred = model.transform(base).withColumn("pid", F.col("archives")).withColumnRenamed("prediction", "cluster")
-    ent = pred.select("pid", F.explode("archives").alias("dim"), F.lit(1.0).alias("value"))
-    total = sum(r.wcss for r in weighted_wcss(pred, ent).collect())
+    pred = model.transform(base).withColumnRenamed("prediction", "cluster").withColumn("entries", set_entries("archives"))
+    total = sum(r.wcss for r in wcss(pred).collect())
     assert abs(total - model.summary.trainingCost) < 1e-6 * max(1.0, total)
+    assert {r.cluster: r.cost for r in elbow(spark, {3: model}).collect()} == {3: model.summary.trainingCost}
 
 
 def _brute_sets(rows):
@@ -100,25 +100,48 @@ def test_vector_diameter_equals_brute_force(spark):
         assert abs(got[c] - ref) < 1e-9
 
 
-def test_kmeans_sweep_assign_and_elbow(spark):
-    from setscope.operators.clusters import assign, elbow, kmeans_sweep
-
-    m, _ = B.order_nation(spark, SF_SMALL)
-    feats = feature_vectors(itemsets(m), code_domain(m)).persist()
-    models = kmeans_sweep(feats, [2, 3])
-    rows = {r.cluster: r.cost for r in elbow(spark, models).collect()}
-    assert set(rows) == {2, 3} and rows[3] <= rows[2] + 1e-9
-    pred = assign(models[3], feats)
-    assert pred.select("prediction").distinct().count() <= 3 and pred.count() == feats.count()
-    feats.unpersist()
-
-
 def test_wcss_on_dense_vectors_matches_numpy(spark):
-    from setscope.operators.clusters import vector_entries
-
     pts = B.embedding_points(spark, SF_SMALL)
-    got = {r.cluster: r.wcss for r in wcss(pts.select("id", "cluster"), vector_entries(pts)).collect()}
+    got = {r.cluster: r.wcss for r in wcss(pts.select(
+        "cluster", F.lit(1).alias("weight"), vector_entries().alias("entries"))).collect()}
     rows = pts.collect()
     for c, value in got.items():
         X = np.array([r.features.toArray() for r in rows if r.cluster == c])
         assert abs(value - ((X - X.mean(0)) ** 2).sum()) < 1e-6 * max(1.0, value)
+
+
+def test_itemsets_of_more_than_64_codes_and_hot_cluster(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0 if i < 300 else 1, tuple(sorted(set(int(v) for v in rng.integers(0, 150, size=int(rng.integers(1, 9)))))))
+            for i in range(330)]
+    df = spark.createDataFrame([(c, list(s)) for c, s in rows], "cluster int, archives array<int>")
+    got = {r.cluster: r.value for r in itemset_diameter(df, ["cluster"]).collect()}
+    ref = _brute_sets(rows)
+    assert all(abs(got[c] - ref[c]) < 1e-12 for c in ref)
+
+
+def test_pairs_of_a_hot_cluster_are_spread_over_block_pairs(spark):
+    """One cluster of all points: the pair join has a key for every pair of blocks."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(0, rng.normal(size=8).tolist()) for _ in range(400)], "cluster int, features array<double>")
+    out = vector_diameter(df, ["cluster"])
+    X = np.array([r.features for r in df.collect()])
+    assert abs(out.first().value - max(np.linalg.norm(X - x, axis=1).max() for x in X)) < 1e-9
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_x" in plan and "_y" in plan
+
+
+def test_assigned_runs_all_models_in_one_pass(spark):
+    from setscope.plans.explore import assigned, exploded
+
+    m, _ = B.order_nation(spark, SF_SMALL)
+    an = build_analysis(m)
+    models = {("raw", k): kmeans_weighted(an.base, k, seed=1) for k in (2, 3)}
+    wide = assigned(an, models, ("analysis_type", "k"))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 1 and "Union" not in plan
+    got = {(r.k, tuple(r.archives)): r.prediction for r in exploded(wide).collect()}
+    for (_, k), model in models.items():
+        for r in model.transform(an.base).collect():
+            assert got[k, tuple(r.archives)] == r.prediction
+    an.release()
