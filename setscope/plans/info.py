@@ -10,11 +10,16 @@ from setscope.sources.memberships import run_stats
 
 
 def parameter_rows(spark: SparkSession, opts: Options, data_table: str = "", registry_table: str = "",
-                   saving_path: str = "") -> DataFrame:
-    """(key, value) rows of the job parameters, values as text."""
+                   saving_path: str = "", sample_fraction: float = 1.0) -> DataFrame:
+    """(key, value) rows of the job parameters, values as text.
+
+    ``sample_fraction`` is the fraction that was applied. The database name is
+    the part of ``data_table`` before the dot.
+    """
+    # fixed values: the keys are the output contract of the info dataset
     params = {
-        "saving_path": saving_path, "data_table": data_table, "registry_table": registry_table,
-        "sample_data_table": opts.sample_fraction, "K": opts.big_k,
+        "saving_path": saving_path, "db_name": data_table.rpartition(".")[0], "data_table": data_table,
+        "registry_table": registry_table, "sample_data_table": sample_fraction, "K": opts.big_k,
         "lower_k": opts.k_low, "upper_k": opts.k_high, "lower_t": opts.t_low, "upper_t": opts.t_high,
         "optimal_k_raw": opts.opt_k_raw, "optimal_k_pca": opts.opt_k_pca,
         "optimal_t_raw": opts.opt_t_raw, "optimal_t_pca": opts.opt_t_pca,

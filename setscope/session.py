@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: (application, folder) given out by ``scratch_folder``.
+_WRITTEN: list[tuple[str, str]] = []
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8,
                   driver_memory: str = "8g", extra: dict | None = None) -> SparkSession:
@@ -54,19 +58,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder name under the checkpoint folder; ``release_tables`` deletes it."""
+    path = f"{ensure_checkpoint_dir(spark)}/setscope-{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def materialize(df, tag: str = "state", partition_by: str | None = None):
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but computes the plan once (a
     checkpoint of an un-cached frame runs it twice). The folder is the
-    shared ``spark.checkpoint.dir``; each call uses a fresh sub-folder.
+    shared ``spark.checkpoint.dir``; each call uses a fresh sub-folder, which
+    stays until ``release_tables``.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/setscope-{tag}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, tag)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the scratch folders of this application; returns how many.
+
+    Frames that still read one of them fail afterwards, so it is called when
+    a job's results are written.
+    """
+    own = [(app, path) for app, path in _WRITTEN if app == spark.sparkContext.applicationId]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for entry in own:
+        folder = hadoop.Path(entry[1])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _WRITTEN.remove(entry)
+    return len(own)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -39,27 +40,65 @@ def read_result(spark: SparkSession, path: str, schema=None, fmt: str = "orc",
         raise
 
 
-def upsert_by_key(old: DataFrame | None, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert_by_key(old: DataFrame | None, new: DataFrame, keys: Sequence[str],
+                  order: Sequence[str] = ()) -> DataFrame:
     """Overlay ``new`` on ``old``: new rows win per key, other old keys stay.
 
-    A union plus a ranking per key: works for any table size, no driver map.
+    One row per key, also on a first run (``old`` None). Of several rows of a
+    key in one frame the one with the largest ``order`` columns wins, then
+    the one with the smallest hash of all columns. All columns of both frames
+    stay: a column that ``new`` lacks keeps its stored value, one that
+    ``old`` lacks is NULL for the rows that are not replaced. A union plus a
+    ranking per key: works for any table size, no driver map.
     """
-    if old is None:
-        return new
-    cols = new.columns
-    tagged = (old.select(*cols).withColumn("_src", F.lit(1))
-              .unionByName(new.withColumn("_src", F.lit(0))))
-    w = Window.partitionBy(*keys).orderBy("_src")
-    return (tagged.withColumn("_rk", F.row_number().over(w))
-            .filter("_rk = 1").drop("_rk", "_src"))
+    tagged = new.withColumn("_src", F.lit(0))
+    stored_only = []
+    if old is not None:
+        stored_only = [c for c in old.columns if c not in new.columns]
+        tagged = tagged.unionByName(old.withColumn("_src", F.lit(1)), allowMissingColumns=True)
+    cols = [c for c in tagged.columns if c != "_src"]
+    w = Window.partitionBy(*keys).orderBy("_src", *[F.col(c).desc_nulls_last() for c in order if c in cols],
+                                          F.xxhash64(*cols))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = tagged.withColumn("_rk", F.row_number().over(w))
+    for c in stored_only:
+        # the best stored row follows the new ones of its key
+        ranked = ranked.withColumn(c, F.first(F.when(F.col("_src") == 1, F.struct(c)), ignorenulls=True).over(whole)[c])
+    return ranked.filter("_rk = 1").select(*cols)
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the finished folder ``fresh`` in the place of ``path``; the old one goes last."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, old = hadoop.Path(path), hadoop.Path(f"{path}.old")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.delete(old, True)
+        fs.rename(target, old)
+    fs.rename(hadoop.Path(fresh), target)
+    fs.delete(old, True)
+
+
+def _recover(spark: SparkSession, path: str) -> None:
+    """Bring back the old folder of a swap that broke off between its two renames."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, old = hadoop.Path(path), hadoop.Path(f"{path}.old")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)
 
 
 def save_upsert(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str],
-                schema=None, fmt: str = "orc") -> DataFrame:
-    """Upsert into a stored dataset: a first run starts empty; the merged rows are
-    checkpointed before the same path is overwritten, so the write never
-    reads from the files it replaces."""
+                schema=None, fmt: str = "orc", order: Sequence[str] = ()) -> DataFrame:
+    """Upsert into a stored dataset: a first run starts empty.
+
+    The merged rows are written to a new folder beside ``path``, which takes
+    its place when it is complete, so a crash leaves the stored rows whole.
+    """
+    _recover(spark, path)
     old = read_result(spark, path, schema=schema, fmt=fmt, missing_ok=True)
-    merged = upsert_by_key(old, new, keys).checkpoint(eager=True)
-    write_result(merged, path, fmt=fmt)
-    return merged
+    merged = upsert_by_key(old, new, keys, order)
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    write_result(merged, fresh, fmt=fmt)
+    _swap(spark, fresh, path)
+    return read_result(spark, path, schema=merged.schema, fmt=fmt)

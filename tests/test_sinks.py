@@ -22,6 +22,44 @@ def test_save_upsert_first_run_and_rewrite_same_path(spark):
     assert got == [("a", "2"), ("b", "3")]
 
 
+def test_upsert_keeps_stored_columns_and_one_row_per_key(spark):
+    old = spark.createDataFrame([("a", "0", "note a"), ("c", "3", "note c")], "key string, value string, note string")
+    new = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "9", 1)], "key string, value string, at int")
+    got = {r.key: (r.value, r.note, r.at) for r in upsert_by_key(old, new, ["key"], ["at"]).collect()}
+    assert got == {"a": ("2", "note a", 2), "b": ("9", None, 1), "c": ("3", "note c", None)}
+    first = upsert_by_key(None, new, ["key"], ["at"]).collect()
+    assert sorted(tuple(r) for r in first) == [("a", "2", 2), ("b", "9", 1)]
+
+
+def test_broken_swap_is_recovered(spark):
+    """A crash between the two renames leaves only the old folder; the next upsert starts from it."""
+    import os
+
+    path = f"{ensure_checkpoint_dir(spark)}/info-{uuid.uuid4().hex}"
+    save_upsert(spark, spark.createDataFrame([("a", "1")], KV), path, ["key"], schema=KV)
+    local = path.removeprefix("file:")
+    os.rename(local, local + ".old")
+    save_upsert(spark, spark.createDataFrame([("b", "2")], KV), path, ["key"], schema=KV)
+    assert sorted(tuple(r) for r in read_result(spark, path, schema=KV).collect()) == [("a", "1"), ("b", "2")]
+
+
+def test_ordered_reports_read_back_in_order(spark):
+    """Files hold ranges of the order: by file name, frequencies only fall."""
+    from conftest import SF_SMALL
+    from pyspark.sql import functions as F
+    from setscope.operators.mining import rules_report
+    from setscope.sources import bindings as B
+    from setscope.sources.memberships import itemsets
+
+    m, reg = B.order_parttype(spark, SF_SMALL)
+    for name, col in (("frequencies", "freq"), ("confidences", "confidence")):
+        path = f"{ensure_checkpoint_dir(spark)}/ordered-{uuid.uuid4().hex}"
+        write_result(rules_report(itemsets(m), reg)[name], path)
+        rows = read_result(spark, path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"), col)
+        values = [r[col] for r in sorted(rows.collect(), key=lambda r: (r.f, r.i))]
+        assert len(values) > 3 and values == sorted(values, reverse=True)
+
+
 def test_orc_round_trip_partitioned(spark):
     path = f"{ensure_checkpoint_dir(spark)}/res-{uuid.uuid4().hex}"
     df = spark.createDataFrame([(1, 5, "raw", "kmeans"), (2, 6, "pca", "hierarchical")],
