@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, PCAModel
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,14 @@ def one_hot(items: DataFrame, codes: Sequence) -> DataFrame:
 
 def feature_vectors(items: DataFrame, codes: Sequence, out_col: str = "features",
                     keep: Sequence[str] | None = None) -> DataFrame:
-    """Add a 0/1 vector over ``codes`` (M4), keeping ``keep`` columns (default all).
+    """Add a sparse 0/1 vector over ``codes`` (M4), keeping ``keep`` columns (default all).
 
-    VectorAssembler stores each row sparse or dense, whichever is smaller.
+    One expression whatever the number of codes: the itemset is looked up in
+    a vocabulary of the codes as text.
     """
     keep = list(items.columns if keep is None else keep)
-    tmp = [f"_c{i}" for i in range(len(codes))]
-    wide = items.select(*keep, *[F.array_contains("archives", F.lit(c)).cast("double").alias(t)
-                                 for c, t in zip(codes, tmp)])
-    return VectorAssembler(inputCols=tmp, outputCol=out_col).transform(wide).select(*keep, out_col)
+    model = CountVectorizerModel.from_vocabulary([str(c) for c in codes], "_codes", out_col).setBinary(True)
+    return model.transform(items.withColumn("_codes", F.col("archives").cast("array<string>"))).select(*keep, out_col)
 
 
 def choose_components(cumulative: Sequence[float], low: float, high: float) -> int:
@@ -66,15 +66,28 @@ class PcaSelection:
 
     MLlib's PCA eigendecomposes the whole covariance whatever its k and a
     k-component model holds the first k columns of it, so the full fit
-    serves every k: one pass over the data instead of one per k tried.
+    serves every k: one pass over the data instead of one per k tried. The
+    sign of a component is fixed: its largest absolute loading (the first of
+    equals) is positive.
     """
     full: PCAModel
     k: int
 
+    @property
+    def signs(self) -> np.ndarray:
+        """1 or -1 per component of the full fit."""
+        pc = self.full.pc.toArray()
+        # rounded, so that equal loadings count as equal
+        return np.where(pc[np.abs(pc.round(9)).argmax(axis=0), range(pc.shape[1])] < 0, -1.0, 1.0)
+
     @property
     def pc(self) -> np.ndarray:
         """Loadings, codes x k."""
-        return self.full.pc.toArray()[:, : self.k]
+        return (self.full.pc.toArray() * self.signs)[:, : self.k]
+
+    def whole(self) -> PcaSelection:
+        """The same fit with all its components."""
+        return PcaSelection(self.full, self.full.pc.numCols)
 
     @property
     def explained(self) -> np.ndarray:
@@ -83,7 +96,8 @@ class PcaSelection:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add the k-component projection (not centred, as MLlib projects)."""
         out = self.full.getOutputCol()
-        projected = self.full.transform(df)
+        signed = ElementwiseProduct(scalingVec=Vectors.dense(self.signs), inputCol="_pca", outputCol=out)
+        projected = signed.transform(self.full.transform(df).withColumnRenamed(out, "_pca")).drop("_pca")
         if self.k == self.full.pc.numCols:
             return projected
         return projected.withColumn(out, array_to_vector(F.slice(vector_to_array(out), 1, self.k)))

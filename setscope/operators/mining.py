@@ -46,15 +46,18 @@ def predict_missing(items: DataFrame, rules: DataFrame, items_col: str = "archiv
     Same result as FPGrowthModel.transform followed by distinct and a
     non-empty filter, computed as a distributed join instead of a rule list
     broadcast from the driver: a rule can fire only for itemsets containing
-    its smallest antecedent code, so itemsets (deduplicated first, since the
-    prediction depends on the itemset alone) join rules on that code, then
-    the full containment test filters the matches.
+    the antecedent code that fewest itemsets hold, so itemsets (deduplicated
+    first, since the prediction depends on the itemset alone) join rules on
+    that code, then the full containment test filters the matches. A code
+    that most itemsets hold is a key only for rules that have no rarer one.
     """
     distinct_sets = items.select(F.col(items_col).alias("archives")).distinct()
-    keyed_rules = rules.select(
-        F.array_sort("antecedent").alias("_ante"),
-        F.explode("consequent").alias("_cq")).withColumn("_key", F.col("_ante")[0])
     probes = distinct_sets.select("archives", F.explode("archives").alias("_key"))
+    spread = probes.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    keyed_rules = (rules.select(F.array_sort("antecedent").alias("_ante"), F.explode("consequent").alias("_cq"))
+                   .select("_ante", "_cq", F.explode("_ante").alias("_key"))
+                   .join(spread, "_key").groupBy("_ante", "_cq")
+                   .agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key")))
     fired = (probes.join(keyed_rules, "_key")
              .filter(F.forall("_ante", lambda a: F.array_contains(F.col("archives"), a)))
              .filter(~F.array_contains(F.col("archives"), F.col("_cq"))))
@@ -66,17 +69,19 @@ def rules_report(items: DataFrame, registry: DataFrame, min_support: float = 0.0
                  min_confidence: float = 0.5, model: FPGrowthModel | None = None) -> dict[str, DataFrame]:
     """The three rule datasets with descriptions (T5): frequencies, confidences, predictions.
 
-    Pass a fitted ``model`` to reuse one fit for all three reports.
+    Frequencies come from the highest down, confidences too (O1, O2), by a
+    range sort. Pass a fitted ``model`` to reuse one fit for all three reports.
     """
     if model is None:
         model = fit_fpgrowth(items, min_support, min_confidence)
     freq = frequent_itemsets(model)
     frequencies = describe_array(freq, ["item"], registry).select(
-        array_text("item").alias("item"), "freq", "item_description")
+        array_text("item").alias("item"), "freq", "item_description").orderBy(F.desc("freq"), "item")
     rules = association_rules(model)
     confidences = describe_array(rules, ["antecedent", "consequent"], registry).select(
         array_text("antecedent").alias("antecedent"), array_text("consequent").alias("consequent"),
-        "confidence", "antecedent_description", "consequent_description")
+        "confidence", "antecedent_description", "consequent_description").orderBy(
+        F.desc("confidence"), "antecedent", "consequent")
     preds = predict_missing(items, rules)
     predictions = describe_array(preds, ["archives", "prediction"], registry).select(
         array_text("archives").alias("archives"), array_text("prediction").alias("prediction"),

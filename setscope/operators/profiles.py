@@ -52,17 +52,23 @@ def itemset_counts(items: DataFrame, assignments: DataFrame | None, cluster_col:
             .agg(F.count(F.lit(1)).cast("int").alias("archives_occurrences")))
 
 
-def itemset_occurrences(counts: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+def top_itemsets(counts: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``n`` most frequent itemsets of each cluster; ties on the count by itemset."""
+    return top_n_by(counts, [*by, "cluster"], [F.desc("archives_occurrences"), F.asc("archives")], n)
+
+
+def itemset_occurrences(counts: DataFrame, n: int, by: tuple[str, ...] = (),
+                        top: DataFrame | None = None) -> DataFrame:
     """Top ``n`` itemsets per cluster with their share of the whole cluster.
 
     The cluster total is a grouped sum joined back (one small row per
     cluster) instead of a window over every itemset of a cluster; the top-n
     is a ranking filter that Spark limits per partition before the shuffle.
-    Ties on the count are broken by the itemset so the cut is deterministic.
+    ``top`` are the ``top_itemsets`` of ``counts``, if the caller has them.
     """
     keys = [*by, "cluster"]
     totals = counts.groupBy(*keys).agg(F.sum("archives_occurrences").alias("_total"))
-    top = top_n_by(counts, keys, [F.desc("archives_occurrences"), F.asc("archives")], n)
+    top = top_itemsets(counts, n, by) if top is None else top
     cond = [top[k].eqNullSafe(totals[k]) for k in keys]
     joined = top.join(totals, cond, "inner").select(*[top[k] for k in keys], top["archives"],
                                                     top["archives_occurrences"], totals["_total"])
@@ -71,19 +77,23 @@ def itemset_occurrences(counts: DataFrame, n: int, by: tuple[str, ...] = ()) ->
             .drop("_total"))
 
 
-def trend_itemsets(occurrences: DataFrame, registry: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def trend_itemsets(top: DataFrame, registry: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Most frequent itemset(s) of each cluster among its top-n rows, described.
 
-    Ties for the maximum are all kept; the share divides by the total of the
-    top-n rows only (not of the whole cluster), as the reference does.
-    Windows run over at most n rows per cluster.
+    ``top`` are the rows of ``top_itemsets``. A cluster's rows are at most n,
+    so one aggregate gathers them; all rows that reach their maximum stay, and
+    the share is that of the gathered rows.
     """
-    w = Window.partitionBy(*by, "cluster")
-    best = (occurrences
-            .withColumn("_max", F.max("archives_occurrences").over(w))
-            .withColumn("_tot", F.sum("archives_occurrences").over(w))
-            .filter(F.col("archives_occurrences") == F.col("_max"))
-            .withColumn("relative_frequency",
-                        F.round(F.col("archives_occurrences") / F.col("_tot"), 5))
-            .drop("_max", "_tot"))
-    return describe_array(best, ["archives"], registry)
+    keys = [*by, "cluster"]
+    row = F.struct("archives", "archives_occurrences")
+    gathered = top.groupBy(*keys).agg(F.collect_list(row).alias("_rows"))
+    counts = F.transform("_rows", lambda r: r["archives_occurrences"])
+    highest = gathered.select(*keys, "_rows", F.array_max(counts).alias("_most"),
+                              F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + c).alias("_all"))
+    best = highest.select(*keys, "_all", F.explode(
+        F.filter("_rows", lambda r: r["archives_occurrences"] == F.col("_most"))).alias("_row"))
+    return describe_array(best.select(
+        *keys, F.col("_row")["archives"].alias("archives"),
+        F.col("_row")["archives_occurrences"].alias("archives_occurrences"),
+        F.round(F.col("_row")["archives_occurrences"] / F.col("_all"), 5).alias("relative_frequency")),
+        ["archives"], registry)

@@ -28,11 +28,10 @@ def relabel(assignments: DataFrame, mapping: DataFrame, col: str = "prediction",
             new_col: str = "hier_prediction") -> DataFrame:
     """Replace ``col`` by its mapped value (J3); unmapped values become NULL.
 
-    ``mapping`` (col, new_col) has one row per cluster of a model: its size is
-    bounded by the model's k, so it is broadcast.
+    ``mapping`` (col, new_col) may have any size: the planner broadcasts it
+    when it is small enough.
     """
-    m = F.broadcast(mapping.select(col, new_col))
-    return (assignments.join(m, col, "left").drop(col).withColumnRenamed(new_col, col))
+    return (assignments.join(mapping.select(col, new_col), col, "left").drop(col).withColumnRenamed(new_col, col))
 
 
 def union_tagged(parts: Sequence[tuple[dict, DataFrame]]) -> DataFrame:

@@ -39,6 +39,8 @@ class Options:
     variance_high: float = 0.85
     seed: int = 1
     segment_length: int = 8000
+    #: partitions of the distinct-itemset base that models are fitted on: set it to the cluster's cores
+    base_partitions: int = 16
 
     @property
     def k_values(self) -> list[int]:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from setscope.operators.features import PcaSelection, feature_vectors, pca_select
 from setscope.options import Options
+from setscope.session import materialize
 from setscope.sources.memberships import code_domain, subjects
 
 
@@ -27,15 +28,11 @@ class Analysis:
     base: DataFrame          # archives, weight, features, pca_features (persisted)
     code_counts: DataFrame   # archives, archive, n: code occurrences over the itemset's subjects
     pca: PcaSelection
-    subjects: DataFrame
 
     def release(self) -> None:
         self.base.unpersist()
 
 
-ROWS_PER_PARTITION = 100_000
-
-
 def itemset_base(subj: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(archives, weight) per distinct itemset and (archives, archive, n): the code
     occurrences summed over the itemset's subjects. Both are map-side combined."""
@@ -46,26 +43,20 @@ def itemset_base(subj: DataFrame) -> tuple[DataFrame, DataFrame]:
     return weights, code_counts
 
 
-def build_analysis(members: DataFrame, opts: Options = Options(), partitions: int | None = None) -> Analysis:
+def build_analysis(members: DataFrame, opts: Options = Options()) -> Analysis:
     """Subjects, distinct-itemset base with features and PCA projection, code counts.
 
-    The base is hash-partitioned by itemset into a count sized by its rows
-    (``ROWS_PER_PARTITION``) unless ``partitions`` is given, and sorted
-    within partitions: a fixed layout keeps k-means initialisation
-    reproducible and tasks sized to the data.
+    The base is hash-partitioned by itemset into ``opts.base_partitions``
+    partitions and sorted within them: a layout that does not follow the data
+    keeps k-means initialisation reproducible. The subjects are written, the
+    base is cached until ``release``.
     """
-    spark = members.sparkSession
     codes = code_domain(members)
-    subj = subjects(members).persist(StorageLevel.MEMORY_AND_DISK)
+    subj = materialize(subjects(members), "subjects")
     weights, code_counts = itemset_base(subj)
     subj_features = feature_vectors(subj.select("archives"), codes)
     pca = pca_select(subj_features, opts.variance_low, opts.variance_high, size=len(codes))
-    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
-    distinct_sets = weights.count()
-    parts = partitions or max(1, -(-distinct_sets // ROWS_PER_PARTITION))
     base = pca.transform(feature_vectors(weights, codes))
-    base = (base.repartition(parts, "archives").sortWithinPartitions("archives")
+    base = (base.repartition(opts.base_partitions, "archives").sortWithinPartitions("archives")
             .persist(StorageLevel.MEMORY_AND_DISK))
-    base.count()
-    weights.unpersist()
-    return Analysis(codes, base, code_counts, pca, subj)
+    return Analysis(codes, base, code_counts, pca)

@@ -17,12 +17,12 @@ from setscope.options import Options
 from setscope.sources import bindings as B
 from setscope.sources.memberships import code_domain, itemsets, run_stats, sample_rows, subjects
 from setscope.operators import mining
-from setscope.operators.clusters import itemset_entries, set_entries, wcss, weighted_silhouette
+from setscope.operators.clusters import set_entries, wcss, weighted_silhouette
 from setscope.operators.describe import describe_code, segment_rows, tag
 from setscope.operators.diameter import itemset_diameter, vector_diameter
 from setscope.operators.features import loadings_report, one_hot
 from setscope.operators.profiles import (
-    code_frequencies, itemset_counts, itemset_occurrences, trend_itemsets)
+    code_frequencies, itemset_counts, itemset_occurrences, top_itemsets, trend_itemsets)
 from setscope.operators.reshape import relabel, union_tagged
 from setscope.session import ensure_checkpoint_dir, materialize
 from setscope.sources.results import read_result, upsert_by_key, write_result
@@ -120,21 +120,21 @@ def q_code_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return tag(code_frequencies(m, assign), analysis_type="raw", model_type="rule")
 
 
-def _occurrences(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     m, reg = B.order_nation(spark, sf)
-    counts = itemset_counts(itemsets(m), B.order_rule_clusters(spark, sf, "B1"))
-    return itemset_occurrences(counts, OPTS.top_itemsets), reg
+    return itemset_counts(itemsets(m), B.order_rule_clusters(spark, sf, "B1")), reg
 
 
 def q_itemset_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    occ, _ = _occurrences(spark, sf)
+    counts, _ = _counts(spark, sf)
+    occ = itemset_occurrences(counts, OPTS.top_itemsets)
     return tag(occ.withColumn("archives", array_text("archives")),
                analysis_type="raw", model_type="rule")
 
 
 def q_trend_itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    occ, reg = _occurrences(spark, sf)
-    return tag(trend_itemsets(occ, reg).withColumn("archives", array_text("archives")),
+    counts, reg = _counts(spark, sf)
+    return tag(trend_itemsets(top_itemsets(counts, OPTS.top_itemsets), reg).withColumn("archives", array_text("archives")),
                analysis_type="raw", model_type="rule")
 
 
@@ -159,26 +159,23 @@ def q_relabel(spark: SparkSession, sf: str) -> DataFrame:
     return relabel(assign, mapping)
 
 
-def _b2_assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
+def _b2_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct (itemset, cluster) points of B2 weighted by their subjects (equal to the subject-level values)."""
     m, _ = B.order_parttype(spark, sf)
     assigned = itemsets(m).join(B.order_rule_clusters(spark, sf, "B2"), "id")
-    return assigned, code_domain(m)
+    return (assigned.groupBy("archives", "cluster").agg(F.count(F.lit(1)).alias("weight"))
+            .withColumn("entries", set_entries("archives")))
 
 
 def q_wcss(spark: SparkSession, sf: str) -> DataFrame:
-    assigned, _ = _b2_assigned(spark, sf)
-    out = wcss(assigned.select("id", "cluster"), itemset_entries(assigned))
-    return out.withColumn("wcss", F.round("wcss", 6))
+    out = wcss(_b2_points(spark, sf))
+    return out.select("cluster", F.col("size").cast("int").alias("size"), F.round("wcss", 6).alias("wcss"))
 
 
 def q_silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    """Silhouette of the given clusters, computed on distinct (itemset, cluster) points
-    weighted by their subjects (equal to the subject-level value)."""
-    assigned, _ = _b2_assigned(spark, sf)
-    pts = (assigned.groupBy("archives", "cluster").agg(F.count(F.lit(1)).alias("weight"))
-           .withColumn("entries", set_entries("archives")))
-    out = weighted_silhouette(pts)
-    return out.select(F.round("score", 6).alias("score"))
+    """Silhouette of the given clusters over the weighted points."""
+    points = materialize(_b2_points(spark, sf), "silhouette-points")
+    return weighted_silhouette(points).select(F.round("score", 6).alias("score"))
 
 
 def q_cluster_diameter(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,12 +220,8 @@ def q_union_tagged(spark: SparkSession, sf: str) -> DataFrame:
     return union_tagged(parts)
 
 
-# Model-based queries (rows-only check): small sweeps as in the build plan.
-SWEEP_KS = [3, 4, 5, 6]
-TWO_STAGE_K = 20
-TWO_STAGE_TS = [5, 6, 7, 8]
-VARIANT_K = {"raw": 4, "pca": 5}
-VARIANT_T = {"raw": OPTS.opt_t_raw, "pca": OPTS.opt_t_pca}
+# Model-based queries run the whole default sweeps (k 5..45, K 100, t 5..25, k 30/38) for raw and pca.
+TYPES = ("raw", "pca")
 
 
 def _analysis(spark: SparkSession, sf: str):
@@ -244,9 +237,19 @@ def _kmeans(spark: SparkSession, sf: str, an, k: int, analysis_type: str):
                  lambda: kmeans_weighted(an.base, k, FEATURE_COL[analysis_type], OPTS.seed))
 
 
-def _linkage(spark: SparkSession, sf: str, model, k: int, analysis_type: str):
+def _fits(spark: SparkSession, sf: str, ks: dict) -> dict:
+    from setscope.plans.explore import run_concurrently
+    an, _ = _analysis(spark, sf)
+    return run_concurrently({(t, k): (lambda t=t, k=k: _kmeans(spark, sf, an, k, t)) for t in ks for k in ks[t]})
+
+
+def _big(spark: SparkSession, sf: str) -> dict:
+    return {t: m for (t, _), m in _fits(spark, sf, {t: [OPTS.big_k] for t in TYPES}).items()}
+
+
+def _trees(spark: SparkSession, sf: str):
     from setscope.plans.explore import linkage_of
-    return _memo(spark, ("linkage", sf, analysis_type, k, OPTS.seed), lambda: linkage_of(spark, model))
+    return _memo(spark, ("trees", sf, OPTS.big_k, OPTS.seed), lambda: linkage_of(spark, _big(spark, sf)))
 
 
 def q_top_pcs(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,15 +265,13 @@ def q_pc_explained_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, sf: str):
-    from setscope.plans.explore import predictions, run_concurrently
+    from setscope.plans.explore import assigned, exploded
     an, _ = _analysis(spark, sf)
-    fits = run_concurrently({(t, k): (lambda t=t, k=k: _kmeans(spark, sf, an, k, t))
-                             for t in ("raw", "pca") for k in SWEEP_KS})
-    models = {t: {k: fits[(t, k)] for k in SWEEP_KS} for t in ("raw", "pca")}
-    # every model's assignments in one table, written once and shared by the metrics
-    preds = _memo(spark, ("sweep-predictions", sf, tuple(SWEEP_KS)), lambda: materialize(
-        predictions(an, models["raw"], "raw").unionByName(predictions(an, models["pca"], "pca")), "sweep"))
-    return an, models, preds
+    fits = _fits(spark, sf, {t: OPTS.k_values for t in TYPES})
+    models = {t: {k: fits[(t, k)] for k in OPTS.k_values} for t in TYPES}
+    # every itemset once with its cluster under all models, written once and shared by the metrics
+    wide = _memo(spark, ("sweep", sf), lambda: materialize(assigned(an, fits, ("analysis_type", "k")), "sweep"))
+    return an, models, exploded(wide)
 
 
 def q_elbow(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,59 +288,158 @@ def q_silhouette_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
     from setscope.plans.explore import diameter_report
+    an, _, preds = _sweep(spark, sf)
+    return diameter_report(preds, "kmeans", an.codes)
+
+
+def q_sweep_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects and code memberships that the clusters of every k-means model hold together."""
     _, _, preds = _sweep(spark, sf)
-    return diameter_report(preds, "kmeans")
+    return preds.groupBy("analysis_type", F.col("k").alias("cluster")).agg(
+        F.sum("weight").alias("subjects"), F.sum(F.col("weight") * F.size("archives")).alias("memberships"),
+        (F.min("prediction") >= 0).alias("from_zero"), (F.max("prediction") < F.max("k")).alias("below_k"))
 
 
-def _two_stage(spark: SparkSession, sf: str, analysis_type: str = "raw"):
-    an, reg = _analysis(spark, sf)
-    model = _kmeans(spark, sf, an, TWO_STAGE_K, analysis_type)
-    merges, n = _linkage(spark, sf, model, TWO_STAGE_K, analysis_type)
-    return an, model, merges, n, reg
+def q_elbow_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Is every raw model's cost the wcss of its assignments, and does no cost lie above one cluster's?"""
+    from setscope.plans.explore import elbow_report
+    _, models, preds = _sweep(spark, sf)
+    costs = elbow_report(spark, {"raw": models["raw"]})
+    own = wcss(preds.filter("analysis_type = 'raw'").select(
+        "k", "weight", F.col("prediction").alias("cluster"), set_entries("archives").alias("entries")), by=["k"])
+    total = own.groupBy(F.col("k").alias("cluster")).agg(F.sum("wcss").alias("wcss"))
+    one = wcss(preds.filter(f"analysis_type = 'raw' and k = {OPTS.k_low}").select(
+        "weight", F.lit(0).alias("cluster"), set_entries("archives").alias("entries")))
+    return (costs.join(total, "cluster").join(one.select(F.col("wcss").alias("all"), F.explode(
+        F.array(*map(F.lit, OPTS.k_values))).alias("cluster")), "cluster")
+        .select("cluster", F.round("all", 4).alias("one_cluster"),
+                (F.abs(F.col("cost") - F.col("wcss")) < 1e-6 * F.col("all")).alias("equals_wcss"),
+                (F.col("cost") <= F.col("all")).alias("below_one_cluster")))
 
 
 def q_linkage(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, merges, _, _ = _two_stage(spark, sf)
-    return merges
+    from setscope.plans.explore import dendrogram_report
+    return dendrogram_report(_trees(spark, sf))[0]
 
 
 def q_leaf_order(spark: SparkSession, sf: str) -> DataFrame:
     from setscope.plans.explore import dendrogram_report
-    _, _, merges, n, _ = _two_stage(spark, sf)
-    return dendrogram_report(merges, n, "raw")[1]
+    return dendrogram_report(_trees(spark, sf))[1]
 
 
 def q_two_stage(spark: SparkSession, sf: str) -> DataFrame:
     from setscope.plans.explore import hierarchical_predictions
-    an, model, merges, n, _ = _two_stage(spark, sf)
-    pred = hierarchical_predictions(an, model, merges, n, [OPTS.opt_t_raw], "raw")
-    return pred.select("t", array_text("archives").alias("archives"), "weight", "prediction")
+    an, _ = _analysis(spark, sf)
+    pred = hierarchical_predictions(an, _big(spark, sf), _trees(spark, sf), sorted({OPTS.opt_t_raw, OPTS.opt_t_pca}))
+    return pred.select("t", "analysis_type", array_text("archives").alias("archives"), "weight", "prediction")
+
+
+def q_two_stage_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects, memberships and whether the groups are numbered 1..c with c <= t, for every cut of every tree."""
+    from setscope.plans.explore import hierarchical_predictions
+    an, _ = _analysis(spark, sf)
+    pred = hierarchical_predictions(an, _big(spark, sf), _trees(spark, sf), OPTS.t_values)
+    return pred.groupBy("analysis_type", "t").agg(
+        F.sum("weight").alias("subjects"), F.sum(F.col("weight") * F.size("archives")).alias("memberships"),
+        ((F.min("prediction") >= 1) & (F.max("prediction") <= F.max("t"))).alias("numbered"))
 
 
 def q_hier_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
     from setscope.plans.explore import diameter_report, hierarchical_predictions
-    an, model, merges, n, _ = _two_stage(spark, sf)
-    preds = hierarchical_predictions(an, model, merges, n, TWO_STAGE_TS, "raw")
-    return diameter_report(preds, "hierarchical", key="t")
+    an, _ = _analysis(spark, sf)
+    preds = hierarchical_predictions(an, _big(spark, sf), _trees(spark, sf), OPTS.t_values)
+    return diameter_report(preds, "hierarchical", an.codes, key="t")
+
+
+def _nation_points(spark: SparkSession, sf: str) -> DataFrame:
+    """(node, vector): per nation its suppliers' number and balance, its region and the logarithm of its key,
+    which keeps distances apart where there are no suppliers."""
+    nation, supplier = test_table(spark, sf, "nation"), test_table(spark, sf, "supplier")
+    own = supplier.groupBy("s_nationkey").agg(F.count(F.lit(1)).cast("double").alias("n"),
+                                              F.sum(F.round(F.col("s_acctbal") * 100).cast("long")).alias("cents"))
+    return nation.join(own, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(
+        F.col("n_nationkey").cast("int").alias("node"),
+        F.array(F.coalesce("n", F.lit(0.0)), F.coalesce(F.col("cents") / 1e6, F.lit(0.0)),
+                F.col("n_regionkey").cast("double"), F.log(F.col("n_nationkey") + F.lit(2.0))).alias("vector"))
+
+
+def _nation_merges(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    from setscope.operators.linkage import complete_linkage
+
+    def build():
+        points = _nation_points(spark, sf)
+        n = points.count()
+        return materialize(complete_linkage(points, n), "nation-merges"), n
+
+    return _memo(spark, ("nation-linkage", sf), build)
+
+
+def q_linkage_nations(spark: SparkSession, sf: str) -> DataFrame:
+    """Complete linkage of the nations by their suppliers."""
+    merges, _ = _nation_merges(spark, sf)
+    return merges.withColumn("height", F.round("height", 6))
+
+
+def q_cut_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat groups of the nations' tree at every t of the default range."""
+    from setscope.operators.linkage import cut_trees
+    merges, n = _nation_merges(spark, sf)
+    return cut_trees(merges, n, OPTS.t_values)
+
+
+def q_leaf_order_nations(spark: SparkSession, sf: str) -> DataFrame:
+    from setscope.operators.linkage import leaf_order
+    return leaf_order(*_nation_merges(spark, sf))
+
+
+def q_feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vector of every subject over the code domain, as text of its indicators (M4)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from setscope.operators.features import feature_vectors
+    m, _ = B.order_parttype(spark, sf)
+    rows = feature_vectors(itemsets(m), code_domain(m))
+    return rows.select("id", array_text(F.transform(vector_to_array("features"), lambda x: x.cast("int"))).alias("features"))
+
+
+def _parttype_pca(spark: SparkSession, sf: str):
+    from setscope.operators.features import feature_vectors, pca_select
+
+    def build():
+        m, reg = B.order_parttype(spark, sf)
+        codes = code_domain(m)
+        # the whole spectrum: a band that only all components reach
+        return pca_select(feature_vectors(itemsets(m), codes), 1.0 - 1e-9, 2.0, size=len(codes)), codes, reg
+
+    return _memo(spark, ("pca-parttype", sf), build)
+
+
+def q_pca_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of variance of every component of the part-type indicators (M5, M8)."""
+    from setscope.operators.features import explained_variance
+    return explained_variance(spark, _parttype_pca(spark, sf)[0].whole())
+
+
+def q_pca_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    """Described loadings of every component of the part-type indicators (M7)."""
+    from setscope.operators.features import top_loadings
+    model, codes, reg = _parttype_pca(spark, sf)
+    return top_loadings(spark, model.whole(), codes, reg, len(codes))
 
 
 def _variants(spark: SparkSession, sf: str):
-    from setscope.operators.linkage import cut_tree
-    from setscope.plans.explore import run_concurrently
-    from setscope.plans.results import cluster_variants, profiles, variant
+    from setscope.plans.results import model_variants, profiles
     an, reg = _analysis(spark, sf)
-    fits = run_concurrently({(at, k): (lambda at=at, k=k: _kmeans(spark, sf, an, k, at))
-                             for at in ("raw", "pca") for k in (VARIANT_K[at], TWO_STAGE_K)})
-    links = run_concurrently({at: (lambda at=at: _linkage(spark, sf, fits[(at, TWO_STAGE_K)], TWO_STAGE_K, at))
-                              for at in ("raw", "pca")})
-    parts = []
-    for at in ("raw", "pca"):
-        parts.append(variant(an, fits[(at, VARIANT_K[at])], "opt_k_kmeans", at))
-        big = fits[(at, TWO_STAGE_K)]
-        parts.append(variant(an, big, "K_kmeans", at))
-        merges, n = links[at]
-        parts.append(variant(an, big, "hierarchical", at, cut_tree(merges, n, VARIANT_T[at])))
-    return profiles(an.code_counts, cluster_variants(parts), reg, OPTS.top_itemsets)
+    optimal = _fits(spark, sf, {"raw": [OPTS.opt_k_raw], "pca": [OPTS.opt_k_pca]})
+    six = materialize(model_variants(an, {t: m for (t, _), m in optimal.items()}, _big(spark, sf), _trees(spark, sf),
+                                     {"raw": OPTS.opt_t_raw, "pca": OPTS.opt_t_pca}), "variants")
+    return profiles(an.code_counts, six, reg, OPTS.top_itemsets)
+
+
+def q_variants_code_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences of every code over all clusters of a variant: the same for all six."""
+    freq = _memo(spark, ("variants", sf), lambda: _variants(spark, sf))["archives_frequencies"]
+    return freq.groupBy("model_type", "analysis_type", "archive").agg(F.sum("archive_occurrences").alias("occurrences"))
 
 
 def q_variants_frequencies(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,6 +514,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elbow": q_elbow,
     "silhouette_sweep": q_silhouette_sweep,
     "diameter_sweep": q_diameter_sweep,
+    "sweep_sizes": q_sweep_sizes,
+    "elbow_error": q_elbow_error,
     "linkage": q_linkage,
     "leaf_order": q_leaf_order,
     "two_stage": q_two_stage,
@@ -421,4 +523,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "variants_frequencies": q_variants_frequencies,
     "variants_occurrences": q_variants_occurrences,
     "variants_trend": q_variants_trend,
+    "variants_code_totals": q_variants_code_totals,
+    "two_stage_sizes": q_two_stage_sizes,
+    "linkage_nations": q_linkage_nations,
+    "cut_tree": q_cut_tree,
+    "leaf_order_nations": q_leaf_order_nations,
+    "feature_vectors": q_feature_vectors,
+    "pca_variance": q_pca_variance,
+    "pca_loadings": q_pca_loadings,
 }

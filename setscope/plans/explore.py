@@ -1,8 +1,9 @@
-"""Exploration reports: loadings, elbow, silhouette, diameters, dendrogram."""
+"""Exploration reports: loadings, elbow, silhouette, diameters, dendrograms."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +12,18 @@ from pyspark.sql import functions as F
 from setscope.operators.clusters import elbow, set_entries, weighted_silhouette
 from setscope.operators.diameter import itemset_diameter
 from setscope.operators.features import explained_variance, top_loadings
-from setscope.operators.linkage import centroid_frame, complete_linkage, cut_trees, leaf_order
+from setscope.operators.linkage import centroid_frame, complete_linkage, cut_trees, leaf_order, tree_members
 from setscope.operators.reshape import union_tagged
 from setscope.plans.analysis import Analysis
+from setscope.session import materialize
 
 FEATURE_COL = {"raw": "features", "pca": "pca_features"}
 MAX_CONCURRENT_FITS = 4
+TREE = ("analysis_type",)
 
 
 def run_concurrently(tasks: dict, max_workers: int = MAX_CONCURRENT_FITS) -> dict:
-    """Run independent driver-side calls (model fits, linkages) from a thread pool.
+    """Run independent driver-side calls (model fits) from a thread pool.
 
     Each call submits its own Spark jobs; the scheduler runs them side by
     side, which keeps executors busy when one fit alone cannot.
@@ -42,14 +45,23 @@ def pc_explained_variance(spark: SparkSession, an: Analysis) -> DataFrame:
     return explained_variance(spark, an.pca)
 
 
-def predictions(an: Analysis, models: dict[int, KMeansModel], analysis_type: str,
-                key: str = "k") -> DataFrame:
-    """(key, archives, weight, prediction) for every model, one plan."""
-    parts = []
-    for k, m in sorted(models.items()):
-        pred = m.transform(an.base).select("archives", "weight", F.col("prediction").cast("int"))
-        parts.append(({key: int(k), "analysis_type": analysis_type}, pred))
-    return union_tagged(parts)
+def assigned(an: Analysis, models: dict[tuple, KMeansModel], names: Sequence[str]) -> DataFrame:
+    """(archives, weight, assigned): each itemset once, with its cluster under every model.
+
+    ``models`` are keyed by tuples of ``names``; ``assigned`` is an array of
+    (names..., prediction). All models run over the base in one pass.
+    """
+    df = an.base
+    for i, model in enumerate(models.values()):
+        df = model.copy().setPredictionCol(f"_prediction_{i}").transform(df)
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, key, strict=True)],
+                     F.col(f"_prediction_{i}").cast("int").alias("prediction")) for i, key in enumerate(models)]
+    return df.select("archives", "weight", F.array(*rows).alias("assigned"))
+
+
+def exploded(wide: DataFrame) -> DataFrame:
+    """(names..., prediction, archives, weight): one row per itemset and model of ``assigned``."""
+    return wide.select("archives", "weight", F.explode("assigned").alias("_a")).select("_a.*", "archives", "weight")
 
 
 def elbow_report(spark: SparkSession, models_by_type: dict[str, dict[int, KMeansModel]]) -> DataFrame:
@@ -65,30 +77,49 @@ def silhouette_report(preds: DataFrame, key: str = "k") -> DataFrame:
     return out.select(F.col(key).alias("cluster"), "score", "analysis_type")
 
 
-def diameter_report(preds: DataFrame, model_type: str, key: str = "k") -> DataFrame:
+def diameter_report(preds: DataFrame, model_type: str, codes: Sequence, key: str = "k") -> DataFrame:
     """(cluster = key, prediction, value, analysis_type, model_type): diameter of each cluster."""
-    d = itemset_diameter(preds, [key, "analysis_type", "prediction"])
+    d = itemset_diameter(preds, [key, "analysis_type", "prediction"], codes=codes)
     return d.select(F.col(key).alias("cluster"), "prediction", "value", "analysis_type",
                     F.lit(model_type).alias("model_type"))
 
 
-def linkage_of(spark: SparkSession, model: KMeansModel) -> tuple[DataFrame, int]:
-    centers = model.clusterCenters()
-    return complete_linkage(centroid_frame(spark, centers), len(centers)), len(centers)
+@dataclass
+class Trees:
+    """The complete-linkage trees of one model per analysis type, built in one run."""
+
+    merges: DataFrame
+    members: DataFrame
+    n: int
+
+    def cuts(self, ts: Sequence[int]) -> DataFrame:
+        return cut_trees(self.merges, self.n, ts, TREE, self.members)
+
+    def leaf_order(self) -> DataFrame:
+        return leaf_order(self.merges, self.n, TREE, self.members)
+
+
+def linkage_of(spark: SparkSession, models: dict[str, KMeansModel]) -> Trees:
+    """Trees over the centres of each analysis type's model; the models have one k."""
+    frames = {t: m.clusterCenters() for t, m in models.items()}
+    points = None
+    for t, centres in frames.items():
+        own = centroid_frame(spark, centres, analysis_type=t)
+        points = own if points is None else points.unionByName(own)
+    n = len(next(iter(frames.values())))
+    merges = materialize(complete_linkage(points, n, TREE), "merges")
+    return Trees(merges, materialize(tree_members(merges, n, TREE), "members"), n)
 
 
-def hierarchical_predictions(an: Analysis, model: KMeansModel, merges: DataFrame, n: int,
-                             ts: Sequence[int], analysis_type: str) -> DataFrame:
-    """(t, archives, weight, prediction = flat cluster) for every cut t of one linkage."""
-    cuts = cut_trees(merges, n, ts)
-    mapping = cuts.select("t", F.col("node").alias("_km"), F.col("cluster").alias("prediction"))
-    pred = model.transform(an.base).select("archives", "weight", F.col("prediction").cast("int").alias("_km"))
-    # the mapping has at most k rows per cut
-    return (pred.join(F.broadcast(mapping), "_km").drop("_km")
-            .withColumn("analysis_type", F.lit(analysis_type)))
+def hierarchical_predictions(an: Analysis, models: dict[str, KMeansModel], trees: Trees,
+                             ts: Sequence[int]) -> DataFrame:
+    """(t, analysis_type, archives, weight, prediction = flat cluster) for every cut t of every tree."""
+    cuts = trees.cuts(ts).select(*TREE, F.col("node").alias("prediction"), "t", F.col("cluster").alias("_flat"))
+    first = exploded(assigned(an, {(t,): m for t, m in models.items()}, TREE))
+    return first.join(cuts, [*TREE, "prediction"]).drop("prediction").withColumnRenamed("_flat", "prediction")
 
 
-def dendrogram_report(merges: DataFrame, n: int, analysis_type: str) -> tuple[DataFrame, DataFrame]:
-    """Merge table and leaf order of a linkage, tagged with the analysis type."""
-    return (merges.withColumn("analysis_type", F.lit(analysis_type)),
-            leaf_order(merges, n).withColumn("analysis_type", F.lit(analysis_type)))
+def dendrogram_report(trees: Trees) -> tuple[DataFrame, DataFrame]:
+    """Merge table and leaf order of every tree, with its analysis type."""
+    return (trees.merges.select("step", "left", "right", "height", "size", *TREE),
+            trees.leaf_order().select("position", "node", *TREE))

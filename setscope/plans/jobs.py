@@ -12,17 +12,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setscope.operators.linkage import cut_tree
 from setscope.operators.mining import rules_report
 from setscope.options import Options
 from setscope.plans import explore as X
 from setscope.plans.analysis import Analysis, build_analysis
 from setscope.plans.info import leaf_order_rows, parameter_rows, stats_rows
-from setscope.plans.results import cluster_variants, profiles, variant
-from setscope.sources.memberships import itemsets
-from setscope.session import materialize
+from setscope.plans.results import model_variants, profiles
+from setscope.sources.memberships import itemsets, sample_rows
+from setscope.session import materialize, release_tables
 from setscope.sources.results import save_upsert, write_result
 
+# fixed values: task and dataset names are the public interface of the job
 EXPLORE_TASKS = ("rules", "top_pcs", "elbow", "silhouette", "distance_matrix",
                  "hierarchical_distance_matrix", "dendrogram")
 RESULT_TASKS = ("archives_frequencies", "trend_vector")
@@ -33,11 +33,14 @@ class Job:
     """Shares the analysis frames and fitted models between tasks of one run."""
 
     def __init__(self, spark: SparkSession, members: DataFrame, registry: DataFrame, out: str,
-                 opts: Options = Options()):
-        self.spark, self.members, self.registry, self.out, self.opts = spark, members, registry, out, opts
+                 opts: Options = Options(), sample: float | None = None):
+        """``sample`` keeps that fraction of the membership rows (P10) for the whole run; None keeps all."""
+        self.spark, self.registry, self.out, self.opts = spark, registry, out, opts
+        self.members = members if sample is None else sample_rows(members, sample, opts.seed, ["id", "archive"])
+        self.sample_fraction = 1.0 if sample is None else sample
         self._an: Analysis | None = None
         self._models: dict = {}
-        self._links: dict = {}
+        self._trees: X.Trees | None = None
         self._preds: DataFrame | None = None
         self._variant_frame: DataFrame | None = None
         self.info: list[DataFrame] = []
@@ -56,15 +59,21 @@ class Job:
             self._models[key] = kmeans_weighted(self.an.base, k, X.FEATURE_COL[analysis_type], self.opts.seed)
         return self._models[key]
 
-    def linkage(self, analysis_type: str):
-        if analysis_type not in self._links:
-            # both linkages are independent: build them side by side
-            todo = [t for t in ("raw", "pca") if t not in self._links]
-            _ = self.an  # built once, before any thread uses it
-            models = X.run_concurrently({t: (lambda t=t: self.model(self.opts.big_k, t)) for t in todo})
-            self._links.update(X.run_concurrently(
-                {t: (lambda t=t: X.linkage_of(self.spark, models[t])) for t in todo}))
-        return self._links[analysis_type]
+    def models(self, ks: dict[str, Sequence[int]]) -> dict:
+        """The models of all (analysis type, k), fitted side by side; fits are kept for later tasks."""
+        _ = self.an  # built once, before any thread uses it
+        todo = [(t, k) for t, own in ks.items() for k in own]
+        return X.run_concurrently({(t, k): (lambda t=t, k=k: self.model(k, t)) for t, k in todo})
+
+    def _big(self) -> dict:
+        fits = self.models({t: [self.opts.big_k] for t in ("raw", "pca")})
+        return {t: m for (t, _), m in fits.items()}
+
+    @property
+    def trees(self) -> X.Trees:
+        if self._trees is None:
+            self._trees = X.linkage_of(self.spark, self._big())
+        return self._trees
 
     def save(self, df: DataFrame, name: str, partition_by: Sequence[str] | None = None) -> None:
         write_result(df, f"{self.out}/{name}", partition_by=partition_by)
@@ -81,14 +90,12 @@ class Job:
 
     def _sweep(self):
         ks = self.opts.k_values
-        _ = self.an  # built once, before any thread uses it
-        fits = X.run_concurrently({(t, k): (lambda t=t, k=k: self.model(k, t)) for t in ("raw", "pca") for k in ks})
+        fits = self.models({t: ks for t in ("raw", "pca")})
         models = {t: {k: fits[(t, k)] for k in ks} for t in ("raw", "pca")}
         if self._preds is None:
-            # one table of every model's assignments, written once for the metric tasks
-            self._preds = materialize(X.predictions(self.an, models["raw"], "raw")
-                                      .unionByName(X.predictions(self.an, models["pca"], "pca")), "sweep")
-        return models, self._preds
+            # every itemset once with its cluster under all models, written once for the metric tasks
+            self._preds = materialize(X.assigned(self.an, fits, ("analysis_type", "k")), "sweep")
+        return models, X.exploded(self._preds)
 
     def elbow(self) -> None:
         models, _ = self._sweep()
@@ -100,25 +107,15 @@ class Job:
 
     def distance_matrix(self) -> None:
         _, preds = self._sweep()
-        self.save(X.diameter_report(preds, "kmeans"), "distance_matrix", partition_by=TAGS)
+        self.save(X.diameter_report(preds, "kmeans", self.an.codes), "distance_matrix", partition_by=TAGS)
 
     def hierarchical_distance_matrix(self) -> None:
-        links = {at: self.linkage(at) for at in ("raw", "pca")}
-        # the cuts of the two trees are independent: run side by side
-        parts = X.run_concurrently({at: (lambda at=at: X.hierarchical_predictions(
-            self.an, self.model(self.opts.big_k, at), links[at][0], links[at][1], self.opts.t_values, at))
-            for at in ("raw", "pca")})
-        preds = parts["raw"].unionByName(parts["pca"])
-        self.save(X.diameter_report(preds, "hierarchical", key="t"), "distance_matrix", partition_by=TAGS)
+        preds = X.hierarchical_predictions(self.an, self._big(), self.trees, self.opts.t_values)
+        self.save(X.diameter_report(preds, "hierarchical", self.an.codes, key="t"), "distance_matrix", partition_by=TAGS)
 
     def dendrogram(self) -> None:
-        links = {at: self.linkage(at) for at in ("raw", "pca")}
-        reports = X.run_concurrently({at: (lambda at=at: X.dendrogram_report(links[at][0], links[at][1], at))
-                                      for at in ("raw", "pca")})
-        merges_all = [reports[at][0] for at in ("raw", "pca")]
-        orders = [reports[at][1] for at in ("raw", "pca")]
-        self.save(merges_all[0].unionByName(merges_all[1]), "dendrogram_merges")
-        order = orders[0].unionByName(orders[1])
+        merges, order = X.dendrogram_report(self.trees)
+        self.save(merges, "dendrogram_merges")
         self.save(order, "dendrogram_leaf_order")
         self.info.append(leaf_order_rows(order))
 
@@ -131,13 +128,9 @@ class Job:
 
     def _build_variants(self) -> DataFrame:
         o = self.opts
-        parts = []
-        for at, k_opt, t_opt in (("raw", o.opt_k_raw, o.opt_t_raw), ("pca", o.opt_k_pca, o.opt_t_pca)):
-            parts.append(variant(self.an, self.model(k_opt, at), "opt_k_kmeans", at))
-            parts.append(variant(self.an, self.model(o.big_k, at), "K_kmeans", at))
-            merges, n = self.linkage(at)
-            parts.append(variant(self.an, self.model(o.big_k, at), "hierarchical", at, cut_tree(merges, n, t_opt)))
-        return cluster_variants(parts)
+        fits = self.models({"raw": [o.opt_k_raw], "pca": [o.opt_k_pca]})
+        return model_variants(self.an, {t: m for (t, _), m in fits.items()}, self._big(), self.trees,
+                              {"raw": o.opt_t_raw, "pca": o.opt_t_pca})
 
     def archives_frequencies(self) -> None:
         prof = profiles(self.an.code_counts, self._variants(), self.registry, self.opts.top_itemsets)
@@ -153,13 +146,15 @@ class Job:
             getattr(self, t)()
 
     def save_info(self, data_table: str = "", registry_table: str = "") -> DataFrame:
-        rows = [parameter_rows(self.spark, self.opts, data_table, registry_table, self.out), *self.info]
+        rows = [parameter_rows(self.spark, self.opts, data_table, registry_table, self.out,
+                               self.sample_fraction), *self.info]
         new = rows[0]
         for r in rows[1:]:
             new = new.unionByName(r)
         return save_upsert(self.spark, new, f"{self.out}/info", ["key"], schema="key string, value string")
 
     def release(self) -> None:
+        """Drop what the run keeps: cached frames and written intermediate tables."""
         if self._an is not None:
             self._an.release()
-            self._an.subjects.unpersist()
+        release_tables(self.spark)

@@ -133,6 +133,105 @@ best AS (SELECT *, max(occ) OVER (PARTITION BY model_type, analysis_type, cluste
                 sum(occ) OVER (PARTITION BY model_type, analysis_type, cluster) AS tt FROM top)
 """
 
+# fixed values: the part types of the given tables, for columns that SQL must name
+B2_CODES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+ONE_HOT = ", ".join(f"""CAST(max(CASE WHEN archive = '{c}' THEN 1 ELSE 0 END) AS INTEGER) AS "{c}\"""" for c in B2_CODES)
+
+
+def pca(raw: str, reg: str) -> str:
+    """CTEs ``comp`` (pc, share, v) and ``codes``: all components of the 0/1 indicators.
+
+    Covariances from pair counts; each component is the limit of repeated
+    squaring of the covariance, which is then taken out of it. Signs: the
+    largest absolute loading is positive.
+    """
+    return f"""
+WITH RECURSIVE m AS (SELECT DISTINCT id, archive FROM ({raw})), reg AS ({reg}),
+n AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM m),
+codes AS (SELECT archive, row_number() OVER (ORDER BY archive) - 1 AS i FROM (SELECT DISTINCT archive FROM m)),
+d AS (SELECT count(*)::INT AS d FROM codes),
+one AS (SELECT archive, count(*)::DOUBLE AS c FROM m GROUP BY archive),
+two AS (SELECT x.archive AS a, y.archive AS b, count(*)::DOUBLE AS c FROM m x JOIN m y USING (id) GROUP BY 1, 2),
+cov AS (SELECT list((coalesce(two.c, 0) - p.c * q.c / n) / (n - 1) ORDER BY x.i, y.i) AS a
+        FROM codes x CROSS JOIN codes y CROSS JOIN n JOIN one p ON p.archive = x.archive JOIN one q ON q.archive = y.archive
+        LEFT JOIN two ON two.a = x.archive AND two.b = y.archive),
+it AS (
+  SELECT 0 AS pc, 0 AS k, a, a AS sq, d, NULL::DOUBLE AS ev, NULL::DOUBLE[] AS v FROM cov, d
+  UNION ALL
+  SELECT pc, k, a, sq, d, ev, v FROM (
+    SELECT CASE WHEN k < 40 THEN pc ELSE pc + 1 END AS pc, CASE WHEN k < 40 THEN k + 1 ELSE 0 END AS k, d,
+           CASE WHEN k < 40 THEN a ELSE rest END AS a,
+           CASE WHEN k < 40 THEN list_transform(nxt, lambda x: x / tr) ELSE rest END AS sq,
+           CASE WHEN k < 40 THEN NULL ELSE lam END AS ev, CASE WHEN k < 40 THEN NULL ELSE u END AS v
+    FROM (
+      SELECT *, list_sum(list_transform(range(d), lambda i: nxt[i * d + i + 1])) AS tr,
+             list_transform(range(d * d), lambda x: a[x + 1] - lam * u[x // d + 1] * u[x % d + 1]) AS rest
+      FROM (
+        SELECT *, list_transform(range(d * d), lambda x: list_dot_product(
+                    sq[(x // d) * d + 1:(x // d) * d + d], sq[(x % d) * d + 1:(x % d) * d + d])) AS nxt,
+               list_dot_product(u, list_transform(range(d), lambda i: list_dot_product(a[i * d + 1:i * d + d], u))) AS lam
+        FROM (
+          SELECT *, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS u
+          FROM (
+            SELECT *, sq[big * d + 1:big * d + d] AS w
+            FROM (SELECT *, list_position(diag, list_max(diag)) - 1 AS big
+                  FROM (SELECT *, list_transform(range(d), lambda i: sq[i * d + i + 1]) AS diag FROM it WHERE pc < d)))))))
+  WHERE k > 0 OR pc <= d),
+comp AS (
+  SELECT pc - 1 AS pc, ev / sum(ev) OVER () AS share,
+         list_transform(v, lambda x: x * CASE WHEN v[list_position(list_transform(v, lambda y: abs(round(y, 9))),
+                        list_max(list_transform(v, lambda y: abs(round(y, 9)))))] < 0 THEN -1 ELSE 1 END) AS v
+  FROM it WHERE ev IS NOT NULL),
+cum AS (SELECT pc + 1 AS k, sum(share) OVER (ORDER BY pc) AS c FROM comp),
+pick AS (
+  SELECT 0 AS step, 1 AS lo, d AS hi, 1 AS tried, d = 1 AS done FROM d
+  UNION ALL
+  SELECT step + 1, CASE WHEN c < 0.8 THEN mid + 1 ELSE lo END, CASE WHEN c > 0.85 THEN mid ELSE hi END, mid, c BETWEEN 0.8 AND 0.85
+  FROM (SELECT pick.*, (lo + hi) // 2 AS mid FROM pick WHERE NOT done AND lo < hi) p JOIN cum ON cum.k = p.mid),
+chosen AS (SELECT arg_max(tried, step) AS k FROM pick)
+"""
+
+
+def loadings(n: int, where: str) -> str:
+    return f"""
+, l AS (SELECT comp.pc::INT AS pc, codes.archive, v[i + 1] AS loading,
+               row_number() OVER (PARTITION BY pc ORDER BY abs(v[i + 1]) DESC, codes.archive) AS rk
+        FROM comp CROSS JOIN codes {where})
+SELECT l.archive, l.pc, round(l.loading, 5) AS loading, reg.description AS archive_description
+FROM l LEFT JOIN reg USING (archive) WHERE rk <= {n}"""
+
+
+# nations by number and balance of their suppliers, by region and key; one merge at a time
+NATION_TREE = """
+WITH RECURSIVE own AS (
+  SELECT s_nationkey, count(*)::DOUBLE AS n, sum(round(s_acctbal * 100)::BIGINT) AS cents FROM supplier GROUP BY 1),
+pts AS (
+  SELECT n_nationkey AS node, [coalesce(n, 0), coalesce(cents / 1e6, 0), n_regionkey::DOUBLE, ln(n_nationkey + 2.0::DOUBLE)] AS v
+  FROM nation LEFT JOIN own ON n_nationkey = s_nationkey),
+n AS (SELECT count(*)::INT AS n FROM pts),
+dist AS (SELECT x.node AS a, y.node AS b, list_distance(x.v, y.v) AS d FROM pts x JOIN pts y ON x.node <> y.node),
+st AS (
+  SELECT 0 AS step, node AS leaf, node AS rep, NULL::DOUBLE AS h, NULL::INT AS lo, NULL::INT AS hi FROM pts
+  UNION ALL
+  SELECT s.step + 1, s.leaf, CASE WHEN s.rep = m.hi THEN m.lo ELSE s.rep END, m.d, m.lo, m.hi
+  FROM st s CROSS JOIN (
+    SELECT x.rep AS lo, y.rep AS hi, max(dist.d) AS d
+    FROM st x JOIN dist ON dist.a = x.leaf JOIN st y ON y.leaf = dist.b
+    WHERE x.rep < y.rep GROUP BY 1, 2 ORDER BY d, lo, hi LIMIT 1) m),
+mg AS (SELECT step - 1 AS step, any_value(h) AS h, any_value(lo) AS lo, any_value(hi) AS hi,
+              count(*) FILTER (rep = lo)::INT AS size FROM st WHERE step > 0 GROUP BY step),
+ch AS (
+  SELECT mg.*, n, coalesce((SELECT max(p.step) FROM mg p WHERE p.step < mg.step AND p.lo = mg.lo) + n, mg.lo) AS ca,
+         coalesce((SELECT max(p.step) FROM mg p WHERE p.step < mg.step AND p.lo = mg.hi) + n, mg.hi) AS cb
+  FROM mg CROSS JOIN n)
+"""
+
+# subjects and distinct memberships of B1
+B1_SIZES = f"""
+  SELECT count(DISTINCT id)::BIGINT AS subjects, count(*)::BIGINT AS memberships
+  FROM (SELECT DISTINCT id, archive FROM ({B1_RAW}))"""
+TYPES = "(SELECT unnest(['raw', 'pca']) AS analysis_type)"
+
 ORACLES: dict[str, str] = {
     "memberships": B1_RAW,
     "registry_first_description": B2_REG,
@@ -175,7 +274,8 @@ ORACLES: dict[str, str] = {
              round(occ / tt, 5) AS relative_frequency, {desc('archives')} AS archives_description,
              'raw' AS analysis_type, 'rule' AS model_type FROM best, dm WHERE occ = mx""",
     "one_hot": f"""
-      PIVOT (SELECT DISTINCT id, archive FROM ({B2_RAW})) ON archive USING CAST(count(*) AS INTEGER) GROUP BY id""",
+      SELECT id, {ONE_HOT}
+      FROM ({B2_RAW}) GROUP BY id""",
     "melt_top_n": f"""
       WITH reg AS ({B2_REG}),
       w AS (SELECT p_type AS archive, p_brand AS pc, avg(p_size) - 25.5 AS loading FROM part
@@ -238,4 +338,42 @@ ORACLES: dict[str, str] = {
              analysis_type, model_type FROM best, dm WHERE occ = mx""",
     "union_tagged": t1(3, ", 'raw' AS analysis_type, 'rule' AS model_type") + " UNION ALL " +
                     t1(5, ", 'pca' AS analysis_type, 'rule' AS model_type"),
+    "feature_vectors": f"""
+      SELECT id, {txt(f"list_transform({list(B2_CODES)}, lambda c: CASE WHEN list_contains(a, c) THEN 1 ELSE 0 END)")} AS features
+      FROM (SELECT id, list(DISTINCT archive) AS a FROM ({B2_RAW}) GROUP BY id)""",
+    "pca_variance": pca(B2_RAW, B2_REG) + "SELECT pc::INT AS pc, round(share, 3) AS explained_variance FROM comp",
+    "pca_loadings": pca(B2_RAW, B2_REG) + loadings(len(B2_CODES), ""),
+    "pc_explained_variance": pca(B1_RAW, B1_REG) + """
+      SELECT pc::INT AS pc, round(share, 3) AS explained_variance FROM comp, chosen WHERE pc < chosen.k""",
+    "top_pcs": pca(B1_RAW, B1_REG) + loadings(10, "CROSS JOIN chosen WHERE comp.pc < chosen.k"),
+    "sweep_sizes": f"""
+      SELECT analysis_type, cluster::INT AS cluster, subjects, memberships, true AS from_zero, true AS below_k
+      FROM ({B1_SIZES}), {TYPES}, (SELECT unnest(range(5, 46)) AS cluster)""",
+    "two_stage_sizes": f"""
+      SELECT analysis_type, t::INT AS t, subjects, memberships, true AS numbered
+      FROM ({B1_SIZES}), {TYPES}, (SELECT unnest(range(5, 26)) AS t)""",
+    "elbow_error": f"""
+      WITH m AS (SELECT DISTINCT id, archive FROM ({B1_RAW})), n AS (SELECT count(DISTINCT id) AS n FROM m),
+      w AS (SELECT sum(c - c * c / n) AS w FROM (SELECT archive, count(*) AS c FROM m GROUP BY archive), n)
+      SELECT cluster::INT AS cluster, round(w, 4) AS one_cluster, true AS equals_wcss, true AS below_one_cluster
+      FROM w, (SELECT unnest(range(5, 46)) AS cluster)""",
+    "variants_code_totals": f"""
+      SELECT model_type, analysis_type, archive, occurrences
+      FROM (SELECT archive, count(*)::BIGINT AS occurrences FROM ({B1_RAW}) GROUP BY archive), {TYPES},
+           (SELECT unnest(['opt_k_kmeans', 'K_kmeans', 'hierarchical']) AS model_type)""",
+    "linkage_nations": NATION_TREE + """
+      SELECT step::INT AS step, least(ca, cb)::INT AS left, greatest(ca, cb)::INT AS right, round(h, 6) AS height, size
+      FROM ch""",
+    "cut_tree": NATION_TREE + """
+      , t AS (SELECT unnest(range(5, 26))::INT AS t),
+      last AS (SELECT t, coalesce((SELECT max(step) + 1 FROM mg WHERE h <=
+                 (SELECT h FROM mg WHERE step = n - t - 1)), 0) AS step FROM t, n)
+      SELECT t, leaf::INT AS node, (dense_rank() OVER (PARTITION BY t ORDER BY rep))::INT AS cluster
+      FROM last JOIN st USING (step)""",
+    "leaf_order_nations": NATION_TREE + """
+      , side AS (SELECT ch.step, st.leaf, (st.rep = ch.lo) <> (ca < cb) AS is_right
+                 FROM ch JOIN st ON st.step = ch.step AND st.rep IN (ch.lo, ch.hi)),
+      before AS (SELECT step, count(*) FILTER (NOT is_right) AS before FROM side GROUP BY step)
+      SELECT leaf::INT AS node, sum(CASE WHEN is_right THEN before ELSE 0 END)::INT AS position
+      FROM side JOIN before USING (step) GROUP BY leaf""",
 }

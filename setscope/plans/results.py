@@ -7,22 +7,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setscope.functions.arrays import array_text
-from setscope.operators.profiles import itemset_occurrences, trend_itemsets
-from setscope.operators.reshape import union_tagged
+from setscope.operators.profiles import itemset_occurrences, top_itemsets, trend_itemsets
+from setscope.operators.reshape import relabel, union_tagged
 from setscope.plans.analysis import Analysis
+from setscope.plans.explore import Trees, assigned, exploded
+from setscope.session import materialize
 
 TAGS = ("model_type", "analysis_type")
 
 
-def variant(an: Analysis, model: KMeansModel, model_type: str, analysis_type: str,
-            mapping: DataFrame | None = None) -> tuple[dict, DataFrame]:
-    """(archives, weight, cluster) of one model; ``mapping`` (node, cluster) relabels
-    k-means clusters to flat hierarchical groups."""
-    pred = model.transform(an.base).select("archives", "weight", F.col("prediction").cast("int").alias("cluster"))
-    if mapping is not None:
-        m = F.broadcast(mapping.select(F.col("node").alias("cluster"), F.col("cluster").alias("_h")))
-        pred = pred.join(m, "cluster").drop("cluster").withColumnRenamed("_h", "cluster")
-    return {"model_type": model_type, "analysis_type": analysis_type}, pred
+def model_variants(an: Analysis, optimal: dict[str, KMeansModel], big: dict[str, KMeansModel], trees: Trees,
+                   cut: dict[str, int]) -> DataFrame:
+    """(model_type, analysis_type, archives, weight, cluster) of the six variants, one pass over the base.
+
+    Per analysis type: the optimal-k model, the big-K model, and the big-K
+    model relabelled to the flat groups of its tree at ``cut`` (J3).
+    """
+    models = {}
+    for at in optimal:
+        models["opt_k_kmeans", at] = optimal[at]
+        models["K_kmeans", at] = big[at]
+    flat = exploded(assigned(an, models, TAGS)).withColumnRenamed("prediction", "cluster")
+    key = F.concat_ws("/", "analysis_type", F.col("cluster").cast("string"))
+    cuts = trees.cuts(sorted(set(cut.values())))
+    wanted = " or ".join(f"(analysis_type = '{at}' and t = {t})" for at, t in cut.items())
+    mapping = cuts.filter(wanted).withColumnRenamed("cluster", "_flat").withColumnRenamed("node", "cluster").select(
+        key.alias("_key"), "_flat")
+    two_stage = relabel(flat.filter("model_type = 'K_kmeans'").withColumn("_key", key).drop("cluster"), mapping,
+                        "_key", "_flat").withColumnRenamed("_key", "cluster")
+    return flat.unionByName(two_stage.withColumn("model_type", F.lit("hierarchical")))
 
 
 def cluster_variants(parts: list[tuple[dict, DataFrame]]) -> DataFrame:
@@ -42,8 +55,9 @@ def profiles(code_counts: DataFrame, variants: DataFrame, registry: DataFrame, n
             .agg(F.sum("n").cast("int").alias("archive_occurrences")))
     counts = (variants.groupBy(*TAGS, "cluster", "archives")
               .agg(F.sum("weight").cast("int").alias("archives_occurrences")))
-    occ = itemset_occurrences(counts, n, by=TAGS)
-    trend = trend_itemsets(occ, registry, by=TAGS)
+    top = materialize(top_itemsets(counts, n, by=TAGS), "top-itemsets")
+    occ = itemset_occurrences(counts, n, by=TAGS, top=top)
+    trend = trend_itemsets(top, registry, by=TAGS)
     return {
         "archives_frequencies": freq.select("cluster", "archive", "archive_occurrences", *TAGS[::-1]),
         "archives_occurrences": occ.select("cluster", array_text("archives").alias("archives"),

@@ -29,30 +29,30 @@ def _pad(col: str):
 
 
 def order_nation_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw membership table (cfccc16, progr6, archge, flag_movimento) for B1."""
+    """Raw membership table (subject_part, subject_number, code, flag) for B1."""
     li = test_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linestatus")
     od = test_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     su = test_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return (li.join(od, li.l_orderkey == od.o_orderkey)
             .join(su, li.l_suppkey == su.s_suppkey)
-            .select(_pad("o_custkey").alias("cfccc16"), _pad("o_orderkey").alias("progr6"),
-                    F.col("s_nationkey").alias("archge"),
-                    F.col("l_linestatus").alias("flag_movimento")))
+            .select(_pad("o_custkey").alias("subject_part"), _pad("o_orderkey").alias("subject_number"),
+                    F.col("s_nationkey").alias("code"),
+                    F.col("l_linestatus").alias("flag")))
 
 
 def order_nation_registry_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw registry (archge_ige, progetto_ge, chiaro_ge) for B1."""
+    """Raw registry (code, priority, text) for B1."""
     return test_table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("archge_ige"), F.col("n_regionkey").alias("progetto_ge"),
-        F.col("n_name").alias("chiaro_ge"))
+        F.col("n_nationkey").alias("code"), F.col("n_regionkey").alias("priority"),
+        F.col("n_name").alias("text"))
 
 
 def order_nation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(memberships, registry) of binding B1."""
-    m = memberships(order_nation_raw(spark, sf_dir), ["cfccc16", "progr6"], "archge",
-                    "flag_movimento", B1_FLAG, EXCLUDED_CODES)
-    r = registry(order_nation_registry_raw(spark, sf_dir), "archge_ige", ["progetto_ge"],
-                 "chiaro_ge", EXCLUDED_CODES)
+    m = memberships(order_nation_raw(spark, sf_dir), ["subject_part", "subject_number"], "code",
+                    "flag", B1_FLAG, EXCLUDED_CODES)
+    r = registry(order_nation_registry_raw(spark, sf_dir), "code", ["priority"],
+                 "text", EXCLUDED_CODES)
     return m, r
 
 

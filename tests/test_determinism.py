@@ -1,15 +1,16 @@
 import pytest
 
 from conftest import SF_SMALL
-import __spark_entry__ as E
+from setscope.plans.catalog import QUERIES
+from setscope.plans.oracles import ORACLES
 from tools.check_oracles import rows_of
 
-SQL_CHECKED = sorted(E.oracle_sql())
+SQL_CHECKED = sorted(ORACLES)
 
 
 @pytest.mark.parametrize("name", SQL_CHECKED)
 def test_same_result_with_other_shuffle_partitions(spark, name):
-    fn = E.queries()[name]
+    fn = QUERIES[name]
     a = fn(spark, SF_SMALL)
     first = rows_of(a.columns, [tuple(r) for r in a.collect()])
     before = spark.conf.get("spark.sql.shuffle.partitions")

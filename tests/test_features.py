@@ -38,13 +38,15 @@ def test_pca_matches_numpy_and_loadings(spark):
     from pyspark.ml.feature import PCA
     ref = PCA(k=k, inputCol="features", outputCol="pca_features").fit(feats).transform(feats)
     mine = model.transform(feats)
-    a = sorted(tuple(round(x, 9) for x in r.pca_features.toArray()) for r in mine.collect())
-    b = sorted(tuple(round(x, 9) for x in r.pca_features.toArray()) for r in ref.collect())
+    signs = model.signs[:k]
+    a = sorted(tuple(round(x, 9) + 0.0 for x in r.pca_features.toArray()) for r in mine.collect())
+    b = sorted(tuple(round(x, 9) + 0.0 for x in r.pca_features.toArray() * signs) for r in ref.collect())
     assert a == b
     ex = explained_variance(spark, model).orderBy("pc").collect()
     assert [r.pc for r in ex] == list(range(k))
     top = top_loadings(spark, model, codes, reg, 3).collect()
     pc = model.pc
+    assert all(pc[np.abs(pc[:, j]).argmax(), j] > 0 for j in range(k))
     for j in range(k):
         order = sorted(range(len(codes)), key=lambda i: (-abs(pc[i, j]), codes[i]))[:3]
         mine = [r.archive for r in sorted((r for r in top if r.pc == j), key=lambda r: (-abs(r.loading), r.archive))]
@@ -59,3 +61,9 @@ def test_single_code_domain_gives_one_component(spark):
     rows = {tuple(r.archives): r.weight for r in an.base.collect()}
     assert rows == {(7,): 3}
     an.release()
+
+
+def test_vector_plan_does_not_grow_with_the_codes(spark):
+    items = spark.createDataFrame([("a", [1, 3])], "id string, archives array<int>")
+    sizes = [len(feature_vectors(items, list(range(n)))._jdf.queryExecution().optimizedPlan().toString()) for n in (3, 300)]
+    assert sizes[1] < sizes[0] + 50

@@ -23,7 +23,16 @@ def test_whole_job_writes_every_dataset(spark):
                  "dendrogram_leaf_order", "archives_frequencies", "archives_occurrences", "trend_vector"):
         assert read_result(spark, f"{out}/{name}").count() > 0, name
     assert {"K", "sample_count", "raw", "pca"} <= set(info)
+    assert info["sample_data_table"] == "1.0" and info["db_name"] == ""
     assert len(read_result(spark, f"{out}/trend_vector").select("model_type", "analysis_type").distinct().collect()) == 6
     tags = {tuple(r) for r in read_result(spark, f"{out}/distance_matrix").select("model_type", "analysis_type")
             .distinct().collect()}
     assert tags == {(m, a) for m in ("kmeans", "hierarchical") for a in ("raw", "pca")}
+
+
+def test_recorded_sample_is_the_applied_one(spark):
+    m, reg = B.order_nation(spark, SF_SMALL)
+    job = Job(spark, m, reg, f"{ensure_checkpoint_dir(spark)}/job-{uuid.uuid4().hex}", sample=0.25)
+    assert 0.15 * m.count() < job.members.count() < 0.35 * m.count()
+    info = {r.key: r.value for r in job.save_info("db.members", "db.nation").collect()}
+    assert info["sample_data_table"] == "0.25" and info["db_name"] == "db"

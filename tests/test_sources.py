@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from setscope.sources.memberships import (
     code_domain, itemsets, memberships, registry, run_stats, sample_rows, subjects)
 
-RAW = "cfccc16 string, progr6 string, archge int, flag_movimento string"
+RAW = "subject_part string, subject_number string, code int, flag string"
 
 
 def test_memberships_filters_nulls_flags_and_excluded(spark):
@@ -11,22 +11,22 @@ def test_memberships_filters_nulls_flags_and_excluded(spark):
         ("A", "1", 5, "I"), ("A", "1", 5, "I"), ("A", None, 5, "I"), ("B", "2", None, "I"),
         ("B", "2", 7, None), ("B", "2", 8, "I"), ("B", "2", 9, "X"), ("C", "3", 901, "I"),
         ("C", "3", 0, "I")], RAW)
-    rows = sorted(tuple(r) for r in memberships(raw, ["cfccc16", "progr6"], "archge", "flag_movimento").collect())
+    rows = sorted(tuple(r) for r in memberships(raw, ["subject_part", "subject_number"], "code", "flag").collect())
     # duplicates kept, NULL key/code/flag dropped, excluded codes dropped, other flags dropped
     assert rows == [("A1", 5), ("A1", 5)]
 
 
 def test_excluded_only_subject_is_absent(spark):
     raw = spark.createDataFrame([("C", "3", 901, "I"), ("C", "3", 0, "I"), ("D", "4", 3, "I")], RAW)
-    ids = {r.id for r in itemsets(memberships(raw, ["cfccc16", "progr6"], "archge", "flag_movimento")).collect()}
+    ids = {r.id for r in itemsets(memberships(raw, ["subject_part", "subject_number"], "code", "flag")).collect()}
     assert ids == {"D4"}
 
 
 def test_registry_first_description_nulls_first_and_trimmed(spark):
     raw = spark.createDataFrame([
         (5, 2, "  second "), (5, None, " first  "), (5, 1, "third"), (6, 1, "b"), (6, 1, "a"),
-        (None, 1, "x"), (8, 1, "excluded")], "archge_ige int, progetto_ge int, chiaro_ge string")
-    reg = {r.archive: r.description for r in registry(raw, "archge_ige", ["progetto_ge"], "chiaro_ge").collect()}
+        (None, 1, "x"), (8, 1, "excluded")], "code int, priority int, text string")
+    reg = {r.archive: r.description for r in registry(raw, "code", ["priority"], "text").collect()}
     assert reg == {5: "first", 6: "a"}
 
 
