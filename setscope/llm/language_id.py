@@ -108,6 +108,8 @@ class Scorer:
     def __init__(self, model: dict):
         vocabulary = _vocabulary(model["vocabulary"])
         self.ids = {p: i for i, p in enumerate(vocabulary)}
+        #: every beginning of a piece, with the piece's id or -1
+        self.begins = {p[:k]: -1 for p in vocabulary for k in range(1, len(p))} | self.ids
         self.longest = max(map(len, vocabulary))
         langs = len(model["langs"])
         self.none, self.unknown = len(vocabulary), len(vocabulary) + 1
@@ -129,23 +131,30 @@ class Scorer:
 
     def _forward(self, texts: list[str]) -> np.ndarray:
         """Texts in order of length. Probabilities of prefixes are kept relative to the last one."""
-        n, length, get, none = len(texts), len(texts[-1]), self.ids.get, self.none
+        n, length, get = len(texts), len(texts[-1]), self.begins.get
         width = min(self.longest, length)
-        ids = np.full((length, width, n), none, dtype=np.int32)
+        ids = np.full((length, width, n), self.none, dtype=np.int32)
         ids[:, 0] = self.unknown
+        place, found = [], []
         for t, text in enumerate(texts):
-            for end in range(1, len(text) + 1):
-                for size in range(1, min(width, end) + 1):
-                    piece = get(text[end - size:end], none)
-                    if piece != none:
-                        ids[end - 1, size - 1, t] = piece
+            for begin in range(len(text)):
+                for end in range(begin + 1, min(begin + width, len(text)) + 1):
+                    piece = get(text[begin:end])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        place.append(((end - 1) * width + end - begin - 1) * n + t)
+                        found.append(piece)
+        ids.reshape(-1)[place] = found
+        used = (ids != self.none).any(axis=2)
         lengths = np.array([len(x) for x in texts])
         total = np.zeros((n, self.table.shape[1]))
         before = [np.ones_like(total)]
         for end in range(length):
             now = np.zeros_like(total)
             for size, prefix in enumerate(reversed(before)):
-                now += prefix * self.table[ids[end, size]]
+                if used[end, size]:
+                    now += prefix * self.table[ids[end, size]]
             total += np.where((end < lengths)[:, None], np.log(now), 0)
             before = [x / now for x in before[len(before) == width:]] + [np.ones_like(total)]
         return total
@@ -153,14 +162,16 @@ class Scorer:
 
 def _word_scores(model: dict) -> WordTable:
     scorer = Scorer(model)
+    # many words share a run: "The", "the," and "the"
+    by_run = WordTable(lambda own: (scorer.log_probs(["▁" + r for r in own]),))
 
     def compute(words: list[str]) -> tuple[np.ndarray, ...]:
         parts = [runs(w) for w in words]
         of = np.repeat(np.arange(len(words)), [len(p) for p in parts])
         out = np.zeros((len(words), scorer.table.shape[1]))
-        flat = ["▁" + r for p in parts for r in p]
-        if flat:
-            np.add.at(out, of, scorer.log_probs(flat))
+        if len(of):
+            rows, (logs,) = by_run.lookup(pa.array([r for p in parts for r in p]))
+            np.add.at(out, of, logs[rows])
         return out, np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
 
     return WordTable(compute)
