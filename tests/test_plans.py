@@ -48,7 +48,7 @@ def test_no_cartesian_or_nested_loop_join_in_any_registered_query(spark):
 
 def _scans(df, table):
     df.collect()
-    return sum(1 for line in _plan(df).split("+- Initial Plan")[0].splitlines() if "FileScan parquet" in line and table in line)
+    return sum(1 for line in _plan(df).split("== Initial Plan ==")[0].splitlines() if "FileScan parquet" in line and table in line)
 
 
 def test_given_tables_are_scanned_once(spark):
