@@ -11,9 +11,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from setscope.session import local_session
+    from setscope.session import local_session, release_tables
 
     s = local_session(shuffle_partitions=8, extra={
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="setscope-test-ckpt-")})
     yield s
+    release_tables(s)
     s.stop()

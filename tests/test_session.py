@@ -48,3 +48,20 @@ def test_materialize_writes_under_the_checkpoint_dir(spark):
     assert df.count() == 10
     files = df.inputFiles()
     assert files and all(root.replace("file:", "").rstrip("/") in f for f in files)
+
+
+def test_release_tables_deletes_what_was_written(spark):
+    """In a session of its own bookkeeping, so that tables of other tests stay."""
+    import os
+
+    from setscope import session
+
+    before = list(session._WRITTEN)
+    session._WRITTEN.clear()
+    try:
+        out = session.materialize(spark.range(3).toDF("id"), "gone")
+        path = session._WRITTEN[0][1].removeprefix("file:")
+        assert out.count() == 3 and os.path.isdir(path)
+        assert session.release_tables(spark) == 1 and not os.path.exists(path) and not session._WRITTEN
+    finally:
+        session._WRITTEN.extend(before)
