@@ -40,7 +40,7 @@ class Options:
     seed: int = 1
     segment_length: int = 8000
     #: partitions of the distinct-itemset base that models are fitted on: set it to the cluster's cores
-    base_partitions: int = 16
+    base_partitions: int = 8
 
     @property
     def k_values(self) -> list[int]:
