@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +49,7 @@ def _segmenter(name: str) -> WordTable:
     def compute(words: list[str]) -> tuple[np.ndarray, ...]:
         found = np.empty(len(words), dtype=object)
         for i, word in enumerate(words):
-            found[i] = [p for piece in model.encode(runs(word), num_threads=1) for p in piece]
+            found[i] = np.array([p for piece in model.encode(runs(word), num_threads=1) for p in piece], dtype=np.int64)
         return (found,)
 
     return WordTable(compute)
@@ -62,38 +61,47 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: str = VOC
 
     Learns from documents of the learning folds with a text and a language.
     Of a language with more than ``sample_docs`` documents a hash sample of
-    about that many is read; piece counts are summed in Spark.
+    about that many is read; piece counts are summed in Spark. Counts by
+    language, and by language and piece, come to the driver; texts are
+    filtered where they are read and never shuffled.
     """
     own = docs.select("doc_id", "text", "lang").where(
         learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = own.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = own.join(totals, "lang").where(
-        F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < F.lit(float(sample_docs << 30)) / F.col("n"))
+    shares = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(shares)
+    limit = F.create_map(*[F.lit(x) for lang in langs for x in (lang, (sample_docs << 30) // shares[lang])]) \
+        if langs else F.create_map().cast("map<string,bigint>")
+    picked = own.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < limit[F.col("lang")])
+
+    size = len(_vocabulary(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(f"segments {vocabulary}", lambda: _segmenter(vocabulary))
-        seen: dict[str, Counter] = {}
+        seen: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in chunks(batch, "text"):
                 offsets, words = split_words(part.column("text"))
                 if not len(words):
                     continue
                 rows, (pieces,) = table.lookup(words)
-                for lang, a, b in zip(part.column("lang").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                    own = seen.setdefault(lang, Counter())
-                    for row, n in zip(*np.unique(rows[a:b], return_counts=True), strict=True):
-                        for piece in pieces[row]:
-                            own[piece] += int(n)
+                lang_of = part.column("lang").dictionary_encode()
+                code = np.repeat(lang_of.indices.to_numpy(), np.diff(offsets))
+                for k, lang in enumerate(lang_of.dictionary.to_pylist()):
+                    times = np.bincount(rows[code == k], minlength=len(pieces))
+                    used = [w for w in np.flatnonzero(times) if len(pieces[w])]
+                    if used:
+                        flat = np.concatenate([pieces[w] for w in used])
+                        n = np.repeat(times[used], [len(pieces[w]) for w in used])
+                        own = seen.setdefault(lang, np.zeros(size, dtype=np.int64))
+                        own += np.bincount(flat, weights=n, minlength=size).astype(np.int64)
         for lang, own in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int32()),
-                                              pa.array(own.values(), pa.int64())], names=["lang", "piece", "n"])
+            piece = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(piece), pa.string()), pa.array(piece.astype(np.int32)),
+                                              pa.array(own[piece])], names=["lang", "piece", "n"])
 
     counted = picked.select("lang", "text").mapInArrow(count, "lang string, piece int, n long").groupBy(
         "lang", "piece").agg(F.sum("n").alias("n")).collect()
-    shares = {r["lang"]: r["n"] for r in totals.collect()}
-    langs = sorted(shares)
-    pieces = len(_vocabulary(vocabulary))
-    table = np.full((pieces, len(langs)), smoothing)
+    table = np.full((size, len(langs)), smoothing)
     column = {lang: i for i, lang in enumerate(langs)}
     for r in counted:
         table[r["piece"], column[r["lang"]]] += r["n"]
