@@ -23,6 +23,8 @@ UNKNOWN = 1e-7
 UNDETERMINED = "und"
 #: Positions of words whose segmentations are summed at once.
 POSITIONS = 100_000
+#: Bytes of text worked on at once: a word has a probability for every language.
+CHUNK = 4 << 20
 
 
 def runs(word: str) -> list[str]:
@@ -52,7 +54,7 @@ def _segmenter(name: str) -> WordTable:
             found[i] = np.array([p for piece in model.encode(runs(word), num_threads=1) for p in piece], dtype=np.int64)
         return (found,)
 
-    return WordTable(compute)
+    return WordTable(compute, limit=100_000)
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: str = VOCABULARY,
@@ -79,7 +81,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: str = VOC
         table = worker_table(f"segments {vocabulary}", lambda: _segmenter(vocabulary))
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 offsets, words = split_words(part.column("text"))
                 if not len(words):
                     continue
@@ -171,7 +173,7 @@ class Scorer:
 def _word_scores(model: dict) -> WordTable:
     scorer = Scorer(model)
     # many words share a run: "The", "the," and "the"
-    by_run = WordTable(lambda own: (scorer.log_probs(["▁" + r for r in own]),))
+    by_run = WordTable(lambda own: (scorer.log_probs(["▁" + r for r in own]),), limit=250_000)
 
     def compute(words: list[str]) -> tuple[np.ndarray, ...]:
         parts = [runs(w) for w in words]
@@ -182,7 +184,7 @@ def _word_scores(model: dict) -> WordTable:
             np.add.at(out, of, logs[rows])
         return out, np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
 
-    return WordTable(compute)
+    return WordTable(compute, limit=150_000)
 
 
 def score_texts(texts: pa.Array, model: dict, table: WordTable) -> tuple[list[str], np.ndarray]:
@@ -216,7 +218,7 @@ def identify(docs: DataFrame, model: dict | None = None, keep_text: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(f"lang {model['key']}", lambda: _word_scores(model))
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 lang, score = score_texts(part.column("text"), model, table)
                 text = [part.column("text")] if keep_text else []
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("held_out"), pa.array(lang, pa.string()),

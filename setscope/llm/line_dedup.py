@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from setscope.llm.text import chunks
+from setscope.llm.text import chunks, release_worker_tables
 
 #: Lines of fewer words are too common by chance to be copies, and stay.
 MIN_WORDS = 10
@@ -69,6 +69,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_worker_tables()
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         for part in chunks(batch, "text"):

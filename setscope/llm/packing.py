@@ -10,7 +10,6 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from setscope.llm.text import WordTable, chunks, split_words
+from setscope.llm.text import WordTable, chunks, split_words, worker_table
 from setscope.session import materialize
 
 CAPACITY = 4096
@@ -62,11 +61,6 @@ class TokenTable(WordTable):
         return ends + np.arange(len(ends)), np.insert(ids, ends[1:], end_id).astype("<u4", copy=False)
 
 
-@cache
-def _token_table(path: str) -> TokenTable:
-    return TokenTable(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID,
                  with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document.
@@ -84,7 +78,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        table = _token_table(public_tokenizers.path(tokenizer))
+        path = public_tokenizers.path(tokenizer)
+        table = worker_table(f"tokens {path}", lambda: TokenTable(path))
         for batch in batches:
             for part in chunks(batch, "text"):
                 offsets, ids = table.encode(part.column("text"), end_id)

@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from setscope.llm import gray_index
 from setscope.llm.components import connected_components
-from setscope.llm.text import chunks, split_words
+from setscope.llm.text import chunks, release_worker_tables, split_words
 from setscope.session import materialize
 
 BITS = 64
@@ -25,7 +25,9 @@ HASH_SEED = 42
 #: Codes of one pattern that one task links at once; larger groups are dealt out as pairs of parts.
 PART = 8192
 #: Shingles whose hashes are counted at once.
-COUNT_AT_ONCE = 1 << 19
+COUNT_AT_ONCE = 1 << 17
+#: Bytes of text worked on at once: every word is an object for a while.
+CHUNK = 2 << 20
 
 
 def fingerprints_of(offsets: np.ndarray, words: pa.Array, width: int = WIDTH) -> np.ndarray:
@@ -61,8 +63,9 @@ def fingerprints(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     schema = StructType([*kept, StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_tables()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 offsets, words = split_words(pc.ascii_lower(part.column("text").fill_null("")))
                 fps = fingerprints_of(offsets, words, width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(fps)],

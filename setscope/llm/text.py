@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,9 +90,16 @@ class WordTable:
 _TABLES: dict[str, WordTable] = {}
 
 
+def release_worker_tables() -> None:
+    """Give back the memory of this worker's tables: an operator without one starts with this."""
+    _TABLES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def worker_table(key: str, make: Callable[[], WordTable]) -> WordTable:
-    """The table of model ``key`` in this worker, made once; tables of earlier models go."""
+    """The table of model ``key`` in this worker, made once; tables of earlier models go, with their memory."""
     if key not in _TABLES:
-        _TABLES.clear()
+        release_worker_tables()
         _TABLES[key] = make()
     return _TABLES[key]
