@@ -4,7 +4,8 @@ A rule is a label, a priority, a confidence, keywords and a regular
 expression. Expressions see a text as its lower-case words (runs of letters,
 digits and non-ASCII characters) with one space between them, so "CC BY-NC
 4.0" reads "cc by nc 4 0". A rule is tried only where one of its keywords is a
-word of the text; a keyword of several words below stands for its last one.
+word of the text, so every match of its expression must hold one of them; a
+keyword of several words below stands for its last one.
 Priorities: 3 a notice or an identifier with its version, 2 a name, 1 a hint.
 """
 
@@ -21,6 +22,8 @@ WORDS = {
     "licen": ("license", "licence", "licensed", "licenced", "licenses", "licences"),
     "gpl": ("gpl", "gplv1", "gplv2", "gplv3"), "lgpl": ("lgpl", "lgplv2", "lgplv3"), "agpl": ("agpl", "agplv1", "agplv3"),
     "beer": ("beer", "beerware"), "openrail": ("openrail", "rail"), "eupl": ("eupl",),
+    "wtfpl": ("wtfpl", "wtfpl2", "wtfplv2", "wtfplver2", "wtfplversion2", "wtfplv", "wtfplver", "wtfplversion"),
+    "copying": ("license", "licence", "copying"),
 }
 
 V = r"(?:,? ?v(?:ersion|er)?)? ?"
@@ -30,29 +33,37 @@ OPEN = r"(?:licen[cs]ed|released|distributed|available|provided|published|dual l
 #: label, keyword, expressions of notices and full names, expressions of short names.
 _LICENSES = [
     ("mit", "mit", [OPEN + r"mit(?: " + LIC + r")?", r"the mit " + LIC, r"spdx " + LIC + r" identifier mit", r"mit expat " + LIC],
-     [r"mit " + LIC + r"d?", r"expat " + LIC, r"mit x11 " + LIC]),
+     [r"mit " + LIC + r"d?", r"mit x11 " + LIC]),
+    ("mit", "expat", [], [r"expat " + LIC]),
     ("mit", "permission", [r"permission is hereby granted free of charge to any person obtaining a copy"], []),
     ("mit-0", "mit", [r"mit no attribution(?: " + LIC + ")?", r"spdx " + LIC + r" identifier mit 0"], [r"mit 0"]),
-    ("x11", "x11", [r"x11 " + LIC, r"spdx " + LIC + r" identifier x11"], [r"x consortium " + LIC]),
+    ("x11", "x11", [r"x11 " + LIC, r"spdx " + LIC + r" identifier x11"], []),
+    ("x11", "consortium", [], [r"x consortium " + LIC]),
     ("isc", "isc", [OPEN + r"isc(?: " + LIC + ")?", r"spdx " + LIC + r" identifier isc"], [r"isc " + LIC]),
     ("isc", "permission", [r"permission to use copy modify and or distribute this software for any purpose"], []),
     ("apache-1.0", "apache", [r"apache (?:software )?" + LIC + V + r"1 0", r"apache 1 0"], []),
     ("apache-1.1", "apache", [r"apache (?:software )?" + LIC + V + r"1 1", r"apache 1 1"], []),
     ("apache-2.0", "apache", [r"apache (?:software )?" + LIC + V + r"2(?: 0)?", r"spdx " + LIC + r" identifier apache 2 0",
                               r"apache v?2(?: 0)? " + LIC, r"apache org licenses " + LIC + " 2 0"],
-     [r"apache v?2(?: 0)?", r"asl 2 0", r"apl 2 0"]),
+     [r"apache v?2(?: 0)?"]),
+    ("apache-2.0", "asl", [], [r"asl 2 0"]),
+    ("apache-2.0", "apl", [], [r"apl 2 0"]),
     ("apache", "apache", [], [r"apache (?:software )?" + LIC, r"apache licensed"]),
-    ("bsd-2-clause", "bsd", [r"(?:2|two) clause bsd(?: " + LIC + ")?", r"simplified bsd " + LIC, r"freebsd " + LIC,
+    ("bsd-2-clause", "bsd", [r"(?:2|two) clause bsd(?: " + LIC + ")?", r"simplified bsd " + LIC,
                              r"spdx " + LIC + r" identifier bsd 2 clause"], [r"bsd 2(?: clause)?"]),
+    ("bsd-2-clause", "freebsd", [r"freebsd " + LIC], []),
     ("bsd-3-clause", "bsd", [r"(?:3|three) clause bsd(?: " + LIC + ")?", r"(?:new|modified|revised) bsd " + LIC,
                              r"spdx " + LIC + r" identifier bsd 3 clause"], [r"bsd 3(?: clause)?"]),
     ("bsd-4-clause", "bsd", [r"(?:4|four) clause bsd(?: " + LIC + ")?", r"(?:original|old) bsd " + LIC], [r"bsd 4(?: clause)?"]),
-    ("0bsd", "0bsd", [r"spdx " + LIC + r" identifier 0bsd", r"bsd zero clause(?: " + LIC + ")?"], [r"0bsd"]),
+    ("0bsd", "0bsd", [r"spdx " + LIC + r" identifier 0bsd"], [r"0bsd"]),
+    ("0bsd", "zero", [r"bsd zero clause(?: " + LIC + ")?"], []),
     ("bsd", "bsd", [OPEN + r"(?:a )?bsd(?: style)?(?: " + LIC + ")?"], [r"bsd(?: style)? " + LIC]),
     ("bsd", "redistribution", [r"redistribution and use in source and binary forms with or without modification"], []),
-    ("boost-1.0", "boost", [r"boost software " + LIC + V + r"1 0", r"spdx " + LIC + r" identifier bsl 1 0"], [r"boost (?:software )?" + LIC]),
+    ("boost-1.0", "boost", [r"boost software " + LIC + V + r"1 0"], [r"boost (?:software )?" + LIC]),
+    ("boost-1.0", "bsl", [r"spdx " + LIC + r" identifier bsl 1 0"], []),
     ("zlib", "zlib", [r"zlib libpng " + LIC, r"spdx " + LIC + r" identifier zlib"], [r"zlib " + LIC]),
-    ("libpng", "libpng", [r"png reference library " + LIC], [r"libpng " + LIC]),
+    ("libpng", "png", [r"png reference library " + LIC], []),
+    ("libpng", "libpng", [], [r"libpng " + LIC]),
     ("unlicense", "unlicense", [r"spdx " + LIC + r" identifier unlicense", OPEN + "unlicense"], [r"the unlicense"]),
     ("unlicense", "unencumbered", [r"free and unencumbered software released into the public domain"], []),
     ("wtfpl", "wtfpl", [r"wtfpl" + V + "2"], [r"wtfpl"]),
@@ -78,7 +89,8 @@ _LICENSES = [
     ("artistic-1.0", "artistic", [r"artistic " + LIC + V + r"1(?: 0)?"], [r"the artistic " + LIC, r"perl artistic " + LIC]),
     ("artistic-2.0", "artistic", [r"artistic " + LIC + V + r"2(?: 0)?"], []),
     ("perl", "same terms as perl", [r"same terms as perl(?: itself)?"], []),
-    ("python-2.0", "python", [r"python software foundation " + LIC + r"(?:" + V + "2)?", r"psf " + LIC], [r"python " + LIC]),
+    ("python-2.0", "python", [r"python software foundation " + LIC + r"(?:" + V + "2)?"], [r"python " + LIC]),
+    ("python-2.0", "psf", [r"psf " + LIC], []),
     ("php-3.01", "php", [r"php " + LIC + V + r"3(?: 01)?"], [r"php " + LIC]),
     ("ruby", "ruby", [r"same terms as ruby"], [r"ruby " + LIC]),
     ("postgresql", "postgresql", [r"spdx " + LIC + r" identifier postgresql"], [r"postgresql " + LIC]),
@@ -87,13 +99,16 @@ _LICENSES = [
     ("ftl", "freetype", [r"freetype project " + LIC], [r"freetype " + LIC]),
     ("ijg", "jpeg group", [r"independent jpeg group s? ?" + LIC], []),
     ("info-zip", "info zip", [r"info zip " + LIC], []),
-    ("ncsa", "ncsa", [r"university of illinois(?: ncsa)? open source " + LIC], [r"ncsa (?:open source )?" + LIC]),
+    ("ncsa", "illinois", [r"university of illinois(?: ncsa)? open source " + LIC], []),
+    ("ncsa", "ncsa", [], [r"ncsa (?:open source )?" + LIC]),
     ("ofl-1.1", "open font", [r"sil open font " + LIC + r"(?:" + V + "1 1)?"], [r"open font " + LIC]),
     ("ofl-1.1", "ofl", [r"ofl v?1 1"], [r"sil ofl"]),
     ("afl-3.0", "academic free", [r"academic free " + LIC + V + r"3(?: 0)?"], [r"academic free " + LIC]),
     ("osl-3.0", "open software", [r"open software " + LIC + V + r"3(?: 0)?"], [r"open software " + LIC]),
-    ("ms-pl", "microsoft", [r"microsoft public " + LIC, r"ms pl"], []),
-    ("ms-rl", "microsoft", [r"microsoft reciprocal " + LIC, r"ms rl"], []),
+    ("ms-pl", "microsoft", [r"microsoft public " + LIC], []),
+    ("ms-pl", "ms", [r"ms pl"], []),
+    ("ms-rl", "microsoft", [r"microsoft reciprocal " + LIC], []),
+    ("ms-rl", "ms", [r"ms rl"], []),
     ("upl-1.0", "universal permissive", [r"universal permissive " + LIC + r"(?:" + V + "1 0)?"], []),
     ("sleepycat", "sleepycat", [], [r"sleepycat(?: public)? " + LIC]),
     ("qpl-1.0", "q public", [r"q public " + LIC + V + "1 0"], [r"the q public " + LIC]),
@@ -111,7 +126,7 @@ _LICENSES = [
     ("beerware", "beer", [r"the beer ware " + LIC], [r"beerware"]),
     ("odbl-1.0", "open database", [r"open (?:data commons open )?database " + LIC + r"(?:" + V + "1 0)?"], []),
     ("odc-by-1.0", "open data commons", [r"open data commons attribution " + LIC], []),
-    ("pddl-1.0", "open data commons", [r"public domain dedication and " + LIC], []),
+    ("pddl-1.0", "dedication", [r"public domain dedication and " + LIC], []),
     ("ogl-uk-3.0", "open government", [r"open government " + LIC + V + r"3(?: 0)?"], [r"open government " + LIC]),
     ("gfdl-1.1", "free documentation", [r"gnu free documentation " + LIC + V + "1 1"], []),
     ("gfdl-1.2", "free documentation", [r"gnu free documentation " + LIC + V + "1 2"], []),
@@ -120,13 +135,14 @@ _LICENSES = [
     ("llama", "llama", [r"llama (?:\d )?community " + LIC + "(?: agreement)?"], []),
     ("gpl-exception", "exception", [r"gcc runtime library exception", r"classpath exception", r"linking exception"], []),
     ("all-rights-reserved", "rights reserved", [], [r"all rights reserved"]),
-    ("proprietary", "proprietary", [r"proprietary and confidential", r"unauthorized copying of this file"], [r"proprietary " + LIC]),
+    ("proprietary", "proprietary", [r"proprietary and confidential"], [r"proprietary " + LIC]),
+    ("proprietary", "unauthorized", [r"unauthorized copying of this file"], []),
     ("copyright", "copyright", [r"copyright c \d{4}"], [r"copyright \d{4}", r"copyright by"]),
 ]
 
 #: Expressions of texts that speak of a license without naming one.
 _HINTS = [
-    ("license-hint", "licen", r"see (?:the )?(?:file )?(?:licen[cs]e|copying)(?: file)?(?: for (?:more )?details)?"),
+    ("license-hint", "copying", r"see (?:the )?(?:file )?(?:licen[cs]e|copying)(?: file)?(?: for (?:more )?details)?"),
     ("license-hint", "licen", r"all licen[cs]es"), ("license-hint", "licen", r"spdx licen[cs]e identifier(?: \S+){1,3}"),
     ("license-hint", "licen", r"end user licen[cs]e agreement"), ("license-hint", "licen", r"released under the \S+ licen[cs]e(?: version(?: \d+){1,2})?"),
     ("license-hint", "licen", r"licen[cs]ed under the(?: \S+){1,6}? licen[cs]e(?: version(?: \d+){1,2})?"), ("license-hint", "licen", r"open source licen[cs]e"),

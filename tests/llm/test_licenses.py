@@ -85,3 +85,39 @@ def test_rules_are_many_and_plan_is_native(spark):
     df = spark.createDataFrame([(1, "mit license", "", 0, "")], SCHEMA)
     plan = licenses.scan(df).groupBy(F.size("found")).count()._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def example(rnd, regex):
+    """A random text that an expression matches; some have two spaces in a row and match nothing."""
+    out = regex.removeprefix("(?<= )").removesuffix("(?= )").replace(r"\S+", "q").replace(r"\d{4}", "2020").replace(r"\d", "7")
+    out = re.sub(r"\[(\w+)\]", lambda m: rnd.choice(m[1]), out)
+    while "(" in out:
+        out = re.sub(r"\(\?:([^()]*)\)(\{\d,\d\}\??|\?)?", lambda m: rnd.choice(m[1].split("|")) * (
+            rnd.randint(0, 1) if m[2] == "?" else rnd.randint(1, 3) if m[2] else 1), out)
+    return re.sub(r"(.)\?", lambda m: m[1] * rnd.randint(0, 1), out)
+
+
+def test_every_match_holds_a_keyword():
+    rnd = random.Random(4)
+    for r in RULES:
+        lines = [f" {' '.join(words_of(example(rnd, r['regex'])))} " for _ in range(200)]
+        found = [m[0] for line in lines for m in re.finditer(r["regex"], line)]
+        assert found, r
+        assert not [m for m in found if not set(m.split()) & set(r["keywords"])], r
+
+
+def test_scan_agrees_without_the_keywords(spark, monkeypatch):
+    """One example per rule; without the keywords every rule is tried in every text, as all hold "always"."""
+    rnd = random.Random(5)
+    texts = ["Expat license", "X Consortium license", "ASL 2.0", "APL 2.0", "FreeBSD license", "BSD zero clause license",
+             "SPDX-License-Identifier: BSL-1.0", "PNG reference library license", "WTFPLv2", "PSF license",
+             "University of Illinois open source license", "MS-PL", "MS-RL", "public domain dedication and license",
+             "Unauthorized copying of this file", "see COPYING"]
+    for r in RULES:
+        texts.append(next(t for t in iter(lambda: example(rnd, r["regex"]), "") if re.search(
+            r["regex"], f" {' '.join(words_of(t))} ")))
+    df = spark.createDataFrame([(i, t + ". Always", "w", 1, "f") for i, t in enumerate(texts)], SCHEMA)
+    gated = {r.doc.doc_id: r.found for r in licenses.scan(df).collect()}
+    monkeypatch.setattr(licenses, "rules", lambda: [{**r, "keywords": ("always",)} for r in RULES])
+    free = {r.doc.doc_id: r.found for r in licenses.scan(df).collect()}
+    assert gated == free and all(free.values())
