@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from setscope.llm import language_id, line_dedup, mixing, packing, simhash
 from setscope.session import materialize
 
-#: Documents whose language is less certain than this go, like those without a letter.
-LEAST_CERTAIN = 0.5
-
 ORACLE_SQL = None
 
 
@@ -26,9 +23,9 @@ def _as_documents(rows: DataFrame, columns: list[str], **changed) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: undetermined and uncertain texts go; a missing lang is filled in."""
+    """Documents with a language, however uncertain: texts without a letter go; a missing lang is filled in."""
     found = language_id.identify(docs, keep_text=True)
-    kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_CERTAIN))
+    kept = found.where(F.col("lang_pred") != language_id.UNDETERMINED)
     return _as_documents(kept, docs.columns, text=F.col("text"), lang=F.coalesce(F.col("doc")["lang"], F.col("lang_pred")))
 
 

@@ -54,6 +54,15 @@ def test_language_stage_keeps_documents_with_a_language(spark, documents):
     assert {900_000, 900_001, 900_002} <= gone and len(gone) < 10
 
 
+def test_language_stage_drops_only_texts_without_a_letter(spark, documents):
+    short = [(910_000 + i, t, None, "src1", len(t)) for i, t in enumerate(["vr", "Mr", "Ж", "12", "vs. 3"])]
+    given = documents.unionByName(spark.createDataFrame(short, documents.schema))
+    least = language_id.identify(given, keep_text=True).where("doc.doc_id >= 910000 and lang_pred <> 'und'").agg(F.min("score"))
+    assert least.first()[0] < 0.5
+    gone = {r[0] for r in rows(given)} - {r[0] for r in rows(STAGES["language_id"](spark, given, SF))}
+    assert gone == {900_000, 900_001, 900_002, 910_003}
+
+
 def test_simhash_stage_keeps_the_first_of_each_group(spark, documents):
     out = STAGES["simhash"](spark, documents, SF)
     assert out.columns == COLUMNS
