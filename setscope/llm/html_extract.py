@@ -16,9 +16,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from setscope.llm.text import chunks
 from setscope.session import materialize
 
-#: A subtree is template if it stands on so many differing pages of its host, and on this share of them.
+#: A subtree is template if it stands on so many differing pages of its host, and on the square root of their number.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.2
 #: Recurring subtrees that are broadcast to the pages; above, pages and subtrees are joined by host.
 BROADCAST_SUBTREES = 200_000
 
@@ -245,12 +244,13 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def recurring_subtrees(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def recurring_subtrees(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, template): hashes of the element subtrees that recur on many pages of a host.
 
     Pages that agree in their main text count once, so copies of an article
-    don't make its elements a template. A host has at most the subtrees of a
-    page over ``least_share`` of them. Rows are (host, main text, subtree)
+    don't make its elements a template. The share asked for falls with the
+    size of the host, so a notice on a small part of a large host goes too; a
+    host of n pages has at most the subtrees of sqrt(n) pages. Rows are (host, main text, subtree)
     once each and counted with map-side combine, so a large host is spread.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +273,11 @@ def recurring_subtrees(pages: DataFrame, least_pages: int = LEAST_PAGES, least_s
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
     counts = materialize(counts.where((F.col("n") >= least_pages) | F.col("subtree").isNull()), "subtrees")
     totals = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    return (counts.where("subtree is not null").join(totals, "host").where(F.col("n") >= least_share * F.col("pages"))
+    return (counts.where("subtree is not null").join(totals, "host").where(F.col("n") * F.col("n") >= F.col("pages"))
             .groupBy("host").agg(F.collect_list("subtree").alias("template")))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
     Character references are decoded, white space inside a block is one
@@ -287,7 +287,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     empty result. The recurring subtrees are broadcast if they are few
     enough, and joined by host otherwise.
     """
-    found = materialize(recurring_subtrees(pages, least_pages, least_share), "template")
+    found = materialize(recurring_subtrees(pages, least_pages), "template")
     few = (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_SUBTREES
     hosted = pages.select("page_id", "url", "html", host_of(pages["url"]).alias("host"))
     joined = hosted.join(F.broadcast(found) if few else found, "host", "left")

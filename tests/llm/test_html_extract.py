@@ -56,6 +56,14 @@ def test_templates_are_found_per_host(spark):
     assert got[300] == "no host 0\n\nRead our letter" and got[400] == "new"
 
 
+def test_a_notice_on_a_small_part_of_a_large_host_goes(spark):
+    box = "<div><b>Read our letter</b></div>"
+    rows = [(i, f"https://a.example/{i}", page(f"<p>own {i}</p>" + (box if i < 30 else "<ol><li>rare</ol>" if i < 50 else "")),
+             "", 0) for i in range(600)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"own {i}" + ("\n\nrare" if 30 <= i < 50 else "") for i in range(600)}
+
+
 @pytest.mark.parametrize("few", [0, 10**9])
 def test_both_joins_agree(spark, monkeypatch, few):
     monkeypatch.setattr(H, "BROADCAST_SUBTREES", few)
