@@ -28,6 +28,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)")
 _RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg",
         "math", "object", "select"}
+#: Those that the end of their parent does not close.
+_OPEN_ENDED = {"script", "style", "title", "textarea"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CONTAINERS = {"address", "aside", "center", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form",
@@ -96,13 +98,14 @@ class Page:
     """Blocks of a page, and the subtrees that may be template. One pass, no recursion, whole text."""
 
     def __init__(self, source: str):
-        #: Text, main part (article number, -1 for main, 0 elsewhere) of every block that no mark drops.
+        #: Text, main part (article number, -1 for main, -2 for its headings, 0 elsewhere) of every block that no mark drops.
         self.blocks: list[tuple[str, int]] = []
         #: Hash and range of blocks of every container with text.
         self.subtrees: list[tuple[int, int, int]] = []
         self._text: list[str] = []
         self._stack: list[list] = []
         self._open: Counter[str] = Counter()
+        self._unclosed: set[str] = set()
         self._hard = self._soft = self._heading = self._articles = self._part = 0
         self._read(source)
 
@@ -120,9 +123,14 @@ class Page:
             if match[1]:
                 self._end(tag)
             elif tag in _RAW:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 if not match[3].endswith("/") or tag not in ("svg", "math"):
-                    at = close.end() if close else len(source)
+                    close = self._close_of(tag, source, at)
+                    if close:
+                        at = close.end()
+                    elif tag in _OPEN_ENDED:
+                        at = len(source)
+                    elif self._stack and (close := self._close_of(self._stack[-1][0], source, at)):
+                        at = close.start()
             elif tag in _VOID:
                 if tag in _BLOCKS:
                     self._flush()
@@ -135,6 +143,15 @@ class Page:
             self._pop()
         self._flush()
 
+    def _close_of(self, tag: str, source: str, at: int) -> re.Match | None:
+        """The next end tag; a search without success is not made again further on."""
+        if tag in self._unclosed:
+            return None
+        close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+        if not close:
+            self._unclosed.add(tag)
+        return close
+
     def _add(self, text: str) -> None:
         if text:
             text = html.unescape(text) if "&" in text else text
@@ -150,7 +167,7 @@ class Page:
             text = " ".join("".join(self._text).split())
             self._text = []
             if text:
-                self.blocks.append((text, self._part))
+                self.blocks.append((text, -2 if self._part == -1 and self._heading else self._part))
 
     def _close_open(self, kinds: set[str], bounds: set[str]) -> None:
         for i in range(len(self._stack) - 1, max(len(self._stack) - 64, 0) - 1, -1):
@@ -216,26 +233,24 @@ class Page:
     def text(self, template: set[int] = frozenset()) -> str:
         """Blocks of the main part without template subtrees, joined by an empty line.
 
-        The main part is the longest article; without one, main; without both,
-        the whole page.
+        The main part is all articles that stand in no other one, and the
+        headings of main; without an article, main; without both, the whole
+        page.
         """
         change = [0] * (len(self.blocks) + 1)
         for digest, first, end in self.subtrees:
             if digest in template:
                 change[first] += 1
                 change[end] -= 1
-        parts: dict[int, list[str]] = {}
+        kept: list[tuple[str, int]] = []
         depth = 0
-        for (text, part), step in zip(self.blocks, change):
+        for block, step in zip(self.blocks, change):
             depth += step
             if not depth:
-                parts.setdefault(part, []).append(text)
-        articles = [p for p in parts if p > 0]
-        if articles:
-            return "\n\n".join(parts[max(articles, key=lambda p: (sum(map(len, parts[p])), -p))])
-        if -1 in parts:
-            return "\n\n".join(parts[-1])
-        return "\n\n".join(parts.get(0, []))
+                kept.append(block)
+        found = {part for _, part in kept}
+        main = found - {0, -1} if max(found, default=0) > 0 else found - {0} or found
+        return "\n\n".join(text for text, part in kept if part in main)
 
 
 def host_of(url: Column) -> Column:

@@ -40,6 +40,26 @@ def test_cases(source, text):
     assert H.Page(source or "").text() == text
 
 
+WHOLE = [
+    ("<article><p>short</p></article><p>between</p><article><p>the longer one</p></article>", "short\n\nthe longer one"),
+    ("<main><h1>Head</h1><p>by me</p><article><p>text</p></article></main><h2>out</h2>", "Head\n\ntext"),
+    ("<main><h1>Head</h1><nav><h2>n</h2></nav><p>text</p></main><p>out</p>", "Head\n\ntext"),
+    ("<article><p>a</p></article><article class='comment'><p>reader</p></article>", "a"),
+] + [(f"<article><p>a</p><div><{tag}>in</div><p>b</p></article>", "a\n\nb")
+     for tag in ("svg", "math", "object", "select", "noscript", "iframe")]
+
+
+@pytest.mark.parametrize("source, text", WHOLE)
+def test_all_articles_headings_of_main_and_what_follows_an_unclosed_element(source, text):
+    assert H.Page(source).text() == text
+
+
+def test_many_unclosed_elements_take_linear_time():
+    began = time.time()
+    assert H.Page("<article>" + "<svg>x " * 50_000).text().startswith("x x")
+    assert time.time() - began < 10
+
+
 def test_templates_are_found_per_host(spark):
     """A box without a telling name goes where it recurs on the host; paragraphs and copied articles stay."""
     box = "<div><b>Read our letter</b></div>"
