@@ -24,7 +24,7 @@ from setscope.operators.features import loadings_report, one_hot
 from setscope.operators.profiles import (
     code_frequencies, itemset_counts, itemset_occurrences, top_itemsets, trend_itemsets)
 from setscope.operators.reshape import relabel, union_tagged
-from setscope.session import ensure_checkpoint_dir, materialize
+from setscope.session import ensure_checkpoint_dir, materialize, release_tables, tables_of
 from setscope.sources.results import read_result, upsert_by_key, write_result
 from setscope.sources.tables import test_table
 
@@ -37,6 +37,7 @@ OPTS = Options()
 _MEMO: dict = {}
 _LOCKS: dict = {}
 _GUARD = threading.Lock()
+MEMO_TABLES = "registered queries"
 
 
 def _memo(spark: SparkSession, key: tuple, build):
@@ -44,12 +45,20 @@ def _memo(spark: SparkSession, key: tuple, build):
     k = (spark.sparkContext.applicationId, *key)
     with _GUARD:
         lock = _LOCKS.setdefault(k, threading.Lock())
-    with lock:
+    with lock, tables_of(MEMO_TABLES):
         if k not in _MEMO:
             _MEMO[k] = build()
     return _MEMO[k]
 
 
+def release_memo(spark: SparkSession) -> None:
+    """Forget the kept values of this application, with the tables they read."""
+    app = spark.sparkContext.applicationId
+    for k in [k for k in _MEMO if k[0] == app]:
+        del _MEMO[k]
+    release_tables(spark, MEMO_TABLES)
+
+
 # Thresholds of the registered rule queries: the reference defaults on B2.
 RULES_SUPPORT = OPTS.min_support
 RULES_CONFIDENCE = OPTS.min_confidence

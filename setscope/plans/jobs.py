@@ -8,6 +8,7 @@ Tasks can be chosen by name.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from setscope.plans.analysis import Analysis, build_analysis
 from setscope.plans.info import leaf_order_rows, parameter_rows, stats_rows
 from setscope.plans.results import model_variants, profiles
 from setscope.sources.memberships import itemsets, sample_rows
-from setscope.session import materialize, release_tables
+from setscope.session import materialize, release_tables, tables_of
 from setscope.sources.results import save_upsert, write_result
 
 # fixed values: task and dataset names are the public interface of the job
@@ -44,11 +45,13 @@ class Job:
         self._preds: DataFrame | None = None
         self._variant_frame: DataFrame | None = None
         self.info: list[DataFrame] = []
+        self.owner = f"job {uuid.uuid4().hex}"
 
     @property
     def an(self) -> Analysis:
         if self._an is None:
-            self._an = build_analysis(self.members, self.opts)
+            with tables_of(self.owner):
+                self._an = build_analysis(self.members, self.opts)
             self.info.append(stats_rows(self.members))
         return self._an
 
@@ -142,8 +145,9 @@ class Job:
         self.save(prof["trend_vector"], "trend_vector", partition_by=TAGS)
 
     def run(self, tasks: Sequence[str]) -> None:
-        for t in tasks:
-            getattr(self, t)()
+        with tables_of(self.owner):
+            for t in tasks:
+                getattr(self, t)()
 
     def save_info(self, data_table: str = "", registry_table: str = "") -> DataFrame:
         rows = [parameter_rows(self.spark, self.opts, data_table, registry_table, self.out,
@@ -154,7 +158,7 @@ class Job:
         return save_upsert(self.spark, new, f"{self.out}/info", ["key"], schema="key string, value string")
 
     def release(self) -> None:
-        """Drop what the run keeps: cached frames and written intermediate tables."""
+        """Drop what the run keeps: its cached frames and its own written intermediate tables."""
         if self._an is not None:
             self._an.release()
-        release_tables(self.spark)
+        release_tables(self.spark, self.owner)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -17,8 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-#: (application, folder) given out by ``scratch_folder``.
-_WRITTEN: list[tuple[str, str]] = []
+#: (application, owner, folder) given out by ``scratch_folder``.
+_WRITTEN: list[tuple[str, str, str]] = []
+_OWNER: ContextVar[str] = ContextVar("setscope_owner", default="")
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8,
@@ -61,10 +64,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_folder(spark: SparkSession, tag: str) -> str:
     """A fresh folder name under the checkpoint folder; ``release_tables`` deletes it."""
     path = f"{ensure_checkpoint_dir(spark)}/setscope-{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    _WRITTEN.append((spark.sparkContext.applicationId, _OWNER.get(), path))
     return path
 
 
+@contextmanager
+def tables_of(owner: str):
+    """Scratch folders given out inside belong to ``owner``, who can release them without touching others'."""
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
 def materialize(df, tag: str = "state", partition_by: str | None = None):
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
@@ -82,16 +95,17 @@ def materialize(df, tag: str = "state", partition_by: str | None = None):
     return spark.read.parquet(path)
 
 
-def release_tables(spark: SparkSession) -> int:
-    """Delete the scratch folders of this application; returns how many.
+def release_tables(spark: SparkSession, owner: str | None = None) -> int:
+    """Delete the scratch folders of ``owner`` (None: of the whole application); returns how many.
 
     Frames that still read one of them fail afterwards, so it is called when
-    a job's results are written.
+    the owner's results are written.
     """
-    own = [(app, path) for app, path in _WRITTEN if app == spark.sparkContext.applicationId]
+    own = [entry for entry in _WRITTEN
+           if entry[0] == spark.sparkContext.applicationId and owner in (None, entry[1])]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for entry in own:
-        folder = hadoop.Path(entry[1])
+        folder = hadoop.Path(entry[2])
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         _WRITTEN.remove(entry)
     return len(own)

@@ -4,7 +4,7 @@ from dataclasses import replace
 from conftest import SF_SMALL
 from setscope.options import Options
 from setscope.plans.jobs import EXPLORE_TASKS, RESULT_TASKS, Job
-from setscope.session import ensure_checkpoint_dir
+from setscope.session import ensure_checkpoint_dir, materialize
 from setscope.sources import bindings as B
 from setscope.sources.results import read_result
 
@@ -36,3 +36,17 @@ def test_recorded_sample_is_the_applied_one(spark):
     assert 0.15 * m.count() < job.members.count() < 0.35 * m.count()
     info = {r.key: r.value for r in job.save_info("db.members", "db.nation").collect()}
     assert info["sample_data_table"] == "0.25" and info["db_name"] == "db"
+
+
+def test_a_released_job_leaves_other_tables_alone(spark):
+    m, reg = B.order_nation(spark, SF_SMALL)
+    opts = replace(Options(), k_low=2, k_high=3, big_k=4, t_low=2, t_high=3)
+    one, two = (Job(spark, m, reg, f"{ensure_checkpoint_dir(spark)}/job-{uuid.uuid4().hex}", opts) for _ in range(2))
+    one.run(["silhouette"])
+    two.run(["silhouette"])
+    kept = materialize(m.limit(3), "other")
+    one.release()
+    assert kept.count() == 3
+    two.run(["distance_matrix"])
+    assert read_result(spark, f"{two.out}/distance_matrix").count() > 0
+    two.release()

@@ -60,7 +60,7 @@ def test_release_tables_deletes_what_was_written(spark):
     session._WRITTEN.clear()
     try:
         out = session.materialize(spark.range(3).toDF("id"), "gone")
-        path = session._WRITTEN[0][1].removeprefix("file:")
+        path = session._WRITTEN[0][2].removeprefix("file:")
         assert out.count() == 3 and os.path.isdir(path)
         assert session.release_tables(spark) == 1 and not os.path.exists(path) and not session._WRITTEN
     finally:
