@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setscope.llm import (html_extract, language_id, licenses, line_dedup, mixing, oracles, packing, quality, simhash,
-                          topk, toxicity)
+from setscope.llm import (hard_negatives, html_extract, language_id, licenses, line_dedup, mixing, oracles, packing,
+                          quality, simhash, topk, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vec_id divisible by 100 for each of its five positives."""
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, turned)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -92,10 +98,12 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_top_k": op10_top_k,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLES = {
     "op1_line_dedup": oracles.LINE_DEDUP,
     "op2_mixing": oracles.MIXING,
     "op10_top_k": oracles.TOP_K,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
 }
