@@ -92,7 +92,8 @@ def materialize(df, tag: str = "state", partition_by: str | None = None):
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    # with its schema given, an empty partitioned table reads too, and no file is opened to find it
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release_tables(spark: SparkSession, owner: str | None = None) -> int:
