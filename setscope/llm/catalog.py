@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setscope.llm import (hard_negatives, html_extract, language_id, licenses, line_dedup, mixing, oracles, packing,
+from setscope.llm import (collocations, hard_negatives, html_extract, language_id, licenses, line_dedup, minhash, mixing, oracles, packing,
                           quality, simhash, topk, toxicity)
 
 
@@ -87,6 +87,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, turned)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of two to four words of every language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -99,6 +109,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_top_k": op10_top_k,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_minhash": op12_minhash,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -106,4 +118,6 @@ ORACLES = {
     "op2_mixing": oracles.MIXING,
     "op10_top_k": oracles.TOP_K,
     "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_minhash": oracles.MINHASH,
+    "op13_collocations": oracles.COLLOCATIONS,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setscope.llm.joins import salted_join
 from setscope.session import materialize
 
 
@@ -12,13 +13,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
         edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
     low = both.groupBy("u").agg(F.min("w").alias("low"))
-    moved = both.where("w > u").join(low, "u").select(F.col("w").alias("v"), F.least("u", "low").alias("m"))
+    moved = salted_join(both.where("w > u"), low, ["u"], F.col("w")).select(F.col("w").alias("v"), F.least("u", "low").alias("m"))
     return moved.distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("v").agg(F.min("m").alias("low"))
-    moved = edges.join(low, "v").where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
+    moved = salted_join(edges, low, ["v"], F.col("m")).where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
     return moved.unionByName(low.select("v", F.col("low").alias("m"))).distinct()
 
 
@@ -26,9 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the (a, b) edges; a component is named by its smallest node.
 
     Alternates the large-star and small-star operations until no edge moves.
-    Minima combine map-side and a node's neighbours are joined, never
-    gathered, so a node of very many edges is no task of its own; the edge
-    table never grows. Each round is written under ``spark.checkpoint.dir``.
+    Minima combine map-side and a node's neighbours meet the minimum under a
+    salt, so a node of very many edges is spread over tasks; the edge table
+    never grows. Each round is written under ``spark.checkpoint.dir``.
     Nulls and loops are dropped; an empty table gives an empty result.
     """
     state = materialize(edges.where("a <> b").select(

@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from setscope.llm import gray_index
 from setscope.llm.components import connected_components
+from setscope.llm.joins import salted_join
 from setscope.llm.text import chunks, release_worker_tables, split_words
 from setscope.session import materialize
 
@@ -155,7 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> Da
         "fp", "first_id", F.coalesce("component", "fp").alias("group_fp"))
     firsts = named.groupBy("group_fp").agg(F.min("first_id").alias("component_id"))
     labels = named.select("fp", "group_fp").join(firsts, "group_fp")
-    return marked.join(labels, "fp").select(*marked.columns, "component_id", "group_fp")
+    return salted_join(marked, labels, ["fp"], F.col("row_key")).select(*marked.columns, "component_id", "group_fp")
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
