@@ -11,6 +11,7 @@ active, because its parts reach it too, so its count is exact.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setscope.llm.text import chunks, release_worker_tables
-from setscope.session import materialize
+from setscope.session import materialize, release_tables, tables_of
 
 LONGEST = 4
 THRESHOLD = 30
@@ -63,10 +64,9 @@ class Slices:
         return (self.sums[end] - self.sums[begin]) * Slices._inverse[begin]
 
 
-def _filter_bit(hashes: np.ndarray, salt, log_bits: int) -> np.ndarray:
-    """The bit for hashed phrases of a language in a filter of 2**log_bits bits."""
-    x = hashes ^ salt
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+def _filter_bit(keys: np.ndarray, log_bits: int) -> np.ndarray:
+    """The bit for phrase keys in a filter of 2**log_bits bits."""
+    x = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - log_bits)).astype(np.int64)
 
@@ -107,53 +107,52 @@ def normalised(texts: pa.Array) -> pa.Array:
     return _strings(place[np.concatenate(([0], offsets[1:] + np.arange(1, len(offsets))))], wide[keep])
 
 
-def _phrases(begin: np.ndarray, end: np.ndarray, first: np.ndarray, length: int, slices: Slices, data: np.ndarray,
-             ) -> tuple[pa.Array, np.ndarray]:
-    """Distinct phrases of ``length`` words from the words ``first`` on, and how often each stands there."""
-    key = slices.hashes(begin[first], end[first + length - 1])
-    order = np.argsort(key)
-    key = key[order]
-    starts = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), dtype=bool), key[1:] != key[:-1])))
-    one = first[order[starts]]
-    size = end[one + length - 1] - begin[one]
-    offsets = np.concatenate(([0], np.cumsum(size)))
-    flat = data[np.repeat(begin[one] - offsets[:-1], size) + np.arange(offsets[-1])]
-    return _strings(offsets, flat), np.diff(np.append(starts, len(key)))
-
-
-def count_phrases(data: np.ndarray, salt, with_words: bool, filters: tuple[np.ndarray, np.ndarray] | None,
-                  longest: int = LONGEST) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(length, distinct phrases, counts) of normalised texts of one language.
-
-    A phrase of two words or more counts where both of its parts are in the
-    first filter (reached the threshold) and one of them in the second
-    (reached it within the last cycle). A filter may name a phrase too many,
-    never one too few.
-    """
-    end = np.flatnonzero((data == _SPACE) | (data == _END))
-    begin = np.concatenate(([0], end[:-1] + 1))[:len(end)]
-    slices = Slices(data)
-    if with_words and len(end):
-        yield 1, *_phrases(begin, end, np.arange(len(end)), 1, slices, data)
-    if filters is None or len(end) < 2:
-        return
-    log_bits = (8 * len(filters[0])).bit_length() - 1
-    test = lambda bits, at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    # words that a phrase of the length starts with, and whether its beginning and its rest reached the threshold
-    joined = data[end] == _SPACE
-    part = np.arange(len(end))
-    for length in range(2, longest + 1):
-        at = _filter_bit(slices.hashes(begin[part], end[part + length - 2]), salt, log_bits)
-        reached, recent = np.zeros(len(end) + 1, dtype=bool), np.zeros(len(end) + 1, dtype=bool)
-        reached[part] = test(filters[0], at)
-        recent[part] = test(filters[1], at)
-        both = reached[:-1] & reached[1:] & joined
-        active = np.flatnonzero(both & (recent[:-1] | recent[1:]))
-        if len(active):
-            yield length, *_phrases(begin, end, active, length, slices, data)
-        # only a phrase whose parts reached the threshold can reach it
-        part = np.flatnonzero(both)
-        joined = joined & np.append(joined[1:], False)
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of one occurrence of each, and their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), dtype=bool), keys[1:] != keys[:-1])))
+    return keys[starts], order[starts], np.diff(np.append(starts, len(keys)))
+
+
+class Words:
+    """The words of normalised texts of one language, and the keys of the phrases they start."""
+
+    def __init__(self, data: np.ndarray, salt):
+        self.data, self.salt, self.slices = data, salt, Slices(data)
+        self.end = np.flatnonzero((data == _SPACE) | (data == _END))
+        self.begin = np.concatenate(([0], self.end[:-1] + 1))[:len(self.end)]
+
+    def keys(self, first: np.ndarray, length: int) -> np.ndarray:
+        """64-bit keys of the phrases of ``length`` words from the words ``first`` on, different by language."""
+        return self.slices.hashes(self.begin[first], self.end[first + length - 1]) ^ self.salt
+
+    def active(self, reached: np.ndarray, complete: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, first words) of the active phrases of two words and more.
+
+        A phrase is active if both of its parts, its words but the last and
+        but the first, are in the filter ``reached`` and not both in the
+        filter ``complete``, which is the former one cycle ago. Filters only
+        grow, so a phrase is active in the scans of one whole cycle; one that
+        a filter takes for another starts its cycle early, no more.
+        """
+        log_bits = (8 * len(reached)).bit_length() - 1
+        joined = self.data[self.end] == _SPACE
+        part = np.arange(len(self.end))
+        one = joined
+        for length in range(2, longest + 1):
+            at = _filter_bit(self.keys(part, length - 1), log_bits)
+            now, done = np.zeros(len(self.end) + 1, dtype=bool), np.zeros(len(self.end) + 1, dtype=bool)
+            now[part], done[part] = _has(reached, at), _has(complete, at)
+            both = now[:-1] & now[1:] & joined
+            yield length, np.flatnonzero(both & ~(done[:-1] & done[1:]))
+            # a longer phrase needs both of its parts, which need theirs
+            part = np.flatnonzero(both)
+            joined = joined & np.append(one[length - 1:], np.zeros(min(length - 1, len(one)), dtype=bool))
 
 
 def _sharded(docs: DataFrame) -> DataFrame:
@@ -174,92 +173,141 @@ def _sharded(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(run, "lang string, text string, shard int"), "shards", partition_by="shard")
 
 
-def _scan(shard: DataFrame, with_words: bool, filters) -> DataFrame:
-    """(lang, phrase, words, n) of all active phrases of a shard, summed by task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_worker_tables()
-        bits = filters.value if filters is not None else None
-        for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
-                langs = part.column("lang").dictionary_encode()
-                code = langs.indices.to_numpy()
-                for i, lang in enumerate(langs.dictionary.to_pylist()):
-                    own = part.column("text").filter(pa.array(code == i))
-                    for length, phrases, n in count_phrases(_buffers(own)[1], _salt(lang), with_words, bits):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(n), pa.string()), phrases, pa.array(np.full(len(n), length, np.int32)),
-                             pa.array(n.astype(np.int64))], names=["lang", "phrase", "words", "n"])
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
+    """The texts of a shard by language, a bounded number of bytes at once."""
+    release_worker_tables()
+    for batch in batches:
+        for part in chunks(batch, "text", CHUNK):
+            langs = part.column("lang").dictionary_encode()
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                yield lang, part.column("text").filter(pa.array(langs.indices.to_numpy() == i))
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, n long").groupBy(
-        "lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
+def _scan(shard: DataFrame, with_words: bool, filters, longest: int) -> DataFrame:
+    """(key, words, n) of all words, if asked for, and all active phrases of a shard, per chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _by_lang(batches):
+            words = Words(_buffers(texts)[1], _salt(lang))
+            found = [(1, np.arange(len(words.end)))] if with_words else []
+            for length, first in [*found, *(words.active(*filters.value, longest) if filters is not None else ())]:
+                keys, _, n = _distinct(words.keys(first, length))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(n), length, np.int8)),
+                                                  pa.array(n.astype(np.int64))], names=["key", "words", "n"])
 
-def _filters(reached: DataFrame, since: int) -> tuple[np.ndarray, np.ndarray]:
-    """Filters of the phrases that reached the threshold, ever and at step ``since`` or later.
+    return shard.select("lang", "text").mapInArrow(run, "key long, words tinyint, n long")
 
-    The tasks set the bits and Spark joins them; what comes to the driver
-    and goes out again are 2**FILTER_BITS bits a filter at most.
-    """
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Filter of the ``key`` of a frame: at most 2**FILTER_BITS bits come to the driver, whatever the number of keys."""
     log_bits = FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ever, late = (np.zeros(1 << log_bits - 3, dtype=np.uint8) for _ in range(2))
+        bits = np.zeros(1 << log_bits - 3, dtype=np.uint8)
         for batch in batches:
-            offsets, data = _buffers(batch.column("phrase"))
-            langs = batch.column("lang").dictionary_encode()
-            salt = np.array([_salt(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64)[langs.indices.to_numpy()]
-            at = _filter_bit(Slices(data).hashes(offsets[:-1], offsets[1:]), salt, log_bits)
-            new = at[batch.column("reached").to_numpy() >= since]
-            for bits, own in ((ever, at), (late, new)):
-                np.bitwise_or.at(bits, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
-        words = [b.view("<i8") for b in (ever, late)]
-        used = np.flatnonzero(words[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(w[used]) for w in words)],
-                                         names=["at", "ever", "late"])
-
-    rows = reached.select("lang", "phrase", "reached").mapInArrow(run, "at int, ever long, late long").groupBy("at").agg(
-        F.bit_or("ever").alias("ever"), F.bit_or("late").alias("late")).toPandas()
-    out = []
-    for name in ("ever", "late"):
-        bits = np.zeros(1 << log_bits - 6, dtype="<i8")
-        bits[rows["at"].to_numpy(dtype=np.int64)] = rows[name].to_numpy(dtype=np.int64)
-        out.append(bits.view(np.uint8))
-    return tuple(out)
-
-
-def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, words, n): exact counts of all words, and of all phrases that reach the threshold.
-
-    One step scans one shard. The counts of a shard are columns of their own,
-    so a shard that a phrase meets twice (a filter may let it in early)
-    counts once. Steps end when no phrase reached the threshold within the
-    last cycle; each step's counts are written under spark.checkpoint.dir.
+            at = _filter_bit(batch.column("key").to_numpy().view(np.uint64), log_bits)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        words = bits.view("<i8")
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(words[used])], names=["at", "bits"])
+
+    rows = keys.select("key").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(1 << log_bits - 6, dtype="<i8")
+    bits[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return bits.view(np.uint8)
+
+
+def phrase_counts(shards: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
+    """(key, words, n): exact counts of all words and phrases that reach the threshold.
+
+    One step scans one shard and adds its counts to those of the phrases
+    that are not complete; complete ones leave, the frequent ones to the
+    result. Steps end when nothing new reached the threshold for a cycle.
+    Each step's counts are written under spark.checkpoint.dir and given back
+    after the next step.
     """
-    spark, shards = docs.sparkSession, _sharded(docs)
-    own = [f"n{s}" for s in range(SHARDS)]
-    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in own[1:]), F.coalesce(F.col(own[0]), F.lit(0)))
-    state, step = None, 0
-    while True:
-        filters = None
-        if state is not None:
-            reached = state.where(F.col("reached").isNotNull() & (F.col("words") < longest))
-            if step >= SHARDS and reached.where(F.col("reached") >= step - SHARDS).isEmpty():
-                break
-            filters = spark.sparkContext.broadcast(_filters(reached, step - SHARDS))
-        found = _scan(shards.where(F.col("shard") == step % SHARDS), step < SHARDS, filters)
-        if longest < LONGEST:
-            found = found.where(F.col("words") <= longest)
-        new = found.select("lang", "phrase", "words", *(
-            (F.col("n") if s == step % SHARDS else F.lit(None).cast("long")).alias(c) for s, c in enumerate(own)),
-            F.lit(None).cast("int").alias("reached"))
-        rows = new if state is None else state.unionByName(new).groupBy("lang", "phrase", "words").agg(
-            *(F.max(c).alias(c) for c in own), F.min("reached").alias("reached"))
-        state = materialize(rows.withColumn("reached", F.coalesce(
-            "reached", F.when(total >= threshold, F.lit(step)))), "phrases")
-        if filters is not None:
+    spark, owner = shards.sparkSession, f"collocations {uuid.uuid4().hex}"
+    ever = [np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)] * (SHARDS + 1)
+    open_rows, done, step = None, [], 0
+    while step < SHARDS or not np.array_equal(ever[-1], ever[-1 - SHARDS]):
+        filters = spark.sparkContext.broadcast((ever[-1], ever[-1 - SHARDS])) if step else None
+        with tables_of(f"{owner} {step}"):
+            rows = _scan(shards.where(F.col("shard") == step % SHARDS), step < SHARDS, filters, longest).withColumn(
+                "since", F.lit(step).cast("smallint"))
+            rows = rows if open_rows is None else rows.unionByName(open_rows)
+            # "since" is the first step with the phrase, never before its cycle began
+            counted = materialize(rows.groupBy("key", "words").agg(F.sum("n").alias("n"), F.min("since").alias("since")), "open")
+        frequent = counted.where(F.col("n") >= threshold)
+        complete = F.col("since") <= step - SHARDS + 1
+        done.append(materialize(frequent.where(complete).select("key", "words", "n"), "frequent"))
+        ever.append(ever[-1] | _filter(frequent.where(F.col("words") < longest)))
+        open_rows = counted.where(~complete)
+        if step:
             filters.unpersist()
+            release_tables(spark, f"{owner} {step - 1}")
         step += 1
-    return state.select("lang", "phrase", "words", total.alias("n")).where((F.col("words") == 1) | (F.col("n") >= threshold))
+    out = open_rows.where(F.col("n") >= threshold).select("key", "words", "n")
+    for rows in done:
+        out = out.unionByName(rows)
+    return out
+
+
+def _named(shards: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, words, n, lang, phrase) of the frequent phrases of two words and more, found in the texts once more."""
+    candidates = counts.where("words > 1")
+    bits = shards.sparkSession.sparkContext.broadcast(_filter(candidates))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_bits = (8 * len(bits.value)).bit_length() - 1
+        seen = np.zeros(0, dtype=np.uint64)
+        for lang, texts in _by_lang(batches):
+            words = Words(_buffers(texts)[1], _salt(lang))
+            joined = words.data[words.end] == _SPACE
+            whole = np.ones(len(words.end), dtype=bool)
+            for length in range(2, LONGEST + 1):
+                if len(words.end) < length:
+                    break
+                whole = whole[:len(words.end) - length + 1] & joined[length - 2:len(words.end) - 1]
+                first = np.flatnonzero(whole)
+                keys = words.keys(first, length)
+                hit = _has(bits.value, _filter_bit(keys, log_bits))
+                keys, one, _ = _distinct(keys[hit])
+                new = ~np.isin(keys, seen)
+                seen = np.union1d(seen, keys[new]) if len(seen) < 1 << 20 else seen
+                first = first[hit][one[new]]
+                begin, size = words.begin[first], words.end[first + length - 1] - words.begin[first]
+                offsets = np.concatenate(([0], np.cumsum(size)))
+                flat = words.data[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array([lang] * len(first), pa.string()),
+                                                  _strings(offsets, flat)], names=["key", "lang", "phrase"])
+
+    found = shards.select("lang", "text").mapInArrow(run, "key long, lang string, phrase string").join(
+        candidates, "key").groupBy("key").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.min("lang").alias("lang"),
+                                              F.min("phrase").alias("phrase"))
+    return materialize(found, "candidates")
+
+
+def _parts(candidates: DataFrame, cuts: bool) -> DataFrame:
+    """The keys of what a candidate holds: both parts of its cuts (k, first, rest), or its inner phrases of two words and more (part)."""
+    names = ("k", "first", "rest") if cuts else ("part",)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[] for _ in range(len(names) + 1)]
+            for row, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())):
+                words = Words(np.frombuffer(phrase.encode() + b"\n", dtype=np.uint8), _salt(lang))
+                n = len(words.end)
+                key = lambda i, k: int(words.keys(np.array([i]), k).view(np.int64)[0])
+                found = [(k, key(0, k), key(k, n - k)) for k in range(1, n)] if cuts else \
+                    [(key(i, k),) for k in range(2, n) for i in range(n - k + 1)]
+                for one in found:
+                    for column, value in zip(out, (row, *one), strict=True):
+                        column.append(value)
+            rows = batch.take(pa.array(out[0], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int64()) for x in out[1:])],
+                                             names=[*rows.schema.names, *names])
+
+    schema = ", ".join(["key long, words tinyint, n long, lang string, phrase string", *(f"{x} long" for x in names)])
+    return candidates.select("key", "words", "n", "lang", "phrase").mapInArrow(run, schema)
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP) -> DataFrame:
@@ -272,36 +320,28 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP) ->
     score floor(2000000 a / (l + r)), the first of equal ones; n counts all
     words of the language. Phrases that a longer candidate covers go.
 
-    Counts combine in the tasks and map-side, so a phrase or language that a
-    third of the corpus holds arrives as one row per task; ranks are limited
+    Phrases are counted by 64-bit keys (hash of the language and the words);
+    the texts of the frequent ones are read back in one more scan. Counts
+    combine in the tasks and map-side, so a phrase or language that a third
+    of the corpus holds arrives as one row per chunk; ranks are limited
     before the shuffle by language.
     """
-    counts = materialize(phrase_counts(docs, threshold), "counts")
-    # a word that a part can be reaches the threshold too
-    parts = counts.where(F.col("n") >= threshold)
-    candidates = parts.where("words > 1").withColumnRenamed("n", "a")
-    word = F.split("phrase", " ")
-    cut = lambda first, n: F.array_join(F.slice(word, first, n), " ")
-
-    inner = F.explode(F.filter(F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda n: F.transform(
-        F.sequence(F.lit(1), F.col("words") - n + 1), lambda i: F.array_join(F.slice(word, i, n), " ")))), lambda x: x != ""))
-    covers = candidates.where("words > 2").select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(
-        F.max("a").alias("cover"))
-    exact = lambda c: c.cast("decimal(20,0)")
-    kept = candidates.join(covers, ["lang", "phrase"], "left").where(
-        F.col("cover").isNull() | (exact(F.col("cover")) * 100 < exact(F.col("a")) * COVERED)).drop("cover")
-
-    cuts = kept.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")).select(
-        "lang", "phrase", "a", "k", cut(F.lit(1), F.col("k")).alias("first"),
-        cut(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
-    left = parts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l"))
-    right = parts.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r"))
-    scored = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).withColumn(
+    shards = _sharded(docs)
+    counts = materialize(phrase_counts(shards, threshold), "counts")
+    candidates = _named(shards, counts)
+    exact = lambda c: F.col(c).cast("decimal(20,0)")
+    covers = _parts(candidates.where("words > 2"), False).groupBy("part").agg(F.max("n").alias("cover"))
+    kept = candidates.join(covers, candidates["key"] == covers["part"], "left").where(
+        F.col("cover").isNull() | (exact("cover") * 100 < exact("n") * COVERED))
+    left = counts.select(F.col("key").alias("first"), F.col("n").alias("l"))
+    right = counts.select(F.col("key").alias("rest"), F.col("n").alias("r"))
+    scored = _parts(kept, True).join(left, "first").join(right, "rest").withColumnRenamed("n", "a").withColumn(
         "score", F.expr(f"cast({FULL} as decimal(10,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + r)"))
-    lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select(
+    lowest = scored.groupBy("key", "lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select(
         "lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     best = lowest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    words = counts.where("words = 1").groupBy("lang").agg(F.sum("n").alias("all"))
+    # every word of a normalised text has one byte of gap behind it
+    words = shards.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit("[ \\n]")).cast("long")).alias("all"))
     return best.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r",
                                            F.col("all").alias("n"), "score")

@@ -11,6 +11,7 @@ verified, until no bucket holds two components that have not met.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +25,18 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from setscope.llm.components import connected_components
 from setscope.llm.joins import salted_join
 from setscope.llm.text import chunks, release_worker_tables, split_words
-from setscope.session import materialize
+from setscope.session import materialize, release_tables, tables_of
 
 WIDTH = 5
 #: Two texts are linked if so many hundredths of their union are common.
 LEAST = 85
 #: Bands of each of the two collections, and minhashes of a band. Texts at similarity s share a table with probability
 #: (1 - (1 - s**ROWS)**BANDS)**2, which is above 0.9999 at 0.85.
-BANDS = 14
-ROWS = 4
+BANDS = 22
+ROWS = 6
 SEED = 12
+#: Number of the last turn of tables.
+LAST_TURN = 3
 #: Texts that one pivot's set is compared with in one task.
 PART = 512
 #: Bytes of text worked on at once.
@@ -128,16 +131,23 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(key, node): the tables' buckets of two or more nodes, one of those that hold the same nodes."""
-    one = materialize(_shared(sets.select("node", F.explode("one").alias("key"))), "bands")
+    """(key, node, turn): the tables' buckets of two or more nodes, one of those that hold the same nodes.
+
+    Tables come in turns: one first, then a few, then the others that pair
+    equal numbers of bands, then the rest. Groups of copies are one
+    component after the first turns, so most of their buckets need no work.
+    """
+    one = materialize(_shared(sets.select("node", F.posexplode("one").alias("i", "key"))), "bands")
+    same_number = F.col("i") == F.col("j")
+    turn = F.when(same_number & (F.col("i") == 0), 0).when(same_number & (F.col("i") < 4), 1).when(same_number, 2).otherwise(3)
     both = one.join(sets.select("node", "two"), "node").select(
-        "node", F.col("key").alias("first"), F.explode("two").alias("second")).select(
-        "node", F.xxhash64("first", "second").alias("key"))
+        "node", "i", F.col("key").alias("first"), F.posexplode("two").alias("j", "second")).select(
+        "node", turn.alias("turn"), F.xxhash64("first", "second").alias("key"))
     rows = materialize(_shared(both), "tables")
-    # a group of copies meets in most tables: one of its buckets will do
-    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
-    kept = same.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
-    return materialize(salted_join(rows, kept, ["key"], F.col("node"), "left_semi"), "buckets")
+    same = rows.groupBy("key").agg(F.min("turn").alias("turn"), F.count("*").alias("n"),
+                                   F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
+    kept = same.groupBy("n", "members").agg(F.min(F.struct("turn", "key")).alias("best")).select("best.key")
+    return salted_join(rows, kept, ["key"], F.col("node"), "left_semi")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
@@ -177,40 +187,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _components(buckets: DataFrame, sets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+def _components(buckets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """(node, component) of all nodes that are linked with another one.
 
-    In round r up to 2**r nodes of an open bucket (one that holds two
-    components) are its pivots: they meet all others that are not in their
-    component, then leave the bucket. A bucket of similar texts is one
-    component after a round or two; one of dissimilar texts is emptied in
-    rounds that double, so every pair of it has met.
+    In a round some nodes of an open bucket (one that holds two components)
+    are its pivots: they meet all others that are not in their component,
+    then leave the bucket. While the turns of the tables last a bucket has
+    one pivot a round, then twice as many in each: a bucket of similar texts
+    is soon one component, one of dissimilar texts is emptied in rounds that
+    double, so every pair of it has met. A round gives back the tables of
+    the one before.
     """
-    rows = materialize(buckets.join(sets.select("node", F.col("n_shingles").alias("n")), "node"), "members")
-    links = groups = None
-    width = 1
+    spark, owner = buckets.sparkSession, f"minhash {uuid.uuid4().hex}"
+    groups = rest = None
+    number, width = 0, 1
     while True:
-        named = rows.withColumn("c", F.col("node")) if groups is None else rows.join(groups, "node", "left").withColumn(
-            "c", F.coalesce("component", "node")).drop("component")
-        open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        still = materialize(salted_join(named, open_keys, ["key"], F.col("node"), "left_semi"), "open")
-        if still.isEmpty():
-            return groups if groups is not None else sets.select("node", F.col("node").alias("component")).limit(0)
-        pivots = still.groupBy("key", F.pmod(F.xxhash64(F.lit(width), "node"), F.lit(width)).alias("class")).agg(
-            F.min(F.struct("node", "c", "n")).alias("p")).select(
-            "key", F.col("p.node").alias("pivot"), F.col("p.c").alias("pivot_c"), F.col("p.n").alias("pivot_n"))
-        pivots = materialize(pivots, "pivots")
-        met = salted_join(still, pivots, ["key"], F.col("node")).where(
-            (F.col("c") != F.col("pivot_c")) & (100 * F.least("n", "pivot_n") >= least * F.greatest("n", "pivot_n")))
-        # two pivots meet once; the one with the smaller node leads, so a pair has one form
-        pairs = materialize(met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("member"))
-                            .distinct(), "pairs")
-        found = materialize(_verified(pairs, texts, least), "links")
-        links = found if links is None else links.unionByName(found)
-        groups = connected_components(links).select("node", "component")
-        rows = materialize(still.drop("c").join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"),
-                           "members")
-        width *= 2
+        with tables_of(f"{owner} {number}"):
+            rows = buckets.where(F.col("turn") == number).drop("turn") if number <= LAST_TURN else None
+            rows = rest if rows is None else rows if rest is None else rest.unionByName(rows)
+            named = rows.withColumn("c", F.col("node")) if groups is None else rows.join(groups, "node", "left").withColumn(
+                "c", F.coalesce("component", "node")).drop("component")
+            named = materialize(named, "named")
+            open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+            still = materialize(salted_join(named, open_keys, ["key"], F.col("node"), "left_semi"), "open")
+            pivots = materialize(still.groupBy("key", F.pmod(F.xxhash64(F.lit(width), "node"), F.lit(width)).alias("class")).agg(
+                F.min(F.struct("node", "c", "n")).alias("p")).select(
+                "key", F.col("p.node").alias("pivot"), F.col("p.c").alias("pivot_c"), F.col("p.n").alias("pivot_n")), "pivots")
+            met = salted_join(still, pivots, ["key"], F.col("node")).where(
+                (F.col("c") != F.col("pivot_c")) & (100 * F.least("n", "pivot_n") >= least * F.greatest("n", "pivot_n")))
+            # two pivots meet once; the one with the smaller node leads, so a pair has one form
+            pairs = materialize(met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("member"))
+                                .distinct(), "pairs")
+            links = _verified(pairs, texts, least)
+            if groups is not None:
+                links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            groups = materialize(connected_components(links).select("node", "component"), "groups")
+            rest = materialize(still.drop("c").join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"],
+                                                    "left_anti"), "rest")
+        release_tables(spark, f"{owner} {number - 1}")
+        if number >= LAST_TURN:
+            if rest.isEmpty():
+                return groups
+            width *= 2
+        number += 1
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -229,11 +248,11 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     full = marked.where(F.col("node").isNotNull())
     sets = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
                                                 F.first("one").alias("one"), F.first("two").alias("two")), "sets")
-    buckets = _buckets(sets)
+    buckets = materialize(_buckets(sets).join(sets.select("node", F.col("n_shingles").alias("n")), "node"), "buckets")
     # the text of every node that shares a bucket, once
     texts = materialize(salted_join(full, buckets.select("node").distinct(), ["node"], F.col("doc_id"), "left_semi").groupBy(
         "node").agg(F.first("text").alias("text")), "texts")
-    groups = _components(buckets, sets, texts, least)
+    groups = _components(buckets, texts, least)
     labels = sets.select("node", "first_id").join(groups, "node", "left").select(
         "node", "first_id", F.coalesce("component", "node").alias("component"))
     firsts = labels.groupBy("component").agg(F.min("first_id").alias("component_id"))
