@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,7 +104,8 @@ class Page:
         self.subtrees: list[tuple[int, int, int]] = []
         self._text: list[str] = []
         self._stack: list[list] = []
-        self._open: Counter[str] = Counter()
+        #: Places of the open elements in the stack, by tag.
+        self._open: defaultdict[str, list[int]] = defaultdict(list)
         self._unclosed: set[str] = set()
         self._hard = self._soft = self._heading = self._articles = self._part = 0
         self._read(source)
@@ -169,15 +170,18 @@ class Page:
             if text:
                 self.blocks.append((text, -2 if self._part == -1 and self._heading else self._part))
 
+    def _last_open(self, tags) -> int:
+        """Place of the innermost open element of one of the tags; -1 for none."""
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=-1)
+
+    def _close_from(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._pop()
+
     def _close_open(self, kinds: set[str], bounds: set[str]) -> None:
-        for i in range(len(self._stack) - 1, max(len(self._stack) - 64, 0) - 1, -1):
-            tag = self._stack[i][0]
-            if tag in kinds:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if tag in bounds:
-                return
+        place = self._last_open(kinds)
+        if place >= 0 and place >= self._last_open(bounds):
+            self._close_from(place)
 
     def _start(self, tag: str, source: str) -> None:
         if tag in _PARAGRAPH_ENDS:
@@ -196,29 +200,23 @@ class Page:
             elif not mark and not self._hard:
                 self._articles += tag == "article"
                 self._part = self._articles if tag == "article" else -1
-        self._open[tag] += 1
+        self._open[tag].append(len(self._stack))
         self._hard += mark == "hard"
         self._soft += mark == "soft"
         self._heading += tag in _HEADINGS
         self._stack.append([tag, xxhash.xxh64(tag), len(self.blocks), False, mark, part])
 
     def _end(self, tag: str) -> None:
-        if not self._open[tag]:
-            return
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == tag:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if self._stack[i][0] in ("article", "body") and tag not in ("article", "body", "html"):
-                return
+        place = self._last_open((tag,))
+        if place >= 0 and (tag in ("article", "body", "html") or place > self._last_open(("article", "body"))):
+            self._close_from(place)
 
     def _pop(self) -> None:
         tag, digest, first, has_text, mark, part = self._stack[-1]
         if tag in _BLOCKS:
             self._flush()
         self._stack.pop()
-        self._open[tag] -= 1
+        self._open[tag].pop()
         if self._stack:
             parent = self._stack[-1]
             parent[1].update(digest.digest())

@@ -122,3 +122,11 @@ def test_given_pages_against_their_article_element(spark):
 def test_hosts(spark):
     df = spark.createDataFrame([("HTTP://U@Www.Ex.org:8/x",), ("//h/p",), ("/p",), (None,)], "u string")
     assert [r[0] for r in df.select(H.host_of(F.col("u"))).collect()] == ["www.ex.org", "h", None, None]
+
+
+def test_deep_pages_are_read_like_shallow_ones():
+    for depth in (3, 100, 3000):
+        page = H.Page("<article>" + "<p>one" + "<span>" * depth + "two<p>three</article><footer>x</footer>")
+        assert page.text() == "onetwo\n\nthree"
+        page = H.Page("<article><ul><li>a" + "<b>" * depth + "c<li>d</ul></article>")
+        assert page.text() == "ac\n\nd"
