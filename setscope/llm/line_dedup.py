@@ -11,8 +11,6 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from setscope.llm.text import chunks, release_worker_tables
 
-#: Lines of fewer words are too common by chance to be copies, and stay.
-MIN_WORDS = 10
 #: Tasks that one line's occurrences are spread over when they meet the line's first place.
 SALTS = 8
 
@@ -23,12 +21,14 @@ def normalised(unit: Column) -> Column:
 
 
 def _units(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, key, place, d1, d2): every line that may be removed, with its 128-bit digest."""
+    """(id, key, place, d1, d2): every line with a word (``min_words`` of them), with its 128-bit digest."""
     lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"),
                         F.posexplode(F.split("text", "\n", -1)).alias("place", "unit"))
     norm = lines.select("id", "key", "place", normalised(F.col("unit")).alias("norm"))
-    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return norm.where((F.col("norm") != "") & (words >= min_words)).select(
+    full = F.col("norm") != ""
+    if min_words > 1:
+        full = full & (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1 >= min_words)
+    return norm.where(full).select(
         "id", "key", "place", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2"))
 
 
@@ -46,15 +46,14 @@ def _removed(units: DataFrame) -> DataFrame:
 _SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row of ``docs`` as doc (its other columns), text (kept lines), n_units, n_removed, removed.
+def dedup_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """Every row of ``docs`` as doc (its other columns), text (kept lines), n_removed, removed.
 
-    Lines of ``min_words`` words or more that agree after normalisation are
-    one line; its earliest occurrence in the corpus stays (smallest doc_id,
+    Lines that agree after normalisation are one line (all but empty ones;
+    with ``min_words`` those of as many words); its earliest occurrence in the corpus stays (smallest doc_id,
     null last, then text hash and place) and all others go, in the same
     document too. ``removed`` holds the [start, end) code-point spans in the
-    original text. A null text stays null with 0 units; an empty text is one
-    empty unit and stays. Rows that repeat both doc_id and text are one
+    original text. A null text stays null, an empty one empty. Rows that repeat both doc_id and text are one
     document and get the same result. An empty table gives an empty result.
     Firsts combine map-side and meet the lines under a salt, so a line that
     stands in a third of all documents is spread over tasks.
@@ -63,7 +62,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     others = [docs[c] for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("doc"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("key"))
     joined = rows.join(gone, rows["doc"]["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["key"] == gone["gone_key"]), "left")
-    schema = StructType([rows.schema["doc"], StructField("text", StringType()), StructField("n_units", IntegerType()),
+    schema = StructType([rows.schema["doc"], StructField("text", StringType()),
                          StructField("n_removed", IntegerType()), StructField("removed", _SPANS)])
     return joined.select("doc", "text", "places").mapInArrow(_cut, schema)
 
@@ -73,7 +72,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         for part in chunks(batch, "text"):
-            kept, n_units, n_removed, spans = [], [], [], []
+            kept, n_removed, spans = [], [], []
             for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
                 drop = set(places or ())
@@ -83,10 +82,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         cut.append({"start": at, "end": at + len(line)})
                     at += len(line) + 1
                 kept.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
-                n_units.append(len(lines))
                 n_removed.append(len(drop))
                 spans.append(cut)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), pa.array(kept, pa.string()), pa.array(n_units, pa.int32()),
-                 pa.array(n_removed, pa.int32()), pa.array(spans, spans_type)],
-                names=["doc", "text", "n_units", "n_removed", "removed"])
+                [part.column("doc"), pa.array(kept, pa.string()), pa.array(n_removed, pa.int32()), pa.array(spans, spans_type)],
+                names=["doc", "text", "n_removed", "removed"])

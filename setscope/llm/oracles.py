@@ -39,15 +39,14 @@ n AS (
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
   FROM u),
 m AS (
-  SELECT *, norm <> '' AND length(norm) - length(replace(norm, ' ', '')) + 1 >= 10
-            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS gone
+  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS gone
   FROM n),
 g AS (
-  SELECT doc_id, count(*)::INT AS n_units, (count(*) FILTER (gone))::INT AS n_removed,
+  SELECT doc_id, (count(*) FILTER (gone))::INT AS n_removed,
          coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
          coalesce(string_agg(start_at || '-' || (start_at + length(unit)), ',' ORDER BY place) FILTER (gone), '') AS removed_spans
   FROM m GROUP BY doc_id)
-SELECT d.doc_id, g.text, coalesce(n_units, 0)::INT AS n_units, coalesce(n_removed, 0)::INT AS n_removed,
+SELECT d.doc_id, g.text, coalesce(n_removed, 0)::INT AS n_removed,
        coalesce(removed_spans, '') AS removed_spans
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """

@@ -34,7 +34,7 @@ def check(spark, rows, least=3):
         text = texts[r.doc.doc_id]
         kept, spans = want[r.doc.doc_id, text]
         assert (r.text, [(s.start, s.end) for s in r.removed]) == (kept, spans)
-        assert r.n_removed == len(spans) and r.n_units == (0 if text is None else text.count("\n") + 1)
+        assert r.n_removed == len(spans)
         assert (r.doc.key, r.doc.n_units, r.doc.places) == ("k", "n", 0)
 
 
