@@ -187,6 +187,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _alone(texts: DataFrame) -> DataFrame:
+    """(node, own): how many of a node's shingles stand in no other of the (node, text) rows.
+
+    A pair cannot have more in common than either side shares with anyone,
+    which rules most pairs of changed copies out before their sets meet.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_tables()
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                offsets, values = shingle_sets(part.column("text"))
+                node = np.repeat(part.column("node").to_numpy(), np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(values.view(np.int64))], names=["node", "shingle"])
+
+    held = texts.select("node", "text").mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(
+        F.min("node").alias("node"), F.max("node").alias("last"))
+    return held.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
+
+
 def _components(buckets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """(node, component) of all nodes that are linked with another one.
 
@@ -208,13 +227,19 @@ def _components(buckets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
             named = rows.withColumn("c", F.col("node")) if groups is None else rows.join(groups, "node", "left").withColumn(
                 "c", F.coalesce("component", "node")).drop("component")
             named = materialize(named, "named")
-            open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            still = materialize(salted_join(named, open_keys, ["key"], F.col("node"), "left_semi"), "open")
+            # a row that cannot be near the smallest set of its bucket or a larger one has no partner there
+            open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where(
+                "lo < hi").select("key", "least_n")
+            still = salted_join(named, open_keys, ["key"], F.col("node")).where(
+                100 * F.col("most") >= least * (F.greatest("least_n", "most") + F.col("n") - F.col("most")))
+            still = materialize(still.drop("least_n"), "open")
             pivots = materialize(still.groupBy("key", F.pmod(F.xxhash64(F.lit(width), "node"), F.lit(width)).alias("class")).agg(
-                F.min(F.struct("node", "c", "n")).alias("p")).select(
-                "key", F.col("p.node").alias("pivot"), F.col("p.c").alias("pivot_c"), F.col("p.n").alias("pivot_n")), "pivots")
+                F.min(F.struct("node", "c", "n", "most")).alias("p")).select(
+                "key", *(F.col(f"p.{c}").alias(a) for c, a in (("node", "pivot"), ("c", "pivot_c"), ("n", "pivot_n"), ("most", "pivot_most")))),
+                "pivots")
+            common = F.least("most", "pivot_most")
             met = salted_join(still, pivots, ["key"], F.col("node")).where(
-                (F.col("c") != F.col("pivot_c")) & (100 * F.least("n", "pivot_n") >= least * F.greatest("n", "pivot_n")))
+                (F.col("c") != F.col("pivot_c")) & (100 * common >= least * (F.col("n") + F.col("pivot_n") - common)))
             # two pivots meet once; the one with the smaller node leads, so a pair has one form
             pairs = materialize(met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("member"))
                                 .distinct(), "pairs")
@@ -248,10 +273,13 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     full = marked.where(F.col("node").isNotNull())
     sets = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
                                                 F.first("one").alias("one"), F.first("two").alias("two")), "sets")
-    buckets = materialize(_buckets(sets).join(sets.select("node", F.col("n_shingles").alias("n")), "node"), "buckets")
+    buckets = materialize(_buckets(sets), "buckets")
     # the text of every node that shares a bucket, once
     texts = materialize(salted_join(full, buckets.select("node").distinct(), ["node"], F.col("doc_id"), "left_semi").groupBy(
         "node").agg(F.first("text").alias("text")), "texts")
+    sizes = sets.select("node", F.col("n_shingles").alias("n")).join(_alone(texts), "node", "left").select(
+        "node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    buckets = materialize(buckets.join(sizes, "node"), "buckets")
     groups = _components(buckets, texts, least)
     labels = sets.select("node", "first_id").join(groups, "node", "left").select(
         "node", "first_id", F.coalesce("component", "node").alias("component"))
