@@ -35,8 +35,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept text of every document, and the code-point spans of the lines that went."""
     kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
-    return kept.select(F.col("doc")["doc_id"].alias("doc_id"), "text", "n_units", "n_removed",
-                       spans.alias("removed_spans"))
+    return kept.select(F.col("doc")["doc_id"].alias("doc_id"), "text", "n_removed", spans.alias("removed_spans"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

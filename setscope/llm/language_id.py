@@ -54,7 +54,7 @@ def _segmenter(name: str) -> WordTable:
             found[i] = np.array([p for piece in model.encode(runs(word), num_threads=1) for p in piece], dtype=np.int64)
         return (found,)
 
-    return WordTable(compute, limit=100_000)
+    return WordTable(compute, limit=4 << 20)
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: str = VOCABULARY,
@@ -173,7 +173,7 @@ class Scorer:
 def _word_scores(model: dict) -> WordTable:
     scorer = Scorer(model)
     # many words share a run: "The", "the," and "the"
-    by_run = WordTable(lambda own: (scorer.log_probs(["▁" + r for r in own]),), limit=250_000)
+    by_run = WordTable(lambda own: (scorer.log_probs(["▁" + r for r in own]),))
 
     def compute(words: list[str]) -> tuple[np.ndarray, ...]:
         parts = [runs(w) for w in words]
@@ -184,7 +184,7 @@ def _word_scores(model: dict) -> WordTable:
             np.add.at(out, of, logs[rows])
         return out, np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
 
-    return WordTable(compute, limit=150_000)
+    return WordTable(compute)
 
 
 def score_texts(texts: pa.Array, model: dict, table: WordTable) -> tuple[list[str], np.ndarray]:

@@ -23,6 +23,8 @@ from setscope.session import materialize
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+#: Bytes of text worked on at once.
+CHUNK = 2 << 20
 #: Parts that the pieces of one length are numbered in.
 PARTS = 256
 
@@ -35,8 +37,9 @@ class TokenTable(WordTable):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: at most about 2**23 ids of kept words, so an int32 tells their place
         self.ids = np.zeros(0, dtype="<u4")
-        super().__init__(self._encode)
+        super().__init__(self._encode, limit=32 << 20)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, ...]:
         found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -45,14 +48,17 @@ class TokenTable(WordTable):
         # ids behind those of the kept words belong to an earlier batch
         kept = int(self.table[0].sum()) if self.table else 0
         self.ids = np.concatenate((self.ids[:kept], flat))
-        return length, kept + np.cumsum(length) - length
+        return length.astype(np.int32), (kept + np.cumsum(length) - length).astype(np.int32)
+
+    def full(self) -> bool:
+        return super().full() or self.ids.nbytes >= self.limit
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of all texts, each closed by ``end_id``."""
         offsets, words = split_words(texts)
         if len(words):
             rows, (length, first) = self.lookup(words)
-            n, first = length[rows], first[rows]
+            n, first = length[rows].astype(np.int64), first[rows].astype(np.int64)
         else:
             n = first = np.zeros(0, dtype=np.int64)
         before = np.concatenate(([0], np.cumsum(n)))
@@ -81,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
         path = public_tokenizers.path(tokenizer)
         table = worker_table(f"tokens {path}", lambda: TokenTable(path))
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 offsets, ids = table.encode(part.column("text"), end_id)
                 size = np.diff(offsets)
                 number = -(-size // capacity)
