@@ -1,34 +1,20 @@
-"""K-means fits, elbow cost, wcss and silhouette."""
+"""Wcss and silhouette of given clusterings."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setscope.session import materialize
 
 
-def elbow(spark: SparkSession, models: dict[int, KMeansModel]) -> DataFrame:
-    """(cluster = k, cost): within-cluster sum of squares of each training run."""
-    rows = [(int(k), float(m.summary.trainingCost)) for k, m in sorted(models.items())]
-    return spark.createDataFrame(rows, "cluster int, cost double")
-
-
 def set_entries(items_col: str = "archives"):
     """Entries of a 0/1 itemset vector: one (dim = code, value 1.0) per code."""
     return F.transform(items_col, lambda c: F.struct(c.alias("dim"), F.lit(1.0).alias("value")))
 
 
-def vector_entries(col: str = "features"):
-    """Entries of a dense or sparse vector: one (dim, value) per non-zero coordinate."""
-    numbered = F.transform(vector_to_array(col), lambda v, i: F.struct(i.alias("dim"), v.alias("value")))
-    return F.filter(numbered, lambda e: e["value"] != 0)
-
-
 def wcss(points: DataFrame, by: Sequence[str] = (), cluster_col: str = "cluster") -> DataFrame:
     """(by..., cluster, size, wcss): within-cluster sum of squared distances to the mean.
 
@@ -50,14 +36,6 @@ def wcss(points: DataFrame, by: Sequence[str] = (), cluster_col: str = "cluster"
                          F.coalesce(F.col("squares") - F.col("sums") / F.col("n"), F.lit(0.0)).alias("wcss"))
 
 
-def kmeans_weighted(points: DataFrame, k: int, col: str = "features", seed: int = 1,
-                    weight_col: str = "weight") -> KMeansModel:
-    """K-means on distinct points with a multiplicity weight (same objective as
-    fitting every subject: the weighted SSE equals the SSE of the repeated points)."""
-    return (KMeans().setK(k).setFeaturesCol(col).setPredictionCol("prediction").setSeed(seed)
-            .setWeightCol(weight_col).fit(points))
-
-
 def weighted_silhouette(points: DataFrame, by: Sequence[str] = (), cluster_col: str = "cluster",
                         weight_col: str = "weight", entries_col: str = "entries") -> DataFrame:
     """(by..., score): mean silhouette (squared Euclidean) of weighted points.

@@ -4,8 +4,7 @@ Every clustering metric here depends on a subject only through its itemset,
 so the work runs on one row per distinct itemset carrying ``weight`` =
 number of subjects. K-means uses the weight (same objective as fitting all
 subjects); silhouette, wcss, diameter and profiles are exact under it. The
-PCA fit runs on the subject-level vectors (MLlib's PCA has no weights) and
-then projects the distinct itemsets.
+PCA fit runs on the subject-level vectors (MLlib's PCA has no weights).
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from setscope.sources.memberships import code_domain, subjects
 @dataclass
 class Analysis:
     codes: list
-    base: DataFrame          # archives, weight, features, pca_features (persisted)
+    base: DataFrame          # archives, weight (persisted)
     code_counts: DataFrame   # archives, archive, n: code occurrences over the itemset's subjects
     pca: PcaSelection
 
@@ -44,19 +43,15 @@ def itemset_base(subj: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build_analysis(members: DataFrame, opts: Options = Options()) -> Analysis:
-    """Subjects, distinct-itemset base with features and PCA projection, code counts.
+    """Subjects, distinct-itemset base, PCA fit, code counts.
 
     The base is hash-partitioned by itemset into ``opts.base_partitions``
-    partitions and sorted within them: a layout that does not follow the data
-    keeps k-means initialisation reproducible. The subjects are written, the
-    base is cached until ``release``.
+    partitions. The subjects are written, the base is cached until ``release``.
     """
     codes = code_domain(members)
     subj = materialize(subjects(members), "subjects")
     weights, code_counts = itemset_base(subj)
     subj_features = feature_vectors(subj.select("archives"), codes)
     pca = pca_select(subj_features, opts.variance_low, opts.variance_high, size=len(codes))
-    base = pca.transform(feature_vectors(weights, codes))
-    base = (base.repartition(opts.base_partitions, "archives").sortWithinPartitions("archives")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    base = weights.repartition(opts.base_partitions, "archives").persist(StorageLevel.MEMORY_AND_DISK)
     return Analysis(codes, base, code_counts, pca)

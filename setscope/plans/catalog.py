@@ -239,17 +239,16 @@ def _analysis(spark: SparkSession, sf: str):
     return _memo(spark, ("analysis", sf), lambda: build_analysis(m, OPTS)), reg
 
 
-def _kmeans(spark: SparkSession, sf: str, an, k: int, analysis_type: str):
-    from setscope.operators.clusters import kmeans_weighted
-    from setscope.plans.explore import FEATURE_COL
-    return _memo(spark, ("kmeans", sf, analysis_type, k, OPTS.seed),
-                 lambda: kmeans_weighted(an.base, k, FEATURE_COL[analysis_type], OPTS.seed))
-
-
 def _fits(spark: SparkSession, sf: str, ks: dict) -> dict:
-    from setscope.plans.explore import run_concurrently
+    """Models by (analysis type, k): those not known yet are fitted together."""
+    from setscope.plans.explore import fit_models
     an, _ = _analysis(spark, sf)
-    return run_concurrently({(t, k): (lambda t=t, k=k: _kmeans(spark, sf, an, k, t)) for t in ks for k in ks[t]})
+    known = _memo(spark, ("kmeans", sf, OPTS.seed), dict)
+    with _memo(spark, ("kmeans lock", sf), threading.Lock):
+        todo = {t: [k for k in own if (t, k) not in known] for t, own in ks.items()}
+        if any(todo.values()):
+            known |= fit_models(an, todo, OPTS.seed)
+    return {(t, k): known[t, k] for t, own in ks.items() for k in own}
 
 
 def _big(spark: SparkSession, sf: str) -> dict:
@@ -274,46 +273,47 @@ def q_pc_explained_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, sf: str):
-    from setscope.plans.explore import assigned, exploded
+    from setscope.plans.explore import assigned
     an, _ = _analysis(spark, sf)
     fits = _fits(spark, sf, {t: OPTS.k_values for t in TYPES})
-    models = {t: {k: fits[(t, k)] for k in OPTS.k_values} for t in TYPES}
     # every itemset once with its cluster under all models, written once and shared by the metrics
     wide = _memo(spark, ("sweep", sf), lambda: materialize(assigned(an, fits, ("analysis_type", "k")), "sweep"))
-    return an, models, exploded(wide)
+    return an, fits, wide
 
 
 def q_elbow(spark: SparkSession, sf: str) -> DataFrame:
     from setscope.plans.explore import elbow_report
-    _, models, _ = _sweep(spark, sf)
-    return elbow_report(spark, models)
+    an, _ = _analysis(spark, sf)
+    return elbow_report(an, _fits(spark, sf, {t: OPTS.k_values for t in TYPES}))
 
 
 def q_silhouette_sweep(spark: SparkSession, sf: str) -> DataFrame:
     from setscope.plans.explore import silhouette_report
-    _, _, preds = _sweep(spark, sf)
-    return silhouette_report(preds)
+    an, fits, wide = _sweep(spark, sf)
+    return silhouette_report(an, wide, fits)
 
 
 def q_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    from setscope.plans.explore import diameter_report
-    an, _, preds = _sweep(spark, sf)
-    return diameter_report(preds, "kmeans", an.codes)
+    from setscope.plans.explore import diameter_report, exploded
+    an, _, wide = _sweep(spark, sf)
+    return diameter_report(exploded(wide), "kmeans", an.codes)
 
 
 def q_sweep_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Subjects and code memberships that the clusters of every k-means model hold together."""
-    _, _, preds = _sweep(spark, sf)
+    from setscope.plans.explore import exploded
+    preds = exploded(_sweep(spark, sf)[2])
     return preds.groupBy("analysis_type", F.col("k").alias("cluster")).agg(
         F.sum("weight").alias("subjects"), F.sum(F.col("weight") * F.size("archives")).alias("memberships"),
         (F.min("prediction") >= 0).alias("from_zero"), (F.max("prediction") < F.max("k")).alias("below_k"))
 
 
 def q_elbow_error(spark: SparkSession, sf: str) -> DataFrame:
-    """Is every raw model's cost the wcss of its assignments, and does no cost lie above one cluster's?"""
-    from setscope.plans.explore import elbow_report
-    _, models, preds = _sweep(spark, sf)
-    costs = elbow_report(spark, {"raw": models["raw"]})
+    """No raw model's cost lies below the wcss of its assignments (its centres may have a step to go) or above one cluster's."""
+    from setscope.plans.explore import elbow_report, exploded
+    an, fits, wide = _sweep(spark, sf)
+    preds = exploded(wide)
+    costs = elbow_report(an, {key: m for key, m in fits.items() if key[0] == "raw"})
     own = wcss(preds.filter("analysis_type = 'raw'").select(
         "k", "weight", F.col("prediction").alias("cluster"), set_entries("archives").alias("entries")), by=["k"])
     total = own.groupBy(F.col("k").alias("cluster")).agg(F.sum("wcss").alias("wcss"))
@@ -322,10 +322,96 @@ def q_elbow_error(spark: SparkSession, sf: str) -> DataFrame:
     return (costs.join(total, "cluster").join(one.select(F.col("wcss").alias("all"), F.explode(
         F.array(*map(F.lit, OPTS.k_values))).alias("cluster")), "cluster")
         .select("cluster", F.round("all", 4).alias("one_cluster"),
-                (F.abs(F.col("cost") - F.col("wcss")) < 1e-6 * F.col("all")).alias("equals_wcss"),
+                (F.col("cost") >= F.col("wcss") - 1e-9 * F.col("all")).alias("not_below_wcss"),
                 (F.col("cost") <= F.col("all")).alias("below_one_cluster")))
 
 
+# numbers of clusters and steps of the fits that SQL repeats, and of centres taken from the itemsets
+STEP_KS, STEPS, GIVEN_K, TREE_K, TREE_TS = (5, 12, 25), 3, 80, 25, (5, 10, 20)
+
+
+def _itemset_weights(spark: SparkSession, sf: str) -> tuple[DataFrame, list]:
+    from setscope.plans.analysis import itemset_base
+    m, _ = B.order_nation(spark, sf)
+    return _memo(spark, ("weights", sf), lambda: (materialize(itemset_base(subjects(m))[0], "weights"), code_domain(m)))
+
+
+def _few_steps(spark: SparkSession, sf: str):
+    from setscope.operators.batch_kmeans import fit
+    points, codes = _itemset_weights(spark, sf)
+    return points, fit(points, codes, {(k,): (k, None) for k in STEP_KS}, STEPS, seed=OPTS.seed)
+
+
+def q_kmeans_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster of every distinct itemset after three Lloyd steps, for several k at once."""
+    from setscope.operators.batch_kmeans import assign
+    points, models = _few_steps(spark, sf)
+    return assign(points, list(models.values())).select(
+        array_text("archives").alias("archives"), "weight", F.explode(F.arrays_zip(
+            F.array(*map(F.lit, STEP_KS)).alias("k"), F.col("labels").alias("prediction"))).alias("_a")).select(
+        "archives", "weight", "_a.k", "_a.prediction")
+
+
+def q_kmeans_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Cost of the same models: weighted squared distances to their centres."""
+    from setscope.operators.batch_kmeans import costs
+    points, models = _few_steps(spark, sf)
+    return costs(points, list(models.values())).select(
+        F.element_at(F.array(*map(F.lit, STEP_KS)), F.col("model") + 1).alias("cluster"), F.round("cost", 6).alias("cost"))
+
+
+def _given(spark: SparkSession, sf: str, k: int):
+    """The first k distinct itemsets in hash order as centres."""
+    import numpy as np
+    from setscope.operators.batch_kmeans import Model, seeds
+    points, codes = _itemset_weights(spark, sf)
+    rows = seeds(points, k, codes, None, OPTS.seed)
+    return points, Model(("given",), codes, rows, np.ones(len(rows), dtype=np.int64))
+
+
+def q_assign_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest of 80 given itemsets for every distinct itemset, with pruning."""
+    from setscope.operators.batch_kmeans import assign
+    points, model = _given(spark, sf, GIVEN_K)
+    return assign(points, [model]).select(array_text("archives").alias("archives"), F.col("labels")[0].alias("prediction"))
+
+
+def q_two_stage_given(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat group of every distinct itemset: nearest of 25 given itemsets, their complete linkage, its cuts.
+
+    A last coordinate, a thousandth of the logarithm of a centre's number, keeps the heights apart."""
+    import numpy as np
+    from setscope.operators.batch_kmeans import assign
+    from setscope.operators.linkage import centroid_frame, complete_linkage, cut_trees
+    points, model = _given(spark, sf, TREE_K)
+    number = np.log(np.arange(model.k) + 2.0)[:, None] / 1000
+    merges = materialize(complete_linkage(centroid_frame(spark, np.hstack((model.centres(), number))), model.k), "given-merges")
+    labels = assign(points, [model]).select("archives", F.col("labels")[0].alias("node"))
+    return labels.join(cut_trees(merges, model.k, TREE_TS), "node").select(
+        "t", array_text("archives").alias("archives"), F.col("cluster").alias("prediction"))
+
+
+def q_silhouette_given(spark: SparkSession, sf: str) -> DataFrame:
+    """Silhouettes of three clusterings by rules on the itemset, at once."""
+    from setscope.operators.batch_kmeans import silhouettes
+    points, codes = _itemset_weights(spark, sf)
+    size, first, last = F.size("archives"), F.col("archives")[0], F.element_at("archives", -1)
+    labels = F.array((size % 3).cast("int"), (first % 4).cast("int"), ((first + last) % 7).cast("int"))
+    return silhouettes(points.withColumn("labels", labels), [3, 4, 7], codes).select("model", F.round("score", 6).alias("score"))
+
+
+def q_tree_diameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Diameter of every flat group of the nations' tree at every t: an itemset lies in the leaf of its smallest code."""
+    from setscope.operators.linkage import cut_trees, tree_members
+    from setscope.operators.tree_diameter import tree_diameters
+    merges, n = _nation_merges(spark, sf)
+    points, codes = _itemset_weights(spark, sf)
+    members = materialize(tree_members(merges, n), "members")
+    cuts = materialize(cut_trees(merges, n, OPTS.t_values, members=members), "cuts")
+    return tree_diameters(points.withColumn("leaf", F.col("archives")[0].cast("int")), merges, members, cuts, codes).select(
+        "t", "cluster", F.round("value", 6).alias("value"))
+
+
 def q_linkage(spark: SparkSession, sf: str) -> DataFrame:
     from setscope.plans.explore import dendrogram_report
     return dendrogram_report(_trees(spark, sf))[0]
@@ -354,10 +440,9 @@ def q_two_stage_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_hier_diameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    from setscope.plans.explore import diameter_report, hierarchical_predictions
+    from setscope.plans.explore import hierarchical_diameters
     an, _ = _analysis(spark, sf)
-    preds = hierarchical_predictions(an, _big(spark, sf), _trees(spark, sf), OPTS.t_values)
-    return diameter_report(preds, "hierarchical", an.codes, key="t")
+    return hierarchical_diameters(an, _big(spark, sf), _trees(spark, sf), OPTS.t_values)
 
 
 def _nation_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -540,4 +625,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_vectors": q_feature_vectors,
     "pca_variance": q_pca_variance,
     "pca_loadings": q_pca_loadings,
+    "kmeans_steps": q_kmeans_steps,
+    "kmeans_costs": q_kmeans_costs,
+    "assign_nearest": q_assign_nearest,
+    "two_stage_given": q_two_stage_given,
+    "silhouette_given": q_silhouette_given,
+    "tree_diameters": q_tree_diameters,
 }

@@ -55,18 +55,12 @@ class Job:
             self.info.append(stats_rows(self.members))
         return self._an
 
-    def model(self, k: int, analysis_type: str):
-        key = (k, analysis_type)
-        if key not in self._models:
-            from setscope.operators.clusters import kmeans_weighted
-            self._models[key] = kmeans_weighted(self.an.base, k, X.FEATURE_COL[analysis_type], self.opts.seed)
-        return self._models[key]
-
     def models(self, ks: dict[str, Sequence[int]]) -> dict:
-        """The models of all (analysis type, k), fitted side by side; fits are kept for later tasks."""
-        _ = self.an  # built once, before any thread uses it
-        todo = [(t, k) for t, own in ks.items() for k in own]
-        return X.run_concurrently({(t, k): (lambda t=t, k=k: self.model(k, t)) for t, k in todo})
+        """The models of all (analysis type, k), those not known yet fitted together; fits are kept for later tasks."""
+        todo = {t: [k for k in own if (t, k) not in self._models] for t, own in ks.items()}
+        if any(todo.values()):
+            self._models |= X.fit_models(self.an, todo, self.opts.seed)
+        return {(t, k): self._models[t, k] for t, own in ks.items() for k in own}
 
     def _big(self) -> dict:
         fits = self.models({t: [self.opts.big_k] for t in ("raw", "pca")})
@@ -92,29 +86,27 @@ class Job:
         self.save(X.pc_explained_variance(self.spark, self.an), "pc_explained_variance")
 
     def _sweep(self):
-        ks = self.opts.k_values
-        fits = self.models({t: ks for t in ("raw", "pca")})
-        models = {t: {k: fits[(t, k)] for k in ks} for t in ("raw", "pca")}
+        fits = self.models({t: self.opts.k_values for t in ("raw", "pca")})
         if self._preds is None:
             # every itemset once with its cluster under all models, written once for the metric tasks
             self._preds = materialize(X.assigned(self.an, fits, ("analysis_type", "k")), "sweep")
-        return models, X.exploded(self._preds)
+        return fits, self._preds
 
     def elbow(self) -> None:
-        models, _ = self._sweep()
-        self.save(X.elbow_report(self.spark, models), "elbow")
+        fits = self.models({t: self.opts.k_values for t in ("raw", "pca")})
+        self.save(X.elbow_report(self.an, fits), "elbow")
 
     def silhouette(self) -> None:
-        _, preds = self._sweep()
-        self.save(X.silhouette_report(preds), "silhouette")
+        fits, wide = self._sweep()
+        self.save(X.silhouette_report(self.an, wide, fits), "silhouette")
 
     def distance_matrix(self) -> None:
-        _, preds = self._sweep()
-        self.save(X.diameter_report(preds, "kmeans", self.an.codes), "distance_matrix", partition_by=TAGS)
+        _, wide = self._sweep()
+        self.save(X.diameter_report(X.exploded(wide), "kmeans", self.an.codes), "distance_matrix", partition_by=TAGS)
 
     def hierarchical_distance_matrix(self) -> None:
-        preds = X.hierarchical_predictions(self.an, self._big(), self.trees, self.opts.t_values)
-        self.save(X.diameter_report(preds, "hierarchical", self.an.codes, key="t"), "distance_matrix", partition_by=TAGS)
+        found = X.hierarchical_diameters(self.an, self._big(), self.trees, self.opts.t_values)
+        self.save(found, "distance_matrix", partition_by=TAGS)
 
     def dendrogram(self) -> None:
         merges, order = X.dendrogram_report(self.trees)

@@ -226,6 +226,62 @@ ch AS (
   FROM mg CROSS JOIN n)
 """
 
+# distinct itemsets of B1 with their subjects, 0/1 rows over all codes and two hash orders (see batch_kmeans.hash_order)
+B1_POINTS = f"""
+m AS (SELECT DISTINCT id, archive FROM ({B1_RAW})),
+dom AS (SELECT list(archive ORDER BY archive) AS codes FROM (SELECT DISTINCT archive FROM m)),
+it AS (SELECT a, count(*)::BIGINT AS w, ('0x' || substr(md5('1,' || array_to_string(a, ',')), 1, 8))::BIGINT AS h
+       FROM (SELECT id, list_sort(list(archive)) AS a FROM m GROUP BY id) GROUP BY a),
+pts AS MATERIALIZED (
+  SELECT a, w, list_transform(codes, lambda c: CASE WHEN list_contains(a, c) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS x,
+         row_number() OVER (ORDER BY -ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w, a) - 1 AS sampled,
+         row_number() OVER (ORDER BY h, a) - 1 AS hashed
+  FROM it, dom)"""
+
+
+def nearest(points: str, centres: str) -> str:
+    """(k, a, w, x, c, d): nearest centre of every point, d its squared distance less |x|^2."""
+    return f"""(SELECT k, a, any_value(w) AS w, any_value(x) AS x, arg_min(c, (d, c)) AS c, min(d) AS d
+      FROM (SELECT k, c, a, w, x, (list_dot_product(s, s) - 2 * n * list_dot_product(s, x)) / (n * n) AS d
+            FROM {points} CROSS JOIN {centres}) GROUP BY k, a)"""
+
+
+def kmeans(ks: tuple, steps: int) -> str:
+    """CTEs ``pts`` and ``found``: the nearest centres after ``steps`` steps from the first k points."""
+    out = f"""
+WITH {B1_POINTS},
+c0 AS (SELECT k, sampled AS c, x AS s, 1.0::DOUBLE AS n FROM pts JOIN (SELECT unnest({list(ks)}) AS k) ON sampled < k)"""
+    for i in range(steps):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT * FROM {nearest('pts', f'c{i}')}),
+u{i} AS (SELECT k, c, list(v ORDER BY i) AS s FROM (
+  SELECT k, c, i, sum(w * x[i])::DOUBLE AS v FROM (SELECT k, c, w, x, unnest(range(1, len(x) + 1)) AS i FROM a{i}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+z{i} AS (SELECT k, c, sum(w)::DOUBLE AS n FROM a{i} GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT o.k, o.c, coalesce(u.s, o.s) AS s, coalesce(z.n, o.n) AS n
+  FROM c{i} o LEFT JOIN u{i} u ON u.k = o.k AND u.c = o.c LEFT JOIN z{i} z ON z.k = o.k AND z.c = o.c)"""
+    return out + f""",
+found AS (SELECT * FROM {nearest('pts', f'c{steps}')})"""
+
+
+def given(k: int) -> str:
+    """CTEs ``pts``, ``cen`` and ``found``: the nearest of the first k points in plain hash order."""
+    return f"""
+WITH RECURSIVE {B1_POINTS},
+cen AS (SELECT {k} AS k, hashed AS c, x AS s, 1.0::DOUBLE AS n FROM pts WHERE hashed < {k}),
+found AS MATERIALIZED (SELECT * FROM {nearest('pts', 'cen')})"""
+
+
+# one merge of complete linkage at a time, over ``dist`` (a, b, d) of the leaves ``leaves`` (node)
+MERGES = """
+st AS (
+  SELECT 0 AS step, node AS leaf, node AS rep, NULL::DOUBLE AS h FROM leaves
+  UNION ALL
+  SELECT s.step + 1, s.leaf, CASE WHEN s.rep = m.hi THEN m.lo ELSE s.rep END, m.d
+  FROM st s CROSS JOIN (
+    SELECT x.rep AS lo, y.rep AS hi, max(dist.d) AS d
+    FROM st x JOIN dist ON dist.a = x.leaf JOIN st y ON y.leaf = dist.b
+    WHERE x.rep < y.rep GROUP BY 1, 2 ORDER BY d, lo, hi LIMIT 1) m)"""
+
 # subjects and distinct memberships of B1
 B1_SIZES = f"""
   SELECT count(DISTINCT id)::BIGINT AS subjects, count(*)::BIGINT AS memberships
@@ -355,7 +411,7 @@ ORACLES: dict[str, str] = {
     "elbow_error": f"""
       WITH m AS (SELECT DISTINCT id, archive FROM ({B1_RAW})), n AS (SELECT count(DISTINCT id) AS n FROM m),
       w AS (SELECT sum(c - c * c / n) AS w FROM (SELECT archive, count(*) AS c FROM m GROUP BY archive), n)
-      SELECT cluster::INT AS cluster, round(w, 4) AS one_cluster, true AS equals_wcss, true AS below_one_cluster
+      SELECT cluster::INT AS cluster, round(w, 4) AS one_cluster, true AS not_below_wcss, true AS below_one_cluster
       FROM w, (SELECT unnest(range(5, 46)) AS cluster)""",
     "variants_code_totals": f"""
       SELECT model_type, analysis_type, archive, occurrences
@@ -370,6 +426,44 @@ ORACLES: dict[str, str] = {
                  (SELECT h FROM mg WHERE step = n - t - 1)), 0) AS step FROM t, n)
       SELECT t, leaf::INT AS node, (dense_rank() OVER (PARTITION BY t ORDER BY rep))::INT AS cluster
       FROM last JOIN st USING (step)""",
+    "kmeans_steps": kmeans((5, 12, 25), 3) + f"""
+      SELECT {txt('a')} AS archives, w AS weight, k, c::INT AS prediction FROM found""",
+    "kmeans_costs": kmeans((5, 12, 25), 3) + """
+      SELECT k AS cluster, round(sum(w * (d + list_dot_product(x, x))), 6) AS cost FROM found GROUP BY k""",
+    "assign_nearest": given(80) + f"SELECT {txt('a')} AS archives, c::INT AS prediction FROM found",
+    "two_stage_given": given(25) + f""",
+      leaves AS (SELECT c::INT AS node, list_append(s, ln(c + 2.0::DOUBLE) / 1000) AS v FROM cen),
+      dist AS (SELECT x.node AS a, y.node AS b, list_distance(x.v, y.v) AS d FROM leaves x JOIN leaves y ON x.node <> y.node),
+      {MERGES},
+      cut AS (SELECT t, max(step) AS step FROM (SELECT unnest([5, 10, 20]) AS t), (SELECT step, count(DISTINCT rep) AS g FROM st GROUP BY step)
+              WHERE g >= t GROUP BY t),
+      flat AS (SELECT t, leaf, dense_rank() OVER (PARTITION BY t ORDER BY rep) AS cluster FROM cut JOIN st USING (step))
+      SELECT t, {txt('a')} AS archives, cluster::INT AS prediction FROM found JOIN flat ON leaf = c""",
+    "silhouette_given": f"""
+      WITH {B1_POINTS},
+      p AS (SELECT m, l, a, w, x, len(a) AS q FROM (
+              SELECT *, unnest([0, 1, 2]) AS m, unnest([len(a) % 3, a[1] % 4, (a[1] + a[-1]) % 7]) AS l FROM pts)),
+      n AS (SELECT m, l, sum(w) AS n, sum(w * q) AS psi FROM p GROUP BY 1, 2),
+      y AS (SELECT m, l, list(v ORDER BY i) AS y FROM (
+              SELECT m, l, i, sum(w * x[i])::DOUBLE AS v FROM (SELECT m, l, w, x, unnest(range(1, len(x) + 1)) AS i FROM p)
+              GROUP BY 1, 2, 3) GROUP BY 1, 2),
+      s AS (SELECT p.m, p.a, p.w, p.l AS own, n.l, n.n, p.q * n.n + n.psi - 2 * list_dot_product(p.x, y.y) AS s
+            FROM p JOIN n ON n.m = p.m JOIN y ON y.m = n.m AND y.l = n.l),
+      ab AS (SELECT m, a, any_value(w) AS w, max(CASE WHEN l = own THEN s / nullif(n - 1, 0) END) AS near,
+                    min(CASE WHEN l <> own THEN s / n END) AS far, max(CASE WHEN l = own THEN n END) AS size FROM s GROUP BY 1, 2)
+      SELECT m AS model, round(sum(w * CASE WHEN size <= 1 OR far IS NULL THEN 0 WHEN near < far THEN 1 - near / far
+                                       WHEN near > far THEN far / near - 1 ELSE 0 END) / sum(w), 6) AS score FROM ab GROUP BY m""",
+    "tree_diameters": NATION_TREE + f"""
+      , t AS (SELECT unnest(range(5, 26))::INT AS t),
+      last AS (SELECT t, coalesce((SELECT max(step) + 1 FROM mg WHERE h <=
+                 (SELECT h FROM mg WHERE step = n - t - 1)), 0) AS step FROM t, n),
+      flat AS (SELECT t, leaf, dense_rank() OVER (PARTITION BY t ORDER BY rep) AS cluster FROM last JOIN st USING (step)),
+      own_sets AS (SELECT DISTINCT a[1] AS leaf, list_sum(list_transform(a, lambda c: (1::BIGINT << c::INT)))::BIGINT AS bits
+                   FROM (SELECT list_sort(list(DISTINCT archive)) AS a FROM ({B1_RAW}) GROUP BY id)),
+      apart AS (SELECT x.leaf AS la, y.leaf AS lb, max(bit_count(xor(x.bits, y.bits))) AS d
+                FROM own_sets x JOIN own_sets y ON x.bits <= y.bits GROUP BY 1, 2)
+      SELECT f.t, f.cluster::INT AS cluster, round(sqrt(max(d)), 6) AS value
+      FROM apart JOIN flat f ON f.leaf = la JOIN flat g ON g.leaf = lb AND g.t = f.t AND g.cluster = f.cluster GROUP BY 1, 2""",
     "leaf_order_nations": NATION_TREE + """
       , side AS (SELECT ch.step, st.leaf, (st.rep = ch.lo) <> (ca < cb) AS is_right
                  FROM ch JOIN st ON st.step = ch.step AND st.rep IN (ch.lo, ch.hi)),

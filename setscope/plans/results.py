@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setscope.functions.arrays import array_text
+from setscope.operators.batch_kmeans import Model
 from setscope.operators.profiles import itemset_occurrences, top_itemsets, trend_itemsets
 from setscope.operators.reshape import relabel, union_tagged
 from setscope.plans.analysis import Analysis
@@ -16,7 +16,7 @@ from setscope.session import materialize
 TAGS = ("model_type", "analysis_type")
 
 
-def model_variants(an: Analysis, optimal: dict[str, KMeansModel], big: dict[str, KMeansModel], trees: Trees,
+def model_variants(an: Analysis, optimal: dict[str, Model], big: dict[str, Model], trees: Trees,
                    cut: dict[str, int]) -> DataFrame:
     """(model_type, analysis_type, archives, weight, cluster) of the six variants, one pass over the base.
 
