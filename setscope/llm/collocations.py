@@ -27,7 +27,7 @@ from setscope.session import materialize, release_tables, tables_of
 LONGEST = 4
 THRESHOLD = 30
 TOP = 2000
-SHARDS = 3
+SHARDS = 2
 UNKNOWN_LANG = "und"
 #: A candidate goes if a longer one that holds it has at least so many hundredths of its count.
 COVERED = 80
@@ -251,10 +251,9 @@ def phrase_counts(shards: DataFrame, threshold: int = THRESHOLD, longest: int =
     return out
 
 
-def _named(shards: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, words, n, lang, phrase) of the frequent phrases of two words and more, found in the texts once more."""
-    candidates = counts.where("words > 1")
-    bits = shards.sparkSession.sparkContext.broadcast(_filter(candidates))
+def _phrases_of(shard: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, lang, phrase) of the phrases of a shard that may have one of the ``wanted`` keys, one row a key."""
+    bits = shard.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_bits = (8 * len(bits.value)).bit_length() - 1
@@ -269,21 +268,34 @@ def _named(shards: DataFrame, counts: DataFrame) -> DataFrame:
                 whole = whole[:len(words.end) - length + 1] & joined[length - 2:len(words.end) - 1]
                 first = np.flatnonzero(whole)
                 keys = words.keys(first, length)
-                hit = _has(bits.value, _filter_bit(keys, log_bits))
+                hit = np.flatnonzero(_has(bits.value, _filter_bit(keys, log_bits)))
                 keys, one, _ = _distinct(keys[hit])
-                new = ~np.isin(keys, seen)
-                seen = np.union1d(seen, keys[new]) if len(seen) < 1 << 20 else seen
-                first = first[hit][one[new]]
+                place = np.searchsorted(seen, keys)
+                new = seen[np.minimum(place, len(seen) - 1)] != keys if len(seen) else np.ones(len(keys), dtype=bool)
+                seen = np.insert(seen, place[new], keys[new])
+                first = first[hit[one[new]]]
                 begin, size = words.begin[first], words.end[first + length - 1] - words.begin[first]
                 offsets = np.concatenate(([0], np.cumsum(size)))
                 flat = words.data[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array([lang] * len(first), pa.string()),
                                                   _strings(offsets, flat)], names=["key", "lang", "phrase"])
 
-    found = shards.select("lang", "text").mapInArrow(run, "key long, lang string, phrase string").join(
-        candidates, "key").groupBy("key").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.min("lang").alias("lang"),
-                                              F.min("phrase").alias("phrase"))
-    return materialize(found, "candidates")
+    return shard.select("lang", "text").mapInArrow(run, "key long, lang string, phrase string").groupBy("key").agg(
+        F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+
+
+def _named(shards: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, words, n, lang, phrase) of the frequent phrases of two words and more, found in the texts once more.
+
+    Most stand in the first shard; each further one is read for those still without a text.
+    """
+    out, wanted = None, counts.where("words > 1")
+    for shard in range(SHARDS):
+        found = materialize(wanted.join(_phrases_of(shards.where(F.col("shard") == shard), wanted), "key"), "candidates")
+        out = found if out is None else out.unionByName(found)
+        if shard < SHARDS - 1:
+            wanted = materialize(wanted.join(found.select("key"), "key", "left_anti"), "wanted")
+    return out
 
 
 def _parts(candidates: DataFrame, cuts: bool) -> DataFrame:

@@ -212,9 +212,9 @@ def _components(buckets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     In a round some nodes of an open bucket (one that holds two components)
     are its pivots: they meet all others that are not in their component,
     then leave the bucket. While the turns of the tables last a bucket has
-    one pivot a round, then twice as many in each: a bucket of similar texts
-    is soon one component, one of dissimilar texts is emptied in rounds that
-    double, so every pair of it has met. A round gives back the tables of
+    one pivot a round, then four times as many in each: a bucket of similar
+    texts is soon one component, one of dissimilar texts is emptied in few
+    rounds, so every pair of it has met. A round gives back the tables of
     the one before.
     """
     spark, owner = buckets.sparkSession, f"minhash {uuid.uuid4().hex}"
@@ -253,7 +253,7 @@ def _components(buckets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
         if number >= LAST_TURN:
             if rest.isEmpty():
                 return groups
-            width *= 2
+            width *= 4
         number += 1
 
 
