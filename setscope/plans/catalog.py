@@ -24,8 +24,9 @@ from setscope.operators.features import loadings_report, one_hot
 from setscope.operators.profiles import (
     code_frequencies, itemset_counts, itemset_occurrences, top_itemsets, trend_itemsets)
 from setscope.operators.reshape import relabel, union_tagged
-from setscope.session import ensure_checkpoint_dir, materialize, release_tables, tables_of
-from setscope.sources.results import read_result, upsert_by_key, write_result
+from setscope.session import ensure_checkpoint_dir, materialize, release_tables, scratch_folder, tables_of
+from setscope.sources.buckets import read_store, upsert_store
+from setscope.sources.results import read_result, write_result
 from setscope.sources.tables import test_table
 
 OPTS = Options()
@@ -203,14 +204,16 @@ def q_segment_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_upsert_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    nation = test_table(spark, sf, "nation")
-    region = test_table(spark, sf, "region")
-    old = nation.select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))
-    new = (nation.filter(F.col("n_regionkey") == 1)
-           .select(F.col("n_nationkey").cast("string").alias("key"), F.lower("n_name").alias("value"))
-           .unionByName(region.select(F.concat(F.lit("region_"), F.col("r_regionkey").cast("string")).alias("key"),
-                                      F.col("r_name").alias("value"))))
-    return upsert_by_key(old, new, ["key"])
+    """A store of all orders, then a tenth of them changed, all customers as new keys, and a further column."""
+    orders, customer = test_table(spark, sf, "orders"), test_table(spark, sf, "customer")
+    path = scratch_folder(spark, "store")
+    kept = orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"), F.col("o_totalprice").alias("amount"))
+    upsert_store(spark, kept, path, ["key"])
+    changed = orders.where(F.col("o_orderkey") % 10 == 3).select(
+        F.col("o_orderkey").alias("key"), F.lit("changed").alias("value"), F.col("o_orderpriority").alias("note"))
+    new = customer.select((-F.col("c_custkey") - 1).alias("key"), F.col("c_name").alias("value"), F.col("c_mktsegment").alias("note"))
+    upsert_store(spark, changed.unionByName(new), path, ["key"])
+    return read_store(spark, path)
 
 
 def q_orc_round_trip(spark: SparkSession, sf: str) -> DataFrame:

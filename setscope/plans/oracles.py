@@ -375,13 +375,9 @@ ORACLES: dict[str, str] = {
       FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 8000.0) AS BIGINT))) AS i
             FROM documents WHERE length(text) > 0)""",
     "upsert_by_key": """
-      WITH old AS (SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value, 1 AS src FROM nation),
-      new AS (SELECT CAST(n_nationkey AS VARCHAR) AS key, lower(n_name) AS value, 0 AS src
-              FROM nation WHERE n_regionkey = 1
-              UNION ALL SELECT 'region_' || CAST(r_regionkey AS VARCHAR), r_name, 0 FROM region),
-      u AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY src) AS rk
-            FROM (SELECT * FROM old UNION ALL SELECT * FROM new))
-      SELECT key, value FROM u WHERE rk = 1""",
+      SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 3 THEN 'changed' ELSE o_orderstatus END AS value,
+             o_totalprice AS amount, CASE WHEN o_orderkey % 10 = 3 THEN o_orderpriority END AS note FROM orders
+      UNION ALL SELECT -c_custkey - 1, c_name, NULL, c_mktsegment FROM customer""",
     "orc_round_trip": t1(),
     "rule_variants_frequencies": RULE_VARIANTS + """
       SELECT cluster, archive, archive_occurrences, analysis_type, model_type FROM freq""",

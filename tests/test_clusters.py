@@ -1,12 +1,11 @@
 import itertools
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from setscope.operators.clusters import (
-    elbow, kmeans_weighted, set_entries, vector_entries, wcss, weighted_silhouette)
+from setscope.operators.clusters import set_entries, wcss, weighted_silhouette
 from setscope.operators.diameter import itemset_diameter, vector_diameter
 from setscope.operators.features import feature_vectors
 from setscope.plans.analysis import build_analysis
@@ -44,7 +43,7 @@ def test_silhouette_singleton_cluster_is_zero(spark):
     assert abs(score - (s_a + s_b + 0) / 3) < 1e-12
 
 
-def test_wcss_matches_numpy_and_training_cost(spark):
+def test_wcss_matches_numpy(spark):
     m, _ = B.order_parttype(spark, SF_SMALL)
     it = itemsets(m).join(B.order_rule_clusters(spark, SF_SMALL, "B2"), "id")
     codes = code_domain(m)
@@ -53,12 +52,6 @@ def test_wcss_matches_numpy_and_training_cost(spark):
     for c in got:
         X = np.array([[1.0 if k in r.archives else 0.0 for k in codes] for r in rows if r.cluster == c])
         assert abs(got[c].wcss - ((X - X.mean(0)) ** 2).sum()) < 1e-6 and got[c].size == len(X)
-    base = feature_vectors(it.groupBy("archives").agg(F.count("*").alias("weight")), codes)
-    model = kmeans_weighted(base, 3, seed=1)
-    pred = model.transform(base).withColumnRenamed("prediction", "cluster").withColumn("entries", set_entries("archives"))
-    total = sum(r.wcss for r in wcss(pred).collect())
-    assert abs(total - model.summary.trainingCost) < 1e-6 * max(1.0, total)
-    assert {r.cluster: r.cost for r in elbow(spark, {3: model}).collect()} == {3: model.summary.trainingCost}
 
 
 def _brute_sets(rows):
@@ -102,8 +95,9 @@ def test_vector_diameter_equals_brute_force(spark):
 
 def test_wcss_on_dense_vectors_matches_numpy(spark):
     pts = B.embedding_points(spark, SF_SMALL)
+    numbered = F.transform(vector_to_array("features"), lambda v, i: F.struct(i.alias("dim"), v.alias("value")))
     got = {r.cluster: r.wcss for r in wcss(pts.select(
-        "cluster", F.lit(1).alias("weight"), vector_entries().alias("entries"))).collect()}
+        "cluster", F.lit(1).alias("weight"), numbered.alias("entries"))).collect()}
     rows = pts.collect()
     for c, value in got.items():
         X = np.array([r.features.toArray() for r in rows if r.cluster == c])
@@ -132,16 +126,17 @@ def test_pairs_of_a_hot_cluster_are_spread_over_block_pairs(spark):
 
 
 def test_assigned_runs_all_models_in_one_pass(spark):
-    from setscope.plans.explore import assigned, exploded
+    from setscope.operators.batch_kmeans import assign
+    from setscope.plans.explore import assigned, exploded, fit_models
 
     m, _ = B.order_nation(spark, SF_SMALL)
     an = build_analysis(m)
-    models = {("raw", k): kmeans_weighted(an.base, k, seed=1) for k in (2, 3)}
+    models = fit_models(an, {"raw": [2, 3], "pca": [4]}, seed=1)
     wide = assigned(an, models, ("analysis_type", "k"))
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert plan.count("InMemoryTableScan") == 1 and "Union" not in plan
-    got = {(r.k, tuple(r.archives)): r.prediction for r in exploded(wide).collect()}
-    for (_, k), model in models.items():
-        for r in model.transform(an.base).collect():
-            assert got[k, tuple(r.archives)] == r.prediction
+    got = {(r.analysis_type, r.k, tuple(r.archives)): r.prediction for r in exploded(wide).collect()}
+    for key, model in models.items():
+        for r in assign(an.base, [model]).collect():
+            assert got[*key, tuple(r.archives)] == r.labels[0]
     an.release()

@@ -76,3 +76,29 @@ def test_upsert_with_composite_key(spark):
     new = spark.createDataFrame([("a", 2, "z"), ("b", 1, "w")], schema)
     got = sorted(tuple(r) for r in upsert_by_key(old, new, ["k1", "k2"]).collect())
     assert got == [("a", 1, "x"), ("a", 2, "z"), ("b", 1, "w")]
+
+
+def test_store_rewrites_only_buckets_with_changed_keys(spark):
+    import glob
+    import uuid
+
+    from setscope.session import ensure_checkpoint_dir
+    from setscope.sources.buckets import read_store, upsert_store
+
+    path = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    files = lambda: {f: open(f, "rb").read() for f in glob.glob(path.removeprefix("file:") + "/_bucket=*/*.orc")}
+    assert read_store(spark, path) is None
+    first = spark.createDataFrame([(i, f"v{i}", i * 2) for i in range(200)], "key long, value string, kept int")
+    assert upsert_store(spark, first, path, ["key"], buckets=16) == 16
+    before = files()
+    new = spark.createDataFrame([(7, "new", 1.5), (900, "more", 2.5), (900, "more", 2.5)], "key int, value string, extra double")
+    written = upsert_store(spark, new.withColumn("key", new["key"].cast("long")), path, ["key"], buckets=16)
+    after = files()
+    folder = lambda f: f.split("/")[-2]
+    changed = {folder(f) for f in after.keys() - before.keys()}
+    assert written == len(changed) <= 2
+    assert {f: b for f, b in before.items() if folder(f) not in changed} == {
+        f: b for f, b in after.items() if folder(f) not in changed}
+    rows = {r.key: (r.value, r.kept, r.extra) for r in read_store(spark, path).collect()}
+    assert len(rows) == 201 and rows[7] == ("new", 14, 1.5) and rows[900] == ("more", None, 2.5) and rows[8] == ("v8", 16, None)
+    assert upsert_store(spark, new.limit(0), path, ["key"], buckets=16) == 0 and files() == after
