@@ -150,8 +150,8 @@ class Words:
             now[part], done[part] = _has(reached, at), _has(complete, at)
             both = now[:-1] & now[1:] & joined
             yield length, np.flatnonzero(both & ~(done[:-1] & done[1:]))
-            # a longer phrase needs both of its parts, which need theirs
-            part = np.flatnonzero(both)
+            # all phrases of the length are parts, whatever became of theirs: a cycle begins by the filters alone
+            part = np.flatnonzero(joined)
             joined = joined & np.append(one[length - 1:], np.zeros(min(length - 1, len(one)), dtype=bool))
 
 
