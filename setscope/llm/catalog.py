@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix plan of all documents: target of each source and words taken of each document."""
-    plan = mixing.mixing_plan(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    plan = mixing.mixing_plan(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), size=F.col("size"))
     return plan.select(F.col("doc")["doc_id"].alias("doc_id"), "size", "source_size", "target",
                        (F.col("copies") * F.col("size")).alias("taken"))
 

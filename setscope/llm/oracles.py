@@ -20,13 +20,31 @@ targets AS (
   SELECT source, source_size, coalesce(least(most::DOUBLE, common * w), most::DOUBLE) AS target
   FROM lev LEFT JOIN common ON true),
 rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, s.source, t.source_size, t.target, s.size * 64 > t.source_size AS head,
          CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS coin
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+         rate - floor(rate) AS fraction,
+         row_number() OVER (PARTITION BY s.source ORDER BY s.size DESC,
+             ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT, s.doc_id NULLS FIRST) AS place,
+         ('0x' || substr(md5('mix:' || 'first:' || coalesce('s' || s.source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start,
+         ('0x' || substr(md5('mix:' || 'others:' || coalesce('s' || s.source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start2
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+heads AS (
+  SELECT *, floor(start + fraction * place) - floor(start + fraction * (place - 1)) AS more FROM rated),
+owed AS (
+  SELECT source, count(*) FILTER (head) AS n_first, coalesce(sum(size) FILTER (head), 0)::BIGINT AS words_first,
+         coalesce(sum(more::BIGINT * size) FILTER (head), 0)::BIGINT AS drawn_first,
+         coalesce(sum(size) FILTER (NOT head), 0)::BIGINT AS words_others, max(size) AS largest
+  FROM heads GROUP BY source),
+drawn AS (
+  SELECT h.*, h.place - o.n_first AS nth,
+         CASE WHEN o.words_others > 0 THEN h.fraction + (h.fraction * o.words_first - o.drawn_first)
+              * least(1.0::DOUBLE / o.words_others, least(h.fraction, 1.0::DOUBLE - h.fraction) / o.largest)
+              ELSE h.fraction END AS f2
+  FROM heads h JOIN owed o ON h.source IS NOT DISTINCT FROM o.source)
 SELECT doc_id, size, source_size, target,
-       ((floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM rated
+       ((floor(rate) + CASE WHEN head THEN more
+                            ELSE floor(start2 + f2 * nth) - floor(start2 + f2 * (nth - 1)) END) * size)::BIGINT AS taken
+FROM drawn
 """
 
 LINE_DEDUP = r"""
