@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from setscope.llm.license_rules import NOTICE, rules
 
+#: Places of a text that are worked on in one array.
+BLOCK = 128
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RULE = ("array<struct<number:int,label:string,priority:int,confidence:double,keywords:array<string>,"
          "base:boolean,regex:string>>")
@@ -28,36 +30,63 @@ def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scanned(items: Column, carry: Column, step, out: str) -> Column:
+    """What ``step`` gives for every item in turn, from the carry that the items before left.
+
+    An array grows by copying, so items go in blocks: a text costs a step per
+    item and some copying within its block, not of all items before.
+    """
+    none = F.array().cast(f"array<{out}>")
+
+    def state(carry: Column, block: Column, done: Column) -> Column:
+        return F.struct(carry.alias("carry"), block.alias("block"), done.alias("done"))
+
+    def one(s: Column, item: Column) -> Column:
+        left, given = step(s["carry"], item)
+        return state(left, F.concat(s["block"], F.array(given)), s["done"])
+
+    def of_block(s: Column, block: Column) -> Column:
+        return F.aggregate(block, s, one, lambda x: state(x["carry"], none, F.concat(x["done"], F.array(x["block"]))))
+
+    def run(bound: Column) -> Column:
+        last = F.greatest(F.floor((F.size(bound) - 1) / BLOCK).cast("int"), F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(bound, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.aggregate(blocks, state(carry, none, F.array().cast(f"array<array<{out}>>")), of_block,
+                           lambda s: F.flatten(s["done"]))
+
+    return _let(items, run)
+
+
 def _places(line: Column, rule: Column) -> Column:
     """Every match of a rule in a line of words, as word intervals [start, end)."""
     found = F.regexp_extract_all(line, rule["regex"], F.lit(0))
     between = F.split(line, rule["regex"], -1)
+    # one gap more than matches: the last one has no match
+    sizes = F.zip_with(found, between, lambda m, b: F.struct(_spaces(b).alias("gap"), _spaces(m).alias("words")))
 
-    def place(match: Column, i: Column) -> Column:
-        before = (F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + _spaces(x))
-                  + F.when(i == 0, 0).otherwise(
-                      F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + _spaces(x))))
-        return F.struct((before - 1).alias("start"), (before + _spaces(match)).alias("end"),
-                        rule["priority"].alias("priority"), rule["number"].alias("number"), rule["label"].alias("label"),
-                        rule["confidence"].alias("confidence"), rule["base"].alias("base"))
+    def step(before: Column, x: Column) -> tuple[Column, Column]:
+        return before + x["gap"] + x["words"], F.struct(
+            (before + x["gap"] - 1).alias("start"), (before + x["gap"] + x["words"]).alias("end"))
 
-    return F.transform(found, place)
+    spans = F.filter(_scanned(sizes, F.lit(0), step, "struct<start:int,end:int>"), lambda p: p["end"].isNotNull())
+    return F.transform(spans, lambda p: F.struct(
+        p["start"].alias("start"), p["end"].alias("end"), rule["priority"].alias("priority"), rule["number"].alias("number"),
+        rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base")))
 
 
 def _sweep(places: Column, beats) -> Column:
     """A flag for every place in turn: does a place seen before take precedence over it?
 
-    The state holds, for each priority, the reach of the places so far, so a
+    The carry holds, for each priority, the reach of the places so far, so a
     text costs a step per place and no pairs of places.
     """
     levels = F.array(*[F.lit(None).cast("int") for _ in range(NOTICE)])
-    start = F.struct(levels.alias("reach"), F.array().cast("array<boolean>").alias("flags"))
-
-    def step(state: Column, p: Column) -> Column:
-        reach, flag = beats(state["reach"], p)
-        return F.struct(reach.alias("reach"), F.concat(state["flags"], F.array(flag)).alias("flags"))
-
-    return F.aggregate(places, start, step, lambda s: s["flags"])
+    return _scanned(places, levels, beats, "boolean")
 
 
 def _forward(reach: Column, p: Column) -> tuple[Column, Column]:
@@ -87,12 +116,14 @@ def surviving(places: Column) -> Column:
             return out
         return by
 
-    forward = F.array_sort(places, compare([("start", 1), ("end", -1), ("priority", -1), ("number", 1)]))
-    flagged = F.zip_with(forward, _sweep(forward, _forward), lambda p, f: F.struct(p.alias("p"), f.alias("gone")))
-    turned = F.reverse(flagged)
-    again = F.zip_with(turned, _sweep(F.transform(turned, lambda x: x["p"]), _backward),
-                       lambda x, f: F.struct(x["p"].alias("p"), (x["gone"] | f).alias("gone")))
-    return F.reverse(F.transform(F.filter(again, lambda x: ~x["gone"]), lambda x: x["p"]))
+    def unbeaten(forward: Column) -> Column:
+        turned = F.reverse(F.zip_with(forward, _sweep(forward, _forward), lambda p, f: F.struct(p.alias("p"), f.alias("gone"))))
+        return _let(turned, lambda t: F.reverse(F.transform(F.filter(
+            F.zip_with(t, _sweep(F.transform(t, lambda x: x["p"]), _backward),
+                       lambda x, f: F.struct(x["p"].alias("p"), (x["gone"] | f).alias("gone"))),
+            lambda x: ~x["gone"]), lambda x: x["p"])))
+
+    return _let(F.array_sort(places, compare([("start", 1), ("end", -1), ("priority", -1), ("number", 1)])), unbeaten)
 
 
 def scan(docs: DataFrame) -> DataFrame:

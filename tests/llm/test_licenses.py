@@ -121,3 +121,10 @@ def test_scan_agrees_without_the_keywords(spark, monkeypatch):
     monkeypatch.setattr(licenses, "rules", lambda: [{**r, "keywords": ("always",)} for r in RULES])
     free = {r.doc.doc_id: r.found for r in licenses.scan(df).collect()}
     assert gated == free and all(free.values())
+
+
+def test_many_matches_in_one_text(spark):
+    """More places than a block holds, at odd distances."""
+    parts = ["mit license", "x", "apache license version 2 0", "the general public license", "a b c", "bsd license"]
+    rng = random.Random(5)
+    check(spark, [" ".join(rng.choice(parts) for _ in range(n)) for n in (licenses.BLOCK, 3 * licenses.BLOCK, 1500)])

@@ -1,19 +1,19 @@
-import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_line_dedup import brute
-from test_mixing import targets
+from test_mixing import drawn, targets
 from test_packing import ids_of
 from test_simhash import components, fingerprint
 
 import __spark_entry__ as E
 import corpus_pipeline as P
-from setscope.llm import catalog, language_id
+from setscope.llm import catalog, language_id, mixing
 from tools.check_oracles import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -96,12 +96,14 @@ def test_mix_stage_repeats_documents(spark, documents):
     for r in given:
         size[r[3]] = size.get(r[3], 0) + sizes(r[1])
     goal = targets(size)
-    want = []
-    for r in given:
-        rate = min(goal[r[3]] / size[r[3]], 3) if size[r[3]] else 0
-        coin = int(hashlib.md5(f"mix:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:8], 16) / 2**32
-        want += [r] * (math.floor(rate) + (coin < rate - math.floor(rate)))
-    assert out.columns == COLUMNS and rows(out) == sorted(want, key=repr)
+    exact = {r.source: r.target for r in mixing.mixing_plan(documents).select("doc.source", "target").collect()}
+    assert all(math.isclose(exact[s], goal[s], rel_tol=1e-9) for s in goal)
+    copies = Counter()
+    for doc_id, n, source, k in drawn([(r[0], sizes(r[1]), r[3]) for r in given], exact, size):
+        copies[doc_id, n, source] += k
+    took = Counter((r[0], sizes(r[1]), r[3]) for r in rows(out))
+    assert took == +copies and set(rows(out)) <= set(given)
+    assert out.columns == COLUMNS
 
 
 def test_packing_stage_and_the_whole_run(spark):
