@@ -64,17 +64,20 @@ def _scanned(items: Column, carry: Column, step, out: str) -> Column:
 
 def _places(line: Column, rule: Column) -> Column:
     """Every match of a rule in a line of words, as word intervals [start, end)."""
-    found = F.regexp_extract_all(line, rule["regex"], F.lit(0))
     between = F.split(line, rule["regex"], -1)
-    # one gap more than matches: the last one has no match
-    sizes = F.zip_with(found, between, lambda m, b: F.struct(_spaces(b).alias("gap"), _spaces(m).alias("words")))
 
     def step(before: Column, x: Column) -> tuple[Column, Column]:
         return before + x["gap"] + x["words"], F.struct(
             (before + x["gap"] - 1).alias("start"), (before + x["gap"] + x["words"]).alias("end"))
 
-    spans = F.filter(_scanned(sizes, F.lit(0), step, "struct<start:int,end:int>"), lambda p: p["end"].isNotNull())
-    return F.transform(spans, lambda p: F.struct(
+    def spans(found: Column) -> Column:
+        # one gap more than matches: the last one has no match
+        sizes = F.zip_with(found, between, lambda m, b: F.struct(_spaces(b).alias("gap"), _spaces(m).alias("words")))
+        return F.when(F.size(found) > 0, F.filter(_scanned(sizes, F.lit(0), step, "struct<start:int,end:int>"),
+                                                  lambda p: p["end"].isNotNull())).otherwise(
+            F.array().cast("array<struct<start:int,end:int>>"))
+
+    return F.transform(_let(F.regexp_extract_all(line, rule["regex"], F.lit(0)), spans), lambda p: F.struct(
         p["start"].alias("start"), p["end"].alias("end"), rule["priority"].alias("priority"), rule["number"].alias("number"),
         rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base")))
 
