@@ -28,6 +28,8 @@ LONGEST = 4
 THRESHOLD = 30
 TOP = 2000
 SHARDS = 2
+#: The texts of the frequent phrases are looked up in growing parts of each shard: 1, 3, 12 and 48 of 64 texts.
+LOOKS = 4
 UNKNOWN_LANG = "und"
 #: A candidate goes if a longer one that holds it has at least so many hundredths of its count.
 COVERED = 80
@@ -156,7 +158,7 @@ class Words:
 
 
 def _sharded(docs: DataFrame) -> DataFrame:
-    """(lang, text, shard): normalised texts, dealt out evenly; written once."""
+    """(lang, text, part): normalised texts, dealt out evenly; written once. A shard is ``LOOKS`` parts, one a look."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.col("text")).where(
         "text is not null")
 
@@ -165,12 +167,14 @@ def _sharded(docs: DataFrame) -> DataFrame:
         done = TaskContext.get().partitionId()
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
-                shard = (done + np.arange(part.num_rows)) % SHARDS
+                turn, shard = np.divmod(done + np.arange(part.num_rows), SHARDS)
+                look = np.searchsorted(4 ** np.arange(LOOKS - 1), turn % 4 ** (LOOKS - 1), side="right")
                 done += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("lang"), normalised(part.column("text")),
-                                                  pa.array(shard.astype(np.int32))], names=["lang", "text", "shard"])
+                                                  pa.array((shard * LOOKS + look).astype(np.int32))],
+                                                 names=["lang", "text", "part"])
 
-    return materialize(rows.mapInArrow(run, "lang string, text string, shard int"), "shards", partition_by="shard")
+    return materialize(rows.mapInArrow(run, "lang string, text string, part int"), "shards", partition_by="part")
 
 
 def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
@@ -231,7 +235,8 @@ def phrase_counts(shards: DataFrame, threshold: int = THRESHOLD, longest: int =
     while step < SHARDS or not np.array_equal(ever[-1], ever[-1 - SHARDS]):
         filters = spark.sparkContext.broadcast((ever[-1], ever[-1 - SHARDS])) if step else None
         with tables_of(f"{owner} {step}"):
-            rows = _scan(shards.where(F.col("shard") == step % SHARDS), step < SHARDS, filters, longest).withColumn(
+            begin = step % SHARDS * LOOKS
+            rows = _scan(shards.where(F.col("part").between(begin, begin + LOOKS - 1)), step < SHARDS, filters, longest).withColumn(
                 "since", F.lit(step).cast("smallint"))
             rows = rows if open_rows is None else rows.unionByName(open_rows)
             # "since" is the first step with the phrase, never before its cycle began
@@ -251,9 +256,9 @@ def phrase_counts(shards: DataFrame, threshold: int = THRESHOLD, longest: int =
     return out
 
 
-def _phrases_of(shard: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, lang, phrase) of the phrases of a shard that may have one of the ``wanted`` keys, one row a key."""
-    bits = shard.sparkSession.sparkContext.broadcast(_filter(wanted))
+def _phrases_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, lang, phrase) of the phrases of some texts that may have one of the ``wanted`` keys, one row a key."""
+    bits = texts.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_bits = (8 * len(bits.value)).bit_length() - 1
@@ -280,20 +285,22 @@ def _phrases_of(shard: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array([lang] * len(first), pa.string()),
                                                   _strings(offsets, flat)], names=["key", "lang", "phrase"])
 
-    return shard.select("lang", "text").mapInArrow(run, "key long, lang string, phrase string").groupBy("key").agg(
+    return texts.select("lang", "text").mapInArrow(run, "key long, lang string, phrase string").groupBy("key").agg(
         F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
 
 
 def _named(shards: DataFrame, counts: DataFrame) -> DataFrame:
     """(key, words, n, lang, phrase) of the frequent phrases of two words and more, found in the texts once more.
 
-    Most stand in the first shard; each further one is read for those still without a text.
+    Each look reads a part three to four times as large as all before it, for the phrases still without a text. So
+    a phrase comes from few places, however often it stands, and all looks together read the texts once.
     """
     out, wanted = None, counts.where("words > 1")
-    for shard in range(SHARDS):
-        found = materialize(wanted.join(_phrases_of(shards.where(F.col("shard") == shard), wanted), "key"), "candidates")
+    for look in range(LOOKS):
+        texts = shards.where(F.col("part").isin([shard * LOOKS + look for shard in range(SHARDS)]))
+        found = materialize(wanted.join(_phrases_of(texts, wanted), "key"), "candidates")
         out = found if out is None else out.unionByName(found)
-        if shard < SHARDS - 1:
+        if look < LOOKS - 1:
             wanted = materialize(wanted.join(found.select("key"), "key", "left_anti"), "wanted")
     return out
 
