@@ -7,13 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, PCAModel
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from setscope.operators.describe import describe_code
 from setscope.operators.reshape import melt, top_n_by
+from setscope.session import scratch_folder
 
 
 def one_hot(items: DataFrame, codes: Sequence) -> DataFrame:
@@ -38,6 +40,29 @@ def feature_vectors(items: DataFrame, codes: Sequence, out_col: str = "features"
     return model.transform(items.withColumn("_codes", F.col("archives").cast("array<string>"))).select(*keep, out_col)
 
 
+def dictionary_vectors(members: DataFrame, dictionary: DataFrame, out_col: str = "features") -> DataFrame:
+    """(id, vector): the sparse 0/1 vector of every subject over a distributed dictionary (M4).
+
+    ``members`` has (id, archive), ``dictionary`` (archive, place) from
+    ``code_dictionary``; only the number of codes comes to the driver. The
+    places join on the code, after repeated memberships are combined
+    map-side, and are gathered by subject. A sparse vector is stored as a
+    struct of its kind, size, places and values, so the rows are written as
+    such structs and read as vectors: no Python works on a row. Codes that
+    the dictionary lacks have no component; a subject with none of them
+    keeps an empty vector.
+    """
+    spark = members.sparkSession
+    size = dictionary.count()
+    placed = members.select("id", "archive").distinct().join(dictionary, "archive", "left")
+    rows = placed.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("_at")).select(
+        "id", F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("_at").alias("indices"),
+                       F.transform("_at", lambda _: F.lit(1.0)).alias("values")).alias(out_col))
+    path = scratch_folder(spark, "vectors")
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(StructType([rows.schema["id"], StructField(out_col, VectorUDT())])).parquet(path)
+
+
 def choose_components(cumulative: Sequence[float], low: float, high: float) -> int:
     """Number of components by the reference's bisection on k (M6, Q5).
 

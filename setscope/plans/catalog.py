@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from setscope.functions.arrays import array_text
 from setscope.options import Options
 from setscope.sources import bindings as B
-from setscope.sources.memberships import code_domain, itemsets, run_stats, sample_rows, subjects
+from setscope.sources.memberships import code_dictionary, code_domain, itemsets, run_stats, sample_rows, subjects
 from setscope.operators import mining
 from setscope.operators.clusters import set_entries, wcss, weighted_silhouette
 from setscope.operators.describe import describe_code, segment_rows, tag
@@ -104,24 +104,24 @@ def q_run_stats(spark: SparkSession, sf: str) -> DataFrame:
     return run_stats(m)
 
 
-def _rules(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def _rules(spark: SparkSession, sf: str, report: str) -> DataFrame:
     m, reg = B.order_parttype(spark, sf)
     items = itemsets(m)
     model = _memo(spark, ("fpgrowth", sf, RULES_SUPPORT, RULES_CONFIDENCE),
                   lambda: mining.fit_fpgrowth(items, RULES_SUPPORT, RULES_CONFIDENCE))
-    return mining.rules_report(items, reg, model=model)
+    return mining.rules_report(items, reg, model=model, reports=[report])[report]
 
 
 def q_frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    return _rules(spark, sf)["frequencies"]
+    return _rules(spark, sf, "frequencies")
 
 
 def q_association_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return _rules(spark, sf)["confidences"]
+    return _rules(spark, sf, "confidences")
 
 
 def q_predict_missing(spark: SparkSession, sf: str) -> DataFrame:
-    return _rules(spark, sf)["predictions"]
+    return _rules(spark, sf, "predictions")
 
 
 def q_code_frequencies(spark: SparkSession, sf: str) -> DataFrame:
@@ -493,9 +493,9 @@ def q_feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vector of every subject over the code domain, as text of its indicators (M4)."""
     from pyspark.ml.functions import vector_to_array
 
-    from setscope.operators.features import feature_vectors
+    from setscope.operators.features import dictionary_vectors
     m, _ = B.order_parttype(spark, sf)
-    rows = feature_vectors(itemsets(m), code_domain(m))
+    rows = dictionary_vectors(m, code_dictionary(m))
     return rows.select("id", array_text(F.transform(vector_to_array("features"), lambda x: x.cast("int"))).alias("features"))
 
 

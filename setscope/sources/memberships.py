@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setscope.options import EXCLUDED_CODES
+from setscope.session import materialize
 
 
 def _not_excluded(col: Column, excluded: Sequence) -> Column:
@@ -82,6 +83,23 @@ def code_domain(members: DataFrame) -> list:
     return [r[0] for r in rows]
 
 
+def code_dictionary(members: DataFrame) -> DataFrame:
+    """(archive, place): every distinct code with its place in sorted order, from 0.
+
+    Nothing comes to the driver: range partitions hold the sorted codes, and
+    the place is the number of codes in the partitions before plus the one
+    in its own. The only unpartitioned window runs over one row a partition.
+    """
+    ranged = materialize(members.select("archive").where(F.col("archive").isNotNull()).distinct()
+                         .repartitionByRange("archive").withColumn("_part", F.spark_partition_id()), "codes")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("archive")) - 1
+    return (ranged.withColumn("_own", own).join(starts, "_part")
+            .select("archive", (F.col("_start") + F.col("_own")).cast("int").alias("place")))
+
+
 def sample_rows(df: DataFrame, fraction: float, seed: int = 0,
                 keys: Sequence[str] | None = None) -> DataFrame:
     """Deterministic sample (P10).

@@ -1,10 +1,11 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from setscope.operators.features import (
-    choose_components, explained_variance, feature_vectors, one_hot, pca_select, top_loadings)
+    choose_components, dictionary_vectors, explained_variance, feature_vectors, one_hot, pca_select, top_loadings)
 from setscope.sources import bindings as B
-from setscope.sources.memberships import code_domain, itemsets
+from setscope.sources.memberships import code_dictionary, code_domain, itemsets
 
 
 def test_choose_components_band_no_band_and_one_code():
@@ -23,6 +24,33 @@ def test_one_hot_and_vectors(spark):
     assert vec == {"a": [1.0, 0.0, 1.0], "b": [0.0, 1.0, 0.0]}
 
 
+def test_dictionary_vectors_equal_those_of_the_collected_codes(spark):
+    rows = [("a", 30), ("a", 10), ("a", 10), ("b", 20), ("c", None), ("c", 7)]
+    m = spark.createDataFrame(rows, "id string, archive int")
+    words = code_dictionary(m)
+    assert {r.archive: r.place for r in words.collect()} == {7: 0, 10: 1, 20: 2, 30: 3}
+    got = {r.id: r.features.toArray().tolist() for r in dictionary_vectors(m, words).collect()}
+    assert got == {"a": [0, 1, 0, 1], "b": [0, 0, 1, 0], "c": [1, 0, 0, 0]}
+    known = words.where("archive <> 20")
+    assert {r.id: list(r.features.indices) for r in dictionary_vectors(m.where("id = 'b'"), known).collect()} == {"b": []}
+    none = m.where("false")
+    assert code_dictionary(none).collect() == [] and dictionary_vectors(none, code_dictionary(none)).collect() == []
+
+
+def test_dictionary_of_a_hundred_thousand_codes(spark):
+    n = 100_000
+    # every subject holds one hot code and two others; places are known in advance, since codes sort as padded text
+    m = spark.range(n).selectExpr("cast(id % 50000 as string) as id", f"lpad(cast(id * 7919 % {n} as string), 6, '0') as archive")
+    m = m.unionByName(m.select("id", F.lit("000000").alias("archive")))
+    words = code_dictionary(m)
+    wrong = words.where(F.col("archive").cast("int") != F.col("place"))
+    assert words.count() == n and wrong.count() == 0
+    vectors = dictionary_vectors(m, words)
+    one = vectors.where("id = '12'").first().features
+    assert one.size == n and list(one.indices) == sorted({0, 12 * 7919 % n, (50012 * 7919) % n})
+    assert vectors.count() == 50_000
+
+
 def test_pca_matches_numpy_and_loadings(spark):
     m, reg = B.order_nation(spark, SF_SMALL)
     codes = code_domain(m)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -17,6 +19,58 @@ def test_predict_missing_equals_mllib_transform(spark):
     assert ours == ref and len(ours) > 0
 
 
+def brute_fired(sets, rules):
+    out = {}
+    for s in set(sets):
+        got = {c for a, cq in rules if set(a) <= set(s) for c in cq} - set(s)
+        if got:
+            out[s] = tuple(sorted(got))
+    return out
+
+
+def frames(spark, sets, rules):
+    return (spark.createDataFrame([(list(s) if s is not None else None,) for s in sets], "archives array<int>"),
+            spark.createDataFrame([(list(a), list(c), 1.0) for a, c in rules],
+                                  "antecedent array<int>, consequent array<int>, confidence double"))
+
+
+def test_predict_missing_equals_loops_over_random_rules(spark):
+    rnd = random.Random(9)
+    sets = [tuple(sorted(rnd.sample(range(12), rnd.randrange(0, 8)))) for _ in range(150)] + [(0,)] * 40
+    rules = [(rnd.sample(range(13), rnd.randrange(1, 6)), [rnd.randrange(14)]) for _ in range(60)]
+    items, frame = frames(spark, [*sets, None], rules)
+    got = {tuple(r.archives): tuple(r.prediction) for r in mining.predict_missing(items, frame).collect()}
+    assert got == brute_fired(sets, rules) and got
+
+
+def test_predict_missing_without_rules_or_itemsets(spark):
+    items, none = frames(spark, [(1, 2)], [])
+    assert mining.predict_missing(items, none).collect() == []
+    nothing, rules = frames(spark, [], [((1,), (2,))])
+    assert mining.predict_missing(nothing, rules).collect() == []
+
+
+def test_an_itemset_meets_only_the_rules_whose_prefix_it_holds(spark):
+    # all 200 rules begin with the hot code, and 100 itemsets hold one second code each, so that all codes but it are rare
+    rules = [((1, 100 + i, 500 + i % 7), (900,)) for i in range(200)]
+    sets = [(1, 100 + i, 500 + i % 7) for i in range(100)] + [(1, 2, 3000 + i) for i in range(300)]
+    items, frame = frames(spark, sets, rules)
+    spread = items.select(F.explode("archives").alias("code")).groupBy("code").count().withColumnRenamed("count", "n")
+    tree = mining.rule_tree(frame, spread)
+    # rules with a code that no itemset holds are gone; every path is three edges, none shared with another one
+    assert tree.count() == 300
+    met = mining.descend(items, tree, spread)
+    assert met.count() == 300 and met.where("ends").count() == 100
+    # turned round: one rare code with 200 rules behind it; an itemset that holds it meets its own one only
+    rules = [((1, 100 + i), (900,)) for i in range(200)]
+    sets = [(1, 100 + i) for i in range(200)] + [(100 + i, 2000 + j) for i in range(200) for j in range(2)]
+    items, frame = frames(spark, sets, rules)
+    spread = items.select(F.explode("archives").alias("code")).groupBy("code").agg(F.lit(1).cast("long").alias("n"))
+    tree = mining.rule_tree(frame, spread)
+    assert tree.count() == 201
+    assert mining.descend(items, tree, spread).count() == 200 + 200
+
+
 def test_frequent_itemsets_sorted_and_min_size(spark):
     m, _ = B.order_parttype(spark, SF_SMALL)
     model = mining.fit_fpgrowth(itemsets(m), 0.05, 0.5)
