@@ -17,8 +17,9 @@ have |A| + |B| > L^2: the pair join is an equi join on (cluster, partner
 size), salted so that one size of one cluster is spread over tasks. Itemsets
 are packed into longs, one bit per code, so a distance is a bit count. For
 dense vectors the bound is the triangle inequality through the pivots; points
-are dealt into blocks, and a pair of blocks is a join key of its own, so a hot
-cluster is spread over B (B + 1) / 2 keys and every unordered pair is met once.
+are dealt into blocks of at most some ``BLOCK_BYTES``, and a pair of blocks is
+a key of its own, so a hot cluster of B blocks is spread over B (B + 1) / 2
+keys and every unordered pair is met once, by matrix products of the blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +36,12 @@ from pyspark.sql import functions as F
 from setscope.session import materialize
 
 EPS = 1e-9
-#: Keys that the partners of one size, and blocks that the points of one cluster, are dealt over.
+#: Keys that the partners of one size are dealt over.
 SALTS = 8
-BLOCKS = 8
+#: Bytes of the vectors of a block; a task holds two blocks.
+BLOCK_BYTES = 4 << 20
+#: Distances held at once when two blocks meet.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def pack_items(col: str, codes: Sequence) -> Column:
@@ -131,18 +137,69 @@ def vector_diameter(df: DataFrame, keys: Sequence[str], col: str = "features",
     slack = F.lit(EPS) * (F.col("_lb") + F.lit(1.0))
     dist = F.array(*[F.sqrt(_vec_d2(F.col("_p"), F.col(f"_q{i}"))) for i in range(passes)])
     radii = F.array(*[F.col(f"_R{i}") for i in range(passes)])
-    with_d = pts.join(ctx, keys).select(*keys, "_p", "_lb", dist.alias("_d"), radii.alias("_R"), (
-        F.sqrt(_vec_d2(F.col("_p"), F.col("_m"))) > F.col("_lb") / 2 - slack).alias("_out"),
-        F.pmod(F.xxhash64("_p"), F.lit(BLOCKS)).cast("int").alias("_block"))
-    reach = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: x + y), lambda s: s > F.col("_lb") - slack)
-    cand = materialize(with_d.filter(reach(F.col("_d"), F.col("_R"))).drop("_R"), "diameter-candidates")
-    one = cand.select(*keys, "_lb", F.col("_block").alias("_x"), F.explode(F.sequence(F.col("_block"), F.lit(BLOCKS - 1))).alias("_y"),
-                      F.col("_p").alias("_a"), F.col("_d").alias("_da"), F.col("_out").alias("_oa"))
-    two = cand.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_x"), F.col("_block").alias("_y"),
-                      F.col("_p").alias("_b"), F.col("_d").alias("_db"), F.col("_out").alias("_ob"))
-    met = one.join(two, [*keys, "_x", "_y"]).filter(
-        (F.col("_oa") | F.col("_ob")) & ((F.col("_x") < F.col("_y")) | (F.col("_a") < F.col("_b")))
-        & reach(F.col("_da"), F.col("_db")))
-    pairs = met.groupBy(*keys).agg(F.max(_vec_d2(F.col("_a"), F.col("_b"))).alias("_pair2"))
+    reach = F.forall(F.zip_with(dist, radii, lambda x, y: x + y), lambda s: s > F.col("_lb") - slack)
+    out = F.sqrt(_vec_d2(F.col("_p"), F.col("_m"))) > F.col("_lb") / 2 - slack
+    cand = materialize(pts.join(ctx, keys).filter(reach).select(*keys, "_p", out.alias("_out")), "diameter-candidates")
+    number = cand.groupBy(*keys).agg(F.ceil(F.sum(F.size("_p").cast("long")) * 8 / BLOCK_BYTES).cast("int").alias("_n"))
+    dealt = cand.join(number.withColumn("_n", F.greatest("_n", F.lit(1))), keys).withColumn(
+        "_block", F.pmod(F.xxhash64("_p"), F.col("_n")).cast("int"))
+    # a block meets itself and every other one
+    met = dealt.select(*keys, "_p", "_out", "_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other")).select(
+        *keys, F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"),
+        (F.col("_block") > F.col("_other")).alias("_second"), "_p", "_out")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.select(*keys).schema.fields)
+    pairs = met.groupBy(*keys, "_x", "_y").applyInArrow(_block_pairs(keys), f"{fields}, _pair2 double").groupBy(*keys).agg(
+        F.max("_pair2").alias("_pair2"))
     return (ctx.select(*keys, "_lb").join(pairs, keys, "left")
             .select(*keys, F.greatest(F.col("_lb"), F.sqrt(F.coalesce("_pair2", F.lit(0.0)))).alias("value")))
+
+
+def _block_pairs(keys: list[str]):
+    """For two blocks of a cluster: the largest squared distance of a pair with an endpoint outside the ball."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        flat = rows.column("_p").combine_chunks().flatten().to_numpy()
+        points = flat.reshape(rows.num_rows, -1)
+        out, second = (rows.column(c).to_numpy() for c in ("_out", "_second"))
+        if second.any():
+            a, b = points[~second], points[second]
+            outside_a, outside_b = out[~second], out[second]
+            best = max(farthest_pair(a[outside_a], b), farthest_pair(a[~outside_a], b[outside_b]))
+        else:
+            best = farthest_pair(points[out], points)
+        return pa.table({**{k: rows.column(k).slice(0, 1) for k in keys}, "_pair2": pa.array([best])})
+
+    return run
+
+
+def farthest_pair(a: np.ndarray, b: np.ndarray) -> float:
+    """Largest squared distance between a row of ``a`` and one of ``b`` (0.0 without a pair).
+
+    Products of whole blocks find the pairs that rounding leaves in question;
+    these alone are measured coordinate by coordinate.
+    """
+    if not len(a) or not len(b):
+        return 0.0
+    # distances do not depend on the origin, the rounding of the products does
+    origin = b.mean(axis=0)
+    ca, cb = a - origin, b - origin
+    na, nb = (ca * ca).sum(axis=1), (cb * cb).sum(axis=1)
+    slack = EPS * (na.max() + nb.max())
+    best, step = 0.0, max(1, PAIRS_AT_ONCE // len(b))
+    for at in range(0, len(a), step):
+        near = na[at:at + step, None] + nb - 2 * (ca[at:at + step] @ cb.T)
+        # the largest first raises the bar for the others
+        i, j = np.unravel_index(near.argmax(), near.shape)
+        best = max(best, _exact(a[at + i:at + i + 1], b[j:j + 1]))
+        rows, cols = np.nonzero(near > best - slack)
+        for first in range(0, len(rows), PAIRS_AT_ONCE // 64):
+            some = slice(first, first + PAIRS_AT_ONCE // 64)
+            best = max(best, _exact(a[at + rows[some]], b[cols[some]]))
+    return best
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> float:
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += (a[:, k] - b[:, k])**2
+    return float(total.max())

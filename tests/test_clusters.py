@@ -140,3 +140,33 @@ def test_assigned_runs_all_models_in_one_pass(spark):
         for r in assign(an.base, [model]).collect():
             assert got[*key, tuple(r.archives)] == r.labels[0]
     an.release()
+
+
+def test_vector_pairs_in_several_blocks_equal_brute_force(spark, monkeypatch):
+    """Blocks of a few points, pairs in small pieces, far from the origin and with equal distances."""
+    from setscope.operators import diameter as D
+
+    monkeypatch.setattr(D, "BLOCK_BYTES", 1024)
+    rng = np.random.default_rng(21)
+    pts = [(c, (v + 1e4 * c).tolist()) for c in (0, 1) for v in rng.normal(size=(90, 8))]
+    pts += [(2, np.eye(8)[i % 8].tolist()) for i in range(20)] + [(3, [0.0] * 8)]
+    pts += [(None, [1.0] * 8), (0, None), (0, [None] * 8)]
+    out = D.vector_diameter(spark.createDataFrame(pts, "cluster int, features array<double>"), ["cluster"])
+    # the vectors of a cluster meet as blocks, not as rows of a join
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.cluster: r.value for r in out.collect()}
+    for c in range(4):
+        X = np.array([v for k, v in pts if k == c and v and None not in v])
+        assert abs(got[c] - max(np.linalg.norm(X - x, axis=1).max() for x in X)) < 1e-9
+
+
+def test_farthest_pair_measures_what_rounding_leaves_in_question(monkeypatch):
+    from setscope.operators import diameter as D
+
+    monkeypatch.setattr(D, "PAIRS_AT_ONCE", 256)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(70, 5)) + 1e6, rng.normal(size=(50, 5)) + 1e6
+    b[7:30] = b[7]
+    want = max(sum((x - y)**2 for x, y in zip(p, q)) for p in a.tolist() for q in b.tolist())
+    assert D.farthest_pair(a, b) == want
+    assert D.farthest_pair(a[:0], b) == D.farthest_pair(a, b[:0]) == 0.0
