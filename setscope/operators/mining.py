@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
@@ -27,14 +29,68 @@ def fit_fpgrowth(items: DataFrame, min_support: float, min_confidence: float,
     return fp.fit(items.select(items_col))
 
 
-def frequent_itemsets(model: FPGrowthModel, min_size: int = 2) -> DataFrame:
+@dataclass
+class MinedRules:
+    """What ``mine`` finds, named as in MLlib's model."""
+
+    #: items (sorted array), freq
+    freqItemsets: DataFrame
+    #: antecedent, consequent (one code), confidence
+    associationRules: DataFrame
+
+
+def weighted_itemsets(items: DataFrame, items_col: str = "archives") -> DataFrame:
+    """(archives, weight): every distinct itemset with its number of subjects; null ones are left out."""
+    return (items.where(F.col(items_col).isNotNull()).groupBy(F.col(items_col).alias("archives"))
+            .agg(F.count(F.lit(1)).alias("weight")))
+
+
+def mine(sets: DataFrame, min_support: float, min_confidence: float) -> MinedRules:
+    """Frequent itemsets and rules of (archives, weight), as FP-growth finds them over one transaction per subject.
+
+    Equal itemsets are one row throughout, so the work follows the distinct
+    ones and not the subjects, which MLlib's FP-growth cannot do. Codes of
+    an itemset lie rarest first. A level extends every frequent path by one
+    of the codes behind it; rows that have the same path and the same codes
+    left are one row with the sum of their weights, as the conditional bases
+    of FP-growth. Each level is written before the next.
+    """
+    total = sets.agg(F.sum("weight")).first()[0] or 0
+    least = math.ceil(min_support * total)
+    held = (sets.select("weight", F.explode("archives").alias("code")).groupBy("code").agg(F.sum("weight").alias("n"))
+            .where(F.col("n") >= least))
+    front = (sets.select("archives", "weight", F.explode("archives").alias("code")).join(held, "code")
+             .groupBy("archives", "weight").agg(F.array_sort(F.collect_list(F.struct("n", "code"))).alias("_p"))
+             .select("weight", F.transform("_p", lambda x: x["code"]).alias("rest"))
+             .groupBy("rest").agg(F.sum("weight").alias("weight")))
+    path, found = F.array("code"), None
+    while True:
+        grown = materialize(front.select("*", F.posexplode("rest").alias("_at", "code")).select(
+            path.alias("path"), F.slice("rest", F.col("_at") + 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), "weight")
+            .groupBy("path", "rest").agg(F.sum("weight").alias("weight")), "mined-level")
+        level = materialize(grown.groupBy("path").agg(F.sum("weight").alias("freq")).where(F.col("freq") >= least), "mined-itemsets")
+        found = level if found is None else found.unionByName(level)
+        if level.isEmpty():
+            break
+        front = grown.where(F.size("rest") > 0).join(level.select("path"), "path", "left_semi")
+        path = F.concat("path", F.array("code"))
+    frequent = found.select(F.array_sort("path").alias("items"), "freq")
+    rules = (frequent.where(F.size("items") > 1).select("items", "freq", F.explode("items").alias("_cq"))
+             .select(F.array_remove("items", F.col("_cq")).alias("antecedent"), F.array("_cq").alias("consequent"), "freq")
+             .join(frequent.select(F.col("items").alias("antecedent"), F.col("freq").alias("_n")), "antecedent")
+             .select("antecedent", "consequent", (F.col("freq") / F.col("_n")).alias("confidence"))
+             .where(F.col("confidence") >= min_confidence))
+    return MinedRules(frequent, rules)
+
+
+def frequent_itemsets(model: FPGrowthModel | MinedRules, min_size: int = 2) -> DataFrame:
     """(item sorted array, freq int) of itemsets with at least ``min_size`` codes."""
     return (model.freqItemsets
             .filter(F.size("items") >= min_size)
             .select(F.array_sort("items").alias("item"), F.col("freq").cast("int").alias("freq")))
 
 
-def association_rules(model: FPGrowthModel) -> DataFrame:
+def association_rules(model: FPGrowthModel | MinedRules) -> DataFrame:
     """(antecedent sorted array, consequent array, confidence) rules (M2).
 
     Confidence is rounded to 3 digits as stored by the reference; lift and
@@ -121,16 +177,19 @@ def predict_missing(items: DataFrame, rules: DataFrame, items_col: str = "archiv
 
 
 def rules_report(items: DataFrame, registry: DataFrame, min_support: float = 0.05,
-                 min_confidence: float = 0.5, model: FPGrowthModel | None = None,
+                 min_confidence: float = 0.5, model: FPGrowthModel | MinedRules | None = None,
                  reports: Sequence[str] = REPORTS) -> dict[str, DataFrame]:
     """The three rule datasets with descriptions (T5): frequencies, confidences, predictions.
 
     Frequencies come from the highest down, confidences too (O1, O2), by a
     range sort. Pass a fitted ``model`` to reuse one fit for all three
-    reports, and ``reports`` to get some of them only.
+    reports, and ``reports`` to get some of them only. Subjects' itemsets
+    are read once; ``items`` may be weighted ones already.
     """
+    if "weight" not in items.columns:
+        items = materialize(weighted_itemsets(items), "weighted-itemsets")
     if model is None:
-        model = fit_fpgrowth(items, min_support, min_confidence)
+        model = mine(items, min_support, min_confidence)
     out = {}
     if "frequencies" in reports:
         out["frequencies"] = describe_array(frequent_itemsets(model), ["item"], registry).select(

@@ -86,3 +86,35 @@ def test_rules_report_columns(spark):
                                           "antecedent_description", "consequent_description"]
     assert rep["predictions"].columns == ["archives", "prediction", "archives_description",
                                           "prediction_description"]
+
+
+def test_weighted_mining_equals_mllib(spark):
+    rnd = random.Random(2)
+    codes = [f"c{i:02d}" for i in range(9)]
+    sets = [tuple(sorted(c for i, c in enumerate(codes) if rnd.random() < 0.8 / (1 + i / 2))) for _ in range(400)] + [(), None]
+    items = spark.createDataFrame([(list(s) if s is not None else None,) for s in sets], "archives array<string>")
+    for support, confidence in ((0.02, 0.3), (0.3, 0.5), (1.0, 0.9)):
+        ref = mining.fit_fpgrowth(items, support, confidence)
+        got = mining.mine(mining.weighted_itemsets(items), support, confidence)
+        own = lambda rows: sorted((*map(tuple, map(sorted, r[:-1])), r[-1]) for r in rows)
+        assert own(got.freqItemsets.collect()) == own(ref.freqItemsets.select("items", "freq").collect())
+        assert own(got.associationRules.collect()) == own(ref.associationRules.select(
+            "antecedent", "consequent", "confidence").collect())
+    none = mining.mine(mining.weighted_itemsets(items.limit(0)), 0.1, 0.1)
+    assert none.freqItemsets.collect() == none.associationRules.collect() == []
+
+
+def test_reports_read_the_subjects_once(spark):
+    """Mining and prediction read the written distinct itemsets: a million equal subjects are one row."""
+    m, reg = B.order_parttype(spark, SF_SMALL)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    items = itemsets(m).select("archives")
+    rep = mining.rules_report(items.mapInArrow(counted, items.schema), reg)
+    assert sum(df.count() > 0 for df in rep.values()) == 3
+    assert reads.value == items.count()
