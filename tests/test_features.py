@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from setscope.operators.features import (
-    choose_components, dictionary_vectors, explained_variance, feature_vectors, one_hot, pca_select, top_loadings)
+    choose_components, dictionary_vectors, explained_variance, feature_vectors, one_hot, pca_select, top_loadings,
+    weighted_pca)
 from setscope.sources import bindings as B
 from setscope.sources.memberships import code_dictionary, code_domain, itemsets
 
@@ -95,3 +96,31 @@ def test_vector_plan_does_not_grow_with_the_codes(spark):
     items = spark.createDataFrame([("a", [1, 3])], "id string, archives array<int>")
     sizes = [len(feature_vectors(items, list(range(n)))._jdf.queryExecution().optimizedPlan().toString()) for n in (3, 300)]
     assert sizes[1] < sizes[0] + 50
+
+
+def test_weighted_pca_equals_the_fit_over_the_subjects(spark):
+    rnd = np.random.default_rng(6)
+    sets = [[int(c) for c in np.flatnonzero(rnd.random(7) < 0.15 * np.arange(1, 8) / 2)] for _ in range(300)]
+    items = spark.createDataFrame([(s,) for s in sets], "archives array<int>")
+    sets = items.groupBy("archives").agg(F.count("*").alias("weight"))
+    codes = list(range(7))
+    want, got = pca_select(feature_vectors(items, codes), 0.8, 0.85, size=7), weighted_pca(sets, codes, 0.8, 0.85)
+    assert got.k == want.k
+    assert np.allclose(got.explained, want.explained, atol=1e-12) and np.allclose(got.pc, want.pc, atol=1e-9)
+
+
+def test_analysis_reads_the_memberships_once(spark):
+    from setscope.plans.analysis import build_analysis
+
+    m, _ = B.order_nation(spark, SF_SMALL)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    an = build_analysis(m.mapInArrow(counted, m.schema))
+    assert an.codes == code_domain(m)
+    assert reads.value == m.count()
+    an.release()
