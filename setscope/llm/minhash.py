@@ -2,11 +2,13 @@
 
 Two small collections of bands are computed for each text. A table's key is a
 pair of one band of each collection, so ``BANDS`` squared tables cost only
-2 x ``BANDS`` bands of minhashes. Keys are formed in two steps: a band of the
-first collection that no other text shares makes no pairs. Within a table's
-bucket texts are never paired with each other; in rounds, a few of a bucket's
-texts meet those that are not yet in their component, and every such pair is
-verified, until no bucket holds two components that have not met.
+2 x ``BANDS`` bands of minhashes. The tables that pair equal numbers come
+first: in a few turns one text of each bucket meets those that are not yet in
+its component, which makes groups of similar texts one component in few pairs.
+All other tables are then worked on by buckets of the first collection alone,
+in blocks: a task takes all pairs of two blocks that share a table and no
+earlier bucket, and verifies those whose components still differ. So a pair
+is verified once at most there, and never is a row between tasks.
 """
 
 from __future__ import annotations
@@ -35,10 +37,13 @@ LEAST = 85
 BANDS = 22
 ROWS = 6
 SEED = 12
-#: Number of the last turn of tables.
-LAST_TURN = 3
+#: Number of the last turn of tables with one pivot a bucket.
+LAST_TURN = 1
 #: Texts that one pivot's set is compared with in one task.
 PART = 512
+#: Texts of a bucket, and bytes of their sets, that are one block: a task holds two.
+BLOCK = 2048
+BLOCK_BYTES = 8 << 20
 #: Bytes of text worked on at once.
 CHUNK = 2 << 20
 
@@ -130,19 +135,16 @@ def _shared(rows: DataFrame) -> DataFrame:
     return salted_join(rows, keys, ["key"], F.col("node"), "left_semi")
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """(key, node, turn): the tables' buckets of two or more nodes, one of those that hold the same nodes.
+def _buckets(sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """(key, node, turn): buckets of two or more nodes of the tables of equal numbers, one of those that hold the same nodes.
 
-    Tables come in turns: one first, then a few, then the others that pair
-    equal numbers of bands, then the rest. Groups of copies are one
-    component after the first turns, so most of their buckets need no work.
+    Tables come in turns: a few first, then the others. Groups of similar
+    texts are one component after the first, so most of their buckets need
+    no work then.
     """
-    one = materialize(_shared(sets.select("node", F.posexplode("one").alias("i", "key"))), "bands")
-    same_number = F.col("i") == F.col("j")
-    turn = F.when(same_number & (F.col("i") == 0), 0).when(same_number & (F.col("i") < 4), 1).when(same_number, 2).otherwise(3)
-    both = one.join(sets.select("node", "two"), "node").select(
-        "node", "i", F.col("key").alias("first"), F.posexplode("two").alias("j", "second")).select(
-        "node", turn.alias("turn"), F.xxhash64("first", "second").alias("key"))
+    turn = F.when(F.col("i") < 4, 0).otherwise(1)
+    both = bands.join(sets.select("node", "two"), "node").select(
+        "node", turn.alias("turn"), F.xxhash64("key", F.element_at("two", F.col("i") + 1)).alias("key"))
     rows = materialize(_shared(both), "tables")
     same = rows.groupBy("key").agg(F.min("turn").alias("turn"), F.count("*").alias("n"),
                                    F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
@@ -206,35 +208,43 @@ def _alone(texts: DataFrame) -> DataFrame:
     return held.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
 
 
-def _components(buckets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """(node, component) of all nodes that are linked with another one.
+def _open(rows: DataFrame, least: int) -> DataFrame:
+    """The rows of (key, node, c, n, most, more) whose bucket holds two components, without those that have no partner there."""
+    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where(
+        "lo < hi").select("key", "least_n")
+    # such a row cannot be near the smallest set of its bucket, nor a larger one
+    return salted_join(rows, keys, ["key"], F.col("node")).where(
+        100 * F.col("most") >= least * (F.greatest("least_n", "most") + F.col("n") - F.col("most"))).drop("least_n")
 
-    In a round some nodes of an open bucket (one that holds two components)
-    are its pivots: they meet all others that are not in their component,
-    then leave the bucket. While the turns of the tables last a bucket has
-    one pivot a round, then four times as many in each: a bucket of similar
-    texts is soon one component, one of dissimilar texts is emptied in few
-    rounds, so every pair of it has met. A round gives back the tables of
-    the one before.
+
+def _named(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows of (node, more) with c: their component so far."""
+    if groups is None:
+        return rows.withColumn("c", F.col("node"))
+    return rows.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _united(links: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(node, component) by the (a, b) links and the components so far."""
+    if groups is not None:
+        links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return materialize(connected_components(links).select("node", "component"), "groups")
+
+
+def _met(buckets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(node, component) after the turns of the tables, of all nodes that a turn linked with another one.
+
+    In a turn one node of every open bucket (one that holds two components)
+    is its pivot: it meets all others that are not in its component. A turn
+    gives back the tables of the one before.
     """
     spark, owner = buckets.sparkSession, f"minhash {uuid.uuid4().hex}"
-    groups = rest = None
-    number, width = 0, 1
-    while True:
+    groups = None
+    for number in range(LAST_TURN + 1):
         with tables_of(f"{owner} {number}"):
-            rows = buckets.where(F.col("turn") == number).drop("turn") if number <= LAST_TURN else None
-            rows = rest if rows is None else rows if rest is None else rest.unionByName(rows)
-            named = rows.withColumn("c", F.col("node")) if groups is None else rows.join(groups, "node", "left").withColumn(
-                "c", F.coalesce("component", "node")).drop("component")
-            named = materialize(named, "named")
-            # a row that cannot be near the smallest set of its bucket or a larger one has no partner there
-            open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where(
-                "lo < hi").select("key", "least_n")
-            still = salted_join(named, open_keys, ["key"], F.col("node")).where(
-                100 * F.col("most") >= least * (F.greatest("least_n", "most") + F.col("n") - F.col("most")))
-            still = materialize(still.drop("least_n"), "open")
-            pivots = materialize(still.groupBy("key", F.pmod(F.xxhash64(F.lit(width), "node"), F.lit(width)).alias("class")).agg(
-                F.min(F.struct("node", "c", "n", "most")).alias("p")).select(
+            named = materialize(_named(buckets.where(F.col("turn") <= number).drop("turn"), groups), "named")
+            still = materialize(_open(named, least), "open")
+            pivots = materialize(still.groupBy("key").agg(F.min(F.struct("node", "c", "n", "most")).alias("p")).select(
                 "key", *(F.col(f"p.{c}").alias(a) for c, a in (("node", "pivot"), ("c", "pivot_c"), ("n", "pivot_n"), ("most", "pivot_most")))),
                 "pivots")
             common = F.least("most", "pivot_most")
@@ -243,18 +253,116 @@ def _components(buckets: DataFrame, texts: DataFrame, least: int) -> DataFrame:
             # two pivots meet once; the one with the smaller node leads, so a pair has one form
             pairs = materialize(met.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("member"))
                                 .distinct(), "pairs")
-            links = _verified(pairs, texts, least)
-            if groups is not None:
-                links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            groups = materialize(connected_components(links).select("node", "component"), "groups")
-            rest = materialize(still.drop("c").join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"],
-                                                    "left_anti"), "rest")
+            groups = _united(_verified(pairs, texts, least), groups)
         release_tables(spark, f"{owner} {number - 1}")
-        if number >= LAST_TURN:
-            if rest.isEmpty():
-                return groups
-            width *= 4
-        number += 1
+    return groups
+
+
+def _payload(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of (node, text) rows: the 64-bit shingles of every set as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_tables()
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                offsets, values = shingle_sets(part.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array([values[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)],
+                                                   pa.binary())], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def block_links(rows: pa.Table, least: int) -> list[tuple[int, int]]:
+    """Links of all pairs of two blocks of one bucket of the first collection, as far as they join components.
+
+    ``rows`` has band, side, node, c, n, most, one, two and shingles; side 0
+    meets side 1, or itself where there is no other. A pair is left to the
+    earliest band it shares, and has to share a band of the second collection.
+    """
+    column = {c: rows.column(c).to_numpy() for c in ("side", "node", "n", "most")}
+    node, n, most = column["node"], column["n"], column["most"]
+    one, two = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, BANDS) for c in ("one", "two"))
+    band = rows.column("band")[0].as_py()
+    _, label = np.unique(rows.column("c").to_numpy(), return_inverse=True)
+    _, value = np.unique(np.frombuffer(b"".join(rows.column("shingles").to_pylist()), dtype=np.uint64), return_inverse=True)
+    start = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(n)))
+    mark = np.zeros(len(value) + 1, dtype=bool)
+    lead, other = np.flatnonzero(column["side"] == 0), np.flatnonzero(column["side"] == 1)
+    found = []
+    for at, a in enumerate(lead):
+        to = other if len(other) else lead[at + 1:]
+        to = to[label[to] != label[a]]
+        common = np.minimum(most[to], most[a])
+        to = to[100 * common >= least * (n[to] + n[a] - common)]
+        to = to[(two[to] == two[a]).any(axis=1)]
+        to = to[~(one[to, :band] == one[a, :band]).any(axis=1)]
+        if not len(to):
+            continue
+        own = value[start[a]:start[a + 1]]
+        mark[own] = True
+        end = np.cumsum(n[to])
+        common = np.add.reduceat(mark[value[np.arange(end[-1]) + np.repeat(start[to] - end + n[to], n[to])]], end - n[to], dtype=np.int64)
+        mark[own] = False
+        for b in to[100 * common >= least * (n[to] + n[a] - common)]:
+            if label[b] != label[a]:
+                found.append((node[a], node[b]))
+                label[label == label[b]] = label[a]
+    return found
+
+
+def _rest(bands: DataFrame, sets: DataFrame, sizes: DataFrame, texts: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """The (a, b) links of all tables between nodes whose components differ, enough of them to join what they link.
+
+    Buckets of the first collection that hold the same open nodes are one,
+    the earliest, where all their pairs belong. A large bucket is dealt into
+    blocks, a component of more than a block into blocks of its own. Two
+    blocks meet in one task, unless they are of one component.
+    """
+    rows = _named(bands.select("node", F.col("i").alias("band"), "key").join(sizes, "node"), groups)
+    still = materialize(_open(materialize(rows, "named"), least), "open")
+    filled = F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)
+    same = still.groupBy("key").agg(
+        F.min("band").alias("band"), F.count("*").alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi"),
+        filled.alias("filled"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).where("lo < hi")
+    kept = same.groupBy("rows", "members").agg(F.min(F.struct("band", "key", "filled")).alias("best")).select("best.key", "best.filled")
+    large = salted_join(still, kept.where("filled > 1").select("key"), ["key"], F.col("node"), "left_semi").groupBy("key", "c").agg(
+        filled.alias("own")).where("own > 1")
+    dealt = salted_join(still, kept, ["key"], F.col("node"))
+    dealt = salted_join(dealt, large, ["key", "c"], F.col("node"), "left").withColumn("block", F.when(
+        F.col("own").isNull(), F.pmod(F.xxhash64("c"), F.ceil("filled"))).otherwise(
+        F.xxhash64("c", F.pmod(F.xxhash64("node"), F.ceil("own"))))).drop("own", "filled")
+    dealt = materialize(dealt, "dealt")
+    ends = dealt.groupBy("key", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    met = ends.select("key", F.col("block").alias("p"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi")).join(ends.select(
+        "key", F.col("block").alias("q"), "lo", "hi"), "key").where("p <= q and least(lo, p_lo) < greatest(hi, p_hi)").select("key", "p", "q")
+    places = met.select("key", F.col("p").alias("block"), "p", "q", F.lit(0).alias("side")).unionByName(
+        met.where("p < q").select("key", F.col("q").alias("block"), "p", "q", F.lit(1).alias("side")))
+    paired = materialize(dealt.join(places, ["key", "block"]).drop("block"), "paired")
+    needed = paired.select("node").distinct()
+    held = materialize(_payload(texts.join(needed, "node", "left_semi")), "shingles").join(sets.select("node", "one", "two"), "node")
+    placed = paired.join(held, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_tables()
+        group, held = None, []
+
+        def links() -> list[tuple[int, int]]:
+            return block_links(pa.Table.from_batches(held), least) if held else []
+
+        for batch in batches:
+            found = []
+            tags = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")], axis=1)
+            begins = np.flatnonzero(np.concatenate((np.ones(min(len(tags), 1), dtype=bool), (tags[1:] != tags[:-1]).any(axis=1))))
+            for begin, end in zip(begins, np.append(begins[1:], len(tags)), strict=True):
+                if group != tuple(tags[begin]):
+                    found += links()
+                    group, held = tuple(tags[begin]), []
+                held.append(batch.slice(begin, end - begin))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = links()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -273,14 +381,14 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     full = marked.where(F.col("node").isNotNull())
     sets = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
                                                 F.first("one").alias("one"), F.first("two").alias("two")), "sets")
-    buckets = materialize(_buckets(sets), "buckets")
-    # the text of every node that shares a bucket, once
-    texts = materialize(salted_join(full, buckets.select("node").distinct(), ["node"], F.col("doc_id"), "left_semi").groupBy(
+    bands = materialize(_shared(sets.select("node", F.posexplode("one").alias("i", "key"))), "bands")
+    # the text of every node that shares a band, once
+    texts = materialize(salted_join(full, bands.select("node").distinct(), ["node"], F.col("doc_id"), "left_semi").groupBy(
         "node").agg(F.first("text").alias("text")), "texts")
-    sizes = sets.select("node", F.col("n_shingles").alias("n")).join(_alone(texts), "node", "left").select(
-        "node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-    buckets = materialize(buckets.join(sizes, "node"), "buckets")
-    groups = _components(buckets, texts, least)
+    sizes = materialize(sets.select("node", F.col("n_shingles").alias("n")).join(texts.select("node"), "node").join(
+        _alone(texts), "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")), "sizes")
+    groups = _met(materialize(_buckets(sets, bands).join(sizes, "node"), "buckets"), texts, least)
+    groups = _united(_rest(bands, sets, sizes, texts, groups, least), groups)
     labels = sets.select("node", "first_id").join(groups, "node", "left").select(
         "node", "first_id", F.coalesce("component", "node").alias("component"))
     firsts = labels.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -65,6 +65,53 @@ def test_copies_near_copies_and_a_shared_passage(spark, monkeypatch, part):
     check(spark, [(i * 3 + 5, t) for i, t in enumerate(texts)])
 
 
+def family(rnd, n, edits):
+    """Texts that each change other words of one text: many share tables, whether they are linked or not."""
+    base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    return [changed(rnd, base, edits) for _ in range(n)]
+
+
+def test_a_family_below_the_limit_makes_few_rows(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows, verified = list(enumerate(family(rnd, 150, 3) + family(rnd, 40, 1))), []
+
+    def spy(pairs, *more, plain=M._verified):
+        verified.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(M, "_verified", spy)
+    check(spark, rows)
+    # at most one a row of the tables of equal numbers; all pairs of the first family are 11,175
+    assert sum(verified) <= 22 * len(rows)
+
+
+@pytest.mark.parametrize("limit", [("BLOCK", 7), ("BLOCK_BYTES", 20_000)])
+def test_blocks_of_a_large_bucket(spark, monkeypatch, limit):
+    monkeypatch.setattr(M, *limit)
+    rnd = random.Random(9)
+    # no turns: all pairs, also those of one component, are left to the blocks
+    monkeypatch.setattr(M, "_met", lambda buckets, *_: buckets.sparkSession.createDataFrame([], "node long, component long"))
+    check(spark, list(enumerate(family(rnd, 40, 3) + family(rnd, 40, 1) + family(rnd, 30, 2))))
+
+
+def test_block_links_verify_a_pair_once():
+    offsets, values = M.shingle_sets(pa.array(["a b c d e f g h", "a b c d e f g h i", "p q r s t u", "a b c d e f g h"]))
+    sets = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
+    ones = np.array([[5] * M.BANDS, [5] * M.BANDS, [5] + [6] * (M.BANDS - 1), [5] * M.BANDS])
+
+    def links(band, side=(0, 0, 0, 0), c=(1, 2, 3, 4), twos=ones):
+        lists = [pa.array(x.tolist(), pa.list_(pa.int64())) for x in (ones, twos)]
+        n = pa.array([len(x) for x in sets])
+        return M.block_links(pa.table({"band": [band] * 4, "side": list(side), "node": [1, 2, 3, 4], "c": list(c), "n": n, "most": n,
+                                       "one": lists[0], "two": lists[1], "shingles": [x.tobytes() for x in sets]}), 80)
+
+    assert links(0) == [(1, 2), (1, 4)]
+    assert links(1) == []                                   # left to band 0
+    assert links(0, c=(1, 1, 3, 4)) == [(1, 4)]             # what is one component does not meet
+    assert links(0, side=(0, 0, 1, 1)) == [(1, 4), (2, 4)]  # side 0 meets side 1 alone
+    assert links(0, twos=np.arange(4 * M.BANDS).reshape(4, -1)) == []
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "one"), (5, "ONE"), (6, "one two"), (None, "one two"), (None, "alone here now"),
             (7, "a b c d e"), (7, "a b c d e"), (8, "a b c d e a b c d e a b c d e"), (9, "é É"), (10, "É É"), (None, None)]
